@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: ASCII white space; what lies between is a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,15 +56,32 @@ def let(value: Column, body) -> Column:
 def numbered(df: DataFrame, group: list[str], name: str) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... within each group, gapless, in the order of the rows of ``df``,
     which must read from stable storage (``cut``). A group of any size is numbered in parallel:
-    each input partition numbers its own rows, and a small table of counts gives the offsets."""
-    at = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_mid", 33))
-    counts = at.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))
+    each input partition numbers its own rows, and a table of counts gives the offsets; it is
+    broadcast if its counted size is small, else joined by a shuffle. No nulls in ``group``."""
+    counts = df.groupBy(F.spark_partition_id().alias("_pid"), *group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_pid", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    within = Window.partitionBy("_pid", *group).orderBy("_mid")
-    own = at.withColumn("_rank", F.row_number().over(within) - 1)
-    same = [own["_pid"] == starts["_pid"]] + [own[g].eqNullSafe(starts[f"_g{i}"]) for i, g in enumerate(group)]
-    out = own.join(starts, same, "inner")
+    starts = cut(counts.select("_pid", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from")))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, seen = TaskContext.get().partitionId(), {}
+        for b in batches:
+            keys = b.select(group).to_pandas()
+            by = keys.groupby(group, sort=False)
+            rank = by.cumcount()
+            first = keys.loc[rank == 0]
+            known = [seen.get(k, 0) for k in first.itertuples(index=False, name=None)]
+            offset = pd.Series(known, index=by.ngroup()[first.index]) if len(first) else pd.Series(dtype="int64")
+            sizes = by.size()
+            for k, n in sizes.items():
+                k = k if isinstance(k, tuple) else (k,)
+                seen[k] = seen.get(k, 0) + int(n)
+            full = (rank + by.ngroup().map(offset)).to_numpy(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(full), pid, np.int32)), pa.array(full)], [*b.schema.names, "_pid", "_rank"])
+
+    schema = StructType([*df.schema.fields, StructField("_pid", IntegerType()), StructField("_rank", LongType())])
+    own = df.mapInArrow(number, schema)
+    same = [own["_pid"] == starts["_pid"]] + [own[g] == starts[f"_g{i}"] for i, g in enumerate(group)]
+    out = own.join(small(starts, 64), same, "inner")
     return out.select(*[own[c] for c in df.columns], (F.col("_rank") + F.col("_from")).cast("long").alias(name))
 
 
@@ -90,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> bool:
+def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> bool:
     """Whether ``df``, counted now, stays under ``limit`` bytes; callers shuffle if it does not."""
     return df.count() * row_bytes <= limit
 
