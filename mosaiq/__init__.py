@@ -1,0 +1 @@
+"""Structural image features on Spark: planes, bitboard masks, morphology, histograms, learners."""

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,46 +28,63 @@ def linked(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     return np.nonzero(x @ y.T >= least)
 
 
-def _compare(group: pd.DataFrame, least: float) -> pd.DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal ``keys`` in sorted batches, also those that go on in the next batch."""
+    held: list[pa.Table] = []
+    for b in batches:
+        t = pa.Table.from_batches([*[x for h in held for x in h.to_batches()], b]).combine_chunks()
+        new = np.zeros(len(t), bool)
+        for k in keys:
+            v = t[k].combine_chunks().to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for i, j in zip(starts, starts[1:], strict=False):
+            yield t.slice(i, j - i)
+        held = [t.slice(starts[-1])] if len(t) else []
+    yield from held
+
+
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    return t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+
+
+def _compare(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """The links of one pair of blocks, each counted only in the first table that has both vectors in
-    one bucket: for each vector the number of vectors (with their copies) that it links to, and the
-    least vector of its component here."""
-    table, left, right = group["table"].iat[0], group["i"].iat[0], group["j"].iat[0]
-    parts = []
-    for side in (left, right) if left != right else (left,):
-        g = group[group["block"] == side].sort_values("node")
-        v = np.stack(g["vector"].to_numpy()).astype(np.float64)
-        parts.append((g["node"].to_numpy(), g["copies"].to_numpy(), v / np.sqrt((v * v).sum(axis=1))[:, None], np.stack(g["buckets"].to_numpy())[:, :table]))
-    if len(parts) == 1:
-        parts *= 2
-    (n1, c1, x, b1), (n2, c2, y, b2) = parts
-    p, q = linked(x, y, least)
-    own = p < q if left == right else np.ones(len(p), bool)
-    p, q = p[own], q[own]
-    for at in range(0, len(p), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        own[: len(p)][s] = ~(b1[p[s]] == b2[q[s]]).any(axis=1)
-    new = own[: len(p)]
-    links: dict[bytes, int] = {}
-    for nodes, at, other in ((n1, p[new], c2[q[new]]), (n2, q[new], c1[p[new]])):
-        for k, n in zip(nodes, np.bincount(at, weights=other, minlength=len(nodes)).astype(np.int64), strict=True):
-            if n:
-                links[k] = links.get(k, 0) + int(n)
-    root: dict[bytes, bytes] = {}
-
-    def find(k: bytes) -> bytes:
-        while root.setdefault(k, k) != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    for a, b in dict.fromkeys(zip(p[new].tolist(), q[new].tolist(), strict=True)):
-        a, b = find(n1[a]), find(n2[b])
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return pd.DataFrame({"node": list(links), "links": list(links.values()), "root": [find(k) for k in links]}, columns=["node", "links", "root"])
-
-
-def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = 24, bits: int = 16, seed: int = 11, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    one bucket: the places of the vectors that link, the number of vectors (with their copies) that each links
+    to, and the place of the least vector of its component here."""
+    table, left, right = (t[k][0].as_py() for k in ("table", "i", "j"))
+    v = _matrix(t, "vector").astype(np.float64)
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    buckets, block = _matrix(t, "buckets")[:, :table], t["block"].to_numpy()
+    one = np.flatnonzero(block == left)
+    two = np.flatnonzero(block == right)
+    p, q = linked(v[one], v[two], least)
+    p, q = one[p], two[q]
+    if left == right:
+        p, q = p[p < q], q[p < q]
+    step = 1 << 16
+    new = [~(buckets[p[a : a + step]] == buckets[q[a : a + step]]).any(axis=1) for a in range(0, len(p), step)]
+    if not new:
+        return None
+    new = np.concatenate(new)
+    p, q = p[new], q[new]
+    if not len(p):
+        return None
+    copies, n = t["copies"].to_numpy(), len(t)
+    links = (np.bincount(p, weights=copies[q], minlength=n) + np.bincount(q, weights=copies[p], minlength=n)).astype(np.int64)
+    root = np.arange(n)
+    while True:  # least place among neighbours, then of that one, until nothing changes
+        before = root.copy()
+        np.minimum.at(root, p, root[q])
+        np.minimum.at(root, q, root[p])
+        root = root[root]
+        if (root == before).all():
+            break
+    own = np.flatnonzero(links)
+    return own, links[own], root[own]
+
+
+def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = 32, bits: int = 20, seed: int = 11, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row. Vectors of one label link if their cosine is
     ``least`` or more. Rows of equal vector and label are one node with a count, so copies are not
     compared. Nodes that share a bucket in some table are compared exactly, in double precision, in
@@ -76,7 +94,8 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = 24, bits: i
     are null, empty, zero, or hold null or non-finite components, and null labels, link with nothing;
     vectors of different lengths don't link. ``component_id`` is the least vec_id of the component; a
     null vec_id is kept as a row, and is its own component if no other id is there."""
-    value = F.col(vector).cast("array<double>")
+    own_type = rows.schema[vector].dataType.simpleString()
+    value = F.col(vector) if own_type == "array<float>" else F.col(vector).cast("array<double>")
     all_rows = cut(rows.select(F.col(vec_id).alias("vec_id"), value.alias("vector"), F.col(label).alias("label"), F.monotonically_increasing_id().alias("row")))
     fine = F.col("label").isNotNull() & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     tidy = F.transform("vector", lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
@@ -86,21 +105,28 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = 24, bits: i
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for size, part in b.groupby(b["vector"].map(len)):
-                v = np.stack(part["vector"].to_numpy())
+                v = np.stack(part["vector"].to_numpy()).astype(np.float64)
                 v = v / np.abs(v).max(axis=1)[:, None]
-                yield part[["node", "label", "copies", "vector"]].assign(size=size, vector=list(v), buckets=list(signs(v, tables, bits, seed)))
-
-    kind = nodes.schema["label"].dataType.simpleString()
-    own = cut(nodes.select("node", "label", "copies", "vector").mapInPandas(hashed, f"node binary, label {kind}, copies long, vector array<double>, size int, buckets array<long>"))
-    flat = own.select("node", "label", "size", F.posexplode("buckets").alias("table", "bucket"))
-    place = ["label", "size", "table", "bucket"]
-    full = flat.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = flat.join(full, place).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+                yield part[["node", "label", "copies", "vector"]].assign(size=size, buckets=list(signs(v, tables, bits, seed)))
+
+    kind, own_type = (nodes.schema[k].dataType.simpleString() for k in ("label", "vector"))
+    own = cut(nodes.select("node", "label", "copies", "vector").mapInPandas(hashed, f"node binary, label {kind}, copies long, vector {own_type}, size int, buckets array<int>"))
+    flat = own.select("node", F.posexplode("buckets").alias("table", "bucket"), F.xxhash64("label", "size", "table", "bucket").alias("place"))
+    full = flat.groupBy("table", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = flat.join(full, ["table", "place"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    blocks = met.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("node", *place, "block", "i", "j")
-    work = blocks.join(own.select("node", "copies", "vector", "buckets"), "node")
-    found = work.groupBy(*place, "i", "j").applyInPandas(lambda g: _compare(g, least), "node binary, links long, root binary")
+    group = ["table", "place", "i", "j"]
+    blocks = met.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("node", *group, "block")
+    work = blocks.join(own.select("node", "copies", "vector", "buckets"), "node").repartition(*group).sortWithinPartitions(*group, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, group):
+            if (got := _compare(t, least)) is not None:
+                nodes_at = t["node"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([nodes_at.take(pa.array(got[0])), pa.array(got[1]), nodes_at.take(pa.array(got[2]))], ["node", "links", "root"])
+
+    found = work.mapInArrow(compare, "node binary, links long, root binary")
     found = cut(found)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -49,17 +49,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0.85, every: int = 4) -> DataFrame:
-    """Personalised PageRank of ``seeds`` (host, seed; seeds add up to 1) over ``edges`` (src, dst, w):
-    (host, score). What reaches a host without edges out goes back to the seeds. The state is written
-    to stable storage after every few steps."""
-    state = seeds.where("seed > 0").select("host", F.col("seed").alias("score"))
-    out = edges.select(F.col("src").alias("host"), F.lit(True).alias("has")).distinct()
+def both_ways(links: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(src, dst, trust_w, distrust_w): trust goes along a link, distrust back; what goes out of a host in either
+    way adds up to 1. Where nothing does, the host keeps its own."""
+    back = links.groupBy("dst").agg(F.sum("w").alias("s"))
+    away = links.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("trust_w"), (F.col("w") / F.col("s")).alias("distrust_w"))
+    along = links.select("src", "dst", F.col("w").alias("trust_w"), F.lit(0.0).alias("distrust_w"))
+    every = along.unionByName(away).unionByName(hosts.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("trust_w"), F.lit(0.0).alias("distrust_w")))
+    sums = every.groupBy("src", "dst").agg(F.sum("trust_w").alias("trust_w"), F.sum("distrust_w").alias("distrust_w"))
+    left = every.groupBy("src").agg((F.sum("trust_w") == 0).alias("t"), (F.sum("distrust_w") == 0).alias("d"))
+    own = F.col("src") == F.col("dst")
+    return cut(sums.join(left, "src").select("src", "dst", F.when(own & F.col("t"), 1.0).otherwise(F.col("trust_w")).alias("trust_w"), F.when(own & F.col("d"), 1.0).otherwise(F.col("distrust_w")).alias("distrust_w")).where("trust_w + distrust_w > 0"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
+    """Personalised PageRank for trust and for distrust at once: (host, trust, distrust). ``seeds`` (host, trust,
+    distrust; each adds up to 1), ``edges`` (src, dst, trust_w, distrust_w). Hosts that nothing leaves must
+    have an edge to themselves. The edges are broadcast if their counted size is small, else joined
+    by a shuffle; the state is written to stable storage after every few steps."""
+    back = seeds.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
+    state, links = seeds, small(edges, 96)
     for step in range(1, steps + 1):
-        moved = state.join(edges, state["host"] == edges["src"]).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
-        stuck = state.join(out, "host", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("stuck"))
-        back = seeds.where("seed > 0").join(F.broadcast(stuck)).select("host", (F.col("seed") * ((1 - damping) + damping * F.col("stuck"))).alias("score"))
-        state = moved.unionByName(back).groupBy("host").agg(F.sum("score").alias("score"))
+        moved = state.join(links, state["host"] == links["src"]).select(F.col("dst").alias("host"), (damping * F.col("trust") * F.col("trust_w")).alias("trust"), (damping * F.col("distrust") * F.col("distrust_w")).alias("distrust"))
+        state = moved.unionByName(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if step % every == 0 or step == steps:
             state = cut(state)
     return state
@@ -76,18 +88,12 @@ def judge_pages(pages: DataFrame, rules=RULES, steps: int = 20, ratio: float = 1
     seen = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url"), F.col(html).alias("html"))
     seen = seen.select("page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), "html")
     seen = seen.withColumn("found", rule_of(rules, F.col("host"), F.col("path")))
-    edges = cut(host_edges(seen))
-    votes = seen.where("host <> ''").groupBy("host").agg(F.count_if(F.col("found.verdict") == "allow").alias("allowed"), F.count_if(F.col("found.verdict") == "block").alias("blocked"))
-    votes = cut(votes.select("host", "allowed", "blocked"))
-    total = votes.agg(F.sum("allowed").alias("ta"), F.sum("blocked").alias("tb"))
-    seeds = cut(votes.join(F.broadcast(total)).select("host", (F.col("allowed") / F.greatest("ta", F.lit(1))).alias("good"), (F.col("blocked") / F.greatest("tb", F.lit(1))).alias("bad")))
-    trust = propagate(edges, seeds.select("host", F.col("good").alias("seed")), steps)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("v"))
-    sums = back.groupBy("src").agg(F.sum("v").alias("s"))
-    distrust = propagate(cut(back.join(sums, "src").select("src", "dst", (F.col("v") / F.col("s")).alias("w"))), seeds.select("host", F.col("bad").alias("seed")), steps)
-    scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
-    scores = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-    out = seen.drop("html").join(small(cut(scores), 64), "host", "left")
+    links = cut(host_edges(seen))
+    votes = cut(seen.where("host <> ''").groupBy("host").agg(F.count_if(F.col("found.verdict") == "allow").alias("a"), F.count_if(F.col("found.verdict") == "block").alias("b")))
+    allowed, blocked = votes.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    seeds = votes.select("host", (F.col("a") / max(1, allowed)).alias("trust"), (F.col("b") / max(1, blocked)).alias("distrust"))
+    scores = propagate(both_ways(links, votes.select("host")), seeds, steps)
+    out = seen.drop("html").join(small(scores, 64), "host", "left")
     bad = F.coalesce(F.col("distrust"), F.lit(0.0)) > ratio * F.coalesce(F.col("trust"), F.lit(0.0))
     verdict = F.coalesce(F.col("found.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
