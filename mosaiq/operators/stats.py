@@ -106,7 +106,7 @@ def block_sums(r: Column, g: Column, b: Column, blocks: int = 4) -> Column:
     def one(p: Column, j: Column) -> Column:
         return total(F.transform(indexes(k), lambda y: total(F.transform(F.slice(p, ((F.floor(j / blocks) * k + y) * SIDE + (j % blocks) * k).cast("int") + 1, k), lambda v: v.cast("bigint")))))
 
-    return F.flatten(F.transform(indexes(blocks * blocks), lambda j: F.array(one(r, j), one(g, j), one(b, j))))
+    return let(F.array(r, g, b), lambda c: F.flatten(F.transform(indexes(blocks * blocks), lambda j: F.array(*[one(F.get(c, k), j) for k in range(3)]))))
 
 
 def block_means(r: Column, g: Column, b: Column, blocks: int = 4) -> Column:

@@ -20,7 +20,8 @@ from mosaiq.sources.images import derived_images
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-R, G, B = (F.col(c) for c in "rgb")
+def rgb() -> tuple[Column, ...]:
+    return tuple(F.col(c) for c in "rgb")
 
 
 def query(name: str, sql: str | None = None):
@@ -91,7 +92,7 @@ def long(rows: DataFrame, values: Column, kind: str = "bigint") -> DataFrame:
 
 def gray100(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(img_id, label, m): the mask that most queries look at."""
-    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(R, G, B))
+    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
     return own.select("img_id", "label", "split", boards.at_least(F.col("gray"), 100).alias("m"))
 
 
@@ -107,28 +108,28 @@ def gray_mean_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("label").agg(F.count(F.lit(1)).alias("images"), F.sum("n").alias("pixels"))
 
 
-def _sums(name: str, sql: str, **columns: Column):
+def _sums(name: str, sql: str, **columns: Callable[..., Column]):
     @query(name, with_(select=f"SELECT img_id, {sql} FROM px GROUP BY img_id"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = images(spark, sf_dir)
-        return own.select("img_id", *[total(F.transform(p, lambda v: v.cast("bigint"))).alias(k) for k, p in columns.items()])
+        return own.select("img_id", *[total(F.transform(p(*rgb()), lambda v: v.cast("bigint"))).alias(k) for k, p in columns.items()])
 
 
-_sums("gray_plane_sum", "CAST(sum(gray) AS BIGINT) AS gray", gray=planes.gray_u8(R, G, B))
-_sums("opponent_sums", "CAST(sum(rg) AS BIGINT) AS rg, CAST(sum(yb) AS BIGINT) AS yb", rg=planes.opponent_rg(R, G), yb=planes.opponent_yb2(R, G, B))
-_sums("saturation_sum", "CAST(sum(sat) AS BIGINT) AS sat", sat=planes.saturation(R, G, B))
+_sums("gray_plane_sum", "CAST(sum(gray) AS BIGINT) AS gray", gray=planes.gray_u8)
+_sums("opponent_sums", "CAST(sum(rg) AS BIGINT) AS rg, CAST(sum(yb) AS BIGINT) AS yb", rg=lambda r, g, b: planes.opponent_rg(r, g), yb=planes.opponent_yb2)
+_sums("saturation_sum", "CAST(sum(sat) AS BIGINT) AS sat", sat=planes.saturation)
 
 
 @query("grammar_planes", with_(select="""SELECT img_id, CAST(sum(CAST(floor(fgray) AS BIGINT)) AS BIGINT) AS gray, CAST(sum(CAST(2 * fyb AS BIGINT)) AS BIGINT) AS yb,
 CAST(sum(CAST(floor(fsat * 1000) AS BIGINT)) AS BIGINT) AS sat, CAST(sum(CAST(floor(CAST(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS FLOAT)) AS BIGINT)) AS BIGINT) AS gray64 FROM px GROUP BY img_id"""))
 def grammar_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = lambda p, by=1: total(F.transform(p, lambda v: F.floor(v * F.lit(by).cast("float")).cast("bigint")))
-    return images(spark, sf_dir).select("img_id", whole(planes.g_gray(R, G, B)).alias("gray"), whole(planes.g_opponent_yb(R, G, B), 2).alias("yb"), whole(planes.g_saturation(R, G, B), 1000).alias("sat"), whole(planes.g_gray_double(R, G, B)).alias("gray64"))
+    return images(spark, sf_dir).select("img_id", whole(planes.g_gray(*rgb())).alias("gray"), whole(planes.g_opponent_yb(*rgb()), 2).alias("yb"), whole(planes.g_saturation(*rgb()), 1000).alias("sat"), whole(planes.g_gray_double(*rgb())).alias("gray64"))
 
 
 @query("clip_i16", with_(select="SELECT img_id, CAST(sum(greatest(-32768, least(32767, yb * 1000))) AS BIGINT) AS n FROM px GROUP BY img_id"))
 def clip_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = F.transform(planes.opponent_yb2(R, G, B), lambda v: v * 1000)
+    wide = F.transform(planes.opponent_yb2(*rgb()), lambda v: v * 1000)
     return images(spark, sf_dir).select("img_id", total(F.transform(planes.clip_i16(wide), lambda v: v.cast("bigint"))).alias("n"))
 
 
@@ -161,7 +162,7 @@ def mask_bank_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grad_masks", with_(_GRAD, select="SELECT img_id, " + ", ".join(f"CAST(sum(CASE WHEN {t} THEN 1 ELSE 0 END) AS BIGINT) AS n{i}" for i, t in enumerate(_GRADIENTS)) + " FROM grad GROUP BY img_id"))
 def grad_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(R, G, B))
+    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
     return own.select("img_id", *[stats.count(m).alias(f"n{i}") for i, m in enumerate(boards.gradients(F.col("gray"), 12))])
 
 
@@ -169,7 +170,7 @@ def grad_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAST(sum(CASE WHEN fyb > 80 THEN 1 ELSE 0 END) AS BIGINT) AS yb, CAST(sum(CASE WHEN fsat > 76.5 THEN 1 ELSE 0 END) AS BIGINT) AS sat FROM px GROUP BY img_id"""))
 def grammar_threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda p, t: stats.count(boards.above(p, t))
-    return images(spark, sf_dir).select("img_id", n(planes.g_gray(R, G, B), 120).alias("gray"), n(planes.g_plane(R), 120).alias("red"), n(planes.g_opponent_yb(R, G, B), 80).alias("yb"), n(planes.g_saturation(R, G, B), 76.5).alias("sat"))
+    return images(spark, sf_dir).select("img_id", n(planes.g_gray(*rgb()), 120).alias("gray"), n(planes.g_plane(F.col("r")), 120).alias("red"), n(planes.g_opponent_yb(*rgb()), 80).alias("yb"), n(planes.g_saturation(*rgb()), 76.5).alias("sat"))
 
 
 _SOBEL = f"""s0 AS (SELECT img_id, y, x, coalesce(lag(r) OVER {ROW}, 0) AS l, r AS c, coalesce(lead(r) OVER {ROW}, 0) AS rr FROM px),
@@ -179,7 +180,7 @@ coalesce(lead(l + 2*c + rr) OVER {COL}, 0) - coalesce(lag(l + 2*c + rr) OVER {CO
 
 @query("sobel_edge_counts", with_(_SOBEL, select="SELECT img_id, CAST(sum(CASE WHEN gx*gx + gy*gy > 2500 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM s1 GROUP BY img_id"))
 def sobel_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images(spark, sf_dir).select("img_id", stats.count(boards.sobel(R, exact=True)).alias("n"))
+    return images(spark, sf_dir).select("img_id", stats.count(boards.sobel(F.col("r"), exact=True)).alias("n"))
 
 
 # ---- morphology and automata
@@ -259,13 +260,13 @@ _MIRROR = " + ".join(f"((code >> {a}) & 1) * {1 << b}" for a, b in ((0, 4), (1,
 
 @query("lbp256", with_(_lbp("gray"), select=dense("SELECT img_id, code FROM lbp", 256)))
 def lbp256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(R, G, B))
+    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
     return long(own, stats.lbp_histogram(F.col("gray")))
 
 
 @query("lbp_flip_invariant", with_(_lbp("gray"), select=dense(f"SELECT img_id, least(code, {_MIRROR}) AS code FROM lbp", 256)))
 def lbp_flip_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(R, G, B))
+    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
     return long(own, stats.lbp_histogram(F.col("gray"), flip_invariant=True))
 
 
@@ -275,7 +276,7 @@ _BLOCK_SUMS = " UNION ALL ".join(_BLOCKS.format(k=k, c=c) for k, c in enumerate(
 
 @query("block_means", with_(select=f"SELECT img_id, CAST(pos AS INTEGER) AS pos, CAST(round_even(s / 64.0::DOUBLE, 0) AS BIGINT) AS v FROM ({_BLOCK_SUMS})"))
 def block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(images(spark, sf_dir), stats.block_means(R, G, B))
+    return long(images(spark, sf_dir), stats.block_means(*rgb()))
 
 
 _HIST = "SELECT img_id, ((r * 4) >> 8) * 16 + ((g * 4) >> 8) * 4 + ((b * 4) >> 8) AS code FROM px"
@@ -283,7 +284,7 @@ _HIST = "SELECT img_id, ((r * 4) >> 8) * 16 + ((g * 4) >> 8) * 4 + ((b * 4) >> 8
 
 @query("rgb_hist", with_(select=dense(_HIST, 64)))
 def rgb_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(images(spark, sf_dir), stats.colour_histogram(R, G, B))
+    return long(images(spark, sf_dir), stats.colour_histogram(*rgb()))
 
 
 # ---- the grammar's statistics
@@ -328,7 +329,7 @@ _D4 = "d4 AS (SELECT p.*, k.g AS e, CASE k.g // 2 WHEN 0 THEN y WHEN 1 THEN 31 -
 def d4_orbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = symmetry.orbit(images(spark, sf_dir))
     weigh = lambda p: total(F.transform(p, lambda v, i: v.cast("bigint") * (F.floor(i / 32) * 37 + i % 32)))
-    return own.select("img_id", "element", weigh(planes.gray_u8(R, G, B)).alias("checksum"))
+    return own.select("img_id", "element", weigh(planes.gray_u8(*rgb())).alias("checksum"))
 
 
 _D4_GRID = _D4 + ", d4g AS (SELECT img_id, e, (y // 4) * 8 + x // 4 AS pos, sum(CASE WHEN gray >= 100 THEN 1 ELSE 0 END) AS n FROM d8 GROUP BY ALL)"
@@ -337,7 +338,7 @@ _D4_GRID = _D4 + ", d4g AS (SELECT img_id, e, (y // 4) * 8 + x // 4 AS pos, sum(
 def _pooled(how: str, sql: str):
     @query(f"d4_pool_{how}", with_(_D4_GRID, select=f"SELECT img_id, CAST(pos AS INTEGER) AS pos, CAST({sql} AS BIGINT) AS v FROM d4g GROUP BY img_id, pos"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(R, G, B))
+        own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
         m = boards.at_least(F.col("p"), 100)
         eight = own.select("img_id", F.posexplode(F.array(*[symmetry.moved(F.col("gray"), e) for e in range(8)])).alias("e", "p"))
         grids = eight.select("img_id", "e", stats.grid(m).alias("v"))
@@ -352,7 +353,7 @@ _pooled("median", "round_even(median(n), 0)")
 
 @query("flip_x", with_(select="SELECT img_id, CAST(sum(r * (y * 37 + 31 - x)) AS BIGINT) AS checksum FROM px GROUP BY img_id"))
 def flip_x(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weigh = total(F.transform(symmetry.flip_x(R), lambda v, i: v.cast("bigint") * (F.floor(i / 32) * 37 + i % 32)))
+    weigh = total(F.transform(symmetry.flip_x(F.col("r")), lambda v, i: v.cast("bigint") * (F.floor(i / 32) * 37 + i % 32)))
     return images(spark, sf_dir).select("img_id", weigh.alias("checksum"))
 
 
@@ -459,8 +460,8 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flip_augment_union", with_(select="SELECT img_id, f AS flipped, CAST(sum(r * (y * 37 + CASE WHEN f THEN 31 - x ELSE x END)) AS BIGINT) AS checksum FROM px CROSS JOIN (SELECT unnest([true, false]) AS f) GROUP BY img_id, f"))
 def flip_augment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = images(spark, sf_dir).select("img_id", "r")
-    both = own.withColumn("flipped", F.lit(False)).unionByName(own.select("img_id", symmetry.flip_x(R).alias("r"), F.lit(True).alias("flipped")))
-    weigh = total(F.transform(R, lambda v, i: v.cast("bigint") * (F.floor(i / 32) * 37 + i % 32)))
+    both = own.withColumn("flipped", F.lit(False)).unionByName(own.select("img_id", symmetry.flip_x(F.col("r")).alias("r"), F.lit(True).alias("flipped")))
+    weigh = total(F.transform(F.col("r"), lambda v, i: v.cast("bigint") * (F.floor(i / 32) * 37 + i % 32)))
     return both.select("img_id", "flipped", weigh.alias("checksum"))
 
 
@@ -531,7 +532,7 @@ fr AS (SELECT sc.img_id, sc.own, sc.label, row_number() OVER (PARTITION BY sc.im
 @query("flip_ensemble", with_(_VEC, _LDA, _FLIP_SCORES, select="SELECT img_id, CAST(label AS INTEGER) AS best FROM fr WHERE k = 1"))
 def flip_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, test = _trained(spark, sf_dir)
-    own = images(spark, sf_dir).where("split = 'test'").withColumn("gray", symmetry.flip_x(planes.gray_u8(R, G, B)))
+    own = images(spark, sf_dir).where("split = 'test'").withColumn("gray", symmetry.flip_x(planes.gray_u8(*rgb())))
     flipped = own.select("img_id", F.concat(stats.grid(boards.at_least(F.col("gray"), 100)), F.array(F.lit(1).cast("bigint"))).alias("f"))
     both = learn.with_flips(learn.discriminant_scores(test, model), learn.discriminant_scores(flipped, model))
     return both.select("img_id", F.get("classes", learn.argmax(F.col("scores"))).alias("best"))
@@ -579,7 +580,7 @@ _TWO = "two AS (SELECT img_id, CASE WHEN gray >= 100 THEN 1 ELSE 0 END AS a, CAS
 
 def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = images(spark, sf_dir)
-    return own.select("img_id", boards.at_least(planes.gray_u8(R, G, B), 100).alias("a"), boards.at_least(planes.saturation(R, G, B), 60).alias("b"), boards.at_least(planes.opponent_rg(R, G), 20).alias("c"))
+    return own.select("img_id", boards.at_least(planes.gray_u8(*rgb()), 100).alias("a"), boards.at_least(planes.saturation(*rgb()), 60).alias("b"), boards.at_least(planes.opponent_rg(*rgb()[:2]), 20).alias("c"))
 
 
 @query("quad_pairs", with_(_TWO, select="SELECT img_id, CAST(sum(a * b) AS BIGINT) AS both, CAST(sum(a ^ b) AS BIGINT) AS either, CAST(sum(a) % 2 AS BIGINT) AS parity FROM (SELECT img_id, a, b, CASE WHEN a = b THEN 0 ELSE 1 END AS x FROM two) GROUP BY img_id".replace("sum(a ^ b)", "sum(x)")))
@@ -599,7 +600,7 @@ def local_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cayley_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query (ids divisible by 50) the least distance to another image in any of its eight forms. The
     orbit of a query has the same distances, so one side is moved only. Queries are sent in one block."""
-    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(R, G, B))
+    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
     forms = own.select("img_id", F.posexplode(F.array(*[symmetry.moved(F.col("gray"), e) for e in range(8)])).alias("e", "p"))
     grids = forms.select("img_id", "e", stats.grid(boards.at_least(F.col("p"), 100)).alias("v"))
     asked = grids.where("e = 0 and img_id % 50 = 0").select(F.col("img_id").alias("query"), F.col("v").alias("q"))
