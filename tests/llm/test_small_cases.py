@@ -186,8 +186,11 @@ def shingles_of(t):
     return collections.Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else collections.Counter()
 
 
-def test_near_duplicates(docs, monkeypatch):
+@pytest.mark.parametrize("blocks", [{}, {"BLOCK": 2}, {"WEIGHT": 500}])
+def test_near_duplicates(docs, monkeypatch, blocks):
     monkeypatch.setattr(minhash, "TOKENS", 500)
+    for k, v in blocks.items():
+        monkeypatch.setattr(minhash, k, v)
     own = docs.collect()
     texts = sorted({r.text or "" for r in own})
     sets = {t: shingles_of(t) for t in texts}
@@ -215,7 +218,7 @@ def test_near_duplicates(docs, monkeypatch):
     for r in own:
         ids[find(r.text or "")].append(r.doc_id)
     want = {t: min((i for i in ids[find(t)] if i is not None), default=None) for t in texts}
-    got = minhash.near_duplicates(docs).join(docs.select("doc_id", "text").distinct(), docs["doc_id"].eqNullSafe(F.col("doc_id")), "cross") if False else minhash.near_duplicates(docs)
+    got = minhash.near_duplicates(docs)
     keys = {hashlib.md5(t.encode()).digest(): t for t in texts}
     for r in got.collect():
         assert r.class_id == want[keys[bytes(r.node)]], r
