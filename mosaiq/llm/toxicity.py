@@ -58,21 +58,27 @@ def segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]
 
 
 def token_scores(text: str, model: Model) -> tuple[int, list[tuple[int, float]]]:
-    """The number of tokens, and (place, score) of those that the model knows."""
+    """The number of tokens, and (place, score) of those that the model knows. The log-odds are about whether a
+    text holds a token, so only the first of equal tokens counts: repeats prove nothing more."""
     scores = model.scores
     tokens = text.lower().split()
-    out = []
+    out, seen = [], set()
     for i, w in enumerate(tokens):
-        s = scores.get(w)
+        if w in seen:
+            continue
+        seen.add(w)
+        s, own = scores.get(w), w
         if s is None:
-            bare = w.strip(RIM)
+            own = bare = w.strip(RIM)
             s = scores.get(bare)
             if s is None and len(bare) > STEMS[0]:
                 for n in STEMS:
-                    s = scores.get(bare[:n] + "*")
+                    own = bare[:n] + "*"
+                    s = scores.get(own)
                     if s is not None:
                         break
-        if s is not None:
+        if s is not None and (own == w or own not in seen):
+            seen.add(own)
             out.append((i, s))
     return len(tokens), out
 
@@ -134,7 +140,7 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(bare, *stems))
 
 
-def fit(labelled: DataFrame, per_class: int = 12_000, least_z: float = 2.4, max_terms: int = 50_000, prior: float = 50.0, seed: int = 7) -> Model:
+def fit(labelled: DataFrame, per_class: int = 12_000, least_z: float = 3.0, max_terms: int = 50_000, prior: float = 50.0, seed: int = 7) -> Model:
     """Learns from ``labelled`` (text, toxic). Of each class at most about ``per_class`` rows are taken, chosen
     by a hash of their text, and equal texts once; so the model stays of bounded size. A token's score
     is its log-odds between the classes' documents, with a Dirichlet prior of ``prior`` documents in
