@@ -110,22 +110,24 @@ def matches(body: Column, rule: Rule, order: int) -> Column:
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: every span of every rule, by start and then in the order of the rules. A
-    null or empty text has none; equal texts have the same; a clashing column is replaced. Whole
+    null or empty text has none; equal texts have the same; a column ``secrets`` is replaced, and columns
+    ``_secret_key`` and ``_secret_rules`` are dropped. Whole
     texts are searched, but by a rule with a trigram query only where the index allows a match. The
     index's answer is broadcast if its counted size is small, else joined by a shuffle."""
+    docs = docs.drop("_secret_key", "_secret_rules")
     may, whole = candidates(docs, rules, text)
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     body = F.col(text)
     full = docs
     if may is not None:
-        may = cut(may).select(F.col("key").alias("_key"), F.col("rules").alias("_rules"))
-        full = docs.join(small(may, 48), F.xxhash64(body) == F.col("_key"), "left")
-    full = full.withColumn("_rules", F.coalesce(F.col("_rules"), F.lit(0).cast("long")) if may is not None else F.lit(0).cast("long"))
+        may = cut(may).select(F.col("key").alias("_secret_key"), F.col("rules").alias("_secret_rules"))
+        full = docs.join(small(may, 48), F.xxhash64(body) == F.col("_secret_key"), "left")
+    full = full.withColumn("_secret_rules", F.coalesce(F.col("_secret_rules"), F.lit(0).cast("long")) if may is not None else F.lit(0).cast("long"))
     each = []
     for i, rule in enumerate(rules):
-        try_it = body.rlike(rule.pattern) if i in whole else F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0
+        try_it = body.rlike(rule.pattern) if i in whole else F.col("_secret_rules").bitwiseAND(F.lit(1 << i)) != 0
         each.append(F.when(body.isNotNull() & try_it, matches(body, rule, i)).otherwise(none))
-    return full.withColumn("secrets", F.sort_array(F.concat(*each))).drop("_key", "_rules")
+    return full.withColumn("secrets", F.sort_array(F.concat(*each))).drop("_secret_key", "_secret_rules")
 
 
 def spans_text(spans: Column) -> Column:
