@@ -12,7 +12,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import cut, numbered, ordered, text_key
+from mosaiq.llm.common import cut, numbered, ordered, small, text_key
 
 _NO_SOURCE = "\x00"
 
@@ -74,18 +74,18 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
     runs = {k: (end // period) * parts[k] + sum(s < end % period for s in slots[k]) for k in counts}
     by_source = spark.createDataFrame([(k, blocks[k], parts[k], runs[k]) for k in counts], "s_source string, n_blocks long, part long, n_runs long")
     by_slot = spark.createDataFrame(plan, "p_source string, p_block long, p_slot long")
-    ranked = numbered(own, ["source"], "rank").join(F.broadcast(by_source), F.col("source") == F.col("s_source"))
+    ranked = numbered(own, ["source"], "rank").join(small(by_source, 96), F.col("source") == F.col("s_source"))
     ranked = ranked.withColumns({"block": F.floor(F.col("rank") / block_rows), "place": (F.col("rank") % block_rows).cast("int")})
     placed = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_runs") - 1 - F.col("block")) / F.col("n_blocks")))))
     placed = placed.withColumn("run", F.col("block") + F.col("epoch") * F.col("n_blocks"))
-    placed = placed.join(F.broadcast(by_slot), (F.col("source") == F.col("p_source")) & (F.col("run") % F.col("part") == F.col("p_block")))
+    placed = placed.join(small(by_slot, 64), (F.col("source") == F.col("p_source")) & (F.col("run") % F.col("part") == F.col("p_block")))
     slot = F.floor(F.col("run") / F.col("part")) * period + F.col("p_slot")
     return placed.select("doc_id", F.nullif("source", F.lit(_NO_SOURCE)).alias("source"), "text_key", "block", "place", F.col("epoch").cast("int").alias("epoch"), slot.cast("long").alias("slot"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` in the order of the mixed stream, rows of sources below their target repeated."""
-    plan = cut(schedule(docs, doc_id=doc_id, text=text, source=source, **options)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
+    plan = cut(schedule(docs, weights, doc_id=doc_id, text=text, source=source, **options)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
     same = docs[doc_id].eqNullSafe(plan["_id"]) & docs[source].cast("string").eqNullSafe(plan["_source"]) & (text_key(docs[text]) == plan["_key"])
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return docs.join(plan, same).repartitionByRange(n, "_slot", "_place").sortWithinPartitions("_slot", "_place").drop("_id", "_source", "_key", "_slot", "_place")

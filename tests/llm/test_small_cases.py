@@ -260,7 +260,10 @@ def test_language_model(docs, monkeypatch):
         for (h, w), k in pairs.items():
             if k >= 2:
                 by[h][w] = (d[k] if k <= 5 else 1.0) * k / (full[h] + 1)
-        alpha = {h: (1 - sum(x.values())) / (1 - sum(map(p, x))) for h, x in by.items()}
+        for h, x in by.items():  # where every word was seen, nothing is left to back off to: the mass is all theirs
+            if sum(map(p, x)) > 1 - 1e-9:
+                by[h] = {w: v / sum(x.values()) for w, v in x.items()}
+        alpha = {h: (1 - sum(x.values())) / (1 - sum(map(p, x))) if sum(map(p, x)) <= 1 - 1e-9 else 1.0 for h, x in by.items()}
         for h in list(by)[:20]:  # exactly normalised
             words = set(full) | {"rare"}
             assert abs(sum(by[h].get(w, alpha[h] * p(w)) for w in words) - 1) < 1e-9
