@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import embeddings, lm, minhash, mixing, packing, quality, secrets, sharding, toxicity, urls
+from mosaiq.llm import embeddings, katz, minhash, mixing, packing, quality, secrets, sharding, toxicity, urls
 from mosaiq.llm.common import id_crc, read
 
 
@@ -58,7 +58,7 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return lm.score_texts(docs, F.pmod(id_crc("doc_id"), F.lit(7)) == 2)
+    return katz.score_texts(docs, F.pmod(id_crc("doc_id"), F.lit(7)) == 2, order=2)
 
 
 def queries() -> dict:

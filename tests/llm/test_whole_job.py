@@ -1,11 +1,15 @@
 """Cases in which an operator once did less than the whole job."""
 
 import collections
+import functools
+import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from mosaiq.llm import minhash
+from mosaiq.llm import katz, lm, minhash, queries
 
 
 def words(n, seed):
@@ -43,3 +47,58 @@ def test_near_duplicates_with_repeated_lines(spark):
         assert 0.8 < sum((a & b).values()) / sum((a | b).values()) < 0.85
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.class_id for x in got} == {i: i - i % 2 for i in range(40)}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model_of_all_words(spark, monkeypatch, order):
+    """Against a plain recursive version: no word and no n-gram is left out, whatever is broadcast."""
+    r = random.Random(order)
+    word = lambda: r.choice(("a", "b", "c")) if r.random() < 0.5 else f"w{int(r.expovariate(0.02))}"
+    own = [(i, " ".join(word() for _ in range(r.randint(0, 60)))) for i in range(60)] + [(60, None), (61, "A b unseen"), (62, "")]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    tok = lambda t: (t or "").lower().split() + ["\n"]
+    sized = lambda t, n: [tuple((["<"] * order + ["\n"] + tok(t))[i + order + 2 - n : i + order + 2]) for i in range(len(tok(t)))]
+    train = [t for i, t in own if i % 4]
+    count = {n: collections.Counter(g for t in train for g in sized(t, n)) for n in range(1, order + 1)}
+    total = sum(count[1].values())
+    d = {n: lm.discounts(collections.Counter(count[n].values())) for n in count}
+    after = collections.defaultdict(list)
+    for n in count:
+        for g in count[n]:
+            after[g[:-1]].append(g)
+
+    @functools.cache
+    def of(h):
+        """(denominator, alpha) of a history."""
+        n = len(h) + 1
+        mass = sum(count[n][g] * (d[n][count[n][g]] if count[n][g] <= 5 else 1) for g in after[h])
+        share = sum(p(g[1:]) for g in after[h])
+        room = sum(count[n][g] for g in after[h]) + 1
+        return (mass, 1.0) if share > 1 - 1e-9 else (room, (1 - mass / room) / (1 - share))
+
+    @functools.cache
+    def p(g):
+        n, k = len(g), count[len(g)][g]
+        if n == 1:
+            return (k or 1) / (total + 1)
+        if k:
+            return k * (d[n][k] if k <= 5 else 1) / of(g[:-1])[0]
+        return (of(g[:-1])[1] if after[g[:-1]] else 1.0) * p(g[1:])
+
+    for h in [h for h in list(after) if len(h) == order - 1][:20]:  # exactly normalised
+        assert abs(sum(p((*h, w[0])) for w in [*count[1], ("never",)]) - 1) < 1e-9
+    want = {i: (len(tok(t)), sum((w,) in count[1] for w in tok(t)), total, sum(math.log10((count[1][(w,)] + 1) / (total + len(count[1]) + 1)) for w in tok(t)), sum(math.log10(p(g)) for g in sized(t, order))) for i, t in own}
+    for head in (0.01, 1.0):
+        monkeypatch.setattr(katz, "HEAD", head)
+        got = katz.score_texts(docs, F.pmod("doc_id", F.lit(4)) == 0, order).collect()
+        assert len(got) == len(want)
+        for x in got:
+            assert (x.n_tokens, x.n_known, x.train_tokens) == want[x.doc_id][:3]
+            assert (x.base_score, x.score) == pytest.approx(want[x.doc_id][3:], abs=1e-6)
+
+
+def test_query_of_the_language_model_learns_every_ngram(spark, sf_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr(katz, "facts", lambda counts, order, total, f=katz.facts: asked.append((order, counts.where("n = 1").count())) or f(counts, order, total))
+    queries.op10_score_texts(spark, sf_dir)
+    assert asked and asked[0][0] >= 2 and asked[0][1] > 0
