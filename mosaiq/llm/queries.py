@@ -58,7 +58,7 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return katz.score_texts(docs, F.pmod(id_crc("doc_id"), F.lit(7)) == 2, order=2)
+    return katz.score_texts(docs, F.pmod(id_crc("doc_id"), F.lit(7)) == 2)
 
 
 def queries() -> dict:
