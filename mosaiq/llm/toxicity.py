@@ -57,43 +57,79 @@ def segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]
     return [(int(s), int(e), right - left) for s, e, left, right, _ in found]
 
 
-def token_scores(text: str, model: Model) -> tuple[int, list[tuple[int, float]]]:
-    """The number of tokens, and (place, score) of those that the model knows. The log-odds are about whether a
-    text holds a token, so only the first of equal tokens counts: repeats prove nothing more."""
+def token_scores(text: str, model: Model) -> tuple[int, list[tuple[int, str, float]]]:
+    """The number of tokens, and (place, token or stem, score) of every occurrence that the model knows."""
     scores = model.scores
     tokens = text.lower().split()
-    out, seen = [], set()
+    out = []
     for i, w in enumerate(tokens):
-        if w in seen:
-            continue
-        seen.add(w)
         s, own = scores.get(w), w
         if s is None:
-            own = bare = w.strip(RIM)
-            s = scores.get(bare)
-            if s is None and len(bare) > STEMS[0]:
+            own = w.strip(RIM)
+            s = scores.get(own)
+            if s is None and len(own) > STEMS[0]:
+                bare = own
                 for n in STEMS:
                     own = bare[:n] + "*"
                     s = scores.get(own)
                     if s is not None:
                         break
-        if s is not None and (own == w or own not in seen):
-            seen.add(own)
-            out.append((i, s))
+        if s is not None:
+            out.append((i, own, s))
     return len(tokens), out
 
 
+def densest(known: list[tuple[int, str, float]], rest: float) -> tuple[int, int, float]:
+    """The best part of ``known`` (first, last, score) when equal tokens within it count once, and repeats as ``rest``."""
+    sums, low, last, best = np.zeros(len(known)), 0, {}, (0, 0, -math.inf)
+    for r, (place, own, score) in enumerate(known):
+        if r:
+            sums[low:r] += (place - known[r - 1][0] - 1) * rest
+        before = last.get(own, -1)
+        sums[low : max(low, before + 1)] += rest
+        sums[max(low, before + 1) : r + 1] += score
+        last[own] = r
+        at = low + int(sums[low : r + 1].argmax())
+        if sums[at] > best[2]:
+            best = (at, r, float(sums[at]))
+        while low < r and sums[low] <= 0:  # what follows is better without such a beginning
+            low += 1
+    return best
+
+
 def passages(text: str, model: Model, alpha: float = 0.05) -> list[tuple[int, int, float]]:
-    """Significant segments (first token, end token, expected number of such in clean text of that length)."""
+    """Significant segments (first token, end token, expected number of such in clean text of that length). The
+    log-odds are about whether a text holds a token, so equal tokens prove nothing more within one
+    segment: a segment with repeats is searched for its best part without them, then left and right of it."""
     n, known = token_scores(text, model)
     items, at = [], 0
-    for i, s in known:
+    for i, _, s in known:
         if i > at:
             items.append((at, i, (i - at) * model.rest))
         items.append((i, i + 1, s))
         at = i + 1
-    expected = [(s, e, model.k * n * math.exp(-model.rate * score)) for s, e, score in segments(items)]
-    return [x for x in expected if x[2] <= alpha]
+    expect = lambda score: model.k * n * math.exp(-model.rate * score)
+    out, k = [], 0
+    for start, end, score in segments(items):
+        while k < len(known) and known[k][0] < start:
+            k += 1
+        first = k
+        while k < len(known) and known[k][0] < end:
+            k += 1
+        if expect(score) > alpha:
+            continue
+        own = known[first:k]
+        if len({x[1] for x in own}) == len(own):
+            out.append((start, end, expect(score)))
+            continue
+        parts = [own]
+        while parts:
+            part = parts.pop()
+            a, b, best = densest(part, model.rest)
+            if expect(best) <= alpha:
+                out.append((part[a][0], part[b][0] + 1, expect(best)))
+                parts += [x for x in (part[:a], part[b + 1 :]) if x]
+    return sorted(out)
 
 
 def evidence(found: list[tuple[int, int, float]]) -> float:

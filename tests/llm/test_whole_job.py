@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.llm import katz, lm, minhash, queries
+from mosaiq.llm import katz, lm, minhash, queries, toxicity
 
 
 def words(n, seed):
@@ -102,3 +102,34 @@ def test_query_of_the_language_model_learns_every_ngram(spark, sf_dir, monkeypat
     monkeypatch.setattr(katz, "facts", lambda counts, order, total, f=katz.facts: asked.append((order, counts.where("n = 1").count())) or f(counts, order, total))
     queries.op10_score_texts(spark, sf_dir)
     assert asked and asked[0][0] == 3 and asked[0][1] > 0
+
+
+TOXIC = toxicity.Model({f"bad{k}": 3.0 for k in range(6)}, -0.1, 1.0, 0.1)
+
+
+def test_toxic_passage_after_single_hits():
+    bad, gap = [f"bad{k}" for k in range(6)], ["fine"] * 60
+    text = [w for b in bad for w in [b, *gap]] + bad
+    assert [x[:2] for x in toxicity.passages(" ".join(text), TOXIC)] == [(len(text) - 6, len(text))]
+    near = [w for b in bad for w in [b, *gap[:20]]] + bad  # one maximal segment holds them all
+    assert (len(near) - 6, len(near)) in [x[:2] for x in toxicity.passages(" ".join(near), TOXIC)]
+
+
+@pytest.mark.parametrize("gap", [0, 5, 500])
+def test_equal_toxic_passages_are_all_found(gap):
+    bad = [f"bad{k}" for k in range(6)]
+    assert [x[:2] for x in toxicity.passages(" ".join([*bad, *["fine"] * gap, *bad]), TOXIC)] == [(0, 6), (6 + gap, 12 + gap)]
+
+
+def test_one_word_repeated_is_no_passage():
+    assert toxicity.passages("bad1 " * 200, TOXIC) == []
+
+
+def test_densest_against_brute_force():
+    r = random.Random(8)
+    for _ in range(200):
+        places = sorted(r.sample(range(60), r.randint(1, 14)))
+        known = [(p, k, 1.0 + ord(k) % 5 / 3) for p in places for k in [r.choice("abcd")]]
+        value = lambda a, b: sum({k: s for _, k, s in known[a : b + 1]}.values()) - 0.3 * (known[b][0] + 1 - known[a][0] - len({k for _, k, _ in known[a : b + 1]}))  # noqa: E731, B023
+        a, b, got = toxicity.densest(known, -0.3)
+        assert got == pytest.approx(max(value(i, j) for i in range(len(known)) for j in range(i, len(known)))) and got == pytest.approx(value(a, b))
