@@ -137,9 +137,28 @@ def capacity_for(counts: list[tuple[int, int]], shards: int) -> int:
     return low
 
 
+def pack_shards(counts: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
+    """A plan like that of ``pack_sizes`` for so many shards. A group larger than the even share has a shard of
+    its own, and the others are packed into the remaining shards with the least capacity for them alone."""
+    left, plan, alone, given = dict(counts), [], 0, {}
+    total = sum(s * n for s, n in counts)
+    while left and shards - alone > 1 and (size := max(left)) * (shards - alone) > total:
+        rank = given.get(size, 0)
+        plan.append((size, rank, rank + 1, alone, 1))
+        given[size], alone, total = rank + 1, alone + 1, total - size
+        left[size] -= 1
+        if not left[size]:
+            del left[size]
+    rest = list(left.items())
+    for size, start, end, first, each in pack_sizes(rest, capacity_for(rest, shards - alone))[0]:
+        past = given.get(size, 0)
+        plan.append((size, start + past, end + past, first + alone, each))
+    return plan
+
+
 def shard_documents(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document with its shard and its slot there. Give ``capacity`` in bytes to have as few
-    shards as best-fit-decreasing needs, or ``shards`` to have so many of the least capacity.
+    shards as best-fit-decreasing needs, or ``shards`` to have so many of the least capacity, but for groups larger than the even share.
 
     A document's size is the UTF-8 bytes of its text plus 1. Null texts count as empty ones and are
     one group with them; null and repeated ids are kept as rows of their own; an empty table gives
@@ -149,8 +168,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, capacity: int | Non
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), text_key(text).alias("group_key")))
     groups = cut(rows.groupBy("group_key").agg(F.sum("size").alias("group_size")))
     counts = [(r[0], r[1]) for r in groups.groupBy("group_size").count().toLocalIterator()]
-    room = capacity or capacity_for(counts, shards)
-    plan, _ = pack_sizes(counts, room)
+    plan = pack_sizes(counts, capacity)[0] if capacity else pack_shards(counts, shards)
     planned = spark.createDataFrame(plan, "p_size long, p_from long, p_to long, p_bin long, p_each long")
     ranked = numbered(groups, ["group_size"], "rank")
     fits = (F.col("group_size") == F.col("p_size")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to"))

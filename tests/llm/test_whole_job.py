@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.llm import katz, lm, minhash, queries, toxicity
+from mosaiq.llm import katz, lm, minhash, queries, sharding, toxicity
 
 
 def words(n, seed):
@@ -133,3 +133,18 @@ def test_densest_against_brute_force():
         value = lambda a, b: sum({k: s for _, k, s in known[a : b + 1]}.values()) - 0.3 * (known[b][0] + 1 - known[a][0] - len({k for _, k, _ in known[a : b + 1]}))  # noqa: E731, B023
         a, b, got = toxicity.densest(known, -0.3)
         assert got == pytest.approx(max(value(i, j) for i in range(len(known)) for j in range(i, len(known)))) and got == pytest.approx(value(a, b))
+
+
+@pytest.mark.parametrize("large", [333, 150])
+def test_a_hot_group_leaves_the_other_shards_even(spark, large):
+    """A group of a third, or 15 %, of all bytes: its own shard, and the others nearly equal."""
+    plan = sharding.pack_shards([(large, 1), (1, 1000 - large)], 8)
+    used = [0] * 8
+    for size, lo, hi, first, each in plan:
+        for rank in range(lo, hi):
+            used[first + (rank - lo) // each] += size
+    even = (1000 - large) / 7
+    assert sorted(used)[-1] == large and even - 7 <= min(used) and sorted(used)[-2] <= even + 1
+    rows = [(i, "copy" if i < large else f"{i:04}") for i in range(1000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(collections.Counter(x.shard for x in got).values()) == sorted(used)
