@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,11 +22,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a session without one (tests) gets a temporary folder."""
-    context = spark.sparkContext
+    """The session's ``spark.checkpoint.dir``. Without one, a session on a single machine (``local[n]``, as in tests)
+    gets a temporary folder; on a cluster that is an error, as executors would not share it."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.getCheckpointDir() is None and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return named or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,6 +39,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """For what an operator needs only until its result is written: gives a function that writes a DataFrame as
+    compressed Parquet to the shared folder and reads it back, like ``cut``; all of it is deleted at the end."""
+    folder = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of jobs that are over. Spark removes them when the driver's JVM finds that nothing
+    refers to them any more; this asks it to look now, not when its heap happens to fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_key(text: Column | str) -> Column:
     """16 bytes that stand for a text; a null text counts as an empty one."""
     return F.unhex(F.md5(F.coalesce(_col(text), F.lit(""))))
@@ -93,22 +124,45 @@ def ordered(df: DataFrame, by: list[str]) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, root) for each node, root the least
-    node that it can reach. Alternates large-star and small-star steps until nothing changes; each
-    step only takes minima of neighbours, which are combined before they are shuffled."""
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state, now = None, cut(now)
+    node that it can reach. No edges give no rows; loops and nulls are left out.
+
+    First each node keeps its least smaller neighbour only, and its other smaller neighbours are linked with
+    that one, until every node has one: a forest. A node's smaller neighbours are sorted and streamed, and a
+    root with very many nodes below it is no key of that exchange. Then each node's parent becomes its parent's
+    parent until nothing moves; rows of one parent are split over tasks by the adaptive join."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = least = last = None
+        told: set[tuple] = set()  # links between smaller neighbours come again and again: each once, mostly
+        for b in batches:
+            out = []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if x != u:
+                    u, least, last = x, y, y
+                    out.append((x, y, False))
+                elif y != last:
+                    last = y
+                    if (y, least) not in told:
+                        told.add((y, least))
+                        out.append((y, least, True))
+            if len(told) > 1 << 18:
+                told.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, b.schema.types[0]), (1, b.schema.types[1]), (2, pa.bool_()))], ["u", "v", "open"])
+
+    kind = edges.schema["a"].dataType.simpleString()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    while True:
+        now = cut(now.repartition("u").sortWithinPartitions("u", "v").mapInArrow(contract, f"u {kind}, v {kind}, open boolean"))
+        if now.where("open").isEmpty():
+            break
+        now = now.select("u", "v")
+    now = now.select("u", "v")
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == state:
+        up = now.select(F.col("u").alias("p"), F.col("v").alias("pp"))
+        now = cut(now.join(up, F.col("v") == F.col("p"), "left").select("u", F.coalesce("pp", "v").alias("v"), F.col("pp").isNotNull().alias("open")))
+        if now.where("open").isEmpty():
             break
-        state = seen
+        now = now.select("u", "v")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
