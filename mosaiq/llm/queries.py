@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import embeddings, katz, minhash, mixing, packing, quality, secrets, sharding, toxicity, urls
-from mosaiq.llm.common import id_crc, read
+from mosaiq.llm import embeddings, katz, minhash, mixing, packing, quality, secrets, sharding, sql, toxicity, urls
+from mosaiq.llm.common import cut, id_crc, read
 
 
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op4_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = ~F.col("base_failed") & (F.size("failed") == 0)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "failed")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.array_join("failed", ",").alias("failed"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,16 @@ def op7_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def _is_rule(place: int):
+    """Whether a span is of the rule at that place. (Spark hands a function of two parameters the element's index.)"""
+    return lambda span: span["order"] == place
+
+
 def op8_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     n = len(secrets.BASE)
     base = F.filter("secrets", lambda s: s["order"] < n)
-    counts = [F.size(F.filter("secrets", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    counts = [F.size(F.filter("secrets", _is_rule(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
     return out.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"))
 
 
@@ -61,9 +66,32 @@ def op10_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(docs, F.pmod(id_crc("doc_id"), F.lit(7)) == 2)
 
 
+# What of op1, op2 and op10 no method decides, from their own results, so that SQL can be held against it.
+
+
+def fixed1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and checksums, and two laws: equal texts are in one shard, and a shard's slots have no gaps."""
+    rows = cut(op1_shard_documents(spark, sf_dir))
+    groups = rows.groupBy("size", "text_crc32").agg(F.countDistinct("shard").alias("shards_of_text"))
+    full = rows.groupBy("shard").agg(((F.max("slot") + 1 == F.count(F.lit(1))) & (F.countDistinct("slot") == F.count(F.lit(1)))).alias("gapless"))
+    return rows.join(groups, ["size", "text_crc32"]).join(full, "shard").select("doc_id", "size", "text_crc32", "law", "shards_of_text", "gapless")
+
+
+def fixed2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule, and the verdict where a rule decides it."""
+    out = op2_judge_pages(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def fixed10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that the counts of single tokens give."""
+    out = op10_score_texts(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("op", "fixed")) and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()

@@ -64,3 +64,22 @@ def test_near_vectors_of_the_table(spark, sf_dir):
     near = (v @ v.T >= 0.98) & (label[:, None] == label[None, :])
     want = {r.vec_id: int(n) - 1 for r, n in zip(own, near.sum(axis=1), strict=True)}
     assert {r.vec_id: r.n_links for r in queries.op9_near_vectors(spark, sf_dir).collect()} == want
+
+
+def test_counts_of_secrets_against_plain_patterns(spark, tmp_path):
+    """The query itself: its three counts and its hash, over the table and some rows with several secrets."""
+    import hashlib
+    import re
+
+    kinds = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16))
+    more = [(10_000_000, 'password=abcdefghijkl token: "ABCDEFGHIJKLMNOP" AKIA00000000000000 0123456789abcdef 0123456789abcdef0 deadbeef'), (10_000_001, "AKIA1 secret=short"), (10_000_002, None)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = queries.op8_find_secrets(spark, str(tmp_path)).collect()
+    assert len(got) == len(text)
+    for r in got:
+        spans = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, pattern, group, least) in enumerate(kinds) for m in re.finditer(pattern, text[r.doc_id], re.A) if len(m[group]) >= least]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in spans) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(x[2] for x in sorted(spans)).encode()).hexdigest()
+    assert sum(r.n_assign + r.n_access + r.n_hex > 0 for r in got) > 20
