@@ -50,12 +50,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def both_ways(links: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, trust_w, distrust_w): trust goes along a link, distrust back; what goes out of a host in either
-    way adds up to 1. Where nothing does, the host keeps its own."""
+    """(src, dst, trust_w, distrust_w) over ``hosts`` and all hosts in ``links``, those without a page too: trust goes along
+    a link, distrust back; what goes out of a host in either way adds up to 1. Where nothing does, the
+    host keeps its own."""
     back = links.groupBy("dst").agg(F.sum("w").alias("s"))
     away = links.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("trust_w"), (F.col("w") / F.col("s")).alias("distrust_w"))
     along = links.select("src", "dst", F.col("w").alias("trust_w"), F.lit(0.0).alias("distrust_w"))
-    every = along.unionByName(away).unionByName(hosts.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("trust_w"), F.lit(0.0).alias("distrust_w")))
+    own = hosts.select("host").unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"))).distinct()
+    every = along.unionByName(away).unionByName(own.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("trust_w"), F.lit(0.0).alias("distrust_w")))
     sums = every.groupBy("src", "dst").agg(F.sum("trust_w").alias("trust_w"), F.sum("distrust_w").alias("distrust_w"))
     left = every.groupBy("src").agg((F.sum("trust_w") == 0).alias("t"), (F.sum("distrust_w") == 0).alias("d"))
     own = F.col("src") == F.col("dst")
