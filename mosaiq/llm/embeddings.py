@@ -54,6 +54,7 @@ def _compare(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndar
     to, and the place of the least vector of its component here."""
     table, left, right = (t[k][0].as_py() for k in ("table", "i", "j"))
     v = _matrix(t, "vector").astype(np.float64)
+    v /= np.abs(v).max(axis=1)[:, None]  # squares of large components would overflow
     v /= np.sqrt((v * v).sum(axis=1))[:, None]
     buckets, block = _matrix(t, "buckets")[:, :table], t["block"].to_numpy()
     one = np.flatnonzero(block == left)
@@ -111,17 +112,19 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = 32, bits: i
 
     kind, own_type = (nodes.schema[k].dataType.simpleString() for k in ("label", "vector"))
     own = cut(nodes.select("node", "label", "copies", "vector").mapInPandas(hashed, f"node binary, label {kind}, copies long, vector {own_type}, size int, buckets array<int>"))
-    flat = own.select("node", F.posexplode("buckets").alias("table", "bucket"), F.xxhash64("label", "size", "table", "bucket").alias("place"))
+    flat = own.select("node", F.posexplode("buckets").alias("table", "bucket"), F.xxhash64("label", "size", "table", "bucket").alias("place"), F.col("label").cast("string").alias("kind"), "size")
     full = flat.groupBy("table", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # places are hashes: whatever else meets there is parted by label and size before it is compared
     met = flat.join(full, ["table", "place"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     group = ["table", "place", "i", "j"]
-    blocks = met.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("node", *group, "block")
-    work = blocks.join(own.select("node", "copies", "vector", "buckets"), "node").repartition(*group).sortWithinPartitions(*group, "node")
+    blocks = met.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("node", *group, "kind", "size", "block")
+    alike = [*group, "kind", "size"]
+    work = blocks.join(own.select("node", "copies", "vector", "buckets"), "node").repartition(*group).sortWithinPartitions(*alike, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, group):
+        for t in _groups(batches, alike):
             if (got := _compare(t, least)) is not None:
                 nodes_at = t["node"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([nodes_at.take(pa.array(got[0])), pa.array(got[1]), nodes_at.take(pa.array(got[2]))], ["node", "links", "root"])
