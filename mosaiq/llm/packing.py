@@ -1,10 +1,14 @@
-"""Variable-capacity best-fit packing of token sequences into training sequences of several lengths."""
+"""Variable-capacity best-fit packing of token sequences into training sequences of several lengths.
+
+A packed sequence never leaves its cell: a bounded number of documents of one input partition. So which bin a document is in
+depends on the table's partitions; what a bin may hold, and that every token is in one, does not."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark import TaskContext
@@ -18,36 +22,60 @@ LENGTHS = (512, 1024, 2048, 4096)
 CELL = 20_000
 
 
-def cost(length: int, fixed: float = 32.0, square: float = 8192.0) -> float:
+def cost(length: int, fixed: float = 64.0, square: float = 65536.0) -> float:
     """What a training sequence costs: its tokens, a fixed part, and a part that grows with the square."""
     return length + fixed + length * length / square
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int, int, int]]:
-    """For each size (1 to the largest length): (bin, offset, capacity of the bin). Sizes go by falling
-    length into the open bin with the least room that holds them; else the bin opened is, of the
-    lengths that hold it, the one of least cost for each token that is left to fill it. At the end
-    each bin shrinks to the least length that holds its contents."""
-    lengths = tuple(sorted(lengths))
+def _one_plan(sizes: list[int], order: list[int], lengths: tuple[int, ...], opened: tuple[int, ...]) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Best fit with bins of the lengths ``opened`` only: (bin, offset) for each size, what each bin holds, and the length it
+    was opened with: of those that hold the size, the one of least cost for each token that can come into it."""
     room: list[tuple[int, int]] = []
     used: list[int] = []
+    first: list[int] = []
     out: list[tuple[int, int]] = [(0, 0)] * len(sizes)
-    left = sum(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+    left, costs = sum(sizes), {c: cost(c) for c in opened}
+    for i in order:
         size = sizes[i]
         at = bisect_left(room, (size, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free = min((c for c in lengths if c >= size), key=lambda c: (cost(c) / min(c, left), c))
+            free = min((c for c in opened if c >= size), key=lambda c: (costs[c] / min(c, left), c))
             b = len(used)
             used.append(0)
+            first.append(free)
         out[i] = (b, used[b])
         used[b] += size
         left -= size
         if free > size:
             insort(room, (free - size, b))
-    final = [lengths[bisect_left(lengths, u)] for u in used]
+    return out, used, first
+
+
+def least_cost_plan(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """(bin, offset) for each size, the length that each bin was opened with, and its length in the end. Each set of lengths
+    that can hold the sizes gives a plan; in each, every bin shrinks to the least length that holds its contents, and
+    the plan of least cost wins."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    best = None
+    for k in range(len(lengths), 0, -1):
+        for opened in combinations(lengths, k):
+            if sizes and opened[-1] < sizes[order[0]]:
+                continue
+            out, used, first = _one_plan(sizes, order, lengths, opened)
+            final = [lengths[bisect_left(lengths, u)] for u in used]
+            total = sum(map(cost, final))
+            if best is None or total < best[0]:
+                best = total, out, first, final
+    return best[1:] if best else ([], [], [])
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int, int, int]]:
+    """For each size (1 to the largest length): (bin, offset, capacity of the bin). Sizes go by falling
+    length into the open bin with the least room that holds them; else a bin is opened. Which lengths bins are
+    opened with is chosen for all bins together, and bins shrink at the end (``least_cost_plan``)."""
+    out, _, final = least_cost_plan(sizes, tuple(sorted(lengths)))
     return [(b, at, final[b]) for b, at in out]
 
 
