@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import SPACE, cut, small, text_key, words
+from mosaiq.llm.common import cut, small, text_key
 
 #: Word rims that are not part of a token.
 RIM = ".,;:!?|\"'`()[]{}<>*#$%&_-"
-_RIM_PATTERN = "^[" + re.escape(RIM) + "]+|[" + re.escape(RIM) + "]+$"
 STEMS = (5, 4)
+#: Bytes of text handled at once, or one text.
+BYTES = 1 << 23
 
 
 @dataclass(frozen=True)
 class Model:
-    """``scores``: log-odds of the tokens, and of stems written with ``*``, that mark toxic text; ``rest``:
-    the score of any other token; ``rate`` and ``k``: the parameters of the extreme-value law of a
-    clean text's best segment; ``a`` and ``b``: from evidence to probability."""
+    """``scores``: log-odds of the tokens, and of stems written with ``*``, that differ between toxic and clean
+    texts; ``rest``: that of any other token within a toxic passage; ``rate`` and ``k``: Karlin's parameters of the
+    extreme-value law of a clean text's best segment; ``a`` and ``b``: from evidence to probability."""
 
     scores: dict[str, float]
     rest: float
@@ -33,6 +34,36 @@ class Model:
     a: float = 0.0
     b: float = 1.0
 
+    def expected(self, score: float, n: int) -> float:
+        """Segments of such a score that clean text of ``n`` tokens has on average."""
+        return self.k * n * math.exp(-self.rate * score)
+
+
+def forms(word: str) -> tuple[str, ...]:
+    """What a word is looked up as, in this order: in lower case without its rims, then the stems of longer words."""
+    bare = word.lower().strip(RIM)
+    return (bare, *(f"{bare[:n]}*" for n in STEMS if len(bare) > STEMS[0])) if bare else ()
+
+
+def tokenised(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of ``texts``, the place of each token among them, and where each text's tokens begin and end."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(full).dictionary_encode()
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    bounds = lists.offsets.to_numpy()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), before[bounds - bounds[0]]
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield texts.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+
 
 def segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, in linear time (Ruzzo and Tompa). ``items``: (start, end, score), one
@@ -57,34 +88,12 @@ def segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]
     return [(int(s), int(e), right - left) for s, e, left, right, _ in found]
 
 
-def token_scores(text: str, model: Model) -> tuple[int, list[tuple[int, str, float]]]:
-    """The number of tokens, and (place, token or stem, score) of every occurrence that the model knows."""
-    scores = model.scores
-    tokens = text.lower().split()
-    out = []
-    for i, w in enumerate(tokens):
-        s, own = scores.get(w), w
-        if s is None:
-            own = w.strip(RIM)
-            s = scores.get(own)
-            if s is None and len(own) > STEMS[0]:
-                bare = own
-                for n in STEMS:
-                    own = bare[:n] + "*"
-                    s = scores.get(own)
-                    if s is not None:
-                        break
-        if s is not None:
-            out.append((i, own, s))
-    return len(tokens), out
-
-
-def densest(known: list[tuple[int, str, float]], rest: float) -> tuple[int, int, float]:
-    """The best part of ``known`` (first, last, score) when equal tokens within it count once, and repeats as ``rest``."""
+def densest(known: list[tuple[int, int, float, float]], rest: float) -> tuple[int, int, float]:
+    """The best part of ``known`` (place, token, score, what lies between it and the one before) as (first, last, score)
+    when equal tokens within it count once, and repeats as ``rest``."""
     sums, low, last, best = np.zeros(len(known)), 0, {}, (0, 0, -math.inf)
-    for r, (place, own, score) in enumerate(known):
-        if r:
-            sums[low:r] += (place - known[r - 1][0] - 1) * rest
+    for r, (_, own, score, between) in enumerate(known):
+        sums[low:r] += between
         before = last.get(own, -1)
         sums[low : max(low, before + 1)] += rest
         sums[max(low, before + 1) : r + 1] += score
@@ -97,41 +106,76 @@ def densest(known: list[tuple[int, str, float]], rest: float) -> tuple[int, int,
     return best
 
 
-def passages(text: str, model: Model, alpha: float = 0.05) -> list[tuple[int, int, float]]:
-    """Significant segments (first token, end token, expected number of such in clean text of that length). The
-    log-odds are about whether a text holds a token, so equal tokens prove nothing more within one
-    segment: a segment with repeats is searched for its best part without them, then left and right of it."""
-    n, known = token_scores(text, model)
-    items, at = [], 0
-    for i, _, s in known:
+def passages(score: np.ndarray, token: np.ndarray, model: Model, alpha: float = 0.05) -> list[tuple[int, int, float]]:
+    """Significant segments (first token, end token, expected number of such in clean text of that length) of a text,
+    given the log-odds and the name of each of its tokens. Every occurrence counts; but the log-odds are about whether
+    a text holds a token, so equal tokens prove nothing more within one segment: a segment with repeats
+    is searched for its best part without them, then left and right of it."""
+    n, sums = len(score), np.append(0.0, np.cumsum(score))
+    known, items, at = [], [], 0
+    for i in np.flatnonzero(score > 0).tolist():
+        gap = float(sums[i] - sums[at])
         if i > at:
-            items.append((at, i, (i - at) * model.rest))
-        items.append((i, i + 1, s))
+            items.append((at, i, gap))
+        items.append((i, i + 1, float(score[i])))
+        known.append((i, int(token[i]), float(score[i]), gap))
         at = i + 1
-    expect = lambda score: model.k * n * math.exp(-model.rate * score)
     out, k = [], 0
-    for start, end, score in segments(items):
+    for start, end, total in segments(items):
         while k < len(known) and known[k][0] < start:
             k += 1
         first = k
         while k < len(known) and known[k][0] < end:
             k += 1
-        if expect(score) > alpha:
+        if model.expected(total, n) > alpha:
             continue
         own = known[first:k]
         if len({x[1] for x in own}) == len(own):
-            out.append((start, end, expect(score)))
+            out.append((start, end, model.expected(total, n)))
             continue
         parts = [own]
         while parts:
             part = parts.pop()
             a, b, best = densest(part, model.rest)
-            if expect(best) <= alpha:
-                out.append((part[a][0], part[b][0] + 1, expect(best)))
+            if model.expected(best, n) <= alpha:
+                out.append((part[a][0], part[b][0] + 1, model.expected(best, n)))
                 parts += [x for x in (part[:a], part[b + 1 :]) if x]
     return sorted(out)
 
 
+def best_sums(score: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each text the largest sum of any run of its tokens, at least 0; ``bounds``: where its tokens begin and end."""
+    n, sizes = len(bounds) - 1, np.diff(bounds)
+    out, has = np.zeros(n), np.flatnonzero(sizes)
+    if not len(score):
+        return out
+    total = np.append(0.0, np.cumsum(score))
+    owner = np.repeat(np.arange(n), sizes)
+    start = total[bounds[:-1]][owner]
+    before, after = total[:-1] - start, total[1:] - start
+    far = 2 * float(np.abs(after).max()) + 1  # puts each text's sums below those of the texts before it
+    low = np.minimum.accumulate(before - far * owner) + far * owner
+    out[has] = np.maximum(0, np.maximum.reduceat(after - low, bounds[:-1][has]))
+    return out
+
+
+def found_passages(texts: pa.Array, model: Model, alpha: float = 0.05) -> Iterator[list[tuple[int, int, float]]]:
+    """The significant segments of each text. Only a text whose best run of tokens is significant can have any, so the
+    others are not searched further; that changes no result."""
+    for part in slices(texts):
+        names, at, bounds = tokenised(part)
+        own = [next((model.scores[f] for f in forms(w) if f in model.scores), model.rest) for w in names]
+        label: dict[str, int] = {}
+        token = [label.setdefault(next((f for f in forms(w) if f in model.scores), w), i) if s > 0 else -1 for i, (w, s) in enumerate(zip(names, own, strict=True))]
+        score, token = np.array(own, float)[at], np.array(token, np.int64)[at]
+        sizes = np.diff(bounds)
+        need = np.log(np.maximum(model.k * sizes / alpha, 1e-300)) / model.rate - 1e-6
+        likely = (best_sums(score, bounds) >= need) & (sizes > 0)
+        for i in range(len(part)):
+            some = slice(bounds[i], bounds[i + 1])
+            yield passages(score[some], token[some], model, alpha) if likely[i] else []
+
+
 def evidence(found: list[tuple[int, int, float]]) -> float:
     """Of r segments together: the sum of their normalised scores less log r! (Karlin and Altschul)."""
     return max(0.0, sum(-math.log(max(e, 1e-300)) for _, _, e in found) - math.lgamma(len(found) + 1))
@@ -141,17 +185,31 @@ def probability(x: float, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, model.a + model.b * x))))
 
 
-def _rate(positive: list[tuple[float, float]], rest: float) -> float:
-    """The positive root of sum(p * exp(rate * score)) = 1 over a clean text's tokens."""
-    p_rest = max(1e-9, 1 - sum(p for p, _ in positive))
-    total = lambda r: sum(p * math.exp(min(500.0, r * s)) for p, s in positive) + p_rest * math.exp(r * rest) - 1
+def karlin(values: np.ndarray, shares: np.ndarray, step: float = 0.05, reach: float = 30.0) -> tuple[float, float]:
+    """(rate, k) of the law of the best segment of random tokens that score ``values`` with probabilities ``shares``; the
+    mean score must be below 0. rate: the positive root of sum(p * exp(rate * score)) = 1. k: exp(-2 * sum over j of
+    (E(exp(rate * S_j); S_j < 0) + P(S_j >= 0)) / j) / (rate * E(X exp(rate * X))), S_j the sum of j scores X, put on a
+    grid of ``step``; sums below -``reach`` weigh nothing."""
+    total = lambda r: float((shares * np.exp(np.minimum(r * values, 500.0))).sum()) - 1
     low, high = 1e-6, 1.0
     while total(high) < 0 and high < 64:
         high *= 2
     for _ in range(80):
         middle = (low + high) / 2
         low, high = (middle, high) if total(middle) < 0 else (low, middle)
-    return high
+    rate, size = high, round(reach / step)
+    at = np.clip(np.rint(values / step).astype(int), -size, size)
+    one = np.bincount(at + size, weights=shares, minlength=2 * size + 1)
+    grid, now, sigma = np.arange(-size, size + 1) * step, np.zeros(2 * size + 1), 0.0
+    now[size] = 1.0
+    for j in range(1, 1000):
+        now = np.convolve(now, one)[size : 3 * size + 1]
+        part = float((np.exp(np.minimum(rate * grid, 0.0)) * now).sum()) / j
+        sigma += part
+        if part < 1e-7:
+            break
+    mean = float((shares * values * np.exp(np.minimum(rate * values, 500.0))).sum())
+    return rate, min(1.0, max(1e-6, math.exp(-2 * sigma) / max(1e-9, rate * mean)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -168,20 +226,73 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 1e-3))
 
 
-def tokens(text: Column) -> Column:
-    """Distinct tokens and stems of a text, as ``token_scores`` looks them up."""
-    bare = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: F.regexp_replace(w, _RIM_PATTERN, "")), lambda w: w != "")
-    longer = F.filter(bare, lambda w: F.length(w) > STEMS[0])
-    stems = [F.transform(longer, lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    return F.array_distinct(F.concat(bare, *stems))
+def token_counts(sample: DataFrame) -> DataFrame:
+    """(token, n1, n0, u1, u0, n1_a, n0_a, ...) of ``sample`` (text, toxic, half): in how many toxic and clean texts each token or
+    stem is, how often it is there, and both for half ``a`` (0) and ``b`` (1) alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64) * 2 + b.column("half").to_numpy(zero_copy_only=False)
+            first = 0
+            for part in slices(b.column("text")):
+                names, at, bounds = tokenised(part)
+                keys: dict[str, int] = {}
+                own = [[keys.setdefault(f, len(keys)) for f in forms(w)] for w in names]
+                which = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                flat, start = np.array([k for x in own for k in x], np.int64), np.append(0, np.cumsum(np.bincount(which, minlength=len(own))))
+                n_forms = np.diff(start)[at]
+                token = np.repeat(at, n_forms)
+                nth = np.arange(len(token)) - np.repeat(np.cumsum(n_forms) - n_forms, n_forms)
+                text = np.repeat(np.repeat(np.arange(len(part)), np.diff(bounds)), n_forms)
+                pair, times = np.unique(text * max(1, len(keys)) + flat[start[token] + nth], return_counts=True)
+                key, of = pair % max(1, len(keys)), group[first + pair // max(1, len(keys))]
+                cell, n = np.unique(key * 4 + of, return_counts=True)
+                used = np.bincount(key * 4 + of, weights=times, minlength=4 * len(keys))[cell].astype(np.int64)
+                names_at = pa.array(list(keys), pa.string()).take(pa.array(cell // 4))
+                yield pa.RecordBatch.from_arrays([names_at, pa.array(cell % 4), pa.array(n), pa.array(used)], ["token", "g", "n", "used"])
+                first += len(part)
+
+    out = sample.select("text", "toxic", "half").mapInArrow(run, "token string, g long, n long, used long")
+    total = lambda c, g: F.sum(F.when(F.col("g") == g, F.col(c)).otherwise(0)).alias(f"{c}_{g}")
+    return out.groupBy("token").agg(*[total(c, g) for c in ("n", "used") for g in range(4)])
+
+
+def _odds(counts: DataFrame, halves: tuple[int, ...], n1: int, n0: int, least_z: float, prior: float) -> list:
+    """(token, score, occurrences in clean texts) of the tokens whose log-odds lie ``least_z`` standard deviations or more from 0."""
+    of = lambda c, toxic: sum((F.col(f"{c}_{2 * toxic + h}") for h in halves), F.lit(0))
+    a = F.lit(0.5) + prior * (of("n", 1) + of("n", 0)) / (n1 + n0)
+    x1, x0, total = of("n", 1) + a, of("n", 0) + a, prior + 1.0
+    odds = F.log(x1 / (n1 + total - F.least(x1, F.lit(float(n1) + total - 0.5)))) - F.log(x0 / (n0 + total - F.least(x0, F.lit(float(n0) + total - 0.5))))
+    found = counts.where(of("n", 1) + of("n", 0) >= 2).select("token", odds.alias("s"), (odds / F.sqrt(1 / x1 + 1 / x0)).alias("z"), of("used", 0).alias("used"))
+    return found.where(F.abs("z") >= least_z).collect()
+
+
+def _spacing(sample: DataFrame, scores: dict[str, float]) -> float:
+    """The median number of tokens from one token of positive score to the next in the toxic texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b.column(0)):
+                names, at, bounds = tokenised(part)
+                good = np.array([next((scores[f] for f in forms(w) if f in scores), 0.0) > 0 for w in names], bool)
+                place = np.flatnonzero(good[at]) if len(names) else np.zeros(0, np.int64)
+                text = np.searchsorted(bounds, place, side="right")
+                gap, n = np.unique(np.diff(place)[text[1:] == text[:-1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gap.astype(np.int64)), pa.array(n.astype(np.int64))], ["gap", "n"])
 
+    gaps = sample.where("toxic = 1").select("text").mapInArrow(run, "gap long, n long")
+    return gaps.agg(F.percentile("gap", F.lit(0.5), F.col("n"))).first()[0] or 10.0
 
-def fit(labelled: DataFrame, per_class: int = 12_000, least_z: float = 3.0, max_terms: int = 50_000, prior: float = 50.0, seed: int = 7) -> Model:
+
+def fit(labelled: DataFrame, per_class: int = 12_000, least_z: float = 3.0, prior: float = 50.0, seed: int = 7) -> Model:
     """Learns from ``labelled`` (text, toxic). Of each class at most about ``per_class`` rows are taken, chosen
     by a hash of their text, and equal texts once; so the model stays of bounded size. A token's score
-    is its log-odds between the classes' documents, with a Dirichlet prior of ``prior`` documents in
-    proportion to the token's frequency, where it lies ``least_z`` standard deviations or more above 0;
-    at most ``max_terms`` of the highest ones. Without rows of both classes nothing is toxic."""
+    is its log-odds between the classes' texts, with a Dirichlet prior of ``prior`` texts in
+    proportion to the token's frequency, where it lies ``least_z`` standard deviations or more from 0. All other tokens
+    share the log-odds of not being such a token within a toxic passage, from how densely those stand in toxic texts.
+    Probabilities are calibrated on rows that the scores used for them were not learnt from: each half of
+    the sample with the scores of the other half. Without rows of both classes nothing is toxic; labels other than 0
+    and 1 are left out, and null texts count as empty."""
     rows = labelled.where("toxic in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -189,55 +300,61 @@ def fit(labelled: DataFrame, per_class: int = 12_000, least_z: float = 3.0, max_
     pick = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
     keep = [(F.col("toxic") == c) & (pick < int((1 << 30) * min(1.0, per_class / n))) for c, n in sizes.items()]
     sample = rows.where(keep[0] | keep[1]).groupBy(text_key("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = cut(sample.select("text", "toxic"))
-    n1 = sample.where("toxic = 1").count()
-    n0 = sample.count() - n1
-    counts = sample.select("toxic", F.explode(tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
-    a = F.lit(0.5) + prior * F.col("n") / (n1 + n0)
-    x1, x0 = F.col("n1") + a, F.col("n") - F.col("n1") + a
-    total = prior + 1.0
-    odds = F.log(x1 / (n1 + total - F.least(x1, F.lit(float(n1) + total - 0.5)))) - F.log(x0 / (n0 + total - F.least(x0, F.lit(float(n0) + total - 0.5))))
-    best = counts.where("n1 >= 2").select("t", "n1", "n", odds.alias("s"), (odds / F.sqrt(1 / x1 + 1 / x0)).alias("z")).where(F.col("z") >= least_z)
-    best = best.orderBy(F.desc("z"), "t").limit(max_terms).collect()
-    scores = {r["t"]: min(8.0, r["s"]) for r in best}
-    rest = math.log(0.9)
-    clean_tokens = sample.where("toxic = 0").agg(F.sum(F.size(words("text")))).first()[0] or 1
-    positive = [((r["n"] - r["n1"] + 0.5) / (clean_tokens + 1), scores[r["t"]]) for r in best]
-    rate = _rate(positive, rest) if positive else 1.0
-    drift = -(sum(p * s for p, s in positive) + (1 - min(0.99, sum(p for p, _ in positive))) * rest)
-    model = Model(scores, rest, rate, max(1e-3, rate * abs(drift)))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sample = cut(sample.select("text", "toxic", F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(2)).cast("int").alias("half")))
+    counts = cut(token_counts(sample))
+    held = {(r[0], r[1]): (r[2], r[3]) for r in sample.groupBy("toxic", "half").agg(F.count(F.lit(1)), F.sum(F.size(F.split("text", r"\s+")))).collect()}
+    rest = None
+
+    def learnt(halves: tuple[int, ...]) -> Model:
+        n1, n0 = (sum(held.get((c, h), (0, 0))[0] for h in halves) for c in (1, 0))
+        found = _odds(counts, halves, n1, n0, least_z, prior)
+        scores = {r["token"]: max(-8.0, min(8.0, r["s"])) for r in found}
+        clean = sum(held.get((0, h), (0, 0))[1] for h in halves) or 1
+        gap = rest if rest is not None else math.log1p(-1 / max(2.0, _spacing(sample, scores)))
+        # a stem counts only where the word itself has no score: this counts it more often, so k and rate are on the safe side
+        p = np.array([(r["used"] + 0.5) / (clean + 1) for r in found], float)
+        p *= min(1.0, 0.99 / max(p.sum(), 1e-9))
+        rate, k = karlin(np.append(list(scores.values()), gap), np.append(p, 1 - p.sum()))
+        return Model(scores, gap, rate, k)
+
+    whole = learnt((0, 1))
+    rest = whole.rest
+    models = [learnt((1,)), learnt((0,))]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"x": [evidence(passages(t, model)) for t in b["text"]], "toxic": b["toxic"]})
+            for half, model in enumerate(models):
+                some = b.filter(pc.equal(b.column("half"), half))
+                found = found_passages(some.column("text"), model)
+                yield pa.RecordBatch.from_arrays([pa.array([evidence(f) for f in found], pa.float64()), some.column("toxic")], ["x", "toxic"])
 
-    seen = sample.mapInPandas(score, "x double, toxic int").toPandas()
+    seen = sample.mapInArrow(score, "x double, toxic int").toPandas()
     a, b = _logistic(seen["x"].to_numpy(), seen["toxic"].to_numpy())
-    return Model(scores, rest, rate, model.k, a, b)
+    return replace(whole, a=a, b=b)
 
 
-def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, n_passages, n_toxic_tokens) for every row; whole texts are searched, a null or empty
-    one has no passages. Repeated rows are scored each."""
+def judged(text: Column, model: Model) -> Column:
+    """(score, n_passages, n_toxic_tokens) of a text as a struct; of a null as of an empty one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [passages(t, model) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [probability(evidence(f), model) for f in found], "n_passages": [len(f) for f in found], "n_toxic_tokens": [sum(e - s for s, e, _ in f) for f in found]})
+    @F.arrow_udf("struct<score:double,n_passages:int,n_toxic_tokens:int>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = list(found_passages(texts, model))
+        columns = [pa.array([probability(evidence(f), model) for f in found], pa.float64()), pa.array([len(f) for f in found], pa.int32()), pa.array([sum(e - s for s, e, _ in f) for f in found], pa.int32())]
+        return pa.StructArray.from_arrays(columns, ["score", "n_passages", "n_toxic_tokens"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id string, score double, n_passages int, n_toxic_tokens int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return run(F.coalesce(text, F.lit("")))
 
 
-def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.7, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text scores ``limit`` or more."""
+def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, score, n_passages, n_toxic_tokens) for every row; whole texts are searched, a null or empty
+    one has no passages. Repeated rows are scored each, null ids stay, no rows give none."""
+    return docs.select(F.col(doc_id).alias("doc_id"), judged(F.col(text), model).alias("found")).select("doc_id", "found.*")
 
-    @F.pandas_udf("double")
-    def toxic(bodies: pd.Series) -> pd.Series:
-        return pd.Series([probability(evidence(passages(t, model)), model) for t in bodies])
 
-    return docs.where(toxic(F.coalesce(F.col(text), F.lit(""))) < limit)
+def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.7, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text scores ``limit`` or more; null and empty texts have no passages, repeated
+    rows are judged alike, all columns stay as they are, and no rows give none."""
+    return docs.where(judged(F.col(text), model)["score"] < limit)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

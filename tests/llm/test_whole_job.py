@@ -6,10 +6,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.llm import katz, lm, minhash, queries, sharding, toxicity
+from mosaiq.llm import katz, lm, minhash, packing, queries, sharding, toxicity, urls
 
 
 def words(n, seed):
@@ -107,34 +108,77 @@ def test_query_of_the_language_model_learns_every_ngram(spark, sf_dir, monkeypat
 TOXIC = toxicity.Model({f"bad{k}": 3.0 for k in range(6)}, -0.1, 1.0, 0.1)
 
 
+def passages_of(text):
+    return next(toxicity.found_passages(pa.array([text]), TOXIC))
+
+
 def test_toxic_passage_after_single_hits():
     bad, gap = [f"bad{k}" for k in range(6)], ["fine"] * 60
     text = [w for b in bad for w in [b, *gap]] + bad
-    assert [x[:2] for x in toxicity.passages(" ".join(text), TOXIC)] == [(len(text) - 6, len(text))]
+    assert [x[:2] for x in passages_of(" ".join(text))] == [(len(text) - 6, len(text))]
     near = [w for b in bad for w in [b, *gap[:20]]] + bad  # one maximal segment holds them all
-    assert (len(near) - 6, len(near)) in [x[:2] for x in toxicity.passages(" ".join(near), TOXIC)]
+    assert (len(near) - 6, len(near)) in [x[:2] for x in passages_of(" ".join(near))]
 
 
 @pytest.mark.parametrize("gap", [0, 5, 500])
 def test_equal_toxic_passages_are_all_found(gap):
     bad = [f"bad{k}" for k in range(6)]
-    assert [x[:2] for x in toxicity.passages(" ".join([*bad, *["fine"] * gap, *bad]), TOXIC)] == [(0, 6), (6 + gap, 12 + gap)]
+    assert [x[:2] for x in passages_of(" ".join([*bad, *["fine"] * gap, *bad]))] == [(0, 6), (6 + gap, 12 + gap)]
 
 
 def test_one_word_repeated_is_no_passage():
-    assert toxicity.passages("bad1 " * 200, TOXIC) == []
+    assert passages_of("bad1 " * 200) == []
 
 
 def test_densest_against_brute_force():
     r = random.Random(8)
     for _ in range(200):
         places = sorted(r.sample(range(60), r.randint(1, 14)))
-        known = [(p, k, 1.0 + ord(k) % 5 / 3) for p in places for k in [r.choice("abcd")]]
-        value = lambda a, b: sum({k: s for _, k, s in known[a : b + 1]}.values()) - 0.3 * (known[b][0] + 1 - known[a][0] - len({k for _, k, _ in known[a : b + 1]}))  # noqa: E731, B023
+        known = [(p, k, 1.0 + ord(k) % 5 / 3, -0.3 * (p - q - 1)) for p, q in zip(places, [-1, *places], strict=False) for k in [r.choice("abcd")]]
+        value = lambda a, b: sum({k: s for _, k, s, _ in known[a : b + 1]}.values()) - 0.3 * (known[b][0] + 1 - known[a][0] - len({k for _, k, _, _ in known[a : b + 1]}))  # noqa: E731, B023
         a, b, got = toxicity.densest(known, -0.3)
         assert got == pytest.approx(max(value(i, j) for i in range(len(known)) for j in range(i, len(known)))) and got == pytest.approx(value(a, b))
 
 
+def test_only_texts_with_a_significant_run_are_searched():
+    """The best run of each text against brute force, and passages with the search of every text."""
+    r = random.Random(4)
+    score = np.array([r.choice([-0.4, -0.1, 0.3, 1.7]) for _ in range(400)])
+    bounds = np.array([0, 0, 5, 130, 130, 131, 400])
+    want = [max([0.0, *(score[i:j].sum() for i in range(a, b) for j in range(i + 1, b + 1))]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert toxicity.best_sums(score, bounds) == pytest.approx(want)
+
+
+def test_what_is_counted_is_what_is_looked_up(spark):
+    assert toxicity.forms('"Worthless,') == ("worthless", "worth*", "wort*") and toxicity.forms("Idiot!") == ("idiot",) and toxicity.forms("...") == ()
+    rows = [("Worthless words. words", 1, 0), ("words", 1, 1), ("", 0, 0), (None, 0, 1)]
+    got = {x.token: x for x in toxicity.token_counts(spark.createDataFrame(rows, "text string, toxic int, half int").fillna("")).collect()}
+    assert set(got) == {"worthless", "worth*", "wort*", "words"}
+    assert (got["words"].n_2, got["words"].n_3, got["words"].used_2, got["words"].n_0) == (1, 1, 2, 0)
+
+
+def test_parameters_of_the_extreme_value_law():
+    """Scores of 1 and -1: rate = log(q / p), and k by the best runs of random texts."""
+    p, n = 0.3, 2000
+    rate, k = toxicity.karlin(np.array([1.0, -1.0]), np.array([p, 1 - p]))
+    assert rate == pytest.approx(math.log(0.7 / 0.3), rel=1e-6)
+    r = np.random.default_rng(2)
+    bounds = np.arange(0, 4001 * n, n)
+    best = toxicity.best_sums(np.where(r.random(4000 * n) < p, 1.0, -1.0), bounds)
+    for at in (8, 10):  # a lattice law: a score above at - 1 is at least at
+        assert (best >= at).mean() == pytest.approx(1 - math.exp(-k * n * math.exp(-rate * (at - 0.5))), abs=0.12)
+
+
+def test_two_passages_far_apart_are_two(spark):
+    r = random.Random(6)
+    plain = lambda n: " ".join(r.choice(("lorem", "ipsum", "dolor", "sit", "amet")) for _ in range(n))
+    rows = [(f"{plain(60)} vile {plain(3)} horrid {plain(4)} nasty {plain(60)}", 1) for _ in range(80)] + [(plain(120), 0) for _ in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert model.rest < 0 and 0 < model.k <= 1
+    text = f"vile horrid nasty {plain(300)} vile horrid nasty"
+    assert [x[:2] for x in next(toxicity.found_passages(pa.array([text]), model))] == [(0, 3), (303, 306)]
+
+
 @pytest.mark.parametrize("large", [333, 150])
 def test_a_hot_group_leaves_the_other_shards_even(spark, large):
     """A group of a third, or 15 %, of all bytes: its own shard, and the others nearly equal."""
@@ -148,3 +192,64 @@ def test_a_hot_group_leaves_the_other_shards_even(spark, large):
     rows = [(i, "copy" if i < large else f"{i:04}") for i in range(1000)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(collections.Counter(x.shard for x in got).values()) == sorted(used)
+
+
+def least_cost(sizes, lengths):
+    """By trying every way to part the sizes into bins."""
+    best = math.inf
+
+    def add(k, bins):
+        nonlocal best
+        if k == len(sizes):
+            best = min(best, sum(packing.cost(min(c for c in lengths if c >= b)) for b in bins))
+            return
+        for i, b in enumerate(bins):
+            if b + sizes[k] <= max(lengths):
+                add(k + 1, [*bins[:i], b + sizes[k], *bins[i + 1 :]])
+        add(k + 1, [*bins, sizes[k]])
+
+    add(0, [])
+    return best
+
+
+def test_packing_against_the_optimum_of_tiny_cells():
+    r, lengths, hits, shrunk, plans = random.Random(1), (512, 1024, 2048, 4096), 0, 0, set()
+    for _ in range(150):
+        sizes = [r.choice((r.randint(1, 4096), r.randint(1, 700))) for _ in range(r.randint(1, 7))]
+        got = packing.best_fit(sizes, lengths)
+        bins = {b: c for b, _, c in got}
+        held = {b: sum(s for s, x in zip(sizes, got, strict=True) if x[0] == b) for b in bins}
+        assert all(c == min(x for x in lengths if x >= held[b]) for b, c in bins.items())
+        cost, least = sum(map(packing.cost, bins.values())), least_cost(sizes, lengths)
+        assert least - 1e-6 <= cost <= 1.5 * least
+        hits += cost <= least + 1e-6
+        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        one = packing._one_plan(sizes, order, lengths, lengths)[1]
+        shrunk += any(u <= 2048 for u in packing._one_plan(sizes, order, lengths, (4096,))[1])
+        plans.add(sum(packing.cost(min(c for c in lengths if c >= u)) for u in one) - cost > 1e-6)
+    assert hits >= 120 and shrunk and plans == {True, False}  # opening with all lengths is not always best
+
+
+def test_bins_shrink_to_their_contents():
+    """Opened longer than what comes into them in the end, in plans of least cost."""
+    r, lengths, shrunk = random.Random(2), (512, 1024, 2048, 4096), 0
+    for _ in range(200):
+        sizes = [r.randint(1, 900) for _ in range(r.randint(2, 40))]
+        out, opened, final = packing.least_cost_plan(sizes, lengths)
+        held = [sum(s for s, (b, _) in zip(sizes, out, strict=True) if b == k) for k in range(len(final))]
+        assert final == [min(c for c in lengths if c >= h) for h in held] and all(a >= b for a, b in zip(opened, final, strict=True))
+        shrunk += opened != final
+    assert shrunk
+
+
+def test_trust_and_distrust_keep_their_mass(spark):
+    """Hosts that are only linked to are hosts too: nothing is lost there."""
+    pages = [(1, "https://a.org/x", '<a href="https://mid.net/1">'), (2, "https://b.org/", '<a href="//mid.net"> <a href="https://end.example/">'), (3, "https://x.com/de/1", '<a href="http://mid.net/">'), (4, "https://y.net/", '<a href="https://x.com/de/">'), (5, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    hosts = df.select(urls.host_of(F.col("url")).alias("host"), "html")
+    links = urls.host_edges(hosts)
+    known = hosts.select("host").where("host <> ''")
+    seeds = spark.createDataFrame([("a.org", 0.5, 0.0), ("b.org", 0.5, 0.0), ("x.com", 0.0, 1.0), ("y.net", 0.0, 0.0)], "host string, trust double, distrust double")
+    got = {r.host: r for r in urls.propagate(urls.both_ways(links, known), seeds).collect()}
+    assert sum(r.trust for r in got.values()) == pytest.approx(1) and sum(r.distrust for r in got.values()) == pytest.approx(1)
+    assert got["mid.net"].trust > 0.2 and got["y.net"].distrust > 0.2
