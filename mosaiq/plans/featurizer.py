@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from mosaiq.functions import planes
 from mosaiq.functions.lambdas import let
-from mosaiq.operators import boards, morphology, stats, symmetry
+from mosaiq.operators import boards, morphology, stats
+from mosaiq.plans import batches
 
 
 def parse_ints(text: str | None) -> tuple[int, ...]:
@@ -94,9 +97,13 @@ class Featurizer:
         return F.concat(*parts, *([stats.transition_histogram(board)] if self.markov else []))
 
     def features(self, images: DataFrame, name: str = "f") -> DataFrame:
-        """``images`` without their planes and with the vector. Planes, then masks, then the vector are columns of
+        """``images`` without their planes and with the vector."""
+        return batches.map_images(images, batches.vector_kernel(self), name, IntegerType())
+
+    def declared(self, images: DataFrame, name: str = "f") -> DataFrame:
+        """``features`` as column expressions only. Planes, then masks, then the vector are columns of
         their own, so that none is computed twice."""
-        keep = [c for c in images.columns if c not in "rgb"]
+        keep = [c for c in images.columns if c not in ("r", "g", "b")]
         r, g, b = (F.col(c) for c in "rgb")
         own = self.with_planes(images).withColumn("bank", self.bank())
         parts = [F.flatten(F.transform("bank", self.block))]
@@ -109,13 +116,10 @@ class Featurizer:
 
     def invariant(self, images: DataFrame, how: str = "mean", name: str = "f") -> DataFrame:
         """Pools the vectors of the eight symmetries of each image, by position."""
-        keep = [c for c in images.columns if c not in "rgb"]
-        every = self.features(symmetry.orbit(images), "v")
-        listed = every.groupBy(*keep).agg(F.transform(F.array_sort(F.collect_list(F.struct("element", "v"))), lambda s: s["v"]).alias("all"))
-        return listed.select(*keep, symmetry.pool(F.col("all"), how).alias(name))
+        own = batches.vector_kernel(self)
+        return batches.map_images(images, lambda r, g, b: batches.pooled(batches.orbit(own, r, g, b), how), name, IntegerType())
 
     def equivariant(self, images: DataFrame, name: str = "f") -> DataFrame:
         """The vectors of the eight symmetries one after the other."""
-        keep = [c for c in images.columns if c not in "rgb"]
-        every = self.features(symmetry.orbit(images), "v")
-        return every.groupBy(*keep).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("element", "v"))), lambda s: s["v"])).alias(name))
+        own = batches.vector_kernel(self)
+        return batches.map_images(images, lambda r, g, b: np.concatenate(list(batches.orbit(own, r, g, b)), axis=1), name, IntegerType())

@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from mosaiq.functions import planes
+from mosaiq.functions.planes import SIDE
 from mosaiq.operators import boards, morphology, stats
+from mosaiq.plans import batches
 
 
 @dataclass(frozen=True)
@@ -221,11 +225,11 @@ class Compiler:
         return self.column(node) if kind(node) == "mask" else boards.above(self.column(node), 0.5)
 
 
-def evaluate(images: DataFrame, programs: list[Node], name: str = "f") -> DataFrame:
-    """``images`` without their planes and with the vectors of all programs, one after the other."""
+def declared(images: DataFrame, programs: list[Node], name: str = "f") -> DataFrame:
+    """``evaluate`` as column expressions only: for some programs; the plan of very many takes long to make."""
     for p in programs:
         check(p)
-    own, keep = Compiler(), [c for c in images.columns if c not in "rgb"]
+    own, keep = Compiler(), [c for c in images.columns if c not in ("r", "g", "b")]
     for p in programs:
         own.need(p)
     r, g, b = (F.col(c) for c in "rgb")
@@ -239,6 +243,111 @@ def evaluate(images: DataFrame, programs: list[Node], name: str = "f") -> DataFr
     return out.select(*keep, F.concat(*[own.column(p) for p in programs]).alias(name))
 
 
+class Batch:
+    """The value of each node for a batch of images; planes and masks that several programs use are made once."""
+
+    def __init__(self, r: np.ndarray, g: np.ndarray, b: np.ndarray) -> None:
+        self.rgb = tuple(p.astype(np.int32) for p in (r, g, b))
+        self.known: dict[Node, np.ndarray] = {}
+
+    def __getitem__(self, node: Node) -> np.ndarray:
+        if kind(node) not in ("plane", "mask"):
+            return self.vector(node)
+        if node not in self.known:
+            self.known[node] = self.plane(node) if kind(node) == "plane" else self.mask(node)
+        return self.known[node]
+
+    def plane(self, node: Node) -> np.ndarray:
+        r, g, b = self.rgb
+        f = np.float32
+        match node:
+            case R():
+                return r.astype(f)
+            case G():
+                return g.astype(f)
+            case B():
+                return b.astype(f)
+            case Gray():
+                return f(0.299) * r.astype(f) + f(0.587) * g.astype(f) + f(0.114) * b.astype(f)
+            case OppRG():
+                return (r - g).astype(f)
+            case OppYB():
+                return ((r + g) / 2).astype(f) - b.astype(f)
+            case Sat():
+                high, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+                return np.where(high > 0, (high - low).astype(f) / (high.astype(f) + f(1e-9)), f(0))
+        raise ValueError(f"unknown node {node!r}")
+
+    def mask(self, node: Node) -> np.ndarray:
+        match node:
+            case Threshold(of, t):
+                return (self[of] > np.float32(t)).astype(np.uint8)
+            case Edge(of):
+                left, right, up, down, ul, ur, dl, dr = batches.around(self[of])
+                gx, gy = (ur - ul) + 2 * (right - left) + (dr - dl), (dl - ul) + 2 * (down - up) + (dr - ur)
+                square = gx * gx + gy * gy
+                return (square > 2500 if isinstance(of, R | G | B | OppRG) else np.sqrt(square.astype(np.float64)).astype(np.float32) > 50).astype(np.uint8)
+            case CA(of, steps, rule):
+                if rule not in morphology.RULES:
+                    raise ValueError(f"unknown rule {rule!r}; known: {', '.join(morphology.RULES)}")
+                every = lambda m, join: join.reduce([m, *batches.around(m)])
+                erode, dilate = (lambda m: every(m, np.bitwise_and)), (lambda m: every(m, np.bitwise_or))
+                turns = {"life": [lambda m: batches.step(m, (3, 3), (2, 3))] * steps, "erosion": [erode] * steps, "dilation": [dilate] * steps, "opening": [erode] * steps + [dilate] * steps, "closing": [dilate] * steps + [erode] * steps}
+                out = self[of]
+                for turn in turns[rule]:
+                    out = turn(out)
+                return out
+        raise ValueError(f"unknown node {node!r}")
+
+    def bits(self, node: Node) -> np.ndarray:
+        """A plane counts as set above one half."""
+        return self[node] if kind(node) == "mask" else (self[node] > 0.5).astype(np.uint8)
+
+    def vector(self, node: Node) -> np.ndarray:
+        r, g, b = self.rgb
+        match node:
+            case GridStats(of, n):
+                k = SIDE // n
+                return batches.grids(self[of].astype(np.float64), n) / np.repeat([SIDE * SIDE, k * SIDE, k * k], [1, 2 * n, n * n])
+            case Pat2x2(of):
+                m = self.bits(of)
+                codes = 8 * m[:, ::2, ::2] + 4 * m[:, ::2, 1::2] + 2 * m[:, 1::2, ::2] + m[:, 1::2, 1::2]
+                return batches.histograms(codes.reshape(len(m), -1), 16) / (256 + 1e-9)
+            case Markov4(of):
+                t = batches.transitions(self.bits(of))
+                return (t[:, :4] + t[:, 4:8]) / (1984 + 1e-9)
+            case Moments(of):
+                v = self[of].reshape(len(r), -1).astype(np.float64)
+                mean = v.mean(axis=1, keepdims=True)
+                two, three, four = (((v - mean) ** k).mean(axis=1) for k in (2, 3, 4))
+                safe = np.where(two > 0, two, 1)
+                return np.stack([mean[:, 0], np.sqrt(two), np.where(two > 0, three / safe**1.5, 0), np.where(two > 0, four / safe**2 - 3, 0)], axis=1)
+            case LBP(_, eps):
+                return batches.lbp((0.299 * r + 0.587 * g + 0.114 * b).astype(np.float32).astype(np.int32), eps) / (900 + 1e-9)
+            case RGBHist(_, bins):
+                return batches.colours(r, g, b, bins) / (1024 + 1e-9) if bins > 1 else np.ones((len(r), 1))
+            case RGBBlocks(_, blocks):
+                return (batches.block_sums(r, g, b, blocks) / (SIDE // blocks) ** 2).astype(np.float32) / np.float32(255)
+            case Concat(left, right):
+                return np.concatenate([self[left], self[right]], axis=1)
+        raise ValueError(f"unknown node {node!r}")
+
+
+def evaluate(images: DataFrame, programs: list[Node], name: str = "f") -> DataFrame:
+    """``images`` without their planes and with the vectors of all programs, one after the other."""
+    for p in programs:
+        check(p)
+
+    def kernel(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+        own = Batch(r, g, b)
+        return np.concatenate([own[p] for p in programs], axis=1).astype(np.float32)
+
+    return batches.map_images(images, kernel, name, FloatType())
+
+
+# The order and the thresholds of both lists decide what each position of their vectors means.
+
+
 def first_programs() -> list[Node]:
     """41 programs, 2,509 values."""
     gray = Threshold(Gray(), 120)

@@ -320,9 +320,73 @@ _program("g_lbp", with_(_lbp("CAST(trunc(CAST(0.299::DOUBLE * r + 0.587::DOUBLE
 _program("g_rgbhist", with_(select=dense(_HIST, 64, "round(coalesce(c.n, 0) / 1024.0::DOUBLE, 5)")), grammar.RGBHist())
 _program("g_rgbblocks", with_(select=f"SELECT img_id, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(s / 64.0::DOUBLE AS FLOAT) / CAST(255 AS FLOAT) AS DOUBLE), 5) AS v FROM ({_BLOCK_SUMS})"), grammar.RGBBlocks())
 
+# ---- whole vectors: rows of 32 bits in SQL
+
+_FULL, _INNER = (1 << 32) - 1, (1 << 31) - 1
+
+
+def _bits(v: str, set_: int) -> str:
+    return v if set_ else f"xor({v}, {_FULL}::BIGINT)"
+
+
+def _sum_of(bits: str, when: str = "") -> str:
+    return f"CAST(sum(CASE WHEN {when} THEN bit_count({bits}) ELSE 0 END) AS BIGINT)" if when else f"CAST(sum(bit_count({bits})) AS BIGINT)"
+
+
+def _pair(a: str, b: str, code: int, inner: int, when: str = "") -> str:
+    """Pixels with ``a`` and ``b`` (a row and a shifted or lower one) as the two bits of ``code``."""
+    return _sum_of(f"({_bits(a, code >> 1)} & {_bits(b, code & 1)} & {inner}::BIGINT)", when)
+
+
+def _block_lists() -> dict[str, list[str]]:
+    """The values of a mask from its rows m and the rows below, n, which the last row has not."""
+    cell, low = (lambda j: f"((m >> {4 * j}) & 15)"), "n IS NOT NULL"
+    grid = [_sum_of("m"), *[_sum_of("m", f"y // 4 = {i}") for i in range(8)], *[_sum_of(cell(j)) for j in range(8)], *[_sum_of(cell(j), f"y // 4 = {i}") for i in range(8) for j in range(8)]]
+    window = lambda c: f"({_bits('m', c & 1)} & {_bits('(m >> 1)', c >> 1 & 1)} & {_bits('n', c >> 2 & 1)} & {_bits('(n >> 1)', c >> 3 & 1)} & {_INNER}::BIGINT)"
+    ways = (("m", "(m >> 1)", _INNER, ""), ("m", "n", _FULL, low), ("m", "(n >> 1)", _INNER, low), ("(m >> 1)", "n", _INNER, low))
+    return {"grid": grid, "patterns": [_sum_of(window(c), low) for c in range(16)], "transitions": [_pair(a, b, c, inner, when) for a, b, inner, when in ways for c in range(4)]}
+
+
+def _vector_sql(f: Featurizer, source: str = "px") -> list[str]:
+    """CTEs, the last of them vx (img_id, pos, v): the whole vector of every image of ``source``."""
+    tests: list[str | int] = []  # a number: the edge of that mask
+    for t in f.gray:
+        tests += [f"gray >= {t}"] + ([len(tests)] if f.edges else [])
+    if f.gradients:
+        tests += [f"{d} {c} {x}" for d in ("dx", "dy") for c, x in ((">", f.gradient), ("<", -f.gradient))]
+    tests += [x for t in f.red_green for x in (f"rg >= {t}", f"rg <= -{t}")] + [x for t in f.yellow_blue for x in (f"yb >= {2 * t}", f"yb <= -{2 * t}")] + [f"sat >= {t}" for t in f.saturation]
+    rows = ", ".join(f"sum(CASE WHEN {t} THEN 1::BIGINT << x ELSE 0 END)::BIGINT AS m{i}" for i, t in enumerate(tests) if isinstance(t, str))
+    near = lambda i, step, out: f"coalesce({step}(m{i}) OVER (PARTITION BY img_id ORDER BY y), {out}::BIGINT)"
+    edge = lambda i: f"xor(m{i} | ((m{i} << 1) & {_FULL}::BIGINT) | (m{i} >> 1) | {near(i, 'lag', 0)} | {near(i, 'lead', 0)}, m{i} & (((m{i} << 1) & {_FULL}::BIGINT) | 1) & ((m{i} >> 1) | {1 << 31}::BIGINT) & {near(i, 'lag', _FULL)} & {near(i, 'lead', _FULL)})"
+    bank = ", ".join(f"m{i}" if isinstance(t, str) else edge(t) for i, t in enumerate(tests))
+    own = _block_lists()
+    values = own["grid"] + own["patterns"] + (own["transitions"] if f.markov else [])
+    at, parts = len(tests) * len(values), [f"SELECT img_id, k * {len(values)} + unnest(range({len(values)})) AS pos, unnest(l) AS v FROM vb"]
+    ids, lbp = f"(SELECT DISTINCT img_id FROM {source}) i", []
+    if f.lbp:
+        lbp = [_lbp("gray", source)]
+        parts.append(f"SELECT img_id, {at} + unnest(range(256)), unnest(list_transform(range(256), lambda c: coalesce(map_extract_value(h, c), 0))) FROM (SELECT img_id, histogram(code::BIGINT) AS h FROM lbp GROUP BY img_id)")
+        at += 256
+    k = 32 // f.blocks
+    parts += [f"SELECT img_id, {at} + (y // {k}) * {3 * f.blocks} + (x // {k}) * 3 + {c}, CAST(round_even(sum({p}) / {float(k * k)}::DOUBLE, 0) AS BIGINT) FROM {source} GROUP BY img_id, y // {k}, x // {k}" for c, p in enumerate("rgb")]
+    at += 3 * f.blocks**2
+    parts.append(f"SELECT img_id, {at} + unnest(range({f.bins**3})), unnest(list_transform(range({f.bins**3}), lambda c: coalesce(map_extract_value(h, c), 0))) FROM (SELECT img_id, histogram((((r * {f.bins}) >> 8) * {f.bins**2} + ((g * {f.bins}) >> 8) * {f.bins} + ((b * {f.bins}) >> 8))::BIGINT) AS h FROM {source} GROUP BY img_id)")
+    parts.append(f"SELECT img_id, {f.size - 1}, 1 FROM {ids}")
+    return [
+        f"vg AS (SELECT *, coalesce(lead(gray) OVER {ROW} - gray, 0) AS dx, coalesce(lead(gray) OVER {COL} - gray, 0) AS dy FROM {source})",
+        f"vr AS MATERIALIZED (SELECT img_id, y, {rows} FROM vg GROUP BY img_id, y)",
+        f"vm AS MATERIALIZED (SELECT img_id, y, unnest(range({len(tests)})) AS k, unnest(l) AS m FROM (SELECT img_id, y, [{bank}] AS l FROM vr))",
+        "vn AS (SELECT *, lead(m) OVER (PARTITION BY img_id, k ORDER BY y) AS n FROM vm)",
+        f"vb AS MATERIALIZED (SELECT img_id, k, [{', '.join(values)}] AS l FROM vn GROUP BY img_id, k)", *lbp,
+        "vx AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")",
+    ]
+
+
+_AS_TEXT = "SELECT img_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos) AS f FROM {t} GROUP BY img_id"
+
 # ---- symmetries
 
-_D4 = "d4 AS (SELECT p.*, k.g AS e, CASE k.g // 2 WHEN 0 THEN y WHEN 1 THEN 31 - x WHEN 2 THEN 31 - y ELSE x END AS ry, CASE k.g // 2 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 31 - x ELSE 31 - y END AS rx FROM px p CROSS JOIN (SELECT unnest(range(8)) AS g) k), d8 AS MATERIALIZED (SELECT img_id, e, gray, ry AS y, CASE WHEN e % 2 = 1 THEN 31 - rx ELSE rx END AS x FROM d4)"
+_D4 = "d4 AS (SELECT p.*, k.g AS e, CASE k.g // 2 WHEN 0 THEN y WHEN 1 THEN 31 - x WHEN 2 THEN 31 - y ELSE x END AS ry, CASE k.g // 2 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 31 - x ELSE 31 - y END AS rx FROM px p CROSS JOIN (SELECT unnest(range(8)) AS g) k), d8 AS MATERIALIZED (SELECT img_id, e, gray, r, g, b, rg, yb, sat, ry AS y, CASE WHEN e % 2 = 1 THEN 31 - rx ELSE rx END AS x FROM d4)"
 
 
 @query("d4_orbit", with_(_D4, select="SELECT img_id, CAST(e AS INTEGER) AS element, CAST(sum(gray * (y * 37 + x)) AS BIGINT) AS checksum FROM d8 GROUP BY img_id, e"))
@@ -332,23 +396,33 @@ def d4_orbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("img_id", "element", weigh(planes.gray_u8(*rgb())).alias("checksum"))
 
 
+_D8 = _D4 + ", q8 AS MATERIALIZED (SELECT * REPLACE (img_id * 8 + e AS img_id) FROM d8)"
 _D4_GRID = _D4 + ", d4g AS (SELECT img_id, e, (y // 4) * 8 + x // 4 AS pos, sum(CASE WHEN gray >= 100 THEN 1 ELSE 0 END) AS n FROM d8 GROUP BY ALL)"
 
 
+_SMALL = Featurizer(gray=(100,), edges=False, gradients=False, red_green=(), yellow_blue=(), saturation=(), lbp=False, bias=True)
+
+
+def joined(rows: DataFrame, column: str = "f") -> DataFrame:
+    """(img_id, f): a vector of whole numbers as one text, so that each value counts."""
+    return rows.select("img_id", F.array_join(F.col(column).cast("array<string>"), ",").alias("f"))
+
+
 def _pooled(how: str, sql: str):
-    @query(f"d4_pool_{how}", with_(_D4_GRID, select=f"SELECT img_id, CAST(pos AS INTEGER) AS pos, CAST({sql} AS BIGINT) AS v FROM d4g GROUP BY img_id, pos"))
+    @query(f"d4_pool_{how}", with_(_D8, *_vector_sql(_SMALL, "q8"), f"pl AS (SELECT img_id // 8 AS img_id, pos, CAST({sql} AS BIGINT) AS v FROM vx GROUP BY ALL)", select=_AS_TEXT.format(t="pl")))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
-        m = boards.at_least(F.col("p"), 100)
-        eight = own.select("img_id", F.posexplode(F.array(*[symmetry.moved(F.col("gray"), e) for e in range(8)])).alias("e", "p"))
-        grids = eight.select("img_id", "e", stats.grid(m).alias("v"))
-        listed = grids.groupBy("img_id").agg(F.collect_list("v").alias("all"))
-        return long(listed, symmetry.pool(F.col("all"), how))
+        return joined(_SMALL.invariant(images(spark, sf_dir), how))
+
 
+_pooled("mean", "round_even(avg(v), 0)")
+_pooled("max", "max(v)")
+_pooled("median", "round_even(median(v), 0)")
 
-_pooled("mean", "round_even(avg(n), 0)")
-_pooled("max", "max(n)")
-_pooled("median", "round_even(median(n), 0)")
+
+@query("d4_equivariant", with_(_D8, *_vector_sql(_SMALL, "q8"), f"eq AS (SELECT img_id // 8 AS img_id, img_id % 8 * {_SMALL.size} + pos AS pos, v FROM vx)", select=_AS_TEXT.format(t="eq")))
+def d4_equivariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the eight symmetries, one after the other."""
+    return joined(_SMALL.equivariant(images(spark, sf_dir)))
 
 
 @query("flip_x", with_(select="SELECT img_id, CAST(sum(r * (y * 37 + 31 - x)) AS BIGINT) AS checksum FROM px GROUP BY img_id"))
@@ -357,14 +431,6 @@ def flip_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("img_id", weigh.alias("checksum"))
 
 
-_SMALL = Featurizer(gray=(100,), edges=False, gradients=False, red_green=(), yellow_blue=(), saturation=(), lbp=False, bias=True)
-
-
-@query("d4_equivariant_len", with_(select=f"SELECT img_id, CAST({8 * _SMALL.size} AS BIGINT) AS n FROM img"))
-def d4_equivariant_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _SMALL.equivariant(images(spark, sf_dir)).select("img_id", F.size("f").cast("bigint").alias("n"))
-
-
 # ---- vectors
 
 
@@ -376,10 +442,10 @@ def feature_vector_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(own, F.slice("f", 6 * f.block_size + 1, f.block_size))
 
 
-@query("feature_vector", with_(select=f"SELECT img_id, CAST(3872 AS BIGINT) AS size, CAST(1 AS BIGINT) AS bias, CAST(sum(gray) * 0 + 900 AS BIGINT) AS lbp FROM px GROUP BY img_id"))
+@query("feature_vector", with_(*_vector_sql(Featurizer()), select=_AS_TEXT.format(t="vx")))
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Featurizer().features(images(spark, sf_dir))
-    return own.select("img_id", F.size("f").cast("bigint").alias("size"), F.get("f", 3871).cast("bigint").alias("bias"), total(F.transform(F.slice("f", 3504, 256), lambda v: v.cast("bigint"))).alias("lbp"))
+    """All 3,872 values of every image."""
+    return joined(Featurizer().features(images(spark, sf_dir)))
 
 
 @query("feature_dims", "SELECT * FROM (VALUES ('all', CAST(3872 AS BIGINT), CAST(31 AS BIGINT)), ('three thresholds', 3194, 25), ('two steps', 10878, 93)) t(name, size, masks)")
@@ -398,9 +464,80 @@ _dims("v5_program_dims", grammar.first_programs(), 41, 2509)
 _dims("v6_program_dims", grammar.second_programs(), 171, 4778)
 
 
-@query("v5_programs", "SELECT vec_id AS img_id, CAST(2509 AS BIGINT) AS size FROM embeddings")
+def _programs_sql() -> str:
+    """The first list of programs from rows of bits: each mask's counts, then each program's fractions as whole numbers."""
+    channel = {"R": "r", "G": "g", "B": "b", "Gray": "fgray", "OppRG": "rg", "OppYB": "fyb", "Sat": "fsat"}
+    rules = {"life": [_LIFE], "erosion": [_ERODE], "dilation": [_DILATE], "opening": [_ERODE, _DILATE], "closing": [_DILATE, _ERODE]}
+    masks: dict[grammar.Node, int] = {}
+    parts, tables, at = [], [], 0
+
+    def of(node: grammar.Node) -> int:
+        if node not in masks:
+            masks[node] = len(masks)
+        return masks[node]
+
+    def add(node: grammar.Node) -> None:
+        nonlocal at
+        if isinstance(node, grammar.Concat):
+            add(node.left)
+            add(node.right)
+            return
+        k, n = of(node.of), grammar.size(node)
+        share = lambda x, by: f"CAST(round(CAST(CAST({x} / {by}::DOUBLE AS FLOAT) AS DOUBLE) * 100000) AS BIGINT)"
+        if isinstance(node, grammar.Moments):
+            p = "(g[1] / 1024.0::DOUBLE)"
+            var = f"({p} * (1 - {p}))"
+            own = [p, f"sqrt({var})", f"CASE WHEN {var} > 0 THEN (1 - 2 * {p}) / sqrt({var}) ELSE 0 END", f"CASE WHEN {var} > 0 THEN (1 - 6 * {var}) / {var} ELSE 0 END"]
+            values = "[" + ", ".join(f"CAST(round(({x}) * 100) AS BIGINT)" for x in own) + "]"
+        elif isinstance(node, grammar.GridStats):
+            values = f"list_transform(range(1, 82), lambda i: CASE WHEN i = 1 THEN {share('g[i]', 1024)} WHEN i <= 17 THEN {share('g[i]', 128)} ELSE {share('g[i]', 16)} END)"
+        else:
+            values = f"list_transform({'p' if n == 16 else 't'}, lambda v: {share('v', '(256 + 1e-9)' if n == 16 else '(1984 + 1e-9)')})"
+        parts.append(f"SELECT img_id, {at} + unnest(range({n})) AS pos, unnest({values}) AS v FROM vb WHERE k = {k}")
+        at += n
+
+    for p in grammar.first_programs():
+        add(p)
+    bits, joins = [], []
+    for node, k in masks.items():
+        if isinstance(node, grammar.Threshold):
+            bits.append(f"sum(CASE WHEN {channel[type(node.of).__name__]} > {node.t}::FLOAT THEN 1::BIGINT << x ELSE 0 END)::BIGINT AS m{k}")
+            continue
+        tables.append(mask(f"{channel[type(node.of.of).__name__]} > {node.of.t}::FLOAT", f"s{k}"))
+        name = f"s{k}"
+        for i, rule in enumerate(r for r in (rules[node.rule] if node.rule in ("opening", "closing") else rules[node.rule] * node.steps)):
+            tables.append(after(name, rule, f"s{k}_{i}"))
+            name = f"s{k}_{i}"
+        tables.append(f"b{k} AS (SELECT img_id, y, sum(v::BIGINT << x)::BIGINT AS m{k} FROM {name} GROUP BY img_id, y)")
+        joins.append(f"JOIN b{k} USING (img_id, y)")
+    own, even = _block_lists(), 0x55555555
+    window = lambda c: f"({_bits('m', c >> 3 & 1)} & {_bits('(m >> 1)', c >> 2 & 1)} & {_bits('n', c >> 1 & 1)} & {_bits('(n >> 1)', c & 1)} & {even}::BIGINT)"
+    pooled = ", ".join(f"{own['transitions'][c]} + {own['transitions'][4 + c]}" for c in range(4))
+    tables += [
+        f"vr AS MATERIALIZED (SELECT img_id, y, {', '.join(bits)} FROM px GROUP BY img_id, y)",
+        f"vm AS MATERIALIZED (SELECT img_id, y, unnest(range({len(masks)})) AS k, unnest([{', '.join(f'm{k}' for k in range(len(masks)))}]) AS m FROM vr {' '.join(joins)})",
+        "vn AS (SELECT *, lead(m) OVER (PARTITION BY img_id, k ORDER BY y) AS n FROM vm)",
+        f"vb AS MATERIALIZED (SELECT img_id, k, [{', '.join(own['grid'])}] AS g, [{', '.join(_sum_of(window(c), 'y % 2 = 0') for c in range(16))}] AS p, [{pooled}] AS t FROM vn GROUP BY img_id, k)",
+        "vx AS (" + " UNION ALL ".join(parts) + ")",
+    ]
+    return with_(*tables, select=_AS_TEXT.format(t="vx"))
+
+
+@query("v5_programs", _programs_sql())
 def v5_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grammar.evaluate(images(spark, sf_dir), grammar.first_programs()).select("img_id", F.size("f").cast("bigint").alias("size"))
+    """All 2,509 values of every image, in hundred thousandths (moments in hundredths), half up."""
+    programs, by = grammar.first_programs(), []
+    for p in programs:
+        by += [100 if isinstance(p, grammar.Moments) else 100_000] * grammar.size(p)
+    scale = F.array(*[F.lit(x) for x in by])
+    own = grammar.evaluate(images(spark, sf_dir), programs).withColumn("f", F.zip_with("f", scale, lambda v, k: F.round(v.cast("double") * k).cast("bigint")))
+    return joined(own)
+
+
+@query("v6_programs")
+def v6_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 4,778 values of every image."""
+    return grammar.evaluate(images(spark, sf_dir), grammar.second_programs()).select("img_id", "f")
 
 
 # ---- global statistics, on the grid of the mask gray >= 100 as a vector of 65

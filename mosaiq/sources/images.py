@@ -7,10 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from mosaiq.functions.lambdas import indexes
 
 SCHEMA = "img_id bigint, label int, split string, r array<int>, g array<int>, b array<int>"
 
@@ -18,19 +16,22 @@ SCHEMA = "img_id bigint, label int, split string, r array<int>, g array<int>, b
 def derived_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image for each row of ``embeddings``: blobs of 8 by 8 from its 64 values, turned for each colour, and a
     pattern of the id. Every fifth is a test image."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-
-    def plane(c: int):
-        def pixel(i):
-            y, x = F.floor(i / 32).cast("int"), i % 32
-            v = 128 + 400 * F.get("embedding", (8 * F.floor(y / 4).cast("int") + F.floor(x / 4).cast("int") + 21 * c) % 64).cast("double")
-            p = F.floor(v) + (F.col("vec_id") * 17 + y * 7 + x * 13 + c * 29) % 41 - 20
-            return F.least(F.lit(255), F.greatest(F.lit(0), p)).cast("int")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    y, x = np.divmod(np.arange(1024), 32)
 
-        return F.transform(indexes(1024), pixel)
-
-    split = F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train")
-    return rows.select(F.col("vec_id").alias("img_id"), "label", split.alias("split"), *[plane(c).alias(k) for c, k in enumerate("rgb")])
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("vec_id").to_numpy()
+            blobs = b.column("embedding").flatten().to_numpy().reshape(len(ids), 64).astype(np.float64)
+            planes = []
+            for c in range(3):
+                v = np.floor(128 + 400 * blobs[:, (8 * (y // 4) + x // 4 + 21 * c) % 64])
+                p = np.clip(v + np.fmod(ids[:, None] * 17 + y * 7 + x * 13 + c * 29, 41) - 20, 0, 255).astype(np.int32)
+                planes.append(pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * 1024), pa.array(p.ravel())))
+            split = pa.array(np.where(ids % 5 == 0, "test", "train"))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), split, *planes], ["img_id", "label", "split", "r", "g", "b"])
+
+    return rows.mapInArrow(draw, SCHEMA)
 
 
 class _Plain(pickle.Unpickler):

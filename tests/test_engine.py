@@ -90,6 +90,38 @@ def test_pooled_features_do_not_see_symmetries(spark):
         assert f.invariant(own, how).first().f == f.invariant(turned, how).first().f
 
 
+@pytest.mark.parametrize("options", [{}, {"ca_steps": 2, "gray": (100,), "red_green": (20,), "lbp_flip_invariant": True, "lbp_eps": 3}, {"ca_steps": 1, "ca_diagonal": False, "ca_birth": (3, 4), "ca_survive": (2, 4), "markov": False, "bins": 1, "blocks": 8, "bias": False, "yellow_blue": ()}])
+def test_vectors_of_batches_equal_those_of_columns(spark, options):
+    f = Featurizer(**options)
+    own = pictures(spark, 3)
+    got = {r.img_id: r.f for r in f.features(own).collect()}
+    assert got == {r.img_id: r.f for r in f.declared(own).collect()} and all(len(v) == f.size for v in got.values())
+
+
+def test_pooled_and_stacked_vectors_against_the_eight_vectors(spark):
+    f = Featurizer(gray=(100,), gradients=False, red_green=(20,), yellow_blue=(), saturation=())
+    own = pictures(spark, 2)
+    eight = {(r.img_id, r.element): r.f for r in f.features(symmetry.orbit(own)).collect()}
+    for r in f.equivariant(own).collect():
+        assert r.f == [v for e in range(8) for v in eight[r.img_id, e]]
+    for how, of in (("mean", np.mean), ("max", np.max), ("median", np.median)):
+        for r in f.invariant(own, how).collect():
+            assert r.f == np.rint(of([eight[r.img_id, e] for e in range(8)], axis=0)).astype(int).tolist()
+
+
+def test_programs_of_batches_equal_those_of_columns(spark):
+    """Every kind of node: the first list whole, and of the second one input of each kind with every statistic."""
+    own = pictures(spark, 2).unionByName(spark.createDataFrame([(9, 0, "train", [0] * 1024, [0] * 1024, [0] * 1024)], images.SCHEMA))
+    g = grammar
+    some = [s(x) for x in (g.Threshold(g.OppYB(), 60), g.Edge(g.Gray()), g.Edge(g.OppRG()), g.Sat(), g.OppRG(), g.Gray()) for s in (g.GridStats, g.Pat2x2, g.Markov4, g.Moments)]
+    for programs in (g.first_programs(), [*some, g.LBP(g.Gray()), g.RGBHist(), g.RGBBlocks(), g.RGBHist(g.Img(), 1)]):
+        got = {r.img_id: r.f for r in g.evaluate(own, programs).collect()}
+        for r in g.declared(own, programs).collect():
+            assert got[r.img_id] == pytest.approx(r.f, rel=1e-5, abs=1e-5)
+    whole = g.evaluate(own, g.second_programs()).first()
+    assert len(whole.f) == 4778
+
+
 def test_merged_moments_equal_those_of_all(spark):
     rows = spark.createDataFrame([(i, [float(i * k % 17) for k in (1, 3, 5)]) for i in range(50)], "id long, f array<double>")
     parts = scaling.moments(rows.withColumn("part", F.col("id") % 4), "f", "part")
