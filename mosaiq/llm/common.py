@@ -11,7 +11,6 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -53,8 +52,13 @@ def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     try:
         yield keep
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared storage, whatever file system that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -94,7 +98,7 @@ def numbered(df: DataFrame, group: list[str], name: str) -> DataFrame:
     starts = cut(counts.select("_pid", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from")))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seen = TaskContext.get().partitionId(), {}
+        seen: dict[tuple, int] = {}
         for b in batches:
             keys = b.select(group).to_pandas()
             by = keys.groupby(group, sort=False)
@@ -107,10 +111,10 @@ def numbered(df: DataFrame, group: list[str], name: str) -> DataFrame:
                 k = k if isinstance(k, tuple) else (k,)
                 seen[k] = seen.get(k, 0) + int(n)
             full = (rank + by.ngroup().map(offset)).to_numpy(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(full), pid, np.int32)), pa.array(full)], [*b.schema.names, "_pid", "_rank"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(full)], [*b.schema.names, "_rank"])
 
     schema = StructType([*df.schema.fields, StructField("_pid", IntegerType()), StructField("_rank", LongType())])
-    own = df.mapInArrow(number, schema)
+    own = df.withColumn("_pid", F.spark_partition_id()).mapInArrow(number, schema)  # not the task's number, which another plan around it changes
     same = [own["_pid"] == starts["_pid"]] + [own[g] == starts[f"_g{i}"] for i, g in enumerate(group)]
     out = own.join(small(starts, 64), same, "inner")
     return out.select(*[own[c] for c in df.columns], (F.col("_rank") + F.col("_from")).cast("long").alias(name))
