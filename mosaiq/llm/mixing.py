@@ -9,12 +9,20 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import cut, numbered, ordered, small, text_key
 
-_NO_SOURCE = "\x00"
+
+def _named(value: Column) -> Column:
+    """A value as text, so that null differs from every value."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def row_key(doc_id: str, text: str, source: str) -> Column:
+    """16 bytes that stand for the id, the source and the text of a row."""
+    return F.unhex(F.md5(F.concat(F.md5(_named(F.col(doc_id))), F.md5(_named(F.col(source))), F.hex(text_key(text)))))
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -43,24 +51,24 @@ def one_period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.8, block_rows: int = 16, period: int = 1024, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Where each document stands in the mixed stream: doc_id, source, text_key, block, place (in its
+    """Where each document stands in the mixed stream: doc_id, source, row_key, copy, block, place (in its
     block), epoch and slot (of its block). ``weights`` are targets by source; without them they are
     the sources' document counts to the power ``alpha``. The stream ends when every document has
     been placed once; sources that run out start over, so nothing is dropped. A source that
     ``weights`` doesn't name, or gives no weight, gets the least of the given ones.
 
-    Rows of equal source, id and text count as one document. A null source is a source of its own.
-    An empty table gives an empty result. At most ``period`` / 2 sources, else the period grows."""
+    Rows of equal source, id and text are documents of their own, told apart by ``copy`` (0, 1, ...). A null source is
+    a source of its own, a null text counts as an empty one, null ids are ids like others. An empty table gives an
+    empty result. At most ``period`` / 2 sources, else the period grows."""
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit(_NO_SOURCE)).alias("source"), text_key(text).alias("text_key")).distinct()
-    own = own.withColumn("order", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("text_key"))))
-    own = ordered(own, ["source", "order"])
+    own = docs.select(F.col(doc_id).alias("doc_id"), _named(F.col(source)).alias("source"), row_key(doc_id, text, source).alias("row_key"))
+    own = ordered(own, ["source", "row_key"])
     counts = {r[0]: r[1] for r in own.groupBy("source").count().toLocalIterator()}
     if weights is None:
         target = {k: n**alpha for k, n in counts.items()}
     else:
         least = min((w for w in weights.values() if w > 0), default=1.0)
-        target = {k: weights.get(k) or least for k in counts}
+        target = {k: weights.get(k[1:] if k else None) or least for k in counts}
     while len(counts) * 2 > period:
         period *= 2
     parts = shares(target, period) if counts else {}
@@ -74,18 +82,30 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
     runs = {k: (end // period) * parts[k] + sum(s < end % period for s in slots[k]) for k in counts}
     by_source = spark.createDataFrame([(k, blocks[k], parts[k], runs[k]) for k in counts], "s_source string, n_blocks long, part long, n_runs long")
     by_slot = spark.createDataFrame(plan, "p_source string, p_block long, p_slot long")
-    ranked = numbered(own, ["source"], "rank").join(small(by_source, 96), F.col("source") == F.col("s_source"))
+    ranked = numbered(own, ["source"], "rank")
+    repeated = ranked.groupBy("row_key").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    ranked = ranked.join(small(cut(repeated), 64), "row_key", "left").withColumn("copy", F.coalesce(F.col("rank") - F.col("first"), F.lit(0)))
+    ranked = ranked.join(small(by_source, 96), F.col("source") == F.col("s_source"))
     ranked = ranked.withColumns({"block": F.floor(F.col("rank") / block_rows), "place": (F.col("rank") % block_rows).cast("int")})
     placed = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_runs") - 1 - F.col("block")) / F.col("n_blocks")))))
     placed = placed.withColumn("run", F.col("block") + F.col("epoch") * F.col("n_blocks"))
     placed = placed.join(small(by_slot, 64), (F.col("source") == F.col("p_source")) & (F.col("run") % F.col("part") == F.col("p_block")))
     slot = F.floor(F.col("run") / F.col("part")) * period + F.col("p_slot")
-    return placed.select("doc_id", F.nullif("source", F.lit(_NO_SOURCE)).alias("source"), "text_key", "block", "place", F.col("epoch").cast("int").alias("epoch"), slot.cast("long").alias("slot"))
+    name = F.when(F.col("source") != "", F.expr("substring(source, 2)"))
+    return placed.select("doc_id", name.alias("source"), "row_key", "copy", "block", "place", F.col("epoch").cast("int").alias("epoch"), slot.cast("long").alias("slot"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``docs`` in the order of the mixed stream, rows of sources below their target repeated."""
-    plan = cut(schedule(docs, weights, doc_id=doc_id, text=text, source=source, **options)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
-    same = docs[doc_id].eqNullSafe(plan["_id"]) & docs[source].cast("string").eqNullSafe(plan["_source"]) & (text_key(docs[text]) == plan["_key"])
+    """``docs`` in the order of the mixed stream, rows of sources below their target repeated; all columns stay as they are,
+    whatever their names. Nulls, repeated rows and an empty table as in ``schedule``: every row is there at least once."""
+    plan = cut(schedule(docs, weights, doc_id=doc_id, text=text, source=source, **options)).select(F.col("row_key").alias("key"), "copy", "slot", "place")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(doc_id, text, source).alias("key"))
+    twice = cut(plan.where("copy > 0").select("key").distinct())
+    if twice.isEmpty():
+        placed = rows.join(plan, "key")
+    else:
+        twice = small(twice, 40)
+        again = numbered(cut(rows.join(twice, "key", "left_semi")), ["key"], "copy").join(plan, ["key", "copy"])
+        placed = rows.join(twice, "key", "left_anti").join(plan, "key").unionByName(again.select("key", "row", "copy", "slot", "place"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return docs.join(plan, same).repartitionByRange(n, "_slot", "_place").sortWithinPartitions("_slot", "_place").drop("_id", "_source", "_key", "_slot", "_place")
+    return placed.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.llm import katz, lm, minhash, packing, queries, sharding, toxicity, urls
+from mosaiq.llm import katz, lm, minhash, mixing, packing, queries, sharding, toxicity, urls
 
 
 def words(n, seed):
@@ -150,7 +150,9 @@ def test_only_texts_with_a_significant_run_are_searched():
 
 
 def test_what_is_counted_is_what_is_looked_up(spark):
-    assert toxicity.forms('"Worthless,') == ("worthless", "worth*", "wort*") and toxicity.forms("Idiot!") == ("idiot",) and toxicity.forms("...") == ()
+    forms = [f.to_pylist() for f in toxicity.forms(pa.array(['"Worthless,', "Idiot!", "..."]))]
+    assert list(zip(*forms, strict=True)) == [("worthless", "worth*", "wort*"), ("idiot", None, None), (None, None, None)]
+    assert toxicity.known_as(pa.array(["WORTHY.", "worth", "x"]), pa.array(["wort*", "x"])).tolist() == [0, -1, 1]
     rows = [("Worthless words. words", 1, 0), ("words", 1, 1), ("", 0, 0), (None, 0, 1)]
     got = {x.token: x for x in toxicity.token_counts(spark.createDataFrame(rows, "text string, toxic int, half int").fillna("")).collect()}
     assert set(got) == {"worthless", "worth*", "wort*", "words"}
@@ -253,3 +255,67 @@ def test_trust_and_distrust_keep_their_mass(spark):
     got = {r.host: r for r in urls.propagate(urls.both_ways(links, known), seeds).collect()}
     assert sum(r.trust for r in got.values()) == pytest.approx(1) and sum(r.distrust for r in got.values()) == pytest.approx(1)
     assert got["mid.net"].trust > 0.2 and got["y.net"].distrust > 0.2
+
+
+def test_query_of_the_mix_deviates_less_than_a_block(spark, sf_dir):
+    """At every slot, by the query's own rows; and every document is in the stream as often as its source came round."""
+    rows = queries.op3_mix_sources(spark, sf_dir).collect()
+    n = collections.Counter(r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    parts = mixing.shares({k: v**0.8 for k, v in n.items()}, 1024)
+    at = collections.defaultdict(set)
+    for r in rows:
+        at[r.slot].add((r.source, r.block, r.epoch))
+    assert sorted(at) == list(range(len(at))) and all(len(x) == 1 for x in at.values())
+    done = collections.Counter()
+    for slot in range(len(at)):
+        ((source, block, epoch),) = at[slot]
+        assert epoch * -(-n[source] // 16) + block == done[source]  # blocks in order, over and over
+        done[source] += 1
+        assert all(abs(done[k] - (slot + 1) * p / 1024) < 1 for k, p in parts.items())
+    assert collections.Counter((r.slot, r.place) for r in rows).most_common(1)[0][1] == 1
+    assert collections.Counter(r.source for r in rows if r.epoch == 0) == n
+
+
+def test_mix_keeps_repeated_rows_and_odd_sources(spark):
+    rows = [(i, "same", s, str(i)) for i in (1, 1, 1, 2) for s in (None, "", "\x00", "a")] + [(None, None, "a", "x"), (None, "", "a", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mine string")
+    plan = mixing.schedule(docs, block_rows=2, period=64).where("epoch = 0").collect()
+    assert collections.Counter((r.doc_id, r.source) for r in plan) == collections.Counter((r[0], r[2]) for r in rows)
+    clash = docs.select("*", *[F.col("mine").alias(k) for k in ("_slot", "_id", "row", "key", "copy", "slot", "place", "row_key")])
+    got = mixing.mix(clash, block_rows=2, period=64)
+    assert got.columns == clash.columns
+    out = [r.asDict() for r in got.collect()]
+    assert collections.Counter((r["doc_id"], r["text"], r["source"], r["mine"]) for r in out).keys() == collections.Counter(rows).keys()
+    assert all(r[k] == r["mine"] for r in out for k in clash.columns[4:]) and len(out) >= len(rows)
+    least = collections.Counter(tuple(r.values())[:4] for r in out)
+    assert all(least[k] >= n for k, n in collections.Counter(rows).items())
+
+
+CLASH = ("_id", "_node", "node", "row", "own", "key", "copy", "slot", "_doc", "_url", "found", "rule", "verdict", "toxic", "score", "host", "path", "_slot", "component", "class_id", "kept")
+
+
+@pytest.mark.parametrize("name", ["drop_near_duplicates", "drop_toxic", "redact", "mix"])
+def test_filters_keep_columns_with_clashing_names(docs, none, name):
+    import corpus_pipeline
+    from mosaiq.llm import secrets
+
+    run = {
+        "drop_near_duplicates": minhash.drop_near_duplicates,
+        "drop_toxic": lambda d: toxicity.drop_toxic(d, toxicity.Model({"aaaaaa": 6.0}, -0.1, 1.0, 0.1)),
+        "redact": lambda d: corpus_pipeline.secret_stage(d.sparkSession, d, ""),
+        "mix": lambda d: mixing.mix(d, block_rows=2, period=64),
+    }[name]
+    wide = docs.select("*", *[F.lit("mine").alias(k) for k in CLASH])
+    out = run(wide)
+    assert out.columns == wide.columns
+    key = lambda df: sorted(map(str, df.select("doc_id", "text").collect()))
+    assert key(out) == key(run(docs)) and {r[k] for r in out.collect() for k in CLASH} <= {"mine"}
+    assert secrets is not None and run(none).count() == 0
+
+
+def test_pages_with_clashing_names_and_repeats(spark):
+    pages = [(1, "https://a.org/x", '<a href="https://mid.net/1">'), (1, "https://a.org/x", '<a href="https://mid.net/1">'), (None, None, None), (2, "no url", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    wide = df.select("*", *[F.lit("mine").alias(k) for k in CLASH if k != "host"], F.lit("mine").alias("host"))
+    key = lambda d: sorted(map(str, urls.judge_pages(d).collect()))
+    assert key(wide) == key(df) and len(key(df)) == 4 and urls.judge_pages(df.limit(0)).count() == 0
