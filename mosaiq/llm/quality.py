@@ -89,7 +89,8 @@ def _ratio(part: str, of: str) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the measures, ``failed`` (the names of the rules that a text breaks), and
-    ``base_failed``. A clashing column of ``docs`` is replaced. Empty and null texts fail for length."""
+    ``base_failed``. A clashing column of ``docs`` is replaced. Empty and null texts fail for length; repeated
+    rows are judged alike, each; no rows give none."""
     own = measures(F.col(text))
     out = docs.withColumns(own).withColumns({
         "mean_word": _ratio("word_chars", "n_words"), "symbol_ratio": _ratio("n_symbols", "word_chars"),

@@ -110,7 +110,7 @@ def matches(body: Column, rule: Rule, order: int) -> Column:
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: every span of every rule, by start and then in the order of the rules. A
-    null or empty text has none; equal texts have the same; a column ``secrets`` is replaced, and columns
+    null or empty text has none; equal texts and repeated rows have the same, each row its own; no rows give none; a column ``secrets`` is replaced, and columns
     ``_secret_key`` and ``_secret_rules`` are dropped. Whole
     texts are searched, but by a rule with a trigram query only where the index allows a match. The
     index's answer is broadcast if its counted size is small, else joined by a shuffle."""
