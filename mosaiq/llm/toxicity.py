@@ -39,13 +39,26 @@ class Model:
         return self.k * n * math.exp(-self.rate * score)
 
 
-def forms(word: str) -> tuple[str, ...]:
-    """What a word is looked up as, in this order: in lower case without its rims, then the stems of longer words."""
-    bare = word.lower().strip(RIM)
-    return (bare, *(f"{bare[:n]}*" for n in STEMS if len(bare) > STEMS[0])) if bare else ()
+def forms(words: pa.Array) -> list[pa.Array]:
+    """What words are looked up as, in this order: in lower case without their rims, then the stems of longer ones; null where
+    there is none."""
+    bare = pc.utf8_trim(pc.utf8_lower(words), characters=RIM)
+    longer = pc.greater(pc.utf8_length(bare), STEMS[0])
+    none, star, nothing = (pa.scalar(x, bare.type) for x in (None, "*", ""))
+    stems = [pc.if_else(longer, pc.binary_join_element_wise(pc.utf8_slice_codeunits(bare, 0, n), star, nothing), none) for n in STEMS]
+    return [pc.if_else(pc.equal(bare, ""), none, bare), *stems]
+
+
+def known_as(words: pa.Array, names: pa.Array) -> np.ndarray:
+    """For each word the place among ``names`` of the first of its forms that is there, else -1."""
+    out = np.full(len(words), -1)
+    for form in forms(words):
+        at = pc.fill_null(pc.index_in(form, value_set=names.cast(form.type)), -1).to_numpy(zero_copy_only=False)
+        out = np.where(out < 0, at, out)
+    return out
 
 
-def tokenised(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of ``texts``, the place of each token among them, and where each text's tokens begin and end."""
     lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     flat = lists.flatten()
@@ -53,7 +66,7 @@ def tokenised(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     coded = flat.filter(full).dictionary_encode()
     before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
     bounds = lists.offsets.to_numpy()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), before[bounds - bounds[0]]
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), before[bounds - bounds[0]]
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -162,12 +175,11 @@ def best_sums(score: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def found_passages(texts: pa.Array, model: Model, alpha: float = 0.05) -> Iterator[list[tuple[int, int, float]]]:
     """The significant segments of each text. Only a text whose best run of tokens is significant can have any, so the
     others are not searched further; that changes no result."""
+    names, values = pa.array(list(model.scores), pa.string()), np.append(list(model.scores.values()), model.rest)
     for part in slices(texts):
-        names, at, bounds = tokenised(part)
-        own = [next((model.scores[f] for f in forms(w) if f in model.scores), model.rest) for w in names]
-        label: dict[str, int] = {}
-        token = [label.setdefault(next((f for f in forms(w) if f in model.scores), w), i) if s > 0 else -1 for i, (w, s) in enumerate(zip(names, own, strict=True))]
-        score, token = np.array(own, float)[at], np.array(token, np.int64)[at]
+        words, at, bounds = tokenised(part)
+        token = known_as(words, names)[at]
+        score = values[token]  # the last value is that of tokens without a place
         sizes = np.diff(bounds)
         need = np.log(np.maximum(model.k * sizes / alpha, 1e-300)) / model.rate - 1e-6
         likely = (best_sums(score, bounds) >= need) & (sizes > 0)
@@ -235,20 +247,17 @@ def token_counts(sample: DataFrame) -> DataFrame:
             group = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64) * 2 + b.column("half").to_numpy(zero_copy_only=False)
             first = 0
             for part in slices(b.column("text")):
-                names, at, bounds = tokenised(part)
-                keys: dict[str, int] = {}
-                own = [[keys.setdefault(f, len(keys)) for f in forms(w)] for w in names]
-                which = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                flat, start = np.array([k for x in own for k in x], np.int64), np.append(0, np.cumsum(np.bincount(which, minlength=len(own))))
-                n_forms = np.diff(start)[at]
-                token = np.repeat(at, n_forms)
-                nth = np.arange(len(token)) - np.repeat(np.cumsum(n_forms) - n_forms, n_forms)
-                text = np.repeat(np.repeat(np.arange(len(part)), np.diff(bounds)), n_forms)
-                pair, times = np.unique(text * max(1, len(keys)) + flat[start[token] + nth], return_counts=True)
-                key, of = pair % max(1, len(keys)), group[first + pair // max(1, len(keys))]
+                words, at, bounds = tokenised(part)
+                coded = pa.concat_arrays(forms(words)).dictionary_encode()
+                codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64).reshape(1 + len(STEMS), len(words))
+                n_keys = max(1, len(coded.dictionary))
+                token = codes[:, at].ravel()
+                text = np.tile(np.repeat(np.arange(len(part)), np.diff(bounds)), len(codes))
+                pair, times = np.unique(text[token >= 0] * n_keys + token[token >= 0], return_counts=True)
+                key, of = pair % n_keys, group[first + pair // n_keys]
                 cell, n = np.unique(key * 4 + of, return_counts=True)
-                used = np.bincount(key * 4 + of, weights=times, minlength=4 * len(keys))[cell].astype(np.int64)
-                names_at = pa.array(list(keys), pa.string()).take(pa.array(cell // 4))
+                used = np.bincount(key * 4 + of, weights=times, minlength=4 * n_keys)[cell].astype(np.int64)
+                names_at = coded.dictionary.cast(pa.string()).take(pa.array(cell // 4))
                 yield pa.RecordBatch.from_arrays([names_at, pa.array(cell % 4), pa.array(n), pa.array(used)], ["token", "g", "n", "used"])
                 first += len(part)
 
@@ -269,13 +278,13 @@ def _odds(counts: DataFrame, halves: tuple[int, ...], n1: int, n0: int, least_z:
 
 def _spacing(sample: DataFrame, scores: dict[str, float]) -> float:
     """The median number of tokens from one token of positive score to the next in the toxic texts."""
+    names, values = pa.array(list(scores), pa.string()), np.append(list(scores.values()), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b.column(0)):
-                names, at, bounds = tokenised(part)
-                good = np.array([next((scores[f] for f in forms(w) if f in scores), 0.0) > 0 for w in names], bool)
-                place = np.flatnonzero(good[at]) if len(names) else np.zeros(0, np.int64)
+                words, at, bounds = tokenised(part)
+                place = np.flatnonzero(values[known_as(words, names)[at]] > 0)
                 text = np.searchsorted(bounds, place, side="right")
                 gap, n = np.unique(np.diff(place)[text[1:] == text[:-1]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gap.astype(np.int64)), pa.array(n.astype(np.int64))], ["gap", "n"])
