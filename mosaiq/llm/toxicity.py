@@ -266,14 +266,15 @@ def token_counts(sample: DataFrame) -> DataFrame:
     return out.groupBy("token").agg(*[total(c, g) for c in ("n", "used") for g in range(4)])
 
 
-def _odds(counts: DataFrame, halves: tuple[int, ...], n1: int, n0: int, least_z: float, prior: float) -> list:
-    """(token, score, occurrences in clean texts) of the tokens whose log-odds lie ``least_z`` standard deviations or more from 0."""
+def _odds(counts: DataFrame, halves: tuple[int, ...], n1: int, n0: int, least_z: float, least_odds: float, prior: float) -> list:
+    """(token, score, occurrences in clean texts) of the tokens whose log-odds lie ``least_odds`` or more, and ``least_z`` standard
+    deviations or more, from 0."""
     of = lambda c, toxic: sum((F.col(f"{c}_{2 * toxic + h}") for h in halves), F.lit(0))
     a = F.lit(0.5) + prior * (of("n", 1) + of("n", 0)) / (n1 + n0)
     x1, x0, total = of("n", 1) + a, of("n", 0) + a, prior + 1.0
     odds = F.log(x1 / (n1 + total - F.least(x1, F.lit(float(n1) + total - 0.5)))) - F.log(x0 / (n0 + total - F.least(x0, F.lit(float(n0) + total - 0.5))))
     found = counts.where(of("n", 1) + of("n", 0) >= 2).select("token", odds.alias("s"), (odds / F.sqrt(1 / x1 + 1 / x0)).alias("z"), of("used", 0).alias("used"))
-    return found.where(F.abs("z") >= least_z).collect()
+    return found.where((F.abs("z") >= least_z) & (F.abs("s") >= least_odds)).collect()
 
 
 def _spacing(sample: DataFrame, scores: dict[str, float]) -> float:
@@ -293,11 +294,12 @@ def _spacing(sample: DataFrame, scores: dict[str, float]) -> float:
     return gaps.agg(F.percentile("gap", F.lit(0.5), F.col("n"))).first()[0] or 10.0
 
 
-def fit(labelled: DataFrame, per_class: int = 12_000, least_z: float = 3.0, prior: float = 50.0, seed: int = 7) -> Model:
+def fit(labelled: DataFrame, per_class: int = 12_000, least_z: float = 3.0, least_odds: float = 1.0, prior: float = 50.0, seed: int = 7) -> Model:
     """Learns from ``labelled`` (text, toxic). Of each class at most about ``per_class`` rows are taken, chosen
     by a hash of their text, and equal texts once; so the model stays of bounded size. A token's score
     is its log-odds between the classes' texts, with a Dirichlet prior of ``prior`` texts in
-    proportion to the token's frequency, where it lies ``least_z`` standard deviations or more from 0. All other tokens
+    proportion to the token's frequency, where it lies ``least_odds``, and ``least_z`` standard deviations, or more from 0: weaker
+    ones tell how long a text is. All other tokens
     share the log-odds of not being such a token within a toxic passage, from how densely those stand in toxic texts.
     Probabilities are calibrated on rows that the scores used for them were not learnt from: each half of
     the sample with the scores of the other half. Without rows of both classes nothing is toxic; labels other than 0
@@ -316,7 +318,7 @@ def fit(labelled: DataFrame, per_class: int = 12_000, least_z: float = 3.0, prio
 
     def learnt(halves: tuple[int, ...]) -> Model:
         n1, n0 = (sum(held.get((c, h), (0, 0))[0] for h in halves) for c in (1, 0))
-        found = _odds(counts, halves, n1, n0, least_z, prior)
+        found = _odds(counts, halves, n1, n0, least_z, least_odds, prior)
         scores = {r["token"]: max(-8.0, min(8.0, r["s"])) for r in found}
         clean = sum(held.get((0, h), (0, 0))[1] for h in halves) or 1
         gap = rest if rest is not None else math.log1p(-1 / max(2.0, _spacing(sample, scores)))
