@@ -123,14 +123,15 @@ def pack_sizes(counts: list[tuple[int, int]], capacity: int) -> tuple[list[tuple
 
 
 def capacity_for(counts: list[tuple[int, int]], shards: int) -> int:
-    """A least capacity, found by bisection, with which the groups need no more than ``shards`` bins."""
+    """A least capacity with which the groups need no more than ``shards`` bins: from the even share up in growing steps until one
+    does, then by bisection. Many small groups fill bins to a byte or so, so that the first steps mostly do."""
     if not counts:
         return 1
     total, largest = sum(s * n for s, n in counts), max(s for s, _ in counts)
-    low = max(-(-total // shards), largest)
-    high = low + largest
+    low = high = max(-(-total // shards), largest)
+    step = 1
     while pack_sizes(counts, high)[1] > shards:
-        low, high = high, high * 2
+        low, high, step = high + 1, high + step, step * 2
     while low < high:
         middle = (low + high) // 2
         low, high = (low, middle) if pack_sizes(counts, middle)[1] <= shards else (middle + 1, high)
