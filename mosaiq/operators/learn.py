@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ def stratified_split(rows: DataFrame, key: str, label: str, test: float = 0.1, s
 
     order = Window.partitionBy("_l").orderBy("_s")
     limits = slots.select("_l", "_s", "_n", (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_l")).alias("_all"))
-    met = own.join(F.broadcast(limits), own[label].eqNullSafe(F.col("_l")) & (F.col("_slot") == F.col("_s")))
+    met = own.join(limits, own[label].eqNullSafe(F.col("_l")) & (F.col("_slot") == F.col("_s")))
     quota = F.ceil(F.col("_all") * test)
     rank = F.row_number().over(Window.partitionBy("_l", "_slot").orderBy("_h", key))
     return met.withColumn("held_out", F.col("_before") + rank <= quota).select(*rows.columns, "held_out")
@@ -95,48 +98,50 @@ def accuracy(predicted: Column, label: Column) -> Column:
 # ---- averaged clipped perceptron
 
 
-class Perceptron:
-    """Integer weights, updated where the margin over the runner-up is small; the floor of their average at the end."""
-
-    def __init__(self, classes: int, size: int, step: int = 1, limit: int = 12_000, margin: int = 80) -> None:
-        self.w = np.zeros((classes, size), np.int64)
-        self.sum = np.zeros_like(self.w)
-        self.step, self.limit, self.margin, self.seen = step, limit, margin, 0
-
-    def learn(self, x: np.ndarray, label: int) -> None:
-        scores = self.w @ x
-        order = np.argsort(-scores, kind="stable")
-        rival = order[1] if order[0] == label else order[0]
-        if order[0] != label or scores[label] < scores[rival] + self.margin:
-            self.w[label] += self.step * x
-            self.w[rival] -= self.step * x
-            rows = [label, rival]
-            self.w[rows] = np.clip(self.w[rows], -self.limit, self.limit)
-        self.sum += self.w
-        self.seen += 1
-
-    def average(self) -> np.ndarray:
-        return self.sum // max(1, self.seen)
-
-
-def fit_perceptron(rows: DataFrame, classes: int, epochs: int = 8, shards: int = 8, key: str = "img_id", column: str = "f", label: str = "label", seed: int = 0, **options) -> DataFrame:
-    """(label, w). The rule depends on the order of rows, so it is exact for one shard. With more, every shard (a
-    hash of the key) learns alone and the weights are averaged, which lets training grow with the data."""
-
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        x = np.stack(group["f"].to_numpy()).astype(np.int64)
-        y = group["label"].to_numpy()
-        model = Perceptron(classes, x.shape[1], **options)
-        for epoch in range(epochs):
-            for i in np.random.default_rng((seed, epoch)).permutation(len(x)):
-                model.learn(x[i], int(y[i]))
-        return pd.DataFrame({"label": range(classes), "w": list(model.average())})
-
-    own = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(column).alias("f"), F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"))
-    each = own.groupBy("shard").applyInPandas(train, "label int, w array<bigint>")
-    mean = each.select("label", F.posexplode("w").alias("pos", "x")).groupBy("label", "pos").agg(F.floor(F.avg("x")).alias("x"))
-    return mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("w"))
+def _pass(batches: Iterator[pd.DataFrame], start: np.ndarray, step: int, limit: int, margin: int) -> Iterator[pd.DataFrame]:
+    """One pass over the rows of a task, from the weights ``start``: for each class its weights in the end, their sum over all
+    rows, and the number of rows. A row changes the weights unless its label leads the best other class by ``margin``."""
+    w, total, seen = start.copy(), np.zeros_like(start), 0
+    for b in batches:
+        for x, label in zip(np.stack(b["f"].to_numpy()).astype(np.int64), b["label"], strict=True):
+            scores = w @ x
+            others = np.delete(np.arange(len(w)), label)
+            rival = others[np.argmax(scores[others])]  # the first of the largest
+            first = scores[rival] > scores[label] or (scores[rival] == scores[label] and rival < label)
+            if first or scores[label] - scores[rival] < margin:
+                w[label] = np.clip(w[label] + step * x, -limit, limit)
+                w[rival] = np.clip(w[rival] - step * x, -limit, limit)
+            total += w
+            seen += 1
+    if seen:
+        yield pd.DataFrame({"label": range(len(w)), "w": list(w), "total": list(total), "seen": seen})
+
+
+def fit_perceptron(rows: DataFrame, classes: int, epochs: int = 8, shard_rows: int = 50_000, key: str = "img_id", column: str = "f", label: str = "label", seed: int = 0, step: int = 1, limit: int = 12_000, margin: int = 80, after_epoch: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """(label, w): the floor of the average of the weights after each row. The rule depends on the order of rows, which a hash of
+    the key and the epoch gives. In each epoch every task goes over its rows once, batch by batch, from the weights so
+    far, and the weights of all tasks, by their rows, are averaged for the next one (iterative parameter mixing); there is a
+    task for about ``shard_rows`` rows, so with no more than these it is the plain sequential rule. What the
+    driver holds is the model. ``after_epoch`` gets the number of the epoch and the weights (label, w), not averaged."""
+    spark = rows.sparkSession
+    own = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(column).alias("f"))
+    n, width = own.agg(F.count(F.lit(1)), F.max(F.size("f"))).first()
+    shards, w = max(1, -(-n // shard_rows)), np.zeros((classes, width or 0), np.int64)
+    total, seen = np.zeros_like(w), 0
+    for epoch in range(epochs):
+        order = F.xxhash64("key", F.lit(epoch), F.lit(seed))
+        dealt = own.withColumn("order", order).repartition(shards, "order").sortWithinPartitions("order", "key")
+        trained = dealt.mapInPandas(lambda it, w=w: _pass(it, w, step, limit, margin), "label int, w array<bigint>, total array<bigint>, seen bigint")
+        each = trained.select("label", "seen", F.posexplode(F.arrays_zip("w", "total")).alias("pos", "v"))
+        merged = each.groupBy("label", "pos").agg(F.floor(F.sum(F.col("v.w") * F.col("seen")) / F.sum("seen")).alias("w"), F.sum("v.total").alias("total"), F.sum("seen").alias("seen")).collect()
+        for r in merged:
+            w[r.label, r.pos] = r.w
+            total[r.label, r.pos] += r.total
+        seen += merged[0].seen if merged else 0
+        if after_epoch:
+            after_epoch(epoch, spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(w)], "label int, w array<bigint>"))
+    mean = total // max(1, seen)
+    return spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(mean)], "label int, w array<bigint>")
 
 
 def perceptron_scores(rows: DataFrame, weights: DataFrame, column: str = "f") -> DataFrame:
@@ -168,6 +173,73 @@ def predict(model: PipelineModel, rows: DataFrame, column: str = "f") -> DataFra
     return out.withColumn("predicted", F.col("prediction").cast("int")).drop("features", "prediction", "rawPrediction")
 
 
+def with_mean_probabilities(model: PipelineModel, rows: DataFrame, flipped: DataFrame, key: str = "img_id", column: str = "f") -> DataFrame:
+    """``rows`` with ``scores``: the mean of the probabilities of an image and of its mirror image."""
+    both = with_flips(probabilities(model, rows, column), probabilities(model, flipped, column), key)
+    return both.withColumn("scores", F.transform("scores", lambda p: p / 2))
+
+
+# ---- nearest neighbours
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """(query, distance): for each of ``asked`` (query, q) the least squared distance to a row of ``vectors`` (img_id, v) of another
+    id. The queries are sent to the rows in blocks of about ``block_rows``, each a pass over ``vectors``."""
+    blocks = max(1, -(-asked.count() // block_rows))
+    d = total(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)))
+    out = None
+    for i in range(blocks):
+        block = F.broadcast(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
+        found = vectors.join(block, F.col("img_id") != F.col("query")).groupBy("query").agg(F.min(d).alias("distance"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# ---- ridge
+
+
+def fit_ridge(rows: DataFrame, classes: int, alpha: float = 1.0, column: str = "f", label: str = "label") -> list[LinearRegressionModel]:
+    """For each class the plane of least squares to 1 for its rows and -1 for others, plus ``alpha`` times the squared length of
+    its slopes: normal equations, summed up by Spark."""
+    ready = rows.select(F.col(label).alias("own"), array_to_vector(F.transform(column, lambda v: v.cast("double"))).alias("features"))
+    sizes = {r[0]: r[1] for r in ready.groupBy("own").count().collect()}
+    n = max(1, sum(sizes.values()))
+
+    def one(c: int) -> LinearRegressionModel:
+        share = sizes.get(c, 0) / n
+        spread = 2 * (share * (1 - share)) ** 0.5  # Spark divides the penalty by the deviation of the labels
+        model = LinearRegression(regParam=alpha * spread / n, elasticNetParam=0.0, standardization=False, solver="normal")
+        return model.fit(ready.select("features", F.when(F.col("own") == c, 1.0).otherwise(-1.0).alias("label")))
+
+    return [one(c) for c in range(classes)]
+
+
+def ridge_scores(rows: DataFrame, models: list[LinearRegressionModel], column: str = "f") -> DataFrame:
+    def score(m: LinearRegressionModel) -> Column:
+        return dot(F.transform(column, lambda v: v.cast("double")), F.array(*[F.lit(float(x)) for x in m.coefficients])) + F.lit(float(m.intercept))
+
+    return rows.withColumn("scores", F.array(*[score(m) for m in models]))
+
+
+# ---- fitted models on disk
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """A missing path is an error: nothing is trained instead."""
+    return PipelineModel.load(path)
+
+
 def probabilities(model: PipelineModel, rows: DataFrame, column: str = "f") -> DataFrame:
     out = model.transform(rows.withColumn("features", array_to_vector(F.transform(column, lambda v: v.cast("double")))))
     return out.withColumn("scores", vector_to_array("probability")).drop("features", "prediction", "rawPrediction", "probability")
+
+
+def one_hot_scores(model: PipelineModel, rows: DataFrame, column: str = "f") -> DataFrame:
+    """``rows`` with ``scores``: the model's raw score of each class (one against the rest), or its probabilities."""
+    out = model.transform(rows.withColumn("features", array_to_vector(F.transform(column, lambda v: v.cast("double")))))
+    of = "probability" if "probability" in out.columns else "rawPrediction"
+    return out.withColumn("scores", vector_to_array(of)).select(*rows.columns, "scores")

@@ -58,8 +58,8 @@ def grammar_scale(vectors: DataFrame, fit_on: DataFrame, column: str = "f", eps:
 
 def correlated(vectors: DataFrame, column: str = "f", limit: float = 0.99) -> DataFrame:
     """Pairs of positions (a before b) with an absolute correlation above ``limit``: all products of a row in one
-    partial aggregation."""
+    partial aggregation. A position that never changes correlates with none."""
     d = F.size(column)
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), d - 2), lambda i: F.transform(F.sequence(i + 1, d - 1), lambda j: F.struct(i.alias("a"), j.alias("b"), F.get(column, i).cast("double").alias("x"), F.get(column, j).cast("double").alias("y")))))
     long = vectors.where(d > 1).select(F.explode(pairs).alias("p")).select("p.*")
-    return long.groupBy("a", "b").agg(F.corr("x", "y").alias("r")).where(F.abs("r") > limit)
+    return long.groupBy("a", "b").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r")).where(F.abs("r") > limit)

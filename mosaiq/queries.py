@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import planes
-from mosaiq.functions.lambdas import indexes, total
-from mosaiq.operators import boards, learn, morphology, scaling, stats, symmetry
+from mosaiq.functions.lambdas import left, total
+from mosaiq.operators import boards, cayley, learn, morphology, scaling, stats, symmetry, tableau
 from mosaiq.plans import grammar
 from mosaiq.plans.featurizer import Featurizer
 from mosaiq.sources.images import derived_images
@@ -702,6 +702,117 @@ def trees_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("img_id", "label", "predicted")
 
 
+def flipped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vectors`` of the mirror images."""
+    own = images(spark, sf_dir).withColumn("gray", symmetry.flip_x(planes.gray_u8(*rgb())))
+    return own.select("img_id", "label", "split", F.concat(stats.grid(boards.at_least(F.col("gray"), 100)), F.array(F.lit(1).cast("bigint"))).alias("f"))
+
+
+@query("perceptron_flip_accuracy")
+def perceptron_flip_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on images and mirror images; scores of both are added."""
+    own, mirror = vectors(spark, sf_dir), flipped_vectors(spark, sf_dir)
+    both = own.unionByName(mirror.withColumn("img_id", -1 - F.col("img_id"))).where("split = 'train'")
+    weights = learn.fit_perceptron(both, classes=10, epochs=2)
+    scored = learn.with_flips(learn.perceptron_scores(own.where("split = 'test'"), weights), learn.perceptron_scores(mirror.where("split = 'test'"), weights))
+    return scored.agg(learn.accuracy(learn.argmax(F.col("scores")), F.col("label")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+@query("perceptron_by_epoch")
+def perceptron_by_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accuracy of the weights after each epoch, before they are averaged."""
+    own, seen = vectors(spark, sf_dir).cache(), []
+
+    def note(epoch: int, weights: DataFrame) -> None:
+        scored = learn.perceptron_scores(own.where("split = 'test'"), weights)
+        seen.append((epoch, scored.agg(learn.accuracy(learn.argmax(F.col("scores")), F.col("label"))).first()[0]))
+
+    learn.fit_perceptron(own.where("split = 'train'"), classes=10, epochs=3, after_epoch=note)
+    own.unpersist()
+    return spark.createDataFrame(seen, "epoch int, accuracy double")
+
+
+@query("trees_rf_flip")
+def trees_rf_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the probabilities of an image and of its mirror image."""
+    own, mirror = vectors(spark, sf_dir), flipped_vectors(spark, sf_dir)
+    model = learn.fit_forest(own.where("split = 'train'"), trees=10, depth=5)
+    out = learn.with_mean_probabilities(model, own.where("split = 'test'"), mirror.where("split = 'test'"))
+    return out.select("img_id", "label", learn.argmax(F.col("scores")).alias("predicted"))
+
+
+@query("trees_early_stop")
+def trees_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of each label is held out; boosting stops when it gets no better there."""
+    own = vectors(spark, sf_dir)
+    train = learn.stratified_split(own.where("split = 'train'"), "img_id", "label")
+    out = learn.predict(learn.fit_boosted(train, rounds=3, depth=2, held_out="held_out"), own.where("split = 'test'"))
+    return out.select("img_id", "label", "predicted")
+
+
+@query("ridge_accuracy")
+def ridge_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = vectors(spark, sf_dir)
+    scored = learn.ridge_scores(own.where("split = 'test'"), learn.fit_ridge(own.where("split = 'train'"), classes=10))
+    return scored.agg(learn.accuracy(learn.argmax(F.col("scores")), F.col("label")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+# ---- the group as a graph
+
+
+@query("cayley_edges", "SELECT CAST(g AS INTEGER) AS g, step, CAST(CASE WHEN step = 'r' THEN g // 4 * 4 + (g + 1) % 4 ELSE 4 - g // 4 * 4 + (4 - g % 4) % 4 END AS INTEGER) AS next FROM (SELECT unnest(range(8)) AS g) CROSS JOIN (SELECT unnest(['r', 's']) AS step)")
+def cayley_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cayley.edges(spark)
+
+
+_OWN, _ALONG_R, _ALONG_S, _BIAS = ((1, -1, 0, 2), (0, 1, 1, -1)), ((2, 0, -1, 0), (-1, 1, 0, 1)), ((0, 1, 0, -2), (1, 0, -2, 1)), (5, -3)
+
+
+def _messages_sql() -> str:
+    side = lambda t, w: " + ".join(f"({x}) * {t}.q[{i + 1}]" for i, x in enumerate(w))
+    rows = ", ".join(f"greatest(0, {side('o', _OWN[j])} + {side('a', _ALONG_R[j])} + {side('b', _ALONG_S[j])} + ({b}))::DOUBLE AS h{j}" for j, b in enumerate(_BIAS))
+    quarters = "qs AS (SELECT img_id, e % 2 * 4 + e // 2 AS g, y // 16 * 2 + x // 16 AS k, sum(CASE WHEN gray >= 100 THEN 1 ELSE 0 END) AS n FROM d8 GROUP BY ALL), q AS MATERIALIZED (SELECT img_id, g, list(n ORDER BY k) AS q FROM qs GROUP BY img_id, g)"
+    h = f"h AS (SELECT o.img_id, {rows} FROM q o JOIN q a ON a.img_id = o.img_id AND a.g = o.g // 4 * 4 + (o.g + 1) % 4 JOIN q b ON b.img_id = o.img_id AND b.g = 4 - o.g // 4 * 4 + (4 - o.g % 4) % 4)"
+    return with_(_D4, quarters, h, select="SELECT img_id, CAST(0 AS INTEGER) AS pos, avg(h0) AS v FROM h GROUP BY img_id UNION ALL SELECT img_id, 1, avg(h1) FROM h GROUP BY img_id")
+
+
+@query("cayley_messages", _messages_sql())
+def cayley_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of messages over the orbit of an image's four quarters, and the mean over the group."""
+    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
+    quarters = lambda e: F.transform(stats.grid(boards.at_least(symmetry.moved(F.col("gray"), e), 100), 2), lambda v: v.cast("double"))
+    orbit = own.select("img_id", cayley.by_rotation(F.array(*[quarters(e) for e in range(8)])).alias("o"))
+    out = orbit.select("img_id", cayley.pooled(cayley.layer(F.col("o"), _OWN, _ALONG_R, _ALONG_S, _BIAS)).alias("f"))
+    return out.select("img_id", F.posexplode("f").alias("pos", "v"))
+
+
+_TABLEAU = "b AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS b FROM embeddings), t0 AS (SELECT vec_id, b[1:32] AS x, b[33:64] AS z, 0 AS p FROM b)"
+
+
+def _tableau_sql() -> str:
+    """Lists of bits, gate by gate."""
+    parts, put = [_TABLEAU], lambda k, q, v: f"list_concat({k}[1:{q}], [{v}], {k}[{q + 2}:32])"
+    for i, (gate, q) in enumerate(_GATES):
+        x, z = f"x[{q + 1}]", f"z[{q + 1}]"
+        new = (put("x", q, z), put("z", q, x)) if gate == "h" else ("x", put("z", q, f"xor({x}, {z})"))
+        parts.append(f"t{i + 1} AS (SELECT vec_id, {new[0]} AS x, {new[1]} AS z, xor(p, {x} & {z}) AS p FROM t{i})")
+    number = lambda k: f"CAST(list_sum(list_transform(range(32), lambda i: {k}[i + 1]::BIGINT << i)) AS BIGINT)"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, {number('x')} AS x, {number('z')} AS z, CAST(p AS INTEGER) AS phase FROM t{len(_GATES)}"
+
+
+_GATES = (("h", 3), ("s", 3), ("s", 5), ("h", 5), ("h", 3), ("s", 31), ("h", 0), ("s", 5))
+
+
+@query("tableau_gates", _tableau_sql())
+def tableau_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates on stabiliser rows made of the signs of the embeddings."""
+    bits = lambda start: total(F.transform(F.slice("embedding", start, 32), lambda v, i: F.when(v > 0, left(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", bits(1).alias("x"), bits(33).alias("z"), F.lit(0).alias("phase"))
+    for gate, qubit in _GATES:
+        rows = (tableau.hadamard if gate == "h" else tableau.phase)(rows, qubit)
+    return rows
+
+
 # ---- forms over bits
 
 
@@ -733,16 +844,15 @@ def local_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _three(spark, sf_dir).select("img_id", stats.count(F.zip_with(both, "c", lambda x, y: x.bitwiseAND(y))).alias("n"))
 
 
-@query("cayley_knn", with_(_D4_GRID, "o AS MATERIALIZED (SELECT * FROM d4g WHERE img_id < 400), t AS MATERIALIZED (SELECT * FROM d4g WHERE e = 0 AND img_id % 50 = 0), ds AS (SELECT t.img_id AS query, o.img_id, o.e, sum((t.n - o.n) * (t.n - o.n)) AS d FROM t JOIN o ON o.pos = t.pos AND o.img_id <> t.img_id GROUP BY ALL)".replace("o AS MATERIALIZED (SELECT * FROM d4g WHERE img_id < 400)", "o AS MATERIALIZED (SELECT * FROM d4g)"), select="SELECT query, CAST(min(d) AS BIGINT) AS distance FROM ds GROUP BY query"))
+@query("cayley_knn", with_(_D4_GRID, "t AS MATERIALIZED (SELECT * FROM d4g WHERE e = 0 AND img_id % 50 = 0), ds AS (SELECT t.img_id AS query, o.img_id, o.e, sum((t.n - o.n) * (t.n - o.n)) AS d FROM t JOIN d4g o ON o.pos = t.pos AND o.img_id <> t.img_id GROUP BY ALL)", select="SELECT query, CAST(min(d) AS BIGINT) AS distance FROM ds GROUP BY query"))
 def cayley_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query (ids divisible by 50) the least distance to another image in any of its eight forms. The
-    orbit of a query has the same distances, so one side is moved only. Queries are sent in one block."""
+    orbit of a query has the same distances, so one side is moved only. Queries are sent in blocks of bounded size."""
     own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
     forms = own.select("img_id", F.posexplode(F.array(*[symmetry.moved(F.col("gray"), e) for e in range(8)])).alias("e", "p"))
     grids = forms.select("img_id", "e", stats.grid(boards.at_least(F.col("p"), 100)).alias("v"))
     asked = grids.where("e = 0 and img_id % 50 = 0").select(F.col("img_id").alias("query"), F.col("v").alias("q"))
-    d = total(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)))
-    return grids.join(F.broadcast(asked), F.col("img_id") != F.col("query")).groupBy("query").agg(F.min(d).alias("distance"))
+    return learn.nearest(grids, asked)
 
 
 @query("dce_columns", with_(_VEC, select="SELECT CAST(pos AS INTEGER) AS pos FROM vec GROUP BY pos HAVING var_pop(x) <= 1e-8"))
@@ -752,19 +862,21 @@ def dce_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where(scaling.variance(F.col("m2"), F.col("n")) <= 1e-8).select("pos")
 
 
-@query("cse_columns", with_(_VEC, select="SELECT CAST(a.pos AS INTEGER) AS a, CAST(b.pos AS INTEGER) AS b, round(corr(a.x, b.x), 6) AS r FROM vec a JOIN vec b ON a.img_id = b.img_id AND a.pos < b.pos WHERE a.pos < 16 AND b.pos < 16 GROUP BY a.pos, b.pos HAVING abs(corr(a.x, b.x)) > 0.1"))
+@query("cse_columns", with_(_VEC, "c AS (SELECT a.pos AS a, b.pos AS b, corr(a.x, b.x) AS r FROM vec a JOIN vec b ON a.img_id = b.img_id AND a.pos < b.pos GROUP BY a.pos, b.pos)", select="SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(r, 6) AS r FROM c WHERE NOT isnan(r) AND abs(r) > 0.1"))
 def cse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions (of the first 16) that tell the same."""
-    own = vectors(spark, sf_dir).select(F.slice("f", 1, 16).alias("f"))
-    return scaling.correlated(own, limit=0.1).select("a", "b", F.round("r", 6).alias("r"))
+    """Positions that tell much the same."""
+    return scaling.correlated(vectors(spark, sf_dir), limit=0.1).select("a", "b", F.round("r", 6).alias("r"))
+
+
+_PRODUCTS = "pr AS (SELECT img_id, pos, CAST(x AS BIGINT) AS v FROM vec UNION ALL SELECT a.img_id, 65 + a.pos * 65 + b.pos, CAST(a.x * b.x AS BIGINT) FROM vec a JOIN vec b ON a.img_id = b.img_id AND a.pos <= b.pos)"
 
 
-@query("quadratic_ir", with_(_VEC, select="SELECT img_id, CAST(sum(x) AS BIGINT) AS linear, CAST((sum(x) * sum(x) + sum(x * x)) / 2 AS BIGINT) AS quadratic FROM vec WHERE pos < 8 GROUP BY img_id"))
+@query("quadratic_ir", with_(_VEC, _PRODUCTS, select=_AS_TEXT.format(t="pr")))
 def quadratic_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight values and all their products, each pair once: the sums of both parts."""
-    own = vectors(spark, sf_dir).select("img_id", F.slice("f", 1, 8).alias("f"))
-    products = F.flatten(F.transform("f", lambda v, i: F.transform(F.slice("f", i + 1, 8 - i), lambda w: v * w)))
-    return own.select("img_id", total(F.col("f")).alias("linear"), total(products).alias("quadratic"))
+    """All values and all their products, each pair once."""
+    d = F.size("f")
+    products = F.flatten(F.transform("f", lambda v, i: F.transform(F.slice("f", i + 1, d - i), lambda w: v * w)))
+    return joined(vectors(spark, sf_dir).withColumn("f", F.concat("f", products)))
 
 
 @query("pass_entropy", with_(M100, _WINDOWS, f"tr AS ({dense('SELECT img_id, 2*a + b AS code FROM w2 WHERE x < 31', 4)})", select="SELECT img_id, round(-sum(CASE WHEN v > 0 THEN v / 992.0::DOUBLE * log2(v / 992.0::DOUBLE) ELSE 0 END), 6) AS bits FROM tr GROUP BY img_id"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import zlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators.scaling import apply_scale
+
 
 def short_hash(value) -> str:
-    """16 hex digits of the SHA-1 of a value as canonical JSON."""
-    return hashlib.sha1(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+    """A name of 16 hex digits for a configuration: two checksums, of its JSON with sorted keys and of that reversed."""
+    text = json.dumps(value, sort_keys=True).encode()
+    return f"{zlib.crc32(text):08x}{zlib.crc32(text[::-1]):08x}"
 
 
 def fingerprint(rows: DataFrame) -> dict:
@@ -41,3 +44,9 @@ def cached(rows: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str
 def scaled_path(path: str, use_var: bool, eps: float, scale: float) -> str:
     """Where a scaled copy goes; unlike a name with whole numbers, 16.0 and 16.5 differ."""
     return f"{path}_diag{int(use_var)}_eps{eps!r}_s{scale!r}"
+
+
+def write_scaled(vectors: DataFrame, inverse: DataFrame, path: str, scale: float = 16.0, column: str = "f") -> DataFrame:
+    """Writes ``vectors`` scaled by ``inverse`` (pos, inv) to ``path``, in place of what is there, and reads them back."""
+    apply_scale(vectors, inverse, column, scale).write.mode("overwrite").parquet(f"{path}.parquet")
+    return vectors.sparkSession.read.parquet(f"{path}.parquet")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import learn, morphology, scaling, stats, symmetry
+from mosaiq import __main__ as command_line
+from mosaiq.operators import cayley, learn, morphology, scaling, stats, symmetry
 from mosaiq.plans import grammar
 from mosaiq.plans.featurizer import Featurizer, parse_ints
 from mosaiq.sources import cache, images
@@ -134,10 +135,64 @@ def test_scores_of_ties_take_the_first(spark):
     assert [tuple(r) for r in rows.select(learn.argmax(F.col("s")), learn.runner_up(F.col("s"))).collect()] == [(1, 2), (0, 1), (0, 2)]
 
 
-def test_perceptron_floors_its_average():
-    p = learn.Perceptron(2, 1, margin=1)
-    p.sum[:], p.seen = [[-7], [7]], 2
-    assert p.average().tolist() == [[-4], [3]]
+def plain_perceptron(x, y, classes, orders, margin, limit, step=1):
+    w = np.zeros((classes, x.shape[1]), np.int64)
+    total, n = np.zeros_like(w), 0
+    for order in orders:
+        for i in order:
+            scores = w @ x[i]
+            best = int(np.argmax(scores))
+            rest = scores.copy()
+            rest[best] = np.iinfo(np.int64).min
+            if best != y[i] or scores[best] - rest.max() < margin:
+                rival = best if best != y[i] else int(np.argmax(rest))
+                w[y[i]] = np.clip(w[y[i]] + step * x[i], -limit, limit)
+                w[rival] = np.clip(w[rival] - step * x[i], -limit, limit)
+            total, n = total + w, n + 1
+    return total // n
+
+
+def test_perceptron_of_one_shard_is_the_sequential_rule(spark):
+    r = np.random.default_rng(3)
+    x, y = r.integers(-5, 9, (60, 4)), r.integers(0, 3, 60)
+    rows = spark.createDataFrame([(i, int(y[i]), [int(v) for v in x[i]]) for i in range(60)], "img_id long, label int, f array<int>").repartition(3)
+    orders = [[a.img_id for a in rows.orderBy(F.xxhash64("img_id", F.lit(e), F.lit(0)), "img_id").collect()] for e in range(3)]
+    seen = []
+    got = {a.label: a.w for a in learn.fit_perceptron(rows, 3, epochs=3, margin=20, limit=40, after_epoch=lambda e, w: seen.append((e, w.count()))).collect()}
+    want = plain_perceptron(x, y, 3, orders, 20, 40)
+    assert got == {c: want[c].tolist() for c in range(3)} and (want < 0).any() and seen == [(0, 3), (1, 3), (2, 3)]
+    many = {a.label: a.w for a in learn.fit_perceptron(rows, 3, epochs=2, shard_rows=20).collect()}
+    assert set(many) == {0, 1, 2} and all(len(w) == 4 for w in many.values())
+
+
+def test_ridge_against_the_normal_equations(spark):
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(80, 3)), r.integers(0, 3, 80)
+    rows = spark.createDataFrame([(i, int(y[i]), [float(v) for v in x[i]]) for i in range(80)], "img_id long, label int, f array<double>")
+    models = learn.fit_ridge(rows, 3, alpha=2.0)
+    centre = x - x.mean(axis=0)
+    for c, m in enumerate(models):
+        t = np.where(y == c, 1.0, -1.0)
+        w = np.linalg.solve(centre.T @ centre + 2.0 * np.eye(3), centre.T @ (t - t.mean()))
+        assert m.coefficients.toArray() == pytest.approx(w, abs=1e-6) and m.intercept == pytest.approx(t.mean() - x.mean(axis=0) @ w, abs=1e-6)
+    scores = np.array([a.scores for a in learn.ridge_scores(rows, models).orderBy("img_id").collect()])
+    assert scores.shape == (80, 3)
+
+
+def test_models_are_saved_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 2, [float(i % 2), float(i)]) for i in range(20)], "img_id long, label int, f array<double>")
+    model = learn.fit_forest(rows, trees=3, depth=2)
+    learn.save_model(model, str(tmp_path / "m"))
+    same = learn.load_model(str(tmp_path / "m"))
+    assert [a.predicted for a in learn.predict(same, rows).collect()] == [a.predicted for a in learn.predict(model, rows).collect()]
+    with pytest.raises(Exception, match="does not exist|not exist"):
+        learn.load_model(str(tmp_path / "none"))
+
+
+def test_group_relations():
+    r, s = cayley.turned, cayley.mirrored
+    for g in range(8):
+        assert r(r(r(r(g)))) == s(s(g)) == g and s(r(s(r(g)))) == g
 
 
 def test_batches_are_read(spark, tmp_path):
@@ -173,3 +228,23 @@ def test_stream_equals_batch(spark, tmp_path):
     m = scaling.moments(rows)
     want = {r.pos: (r.n, r.mean, pytest.approx(r.var)) for r in m.select("pos", "n", "mean", scaling.variance(F.col("m2"), F.col("n")).alias("var")).collect()}
     assert {r.pos: (r.n, r["mean"], r["var"]) for r in spark.table("running").collect()} == want
+
+
+@pytest.mark.parametrize("flags", ["--epochs 2 --flip_train --flip_eval --diag_scale --no_lbp", "--classifier diaglda --no_diag_use_var --diag_scale --use_d4 --d4_pooling max", "--classifier lightgbm --lgbm_n_estimators 2 --lgbm_max_depth 2 --save_model {0}/m --flip_eval"])
+def test_command_line(spark, tmp_path, flags):
+    own = pictures(spark, 24)
+    split = F.when(F.col("img_id") % 3 == 0, "test").otherwise("train")
+    bright = F.transform("r", lambda v: F.least(F.lit(255), v + 120 * F.col("label")))
+    own.withColumns({"split": split, "r": bright}).write.parquet(str(tmp_path / "in.parquet"))
+    common = f"--data_root {tmp_path}/in.parquet --cache_dir {tmp_path}/cache --gray_thresholds 80,120 --rg_tpos 20 --yb_tpos= --sat_th 60 --no_grad "
+    got = command_line.main((common + flags.format(tmp_path)).split(), spark)
+    assert (got["train"], got["test"]) == (32 if "flip_train" in flags else 16, 8) and 0 <= got["accuracy"] <= 1
+    assert len(got["by_epoch"]) == (2 if "epochs" in flags else 0) and (tmp_path / "m").exists() == ("save_model" in flags)
+
+
+def test_scaled_copies_are_written_anew(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [i, 3 * i]) for i in range(9)], "img_id long, f array<int>")
+    inverse = scaling.inverse_deviation(rows, eps=1.0)
+    for scale in (4.0, 8.0):
+        got = cache.write_scaled(rows, inverse, str(tmp_path / "x"), scale)
+        assert {r.img_id: r.f for r in got.collect()} == {r.img_id: r.f for r in scaling.apply_scale(rows, inverse, scale=scale).collect()}
