@@ -8,7 +8,7 @@ history of a text's first word is the end of a text and what is before it.
 No word and no n-gram is left out. Words are told apart by 64-bit hashes. All trigrams with one middle word v are in one bucket, with
 all bigrams after v; so a bucket has all that alpha(v), alpha(u, v) and its tokens' probabilities need, but for the counts of single
 words, which it asks for. The histories of a word with very many tokens are dealt to several buckets, whose counts of bigrams are then
-added up in Spark. Buckets are as many as the tokens ask for; each holds some two million. Tokens travel as compressed arrays, once
+added up in Spark. Buckets are as many as the tokens ask for; each holds about a million. Tokens travel as compressed arrays, once
 to count and once, with the discounts known, to be scored; each bucket adds up its part of every text.
 """
 
@@ -30,7 +30,7 @@ from mosaiq.llm.common import cut, release, workspace
 #: Good-Turing discounts counts up to this one.
 LARGEST = 5
 #: Tokens of a slice of texts, of a bucket, and of a word whose histories stay together, about.
-TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 21, 1 << 20
+TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 20
 #: Counts of words that are at least this part of the tokens, 1 / HEAD at most, are sent to the tasks; the others are joined.
 HEAD = 4e-6
 #: Hashes of the end of a text and of what is before it: of strings that are no words.
@@ -148,18 +148,27 @@ def _blobs(part: pa.Array, held: np.ndarray, first: int, head: Head) -> Iterator
     new = np.append(True, owner[1:] != owner[:-1])
     v = np.where(new, end, np.append(end, at)[:n])
     u = np.where(new, pad, np.append(pad, v)[:n])
-    order = np.lexsort((at, u, v, owner))
-    u, v, w, owner = u[order], v[order], at[order], owner[order]
-    start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (owner[1:] != owner[:-1])))
-    times = np.diff(np.append(start, n))
-    u, v, w, owner = u[start], v[start], w[start], owner[start]
-    mixed, parts = _mix(words.view(_U)), head.of(head.parts, words, 1).astype(_U)
+    # equal trigrams of a text next to each other, by a hash; were two of one hash to lie mixed, they would only not be joined
+    mixed = _mix(words.view(_U))
+    order = np.argsort(_mix(_mix(mixed[u] + mixed[v] * _U(3)) + mixed[at] * _U(5) + owner.view(_U)))
+    a = order[1:], order[:-1]
+    new = np.append(True, (at[a[0]] != at[a[1]]) | (v[a[0]] != v[a[1]]) | (u[a[0]] != u[a[1]]) | (owner[a[0]] != owner[a[1]]))
+    start = np.flatnonzero(new)
+    times = np.zeros(n, np.int64)
+    times[order[start]] = np.diff(np.append(start, n))
+    kept = np.flatnonzero(times)  # in the order of the texts
+    u, v, w, owner, times = u[kept], v[kept], at[kept], owner[kept], times[kept]
+    parts, rank = head.of(head.parts, words, 1).astype(_U), np.zeros(len(words), np.uint32)
     bucket = (_mix(mixed[v] + mixed[u] % parts[v]) % _U(head.buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bounds = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)), len(order))
     for a, b in zip(bounds, bounds[1:], strict=False):
         own = order[a:b]
-        used, codes = np.unique(np.concatenate([u[own], v[own], w[own]]), return_inverse=True)
+        codes, there = np.concatenate([u[own], v[own], w[own]]), np.zeros(len(words), bool)
+        there[codes] = True
+        used = np.flatnonzero(there)
+        rank[used] = np.arange(len(used), dtype=np.uint32)
+        codes = rank[codes]
         texts = owner[own] * 2 + held[owner[own]]
         small = np.uint16 if len(used) <= 1 << 16 else np.uint32
         yield (int(bucket[own[0]]), first, b - a, len(used), _packed(np.diff(words[used].view(_U), prepend=_U(0))), _packed(codes.astype(small)), _packed(np.diff(texts, prepend=0).astype(np.int32)), _packed(times[own].astype(np.uint32)))
