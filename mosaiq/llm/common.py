@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -68,6 +69,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns what a batch has freed to the system. Python workers live on from stage to stage, and else keep their
+    largest batch's memory beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_key(text: Column | str) -> Column:
     """16 bytes that stand for a text; a null text counts as an empty one."""
     return F.unhex(F.md5(F.coalesce(_col(text), F.lit(""))))

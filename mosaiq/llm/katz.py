@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import cut, release, workspace
+from mosaiq.llm.common import cut, give_back, release, workspace
 
 #: Good-Turing discounts counts up to this one.
 LARGEST = 5
@@ -45,7 +45,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield a, texts.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,12 +10,15 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import SPACE, WORD, words
+from mosaiq.llm.common import WORD, give_back, words
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Documents packed together at most; bins do not span such cells.
@@ -135,22 +138,28 @@ def pack_texts(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, cell: int =
     order, are its text to the last character. A null text gives an empty piece."""
 
     def cut_at(body: str, starts: list[int]) -> list[str]:
-        if len(starts) == 1:
-            return [body]
         at = [m.start() for m in re.finditer(WORD, body)] + [len(body)]
         ends = [0, *[at[min(s, len(at) - 1)] for s in starts[1:]], len(body)]
         return [body[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        for c in _cells(batches, cell):
-            c["n_tokens"] = [sum(1 for w in re.split(SPACE, x) if w) + 1 for x in c["text"]]
-            out = _packed(c, lengths, first)
-            first += int(out["bin"].max() - first + 1) if len(out) else 0
-            out["text"] = [x for row, starts in out.groupby("row", sort=True)["start"] for x in cut_at(c["text"].iat[row], list(starts))]
-            yield pd.DataFrame({"doc_id": c["doc_id"].to_numpy()[out["row"]], **{k: out[k] for k in ("piece", "start", "length", "bin", "place", "capacity", "text")}})
+        for b in batches:
+            for start in range(0, b.num_rows, cell):
+                ids, texts = (b.column(i).slice(start, cell) for i in (0, 1))
+                out = _packed(pd.DataFrame({"n_tokens": pc.count_substring_regex(texts, pattern=WORD).to_numpy(zero_copy_only=False).astype(np.int64) + 1}), lengths, first)
+                first += int(out["bin"].max() - first + 1)
+                row = out["row"].to_numpy(np.int64)
+                pieces = texts.take(pa.array(row))  # whole texts but for those of several pieces
+                if (out["piece"] > 0).any():
+                    several = out[out["row"].isin(out.loc[out["piece"] > 0, "row"])]
+                    cuts = {(r, k): x for r, starts in several.groupby("row")["start"] for k, x in enumerate(cut_at(texts[r].as_py(), list(starts)))}
+                    held = np.array([(r, k) in cuts for r, k in zip(row, out["piece"], strict=True)])
+                    pieces = pc.replace_with_mask(pieces, pa.array(held), pa.array([cuts[r, k] for r, k in zip(row[held], out["piece"].to_numpy()[held], strict=True)], pieces.type))
+                columns = [pa.array(out[k].to_numpy(), t) for k, t in (("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("bin", pa.int64()), ("place", pa.int32()), ("capacity", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *columns, pieces], ["doc_id", "piece", "start", "length", "bin", "place", "capacity", "text"])
+            give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, piece int, start long, length int, bin long, place int, capacity int, text string")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length int, bin long, place int, capacity int, text string")

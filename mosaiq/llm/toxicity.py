@@ -12,13 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import cut, small, text_key
+from mosaiq.llm.common import cut, give_back, small, text_key
 
 #: Word rims that are not part of a token.
 RIM = ".,;:!?|\"'`()[]{}<>*#$%&_-"
 STEMS = (5, 4)
 #: Bytes of text handled at once, or one text.
-BYTES = 1 << 23
+BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def slices(texts: pa.Array) -> Iterator[pa.Array]:
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield texts.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
