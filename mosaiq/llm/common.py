@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -64,9 +65,12 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Frees the shuffle files of jobs that are over. Spark removes them when the driver's JVM finds that nothing
-    refers to them any more; this asks it to look now, not when its heap happens to fill."""
-    gc.collect()
-    spark._jvm.System.gc()
+    refers to them any more; this asks it to look now, not when its heap happens to fill, and gives its cleaner, which
+    works on the side, a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def give_back() -> None:
