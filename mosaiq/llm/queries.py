@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import embeddings, katz, minhash, mixing, packing, quality, secrets, sharding, sql, toxicity, urls
-from mosaiq.llm.common import cut, id_crc, read
+from mosaiq.llm import embeddings, katz, minhash, mixing, packing, quality, runs, secrets, sharding, sql, toxicity, urls
+from mosaiq.llm.common import cut, id_crc, let, read, words
 
 
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,32 @@ def op10_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(docs, F.pmod(id_crc("doc_id"), F.lit(7)) == 2)
 
 
+def made_periodic(doc_id: str, text: str):
+    """The text of every tenth id (by its CRC h) with the words from a = g % n on made periodic: word i is word a + (i - a) % p of the n words,
+    g = h // 10, p = 1 + (n - a) // (3 + g % 8). Words are then joined by one space; other texts stay."""
+    h = id_crc(doc_id)
+    g = F.floor(h / 10)
+
+    def of(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    return F.when((h % 10 == 0) & F.col(text).rlike(r"[^\x20\x09-\x0D]"), let(words(text), of)).otherwise(F.col(text))
+
+
+def op11_collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", made_periodic("doc_id", "text").alias("text"))
+    found = runs.collapse_runs(docs)
+    more = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    best = F.aggregate("runs", F.get("runs", 0), lambda best, r: F.when(more(r, best), r).otherwise(best))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))))
+    own = found.select("doc_id", "runs", best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period")
+    return own.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 # What of op1, op2 and op10 no method decides, from their own results, so that SQL can be held against it.
 
 
