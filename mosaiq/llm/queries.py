@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import embeddings, katz, minhash, mixing, packing, quality, runs, secrets, sharding, sql, toxicity, urls
-from mosaiq.llm.common import cut, id_crc, let, read, words
+from mosaiq.llm import alignment, embeddings, katz, minhash, mixing, packing, quality, runs, secrets, sharding, sql, toxicity, urls
+from mosaiq.llm.common import cut, id_crc, let, read, words, workspace
 
 
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,17 @@ def op11_collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with workspace(spark) as keep:
+        aligned = alignment.align(read(spark, sf_dir, "documents").select("doc_id", "text"))
+        digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+        own = keep(aligned.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "a", "b", "n", F.monotonically_increasing_id().alias("row")))
+        sums = alignment.link_sums(own)
+        out = own.drop("a", "b", "n").join(sums, "row", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        return cut(out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256"))
+
+
 # What of op1, op2 and op10 no method decides, from their own results, so that SQL can be held against it.
 
 
