@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import alignment, embeddings, katz, minhash, mixing, packing, quality, runs, secrets, sharding, sql, toxicity, urls
-from mosaiq.llm.common import cut, id_crc, let, read, words, workspace
+from mosaiq.llm import alignment, embeddings, katz, minhash, mixing, packing, quality, runs, secrets, sharding, sql, toxicity, urls, warc
+from mosaiq.llm.common import cut, delete, id_crc, let, read, shared_folder, words, workspace
 
 
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +105,18 @@ def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return cut(out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256"))
 
 
+def op13_assemble_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with workspace(spark) as keep:
+        folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+        try:
+            warc.write_archives(read(spark, sf_dir, "pages"), folder)
+            records = keep(warc.read_archives(spark, folder).drop("payload"))
+        finally:
+            delete(spark, folder)
+        found = warc.page_captures(keep(warc.captures(records)))
+        return cut(found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_page").alias("refers_to")))
+
+
 # What of op1, op2 and op10 no method decides, from their own results, so that SQL can be held against it.
 
 
