@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.operators import learn, scaling, symmetry
+from mosaiq.operators import boosting, learn, scaling, symmetry
 from mosaiq.plans.featurizer import Featurizer, parse_ints
 from mosaiq.sources import cache
 from mosaiq.sources.images import read_images
@@ -24,11 +24,11 @@ VALUES = {
     "blocks": 4, "color_hist_bins": 4, "lbp_eps": 0,
     "ca_steps": 0, "ca_birth_min": 5, "ca_birth_max": 8, "ca_survive_min": 4, "ca_survive_max": 8,
     "diag_eps": 1e-6, "diag_scale_factor": 16.0,
-    "lgbm_n_estimators": 500, "lgbm_max_depth": 8, "lgbm_learning_rate": 0.05,
+    "lgbm_n_estimators": 500, "lgbm_max_depth": 8, "lgbm_num_leaves": 256, "lgbm_learning_rate": 0.05,
 }
 SWITCHES = ("force_feat", "flip_eval", "flip_train", "no_edges", "no_grad", "no_markov", "no_lbp", "lbp_flip_invariant", "no_bias", "ca_no_diag", "diag_scale", "use_d4")
-#: Taken and without effect: Spark divides the work, and its trees are bounded by depth.
-NO_EFFECT = {"chunk_feat": 512, "num_workers": 1, "lgbm_num_leaves": 256}
+#: Taken and without effect: Spark divides the work.
+NO_EFFECT = {"chunk_feat": 512, "num_workers": 1}
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -87,10 +87,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         classes = model.first().classes
         score = lambda rows: learn.discriminant_scores(rows, model).withColumn("label", F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("int") - 1)
     else:
-        model = learn.load_model(a.load_model) if a.load_model else learn.fit_boosted(train, rounds=a.lgbm_n_estimators, depth=a.lgbm_max_depth, rate=a.lgbm_learning_rate, seed=a.seed)
+        model = boosting.load_trees(spark, a.load_model) if a.load_model else boosting.fit_trees(train, rounds=a.lgbm_n_estimators, depth=a.lgbm_max_depth, leaves=a.lgbm_num_leaves, rate=a.lgbm_learning_rate)
         if a.save_model:
-            learn.save_model(model, a.save_model)
-        score = lambda rows: learn.one_hot_scores(model, rows)
+            boosting.save_trees(spark, model, a.save_model)
+        score = lambda rows: boosting.tree_probabilities(rows, model).withColumn("label", F.array_position(F.array(*map(F.lit, model.classes)), F.col("label")).cast("int") - 1)
     scored = learn.with_flips(score(test), score(mirror)) if a.flip_eval else score(test)
     return {"classifier": a.classifier, "features": featurizer(a).size, "train": train.count(), "test": test.count(), "accuracy": correct(scored), "by_epoch": by_epoch}
 

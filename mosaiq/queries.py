@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import planes
 from mosaiq.functions.lambdas import left, total
-from mosaiq.operators import boards, cayley, learn, morphology, scaling, stats, symmetry, tableau
+from mosaiq.operators import boards, boosting, cayley, learn, morphology, scaling, stats, symmetry, tableau
 from mosaiq.plans import grammar
 from mosaiq.plans.featurizer import Featurizer
 from mosaiq.sources.images import derived_images
@@ -750,6 +750,29 @@ def trees_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("img_id", "label", "predicted")
 
 
+def _best_class(model: boosting.Boosted) -> Column:
+    return F.element_at(F.array(*map(F.lit, model.classes)), learn.argmax(F.col("scores")) + 1)
+
+
+@query("trees_multiclass")
+def trees_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees for all classes at once, grown leaf by leaf."""
+    own = vectors(spark, sf_dir)
+    model = boosting.fit_trees(own.where("split = 'train'"), rounds=20, depth=4, leaves=12, rate=0.1)
+    return boosting.tree_probabilities(own.where("split = 'test'"), model).select("img_id", "label", _best_class(model).alias("predicted"))
+
+
+@query("trees_multiclass_early_stop")
+def trees_multiclass_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of each label is held out; the rounds after the one with the least loss there are dropped, and images and mirror images are
+    judged by the mean of their probabilities."""
+    own, mirror = vectors(spark, sf_dir), flipped_vectors(spark, sf_dir)
+    train = learn.stratified_split(own.where("split = 'train'"), "img_id", "label")
+    model = boosting.fit_trees(train, rounds=12, depth=4, leaves=12, rate=0.3, held_out="held_out", patience=3)
+    both = learn.with_flips(*[boosting.tree_probabilities(v.where("split = 'test'"), model) for v in (own, mirror)])
+    return both.select("img_id", "label", _best_class(model).alias("predicted"), F.lit(len(model.rounds)).alias("rounds"))
+
+
 @query("ridge_accuracy")
 def ridge_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = vectors(spark, sf_dir)
