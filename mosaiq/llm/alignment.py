@@ -8,7 +8,7 @@ An id of very many documents is dealt to several tasks by document, each with th
 
 Texts are cut where neither tokenizer joins anything: before a single space between two characters that are no white space. The
 first splits there by its pattern; of the second no piece has a space after another character, which is tested when it is loaded. So each
-distinct unit is encoded and aligned once, and a document's groups are those of its units in order.
+distinct unit is encoded and aligned once, all new ones of some texts together, and a document's groups are those of its units in order.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import cut, give_back
 
 FOLDER = "/opt/tokenizers"
-#: Before these spaces texts are cut.
-CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
-#: Bytes of texts handled at once, about; units and tokens that a worker remembers; postings of a bucket, about.
-BYTES, REMEMBERED, BUCKET = 6 << 20, 1 << 20, 1 << 22
+#: Bytes of texts handled at once, about; units that a worker remembers, and pairs that it counts; postings of a bucket, about, and the least number of buckets.
+BYTES, REMEMBERED, BUCKET, BUCKETS = 6 << 20, 1 << 20, 1 << 22, 32
 
 
 def byte_of_character() -> dict[str, int]:
@@ -42,7 +40,7 @@ def byte_of_character() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of texts that begin with a space, and the bytes of each id."""
+    """One tokenizer: ids of texts that begin with a space, and the bytes of each id; ``cuts``: whether texts may be cut into units."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,7 +50,7 @@ class Side:
             own = Tokenizer.from_file(path)
             own.encode_special_tokens = True
             of = byte_of_character()
-            self.encode = lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            self.encode = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
             names = [own.id_to_token(i) or "" for i in range(own.get_vocab_size())]
             self.bytes = [bytes(of[c] for c in name) if all(c in of for c in name) else name.encode() for name in names]
             self.cuts = True
@@ -60,57 +58,95 @@ class Side:
             from sentencepiece import SentencePieceProcessor
 
             own = SentencePieceProcessor(model_file=path)
-            self.encode = lambda texts: own.encode(texts, num_threads=1)
+            self.encode = lambda texts: own.encode([t[1:] for t in texts], num_threads=1)  # it adds the space
             names = [own.id_to_piece(i) for i in range(own.get_piece_size())]
             self.bytes = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
             self.cuts = not any(re.search("[^▁]▁", n) for n in names)
         self.size = np.array([len(b) for b in self.bytes])
 
 
-def align_ids(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
-    """The groups as text (``a1,a2|b1;a3|b2,b3``), and for each its link: the ids that end it."""
-    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-    _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-    i = j = 0
-    groups, links = [], []
-    for p, q in zip(at_a.tolist(), at_b.tolist(), strict=True):
-        groups.append(f"{','.join(map(str, a[i : p + 1]))}|{','.join(map(str, b[j : q + 1]))}")
-        links.append((a[p], b[q]))
-        i, j = p + 1, q + 1
-    return ";".join(groups), links
+def cut_units(texts: pa.Array, cuts: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The units of ``texts``, which all begin with a space and go on, and how many each has. A unit begins at a space that stands alone between
+    characters which can't be white space: visible ASCII, or those of two bytes from U+00C0 on."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    starts = ends[:-1]
+    if cuts and len(raw) > 3:
+        at = np.flatnonzero(raw[:-1] == 32)
+        at = at[(at >= ends[0] + 2) & (at < ends[-1] - 1)]
+        seen = lambda x: (x > 32) & (x < 127)
+        lead = lambda x: (x >= 0xC3) & (x <= 0xDF)
+        last, after = raw[at - 1], raw[at + 1]
+        at = at[(seen(last) | ((last >= 0x80) & lead(raw[at - 2]))) & (seen(after) | lead(after))]
+        at = at[~np.isin(at, ends)]  # a text's first space is its own
+        starts = np.union1d(starts, at)
+    offsets = np.append(starts, ends[-1])
+    sizes = np.diff(np.searchsorted(starts, ends))
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), data), sizes
 
 
-@dataclass
 class Units:
-    """Alignments of distinct units: for each its place, the text of its groups, how many tokens of both sides it has (-1: the tokens don't give its
-    bytes back), and its links, b << 32 | a."""
-
-    a: Side
-    b: Side
-    place: dict[str, int] = field(default_factory=dict)
-    groups: list[str] = field(default_factory=list)
-    n_a: list[int] = field(default_factory=list)
-    n_b: list[int] = field(default_factory=list)
-    links: list[np.ndarray] = field(default_factory=list)
-    held: int = 0
-
-    def learn(self, units: list[str]) -> np.ndarray:
-        """The places of ``units``, which are distinct; new ones are encoded."""
-        new = [u for u in units if u not in self.place]
-        if self.held > REMEMBERED:
-            self.place, self.groups, self.n_a, self.n_b, self.links, self.held = {}, [], [], [], [], 0
-            new = units
-        for u, ids_a, ids_b in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
-            whole = b" " + u.encode()
-            fine = b"".join(map(self.a.bytes.__getitem__, ids_a)) == whole == b"".join(map(self.b.bytes.__getitem__, ids_b))
-            groups, links = align_ids(ids_a, ids_b, self.a.size, self.b.size) if fine else ("", [])
-            self.place[u] = len(self.groups)
-            self.groups.append(groups)
-            self.n_a.append(len(ids_a) if fine else -1)
-            self.n_b.append(len(ids_b) if fine else -1)
-            self.links.append(np.array([q << 32 | p for p, q in links], np.int64))
-            self.held += 4 + len(ids_a) + len(ids_b)
-        return np.array([self.place[u] for u in units], np.int64)
+    """Alignments of distinct units. ``known``: the units; of each ``n_a`` and ``n_b``, its tokens (-1: they don't give its bytes back), and where
+    its part of ``codes`` (tokens in the order of the groups' text) and ``links`` (b << 32 | a, one for each group) begins."""
+
+    def __init__(self, a: Side, b: Side) -> None:
+        self.a, self.b = a, b
+        ids_a, ids_b = range(len(a.bytes)), range(len(b.bytes))
+        # code 2 * id for a token and 2 * id + 1 for one that ends its side of a group, ids of B after those of A; then ids of B that end a text
+        self.names = pa.array([f"{i}{c}" for i in ids_a for c in ",|"] + [f"{i}{c}" for i in ids_b for c in ",;"] + [str(i) for i in ids_b], pa.large_string())
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.n_a, self.n_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes, self.links = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.first_code, self.first_link = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def places(self, units: pa.Array) -> np.ndarray:
+        """Where ``units``, which are distinct, are; new ones are aligned."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        at = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.known) + np.arange(len(new))
+            self._learn(units.take(pa.array(new)))
+        return at
+
+    def _learn(self, units: pa.Array) -> None:
+        texts, n = units.to_pylist(), len(units)
+        sides, fine = [], np.ones(n, bool)
+        whole = np.frombuffer(b"".join(t.encode() for t in texts), np.uint8)
+        sizes = pc.binary_length(units).to_numpy(zero_copy_only=False)
+        for side in (self.a, self.b):
+            ids = side.encode(texts)
+            count = np.fromiter(map(len, ids), np.int64, n)
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum()))
+            owner = np.repeat(np.arange(n), count)
+            long = np.bincount(owner, weights=side.size[flat], minlength=n) == sizes
+            own = np.frombuffer(b"".join(map(side.bytes.__getitem__, flat[long[owner]].tolist())), np.uint8)
+            of = np.repeat(np.arange(n), sizes)
+            same = own == whole[long[of]]
+            long[of[long[of]][~same]] = False
+            fine &= long
+            sides.append((flat, owner, side.size))
+        ends = []
+        for flat, owner, size in sides:
+            keep = fine[owner]
+            ends.append((flat[keep], owner[keep], np.cumsum(size[flat[keep]])))
+        (ids_a, own_a, end_a), (ids_b, own_b, end_b) = ends
+        last_a, last_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
+        group = lambda last: np.cumsum(last) - last
+        order = np.argsort(np.concatenate([2 * group(last_a), 2 * group(last_b) + 1]), kind="stable")
+        codes = np.concatenate([2 * ids_a + last_a, 2 * len(self.a.bytes) + 2 * ids_b + last_b])[order]
+        count = lambda own: np.bincount(own, minlength=n)
+        add = lambda first, own: np.append(first, first[-1] + np.cumsum(count(own)))
+        self.codes, self.links = np.append(self.codes, codes.astype(np.int32)), np.append(self.links, ids_b[last_b] << 32 | ids_a[last_a])
+        self.first_code, self.first_link = add(self.first_code, np.append(own_a, own_b)), add(self.first_link, own_b[last_b])
+        self.n_a, self.n_b = np.append(self.n_a, np.where(fine, count(own_a), -1)), np.append(self.n_b, np.where(fine, count(own_b), -1))
+        self.known = pa.concat_arrays([self.known, units])
 
 
 @lru_cache(maxsize=2)
@@ -121,39 +157,41 @@ def units_of(path_a: str, path_b: str) -> Units:
 _ALIGNED = "n_a bigint, n_b bigint, n_groups bigint, groups string, a array<int>, b array<int>, n array<int>"
 
 
-def _align_texts(texts: list[str], known: Units) -> list[pa.Array]:
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each part, one part after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _align_texts(texts: pa.Array, known: Units) -> list[pa.Array]:
     """``_ALIGNED`` for some texts."""
-    split = CUT.split if known.a.cuts and known.b.cuts else (lambda t: [t])
-    lists = [split(t) if t else [] for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    coded = pa.array([u for x in lists for u in x], pa.large_string()).dictionary_encode()
-    place = known.learn(coded.dictionary.to_pylist())
-    unit = coded.indices.to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    n_a, n_b = (np.array([x[p] for p in place.tolist()], np.int64) for x in (known.n_a, known.n_b))
-    odd = np.unique(owner[n_a[unit] < 0]) if len(unit) else np.zeros(0, np.int64)
-    bad = np.zeros(len(texts), bool)
-    bad[odd] = True
-    total = lambda x: np.where(bad, 0, np.bincount(owner, weights=x[unit] if len(unit) else None, minlength=len(texts)).astype(np.int64))
-    names = [known.groups[p] for p in place.tolist()]
-    ends = np.cumsum(sizes)
-    groups = ["" if bad[k] else ";".join([names[u] for u in unit[end - size : end].tolist()]) for k, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True))]
+    n = len(texts)
+    bad = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    units, sizes = cut_units(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts.cast(pa.large_string()), pa.scalar(" ", pa.large_string())), known.a.cuts and known.b.cuts)
+    coded = units.dictionary_encode()
+    place, unit = known.places(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), sizes)
+    bad[owner[known.n_a[place][unit] < 0]] = True
+    owner, unit = owner[~bad[owner]], unit[~bad[owner]]
+    at = place[unit]
+    total = lambda x: np.bincount(owner, weights=x[at], minlength=n).astype(np.int64)
+    # the groups as text: all tokens in order, then one text from those of each document
+    n_codes, n_links = np.diff(known.first_code), np.diff(known.first_link)
+    codes = known.codes[_spread(known.first_code[at], n_codes[at])]
+    ends = np.cumsum(total(n_codes))
+    ended = ends[~bad] - 1
+    codes[ended] = 2 * len(known.a.bytes) + 2 * len(known.b.bytes) + (codes[ended] - 2 * len(known.a.bytes)) // 2
+    groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), known.names.take(pa.array(codes))), pa.scalar("", pa.large_string()))
     # the pairs of each text with how often it has them, from its distinct units
-    key, times = np.unique(owner[~bad[owner]] * len(place) + unit[~bad[owner]], return_counts=True)
-    links = [known.links[p] for p in place.tolist()]
-    count = np.array([len(x) for x in links], np.int64)
-    first = np.cumsum(count) - count
-    flat = np.concatenate(links) if links else np.zeros(0, np.int64)
-    text, own = key // max(1, len(place)), key % max(1, len(place))
-    each = count[own]
-    at = np.repeat(first[own] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-    pairs, code = np.unique(flat[at], return_inverse=True)
-    full, inverse = np.unique(np.repeat(text, each) * len(pairs) + code, return_inverse=True)
-    n = np.bincount(inverse, weights=np.repeat(times, each), minlength=len(full)).astype(np.int32)
+    key, times = np.unique(owner * len(place) + unit, return_counts=True)
+    own = place[key % max(1, len(place))]
+    each = n_links[own]
+    pairs, code = np.unique(known.links[_spread(known.first_link[own], each)], return_inverse=True)
+    full, inverse = np.unique(np.repeat(key // max(1, len(place)), each) * len(pairs) + code, return_inverse=True)
+    counts = np.bincount(inverse, weights=np.repeat(times, each), minlength=len(full))
     pair = pairs[full % max(1, len(pairs))]
-    offsets = np.searchsorted(full // max(1, len(pairs)), np.arange(len(texts) + 1)).astype(np.int32)
-    listed = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int32)))
-    return [pa.array(total(n_a)), pa.array(total(n_b)), pa.array(total(count)), pa.array(groups, pa.string()), listed(pair & 0xFFFFFFFF), listed(pair >> 32), listed(n)]
+    offsets = pa.array(np.searchsorted(full // max(1, len(pairs)), np.arange(n + 1)).astype(np.int32))
+    listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32)))
+    return [pa.array(total(known.n_a)), pa.array(total(known.n_b)), pa.array(total(n_links)), groups.cast(pa.string()), listed(pair & 0xFFFFFFFF), listed(pair >> 32), listed(counts)]
 
 
 def align(docs: DataFrame, text: str = "text", path_a: str = f"{FOLDER}/byte_bpe_50k.json", path_b: str = f"{FOLDER}/piece_bpe_32k.model") -> DataFrame:
@@ -175,7 +213,7 @@ def align(docs: DataFrame, text: str = "text", path_a: str = f"{FOLDER}/byte_bpe
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if e > s:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), *_align_texts(batch.column(1).slice(s, e - s).to_pylist(), known)], ["row", *made])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), *_align_texts(batch.column(1).slice(s, e - s), known)], ["row", *made])
             give_back()
 
     out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {_ALIGNED}")
@@ -242,7 +280,7 @@ def link_sums(aligned: DataFrame, row: str = "row") -> DataFrame:
     counts = cut(pair_counts(own))
     by_id = counts.groupBy(F.shiftright("key", 32).alias("b")).agg(F.sum("docs").alias("docs"))
     total = by_id.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    buckets = total // BUCKET + 1
+    buckets = max(BUCKETS, total // BUCKET + 1)
     # ids of more postings than a bucket should have: no more than total / BUCKET, nor than B has ids
     hot = np.array(sorted((r.b, -(-r.docs // BUCKET)) for r in by_id.where(F.col("docs") > BUCKET).collect()), np.int64).reshape(-1, 2)
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from mosaiq.llm import alignment, queries
@@ -97,10 +98,10 @@ def test_odd_texts_repeats_and_hot_ids(spark, tokenizers, monkeypatch, tmp_path)
 
 def test_units_are_encoded_like_whole_texts(tokenizers):
     r = random.Random(5)
-    letters = ["a", "B", "é", "ß", "語", "1", "'", "'s", ".", "-", "_", " ", " ", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "​", "🎉", "́", "the", "ing"]
+    letters = ["a", "B", "é", "×", "ß.", "\u00a0", "\u0085", "\u07ff", "ß", "語", "1", "'", "'s", ".", "-", "_", " ", " ", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "​", "🎉", "́", "the", "ing"]
     texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 30))) for _ in range(3000)]
     known = alignment.units_of(f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model")
-    n_a, n_b, n_groups, groups, *_ = alignment._align_texts(texts, known)
+    n_a, n_b, n_groups, groups, *_ = alignment._align_texts(pa.array(texts), known)
     for k, row in enumerate(plain_rows(enumerate(texts), tokenizers)):
         assert (n_a[k].as_py(), n_b[k].as_py(), n_groups[k].as_py()) == row[1:4], texts[k]
         assert hashlib.sha256(groups[k].as_py().encode()).hexdigest() == row[7] or not row[1], texts[k]
@@ -111,9 +112,9 @@ def test_forgetting_units_changes_nothing(tokenizers, monkeypatch):
     known = alignment.Units(alignment.Side(f"{FOLDER}/byte_bpe_50k.json"), alignment.Side(f"{FOLDER}/piece_bpe_32k.model"))
     for _ in range(3):
         for text in ODD:
-            alignment._align_texts([text or ""], known)
-    first = [x.to_pylist() for x in alignment._align_texts(["some words here", "other words"], known)]
-    assert first == [x.to_pylist() for x in alignment._align_texts(["some words here", "other words"], known)]
+            alignment._align_texts(pa.array([text or ""]), known)
+    first = [x.to_pylist() for x in alignment._align_texts(pa.array(["some words here", "other words"]), known)]
+    assert first == [x.to_pylist() for x in alignment._align_texts(pa.array(["some words here", "other words"]), known)]
 
 
 def test_no_rows_and_clashing_names(none, clash):
