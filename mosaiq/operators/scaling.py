@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +21,12 @@ def moments(vectors: DataFrame, column: str = "f", *group: str) -> DataFrame:
 
 
 def merge(parts: DataFrame) -> DataFrame:
-    """Joins moments of disjoint parts: the pooled mean, and within plus between sums of squares."""
-    whole = parts.groupBy("pos").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("squares"))
-    return whole.select("pos", "n", "mean", (F.col("within") + F.greatest(F.col("squares") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))).alias("m2"))
+    """Joins moments (pos, n, mean, m2) of disjoint parts: the pooled mean, and the sums of squares within parts and of the parts' means around
+    it. Those are summed up as differences, so that large means with small deviations lose nothing. ``parts`` is read twice."""
+    whole = parts.groupBy("pos").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    own = parts.join(F.broadcast(whole), "pos")  # one row for each position: the length of a vector
+    off = F.col("mean") - F.col("_mean")
+    return own.groupBy("pos").agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"))
 
 
 def variance(m2: Column, n: Column, ddof: int = 0) -> Column:
@@ -56,10 +63,62 @@ def grammar_scale(vectors: DataFrame, fit_on: DataFrame, column: str = "f", eps:
     return vectors.crossJoin(row).withColumn(column, F.zip_with(column, "_s", lambda x, s: x / s)).drop("_s")
 
 
-def correlated(vectors: DataFrame, column: str = "f", limit: float = 0.99) -> DataFrame:
-    """Pairs of positions (a before b) with an absolute correlation above ``limit``: all products of a row in one
-    partial aggregation. A position that never changes correlates with none."""
-    d = F.size(column)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), d - 2), lambda i: F.transform(F.sequence(i + 1, d - 1), lambda j: F.struct(i.alias("a"), j.alias("b"), F.get(column, i).cast("double").alias("x"), F.get(column, j).cast("double").alias("y")))))
-    long = vectors.where(d > 1).select(F.explode(pairs).alias("p")).select("p.*")
-    return long.groupBy("a", "b").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r")).where(F.abs("r") > limit)
+def correlated(vectors: DataFrame, column: str = "f", limit: float = 0.99, block: int = 512) -> DataFrame:
+    """Pairs of positions (a before b) with an absolute correlation ``r`` above ``limit``. Each task makes the products X'X of its rows, in blocks of
+    columns, by matrix products; blocks of all tasks are added up where they meet, one after the other, and only pairs above the
+    limit leave them. A task holds one matrix of the vector's length squared. Vectors are taken from the first one, so that large
+    means cost no digits. A position that never changes correlates with none; null vectors are left out; no rows give none."""
+    own = vectors.where(F.col(column).isNotNull()).select(F.transform(column, lambda v: v.cast("double")).alias("x"))
+    first = own.first()
+    center = np.array(first.x if first else [], float)
+    d = len(center)
+    parts = [(i, j) for i in range(0, d, block) for j in range(i, d, block)]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, gram = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            for start in range(0, b.num_rows, 1024):
+                x = b.column(0).slice(start, 1024).flatten().to_numpy().reshape(-1, d) - center
+                n, sums = n + len(x), sums + x.sum(axis=0)
+                for i, j in parts:
+                    gram[i : i + block, j : j + block] += x[:, i : i + block].T @ x[:, j : j + block]
+        square = np.diag(gram)
+        for i, j in parts if n else []:
+            own = [np.concatenate([[n], sums[i : i + block], sums[j : j + block], square[i : i + block], square[j : j + block], gram[i : i + block, j : j + block].ravel()])]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], ["i", "j", "sums"])
+
+    def told(i: int, j: int, total: np.ndarray) -> pa.RecordBatch:
+        ni, nj = min(block, d - i), min(block, d - j)
+        n, si, sj, qi, qj, gram = np.split(total, np.cumsum([1, ni, nj, ni, nj]))
+        vi, vj = qi - si * si / n, qj - sj * sj / n
+        scale = np.sqrt(np.maximum(vi, 0))[:, None] * np.sqrt(np.maximum(vj, 0))[None, :]
+        fine = (vi > 1e-12 * qi)[:, None] & (vj > 1e-12 * qj)[None, :]
+        r = np.where(fine, (gram.reshape(ni, nj) - si[:, None] * sj[None, :] / n) / np.where(fine, scale, 1), 0.0)
+        a, b = np.nonzero((np.abs(r) > limit) & (i + np.arange(ni)[:, None] < j + np.arange(nj)[None, :]))
+        return pa.RecordBatch.from_arrays([pa.array((i + a).astype(np.int32)), pa.array((j + b).astype(np.int32)), pa.array(r[a, b])], ["a", "b", "r"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch in batches:
+            for i, j, data in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "sums")), strict=True):
+                x = np.frombuffer(data, np.float64)
+                if (i, j) == key:
+                    total = total + x
+                    continue
+                if key:
+                    yield told(*key, total)
+                key, total = (i, j), x
+        if key:
+            yield told(*key, total)
+
+    blocks = own.mapInArrow(products, "i int, j int, sums binary").repartition("i", "j").sortWithinPartitions("i", "j")
+    return blocks.mapInArrow(added, "a int, b int, r double")
+
+
+def kept_columns(vectors: DataFrame, column: str = "f", least: float = 1e-8, limit: float = 0.99) -> DataFrame:
+    """(pos, kept, same_as): which positions of the vectors are worth keeping. Those with a variance of ``least`` or less go, and those
+    that correlate beyond ``limit`` with one before them; ``same_as`` is the first such."""
+    m = moments(vectors, column)
+    twins = correlated(vectors, column, limit).groupBy(F.col("b").alias("pos")).agg(F.min("a").alias("same_as"))
+    varies = variance(F.col("m2"), F.col("n")) > least
+    return m.select("pos", varies.alias("varies")).join(twins, "pos", "left").select("pos", (F.col("varies") & F.col("same_as").isNull()).alias("kept"), "same_as")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import planes
 from mosaiq.functions.lambdas import left, total
-from mosaiq.operators import boards, boosting, cayley, learn, morphology, scaling, stats, symmetry, tableau
-from mosaiq.plans import grammar
+from mosaiq.operators import boards, boosting, cayley, forms, learn, morphology, neighbours, scaling, stats, symmetry, tableau
+from mosaiq.plans import grammar, passes
 from mosaiq.plans.featurizer import Featurizer
 from mosaiq.sources.images import derived_images
 
@@ -878,6 +878,73 @@ def cayley_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.nearest(grids, asked)
 
 
+_NEIGHBOURS = """t AS MATERIALIZED (SELECT * FROM d4g WHERE e = 0 AND img_id % 50 = 0), ds AS (SELECT t.img_id AS query, o.img_id AS id, o.e, sum((t.n - o.n) * (t.n - o.n)) AS d FROM t JOIN d4g o ON o.pos = t.pos AND o.img_id <> t.img_id GROUP BY ALL),
+dm AS (SELECT query, id, min(d) AS d FROM ds GROUP BY ALL), nb AS MATERIALIZED (SELECT dm.*, label, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM dm JOIN img ON img.img_id = dm.id QUALIFY rank <= 5)"""
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest images of each query (ids divisible by 50), in any of their eight forms."""
+    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
+    orbit = F.array(*[stats.grid(boards.at_least(symmetry.moved(F.col("gray"), e), 100)) for e in range(8)])
+    rows = own.select(F.col("img_id").alias("id"), "label", orbit.alias("orbit"))
+    return neighbours.nearest_orbits(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query"), F.get("orbit", 0).alias("q")))
+
+
+@query("cayley_neighbours", with_(_D4_GRID, _NEIGHBOURS, select="SELECT query, CAST(rank AS INTEGER) AS rank, id, CAST(d AS BIGINT) AS distance, label FROM nb"))
+def cayley_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).withColumn("distance", F.col("distance").cast("bigint"))
+
+
+@query("cayley_vote", with_(_D4_GRID, _NEIGHBOURS, "vt AS (SELECT query, label, count(*) AS n, min(rank) AS f FROM nb GROUP BY ALL)", select="SELECT query, arg_max(label, n * 100 - f) AS label FROM vt GROUP BY query"))
+def cayley_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.vote(_neighbours(spark, sf_dir))
+
+
+@query("z2_forms", with_(M100, """mp AS MATERIALIZED (SELECT img_id, y * 32 + x AS i, v FROM m),
+en AS (SELECT 0 AS form, i, (5 * i + 7) % 1024 AS j FROM range(1024) t(i) UNION ALL SELECT 1, i, (i + 33) % 1024 FROM range(1024) t(i) UNION ALL SELECT 1, i, (i + 1) % 1024 FROM range(1024) t(i) UNION ALL SELECT 2, i, (i * i + 3) % 1024 FROM range(1024) t(i)),
+qd AS (SELECT a.img_id, en.form, sum(a.v * b.v) AS n FROM en JOIN mp a ON a.i = en.i JOIN mp b ON b.i = en.j AND b.img_id = a.img_id GROUP BY ALL),
+ln AS (SELECT img_id, form, sum(CASE WHEN i % (form + 3) = 0 THEN v ELSE 0 END) AS n FROM mp CROSS JOIN (SELECT unnest(range(3)) AS form) GROUP BY ALL)""", select="SELECT qd.img_id, CAST(qd.form AS BIGINT) AS form, CAST((qd.n + ln.n + qd.form % 2) % 2 AS INTEGER) AS value FROM qd JOIN ln ON ln.img_id = qd.img_id AND ln.form = qd.form"))
+def z2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three forms with some 1,000 to 2,000 entries, a linear part and a constant each, on the mask gray >= 100."""
+    i = spark.range(1024).withColumnRenamed("id", "i")
+    entry = lambda form, j: i.select(F.lit(form).cast("bigint").alias("form"), "i", (j % 1024).alias("j"))
+    entries = entry(0, 5 * F.col("i") + 7).unionByName(entry(1, F.col("i") + 33)).unionByName(entry(1, F.col("i") + 1)).unionByName(entry(2, F.col("i") * F.col("i") + 3))
+    each = spark.range(3).withColumnRenamed("id", "form")
+    linear = each.crossJoin(i).where(F.col("i") % (F.col("form") + 3) == 0)
+    bank = forms.quadratic_forms(entries, linear, each.withColumn("c", F.col("form") % 2))
+    return forms.form_values(gray100(spark, sf_dir).select("img_id", "m"), bank).select("img_id", "form", "value")
+
+
+_PASSES = {"life": (morphology.life, _LIFE), "dilation": (morphology.dilate8, _DILATE), "erosion": (morphology.erode8, _ERODE)}
+
+
+def _orders_sql() -> str:
+    parts, made = [], {(): "m"}
+    orders = [()]
+    for _ in _PASSES:
+        orders = [(*o, p) for o in orders for p in _PASSES if p not in o]
+        for o in orders:
+            made[o] = "p_" + "_".join(o)
+            parts.append(after(made[o[:-1]], _PASSES[o[-1]][1], made[o]))
+    each = " UNION ALL ".join(f"SELECT '{'>'.join(o)}' AS o, img_id, label, sum(v) AS n FROM {made[o]} GROUP BY img_id, label" for o in orders)
+    parts.append(f"al AS MATERIALIZED ({each}), lb AS (SELECT o, label, count(*) AS k, avg(n) AS mu, var_pop(n) AS var FROM al GROUP BY o, label), wm AS (SELECT o, sum(k * mu) / sum(k) AS m FROM lb GROUP BY o)")
+    parts.append("sc AS (SELECT o, CASE WHEN sum(k * (mu - m) * (mu - m)) + sum(k * var) > 0 THEN sum(k * (mu - m) * (mu - m)) / (sum(k * (mu - m) * (mu - m)) + sum(k * var)) ELSE 0 END AS s FROM lb JOIN wm USING (o) GROUP BY o)")
+    return with_(M100, *parts, select='SELECT o AS "order", round(s, 6) AS score, row_number() OVER (ORDER BY round(s, 12) DESC, o) = 1 AS best FROM sc')
+
+
+@query("phase_order", _orders_sql())
+def phase_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which order of three passes over the mask parts the labels best."""
+    found = passes.search_order(gray100(spark, sf_dir).select("label", "m"), {k: f for k, (f, _) in _PASSES.items()})
+    return found.select("order", F.round("score", 6).alias("score"), "best")
+
+
+@query("kept_columns_full")
+def kept_columns_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the 3,872 values of whole vectors vary and are not told by an earlier one."""
+    return scaling.kept_columns(Featurizer().features(images(spark, sf_dir)))
+
+
 @query("dce_columns", with_(_VEC, select="SELECT CAST(pos AS INTEGER) AS pos FROM vec GROUP BY pos HAVING var_pop(x) <= 1e-8"))
 def dce_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions that never change."""
