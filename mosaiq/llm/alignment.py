@@ -29,7 +29,7 @@ from mosaiq.llm.common import cut, give_back
 
 FOLDER = "/opt/tokenizers"
 #: Bytes of texts handled at once, about; units that a worker remembers, and pairs that it counts; postings of a bucket, about, and the least number of buckets.
-BYTES, REMEMBERED, BUCKET, BUCKETS = 6 << 20, 1 << 20, 1 << 22, 32
+BYTES, REMEMBERED, BUCKET, BUCKETS = 2 << 20, 1 << 19, 1 << 22, 32
 
 
 def byte_of_character() -> dict[str, int]:
