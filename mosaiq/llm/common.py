@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,17 +113,18 @@ def numbered(df: DataFrame, group: list[str], name: str) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
         for b in batches:
-            keys = b.select(group).to_pandas()
-            by = keys.groupby(group, sort=False)
-            rank = by.cumcount()
-            first = keys.loc[rank == 0]
-            known = [seen.get(k, 0) for k in first.itertuples(index=False, name=None)]
-            offset = pd.Series(known, index=by.ngroup()[first.index]) if len(first) else pd.Series(dtype="int64")
-            sizes = by.size()
-            for k, n in sizes.items():
-                k = k if isinstance(k, tuple) else (k,)
-                seen[k] = seen.get(k, 0) + int(n)
-            full = (rank + by.ngroup().map(offset)).to_numpy(np.int64)
+            own = np.zeros(b.num_rows, np.int64)
+            for g in group:  # by Arrow: the hash tables of pandas end a text at a zero character
+                coded = b.column(g).dictionary_encode()
+                own = np.unique(own * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            order = np.argsort(own, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(own[order]) > 0))[: b.num_rows]
+            sizes = np.diff(np.append(first, b.num_rows))
+            keys = list(zip(*[b.column(g).take(pa.array(order[first])).to_pylist() for g in group], strict=True))
+            full = np.empty(b.num_rows, np.int64)
+            full[order] = np.arange(b.num_rows) + np.repeat(np.array([seen.get(k, 0) for k in keys], np.int64) - first, sizes)
+            for k, n in zip(keys, sizes.tolist(), strict=True):
+                seen[k] = seen.get(k, 0) + n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(full)], [*b.schema.names, "_rank"])
 
     schema = StructType([*df.schema.fields, StructField("_pid", IntegerType()), StructField("_rank", LongType())])

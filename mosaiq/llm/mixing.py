@@ -1,14 +1,22 @@
 """Mixing sources to target weights by proportionate fair (Pfair) scheduling.
 
 Each source is a task, each block of its documents a job. Block k of a source with weight w is released
-at floor(k/w) and due at ceil((k+1)/w); the earliest deadline goes first. With weights in parts of a
-period the schedule repeats, so the driver schedules one period and Spark places all blocks.
+at floor(k/w) and due at ceil((k+1)/w), exactly, in whole numbers; the earliest deadline goes first, so that at every slot
+each source is less than one block off its target.
+
+The stream is cut into segments that Spark schedules at the same time. At a cut every source has had floor or ceil of its share: those
+whose next blocks are due first have had the larger. Not at every slot can that be so with all windows kept; the next slot where it can is
+taken, by the condition of Hall for the blocks of both sides. Between two such cuts earliest deadline first then meets every deadline.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,32 +33,69 @@ def row_key(doc_id: str, text: str, source: str) -> Column:
     return F.unhex(F.md5(F.concat(F.md5(_named(F.col(doc_id))), F.md5(_named(F.col(source))), F.hex(text_key(text)))))
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole parts of ``period`` in proportion to ``weights``, by largest remainder, 1 at least."""
-    live = {k: w for k, w in weights.items() if w > 0}
-    total = sum(live.values())
-    exact = {k: w * (period - len(live)) / total for k, w in live.items()}
-    parts = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(live, key=lambda k: (int(exact[k]) - exact[k], k))[: period - sum(parts.values())]:
-        parts[k] += 1
-    return parts
-
-
-def one_period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block of the period, slot): earliest deadline first among the released blocks."""
-    period = sum(parts.values())
-    jobs = sorted((j * period // p, -(-(j + 1) * period // p), k, j) for k, p in parts.items() for j in range(p))
-    due, plan, at = [], [], 0
-    for slot in range(period):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            heapq.heappush(due, jobs[at][1:])
-            at += 1
-        _, k, j = heapq.heappop(due)
-        plan.append((k, j, slot))
-    return plan
-
-
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.8, block_rows: int = 16, period: int = 1024, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def whole_weights(weights: list[float]) -> tuple[list[int], int]:
+    """Whole numbers in exactly the proportion of ``weights``, and their sum."""
+    exact = [Fraction(w) for w in weights]
+    base = lcm(*[w.denominator for w in exact]) if exact else 1
+    out = [int(w * base) for w in exact]
+    return out, sum(out)
+
+
+def counts_at(w: list[int], total: int, slot: int) -> list[int]:
+    """How many blocks each source has had before ``slot`` if a cut is there: floor of its share, and one more for those whose next blocks
+    are due first, of several the first source."""
+    k = [x * slot // total for x in w]
+    due = sorted((-(-(k[i] + 1) * total // x), i) for i, x in enumerate(w) if x * slot % total)
+    for _, i in due[: slot - sum(k)]:
+        k[i] += 1
+    return k
+
+
+def can_cut(w: list[int], total: int, slot: int, done: list[int]) -> bool:
+    """Whether all windows can be kept on both sides of ``slot`` with ``done`` blocks before it: no stretch that begins or ends there has more
+    blocks to hold than slots. Only stretches that end before the deadline of a block that is done already, or begin after the release
+    of one that is not, can have."""
+    end = max((-(-done[i] * total // x) for i, x in enumerate(w) if done[i] * total > x * slot), default=slot)
+    start = min((done[i] * total // x for i, x in enumerate(w) if done[i] * total < x * slot), default=slot)
+    dues = {-(-(k + 1) * total // x) for i, x in enumerate(w) for k in range(done[i], x * end // total)}
+    releases = {k * total // x for i, x in enumerate(w) for k in range(-(-x * start // total), done[i])}
+    return all(sum(max(0, x * t // total - d) for x, d in zip(w, done, strict=True)) <= t - slot for t in dues) and all(sum(max(0, d + -x * t // total) for x, d in zip(w, done, strict=True)) <= slot - t for t in releases)
+
+
+def cuts(w: list[int], total: int, end: int, segment: int) -> list[tuple[int, list[int]]]:
+    """Slots about ``segment`` apart where the stream is cut, and the blocks each source has had there; the first is 0."""
+    out, slot = [(0, [0] * len(w))], segment
+    while slot < end:
+        done = counts_at(w, total, slot)
+        if can_cut(w, total, slot, done):
+            out.append((slot, done))
+            slot += segment
+        else:
+            slot += 1
+    return out
+
+
+def one_segment(w: list[int], total: int, start: int, stop: int, first: list[int], last: list[int] | None) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) for the slots from ``start`` to ``stop``: earliest deadline first among the released blocks from ``first`` on, to ``last``
+    if the stream is cut at ``stop``. Ties: the first source."""
+    done, ready = list(first), []
+    waiting = [(max(start, done[i] * total // x), i) for i, x in enumerate(w) if last is None or done[i] < last[i]]
+    heapq.heapify(waiting)
+    for slot in range(start, stop):
+        while waiting and waiting[0][0] <= slot:
+            i = heapq.heappop(waiting)[1]
+            due = -(-(done[i] + 1) * total // w[i])
+            heapq.heappush(ready, (due if last is None else min(due, stop), i))
+        due, i = heapq.heappop(ready)
+        if slot >= due:
+            raise AssertionError("a deadline is missed")
+        yield i, done[i], slot
+        done[i] += 1
+        if last is None or done[i] < last[i]:
+            heapq.heappush(waiting, (max(slot + 1, done[i] * total // w[i]), i))
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.8, block_rows: int = 16, segment: int = 1 << 14, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Where each document stands in the mixed stream: doc_id, source, row_key, copy, block, place (in its
     block), epoch and slot (of its block). ``weights`` are targets by source; without them they are
     the sources' document counts to the power ``alpha``. The stream ends when every document has
@@ -59,40 +104,41 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
 
     Rows of equal source, id and text are documents of their own, told apart by ``copy`` (0, 1, ...). A null source is
     a source of its own, a null text counts as an empty one, null ids are ids like others. An empty table gives an
-    empty result. At most ``period`` / 2 sources, else the period grows."""
+    empty result. Segments of about ``segment`` slots are scheduled each by a task; the driver holds the sources and the cuts."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), _named(F.col(source)).alias("source"), row_key(doc_id, text, source).alias("row_key"))
     own = ordered(own, ["source", "row_key"])
-    counts = {r[0]: r[1] for r in own.groupBy("source").count().toLocalIterator()}
+    counts = dict(sorted((r[0], r[1]) for r in own.groupBy("source").count().toLocalIterator()))
     if weights is None:
         target = {k: n**alpha for k, n in counts.items()}
     else:
         least = min((w for w in weights.values() if w > 0), default=1.0)
         target = {k: weights.get(k[1:] if k else None) or least for k in counts}
-    while len(counts) * 2 > period:
-        period *= 2
-    parts = shares(target, period) if counts else {}
-    plan = one_period(parts)
-    period = max(1, sum(parts.values()))
-    slots = {}
-    for k, _, slot in plan:
-        slots.setdefault(k, []).append(slot)
-    blocks = {k: -(-n // block_rows) for k, n in counts.items()}
-    end = max((((blocks[k] - 1) // parts[k]) * period + slots[k][(blocks[k] - 1) % parts[k]] + 1 for k in counts), default=0)
-    runs = {k: (end // period) * parts[k] + sum(s < end % period for s in slots[k]) for k in counts}
-    by_source = spark.createDataFrame([(k, blocks[k], parts[k], runs[k]) for k in counts], "s_source string, n_blocks long, part long, n_runs long")
-    by_slot = spark.createDataFrame(plan, "p_source string, p_block long, p_slot long")
+        target = {k: w if w > 0 else least for k, w in target.items()}
+    names, blocks = list(counts), [-(-n // block_rows) for n in counts.values()]
+    w, total = whole_weights(list(target.values()))
+    end = max((-(-b * total // x) for b, x in zip(blocks, w, strict=True)), default=0)  # the last block of each source is due by then
+    at = cuts(w, total, end, segment) if names else []
+    parts = [(slot, at[i + 1][0] if i + 1 < len(at) else end, done, at[i + 1][1] if i + 1 < len(at) else None) for i, (slot, done) in enumerate(at)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start, stop, first, last in b.itertuples(index=False, name=None):
+                made = list(one_segment(w, total, start, stop, list(first), None if last is None else list(last)))
+                i, k, slot = zip(*made, strict=True)
+                yield pd.DataFrame({"source": [names[x] for x in i], "block": [n % blocks[x] for x, n in zip(i, k, strict=True)], "epoch": [n // blocks[x] for x, n in zip(i, k, strict=True)], "slot": slot, "last": [n == blocks[x] - 1 for x, n in zip(i, k, strict=True)]})
+
+    segments = spark.createDataFrame(parts, "start long, stop long, first array<long>, last array<long>")
+    plan = cut(segments.repartition(max(1, len(parts)), "start").mapInPandas(run, "source string, block long, epoch long, slot long, last boolean"))
+    stop = plan.where("last").agg(F.max("slot")).first()[0]
+    plan = plan.where(F.col("slot") <= (-1 if stop is None else stop)).select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "epoch", "slot")
     ranked = numbered(own, ["source"], "rank")
     repeated = ranked.groupBy("row_key").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ranked = ranked.join(small(cut(repeated), 64), "row_key", "left").withColumn("copy", F.coalesce(F.col("rank") - F.col("first"), F.lit(0)))
-    ranked = ranked.join(small(by_source, 96), F.col("source") == F.col("s_source"))
     ranked = ranked.withColumns({"block": F.floor(F.col("rank") / block_rows), "place": (F.col("rank") % block_rows).cast("int")})
-    placed = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_runs") - 1 - F.col("block")) / F.col("n_blocks")))))
-    placed = placed.withColumn("run", F.col("block") + F.col("epoch") * F.col("n_blocks"))
-    placed = placed.join(small(by_slot, 64), (F.col("source") == F.col("p_source")) & (F.col("run") % F.col("part") == F.col("p_block")))
-    slot = F.floor(F.col("run") / F.col("part")) * period + F.col("p_slot")
+    placed = ranked.join(small(plan, 96), (F.col("source") == F.col("p_source")) & (F.col("block") == F.col("p_block")))
     name = F.when(F.col("source") != "", F.expr("substring(source, 2)"))
-    return placed.select("doc_id", name.alias("source"), "row_key", "copy", "block", "place", F.col("epoch").cast("int").alias("epoch"), slot.cast("long").alias("slot"))
+    return placed.select("doc_id", name.alias("source"), "row_key", "copy", "block", "place", F.col("epoch").cast("int").alias("epoch"), "slot")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

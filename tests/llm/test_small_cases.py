@@ -1,6 +1,7 @@
 """Every document operator on nulls, empty, long, tied and repeated rows, an empty table and clashing columns."""
 
 import collections
+import fractions
 import hashlib
 import re
 import zlib
@@ -17,7 +18,7 @@ OPERATORS = {
     "shard": lambda d: sharding.shard_documents(d, 3).drop("group_key"),
     "quality": lambda d: quality.judge(d).select("doc_id", "n_words", "n_repeat_words", "n_dup_lines", "failed", "base_failed"),
     "secrets": lambda d: secrets.find_secrets(d).select("doc_id", F.to_json("secrets").alias("spans")),
-    "mixing": lambda d: mixing.schedule(d, block_rows=2, period=64),
+    "mixing": lambda d: mixing.schedule(d, block_rows=2, segment=64),
     "packing": packing.pack_documents,
     "pack_texts": packing.pack_texts,
     "toxicity": lambda d: toxicity.score_documents(d, MODEL),
@@ -105,26 +106,34 @@ def test_trigram_queries():
     assert secrets.trigram_query(r"ab(c|.)d") is None
 
 
-def test_mixing_keeps_within_a_block():
-    parts = mixing.shares({"a": 5, "b": 3.3, "c": 1, "d": 0.2}, 64)
-    plan = mixing.one_period(parts)
-    assert sum(parts.values()) == 64 and sorted(s for *_, s in plan) == list(range(64))
-    done = collections.Counter()
-    for k, j, slot in plan * 3:
-        assert j == done[k] % parts[k]
-        done[k] += 1
-        at = sum(done.values())
-        assert all(abs(done[x] - at * p / 64) < 1 for x, p in parts.items())
+@pytest.mark.parametrize("weights", [[5, 3.3, 1, 0.2], [1.0] * 30, [1000.0] + [1.0] * 29, [0.1, 0.2, 0.7], [1 / 3] * 3, [900, 50, 30, 10, 5, 5], [1.0], [n**0.8 for n in (9123, 55, 1200, 1201, 17, 3)]])
+@pytest.mark.parametrize("segment", [7, 500, 10**9])
+def test_mixing_keeps_within_a_block_of_the_true_weights(weights, segment):
+    """Over fifty periods of 1,024 slots, whatever the segments; blocks of a source in order, every slot once."""
+    w, total = mixing.whole_weights(weights)
+    exact = [fractions.Fraction(x) / sum(map(fractions.Fraction, weights)) for x in weights]
+    end = 50 * 1024
+    at = mixing.cuts(w, total, end, segment)
+    assert len(at) > 0.5 * end / segment or segment > 7
+    done, slot = [0] * len(w), 0
+    for n, (start, first) in enumerate(at):
+        assert first == done and start == slot
+        stop, last = (at[n + 1] if n + 1 < len(at) else (end, None))
+        for i, k, s in mixing.one_segment(w, total, start, stop, first, last):
+            assert (k, s) == (done[i], slot)
+            done[i], slot = done[i] + 1, slot + 1
+            assert s % 5 or all(abs(d - slot * x) < 1 for d, x in zip(done, exact, strict=True))
+    assert slot == end
 
 
 def test_mixing_documents(docs):
-    plan = mixing.schedule(docs, {"s0": 5, "s1": 1, "s2": 1}, block_rows=2, period=64).collect()
+    plan = mixing.schedule(docs, {"s0": 5, "s1": 1, "s2": 1}, block_rows=2, segment=64).collect()
     assert {(r.doc_id, r.source) for r in plan} == {(r.doc_id, r.source) for r in docs.collect()}
     slots = collections.defaultdict(set)
     for r in plan:
         slots[r.slot].add(r.source)
     assert all(len(x) == 1 for x in slots.values()) and sorted(slots) == list(range(len(slots)))
-    mixed = mixing.mix(docs, {"s0": 5, "s1": 1, "s2": 1}, block_rows=2, period=64)
+    mixed = mixing.mix(docs, {"s0": 5, "s1": 1, "s2": 1}, block_rows=2, segment=64)
     assert mixed.columns == docs.columns
     assert {(r.doc_id, r.text) for r in mixed.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
 

@@ -279,7 +279,7 @@ def test_query_of_the_mix_deviates_less_than_a_block(spark, sf_dir):
     """At every slot, by the query's own rows; and every document is in the stream as often as its source came round."""
     rows = queries.op3_mix_sources(spark, sf_dir).collect()
     n = collections.Counter(r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
-    parts = mixing.shares({k: v**0.8 for k, v in n.items()}, 1024)
+    whole = sum(v**0.8 for v in n.values())
     at = collections.defaultdict(set)
     for r in rows:
         at[r.slot].add((r.source, r.block, r.epoch))
@@ -289,7 +289,7 @@ def test_query_of_the_mix_deviates_less_than_a_block(spark, sf_dir):
         ((source, block, epoch),) = at[slot]
         assert epoch * -(-n[source] // 16) + block == done[source]  # blocks in order, over and over
         done[source] += 1
-        assert all(abs(done[k] - (slot + 1) * p / 1024) < 1 for k, p in parts.items())
+        assert all(abs(done[k] - (slot + 1) * v**0.8 / whole) < 1 for k, v in n.items())
     assert collections.Counter((r.slot, r.place) for r in rows).most_common(1)[0][1] == 1
     assert collections.Counter(r.source for r in rows if r.epoch == 0) == n
 
@@ -297,10 +297,10 @@ def test_query_of_the_mix_deviates_less_than_a_block(spark, sf_dir):
 def test_mix_keeps_repeated_rows_and_odd_sources(spark):
     rows = [(i, "same", s, str(i)) for i in (1, 1, 1, 2) for s in (None, "", "\x00", "a")] + [(None, None, "a", "x"), (None, "", "a", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mine string")
-    plan = mixing.schedule(docs, block_rows=2, period=64).where("epoch = 0").collect()
+    plan = mixing.schedule(docs, block_rows=2, segment=64).where("epoch = 0").collect()
     assert collections.Counter((r.doc_id, r.source) for r in plan) == collections.Counter((r[0], r[2]) for r in rows)
     clash = docs.select("*", *[F.col("mine").alias(k) for k in ("_slot", "_id", "row", "key", "copy", "slot", "place", "row_key")])
-    got = mixing.mix(clash, block_rows=2, period=64)
+    got = mixing.mix(clash, block_rows=2, segment=64)
     assert got.columns == clash.columns
     out = [r.asDict() for r in got.collect()]
     assert collections.Counter((r["doc_id"], r["text"], r["source"], r["mine"]) for r in out).keys() == collections.Counter(rows).keys()
@@ -321,7 +321,7 @@ def test_filters_keep_columns_with_clashing_names(docs, none, name):
         "drop_near_duplicates": minhash.drop_near_duplicates,
         "drop_toxic": lambda d: toxicity.drop_toxic(d, toxicity.Model({"aaaaaa": 6.0}, -0.1, 1.0, 0.1)),
         "redact": lambda d: corpus_pipeline.secret_stage(d.sparkSession, d, ""),
-        "mix": lambda d: mixing.mix(d, block_rows=2, period=64),
+        "mix": lambda d: mixing.mix(d, block_rows=2, segment=64),
     }[name]
     wide = docs.select("*", *[F.lit("mine").alias(k) for k in CLASH])
     out = run(wide)
