@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,12 +98,12 @@ def accuracy(predicted: Column, label: Column) -> Column:
 # ---- averaged clipped perceptron
 
 
-def _pass(batches: Iterator[pd.DataFrame], start: np.ndarray, step: int, limit: int, margin: int) -> Iterator[pd.DataFrame]:
-    """One pass over the rows of a task, from the weights ``start``: for each class its weights in the end, their sum over all
-    rows, and the number of rows. A row changes the weights unless its label leads the best other class by ``margin``."""
+def perceptron_pass(batches: Iterable[pd.DataFrame], start: np.ndarray, step: int, limit: int, margin: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """One pass over rows (label, f), from the weights ``start``: the weights in the end, their sum over all rows, and the number of rows.
+    A row changes the weights unless its label leads the best other class by ``margin``."""
     w, total, seen = start.copy(), np.zeros_like(start), 0
     for b in batches:
-        for x, label in zip(np.stack(b["f"].to_numpy()).astype(np.int64), b["label"], strict=True):
+        for x, label in zip(np.stack(b["f"].to_numpy()).astype(np.int64) if len(b) else [], b["label"], strict=True):
             scores = w @ x
             others = np.delete(np.arange(len(w)), label)
             rival = others[np.argmax(scores[others])]  # the first of the largest
@@ -113,20 +113,25 @@ def _pass(batches: Iterator[pd.DataFrame], start: np.ndarray, step: int, limit:
                 w[rival] = np.clip(w[rival] - step * x, -limit, limit)
             total += w
             seen += 1
+    return w, total, seen
+
+
+def _pass(batches: Iterator[pd.DataFrame], start: np.ndarray, step: int, limit: int, margin: int) -> Iterator[pd.DataFrame]:
+    """``perceptron_pass`` over the rows of a task, a row for each class."""
+    w, total, seen = perceptron_pass(batches, start, step, limit, margin)
     if seen:
         yield pd.DataFrame({"label": range(len(w)), "w": list(w), "total": list(total), "seen": seen})
 
 
-def fit_perceptron(rows: DataFrame, classes: int, epochs: int = 8, shard_rows: int = 50_000, key: str = "img_id", column: str = "f", label: str = "label", seed: int = 0, step: int = 1, limit: int = 12_000, margin: int = 80, after_epoch: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+def fit_perceptron(rows: DataFrame, classes: int, epochs: int = 8, shards: int = 8, key: str = "img_id", column: str = "f", label: str = "label", seed: int = 0, step: int = 1, limit: int = 12_000, margin: int = 80, after_epoch: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """(label, w): the floor of the average of the weights after each row. The rule depends on the order of rows, which a hash of
-    the key and the epoch gives. In each epoch every task goes over its rows once, batch by batch, from the weights so
-    far, and the weights of all tasks, by their rows, are averaged for the next one (iterative parameter mixing); there is a
-    task for about ``shard_rows`` rows, so with no more than these it is the plain sequential rule. What the
-    driver holds is the model. ``after_epoch`` gets the number of the epoch and the weights (label, w), not averaged."""
+    the key and the epoch gives. In each epoch every one of ``shards`` tasks goes over its rows once, batch by batch, from the weights so
+    far, and the weights of all tasks, by their rows, are averaged for the next one (iterative parameter mixing); one shard is
+    the plain sequential rule, more are faster, whatever the number of rows. What the driver holds is the model. ``after_epoch`` gets the number of the epoch and the weights (label, w), not averaged."""
     spark = rows.sparkSession
     own = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(column).alias("f"))
-    n, width = own.agg(F.count(F.lit(1)), F.max(F.size("f"))).first()
-    shards, w = max(1, -(-n // shard_rows)), np.zeros((classes, width or 0), np.int64)
+    width = own.agg(F.max(F.size("f"))).first()[0]
+    w = np.zeros((classes, width or 0), np.int64)
     total, seen = np.zeros_like(w), 0
     for epoch in range(epochs):
         order = F.xxhash64("key", F.lit(epoch), F.lit(seed))

@@ -42,7 +42,7 @@ def flip_x(plane: Column) -> Column:
 def orbit(images: DataFrame) -> DataFrame:
     """Eight rows for each image, with ``g`` from 0 to 7, without a shuffle."""
     all8 = F.array(*[F.struct(*[moved(F.col(c), e).alias(c) for c in "rgb"]) for e in range(8)])
-    return images.select(*[c for c in images.columns if c not in "rgb"], F.posexplode(all8).alias("g_", "v")).select(*[c for c in images.columns if c not in "rgb"], F.col("g_").alias("g"), "v.r", F.col("v.g").alias("green"), "v.b").withColumnRenamed("g", "element").withColumnRenamed("green", "g")
+    return images.select(*[c for c in images.columns if c not in ("r", "g", "b")], F.posexplode(all8).alias("g_", "v")).select(*[c for c in images.columns if c not in ("r", "g", "b")], F.col("g_").alias("g"), "v.r", F.col("v.g").alias("green"), "v.b").withColumnRenamed("g", "element").withColumnRenamed("green", "g")
 
 
 def pool(vectors: Column, how: str = "mean") -> Column:

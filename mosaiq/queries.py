@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.functions import planes
+from mosaiq.functions import planes, tables
 from mosaiq.functions.lambdas import left, total
 from mosaiq.operators import boards, boosting, cayley, forms, learn, morphology, neighbours, scaling, stats, symmetry, tableau
 from mosaiq.plans import grammar, passes
@@ -226,6 +226,14 @@ def ca_run_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUBE = "SELECT img_id, CASE WHEN gy IS NULL AND gx IS NULL THEN 0 WHEN gx IS NULL THEN 1 + gy WHEN gy IS NULL THEN 9 + gx ELSE 17 + 8 * gy + gx END AS pos, sum(v) AS n FROM (SELECT img_id, y // 4 AS gy, x // 4 AS gx, v FROM m) GROUP BY GROUPING SETS ((img_id), (img_id, gy), (img_id, gx), (img_id, gy, gx))"
 
 
+@query("ca_states_sql", SQL["ca_run_k"])
+def ca_states_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, in SQL."""
+    tables.register(spark)
+    own = spark.sql("SELECT img_id, s.step - 1 AS pos, s.m FROM {masks}, LATERAL automaton_states(m, 3) s", masks=gray100(spark, sf_dir).select("img_id", "m"))
+    return own.select("img_id", "pos", stats.count(F.col("m")).alias("v"))
+
+
 @query("grid_cube", with_(M100, select=f"SELECT img_id, CAST(pos AS INTEGER) AS pos, CAST(n AS BIGINT) AS v FROM ({_CUBE})"))
 def grid_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(gray100(spark, sf_dir), stats.projections(F.col("m")))
@@ -396,6 +404,15 @@ def d4_orbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("img_id", "element", weigh(planes.gray_u8(*rgb())).alias("checksum"))
 
 
+@query("d4_orbit_sql", SQL["d4_orbit"])
+def d4_orbit_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, in SQL."""
+    tables.register(spark)
+    own = spark.sql("SELECT img_id, o.* FROM {images} i, LATERAL d4_orbit(i.r, i.g, i.b) o", images=images(spark, sf_dir))
+    weigh = lambda p: total(F.transform(p, lambda v, i: v.cast("bigint") * (F.floor(i / 32) * 37 + i % 32)))
+    return own.select("img_id", "element", weigh(planes.gray_u8(*rgb())).alias("checksum"))
+
+
 _D8 = _D4 + ", q8 AS MATERIALIZED (SELECT * REPLACE (img_id * 8 + e AS img_id) FROM d8)"
 _D4_GRID = _D4 + ", d4g AS (SELECT img_id, e, (y // 4) * 8 + x // 4 AS pos, sum(CASE WHEN gray >= 100 THEN 1 ELSE 0 END) AS n FROM d8 GROUP BY ALL)"
 

@@ -158,10 +158,10 @@ def test_perceptron_of_one_shard_is_the_sequential_rule(spark):
     rows = spark.createDataFrame([(i, int(y[i]), [int(v) for v in x[i]]) for i in range(60)], "img_id long, label int, f array<int>").repartition(3)
     orders = [[a.img_id for a in rows.orderBy(F.xxhash64("img_id", F.lit(e), F.lit(0)), "img_id").collect()] for e in range(3)]
     seen = []
-    got = {a.label: a.w for a in learn.fit_perceptron(rows, 3, epochs=3, margin=20, limit=40, after_epoch=lambda e, w: seen.append((e, w.count()))).collect()}
+    got = {a.label: a.w for a in learn.fit_perceptron(rows, 3, epochs=3, shards=1, margin=20, limit=40, after_epoch=lambda e, w: seen.append((e, w.count()))).collect()}
     want = plain_perceptron(x, y, 3, orders, 20, 40)
     assert got == {c: want[c].tolist() for c in range(3)} and (want < 0).any() and seen == [(0, 3), (1, 3), (2, 3)]
-    many = {a.label: a.w for a in learn.fit_perceptron(rows, 3, epochs=2, shard_rows=20).collect()}
+    many = {a.label: a.w for a in learn.fit_perceptron(rows, 3, epochs=2, shards=3).collect()}
     assert set(many) == {0, 1, 2} and all(len(w) == 4 for w in many.values())
 
 
