@@ -124,7 +124,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for start, stop, first, last in b.itertuples(index=False, name=None):
-                made = list(one_segment(w, total, start, stop, list(first), None if last is None else list(last)))
+                whole = lambda counts: None if counts is None else [int(n) for n in counts]  # noqa: E731  not NumPy's numbers, which overflow
+                made = list(one_segment(w, total, int(start), int(stop), whole(first), whole(last)))
                 i, k, slot = zip(*made, strict=True)
                 yield pd.DataFrame({"source": [names[x] for x in i], "block": [n % blocks[x] for x, n in zip(i, k, strict=True)], "epoch": [n // blocks[x] for x, n in zip(i, k, strict=True)], "slot": slot, "last": [n == blocks[x] - 1 for x, n in zip(i, k, strict=True)]})
 

@@ -126,6 +126,18 @@ def test_mixing_keeps_within_a_block_of_the_true_weights(weights, segment):
     assert slot == end
 
 
+def test_mixing_of_large_counts(spark):
+    """Weights whose whole numbers have more than 64 bits, in several segments."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, "b").otherwise(F.concat(F.lit("s"), F.col("id") % 11)).alias("source"))
+    n = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}
+    rows = mixing.schedule(docs, block_rows=4, segment=1000).select("source", "slot", "epoch").distinct().orderBy("slot").collect()
+    whole, done = sum(v**0.8 for v in n.values()), collections.Counter()
+    assert [r.slot for r in rows] == list(range(len(rows))) and len(rows) > 7000
+    for r in rows:
+        done[r.source] += 1
+        assert all(abs(done[k] - (r.slot + 1) * v**0.8 / whole) < 1 for k, v in n.items())
+
+
 def test_mixing_documents(docs):
     plan = mixing.schedule(docs, {"s0": 5, "s1": 1, "s2": 1}, block_rows=2, segment=64).collect()
     assert {(r.doc_id, r.source) for r in plan} == {(r.doc_id, r.source) for r in docs.collect()}
