@@ -8,8 +8,12 @@ history of a text's first word is the end of a text and what is before it.
 No word and no n-gram is left out. Words are told apart by 64-bit hashes. All trigrams with one middle word v are in one bucket, with
 all bigrams after v; so a bucket has all that alpha(v), alpha(u, v) and its tokens' probabilities need, but for the counts of single
 words, which it asks for. The histories of a word with very many tokens are dealt to several buckets, whose counts of bigrams are then
-added up in Spark. Buckets are as many as the tokens ask for; each holds about a million. Tokens travel as compressed arrays, once
-to count and once, with the discounts known, to be scored; each bucket adds up its part of every text.
+added up in Spark; and histories (u, v) of two such words are dealt further, by w, or by text if w is such a word too, and the
+counts of their trigrams and what they keep are added up in Spark as well. So no bucket grows with a word, a history or a trigram that is in
+every text, and buckets are as many as the tokens ask for; each holds about a million.
+
+Trigrams travel as compressed arrays, twice: first counts only, summed up over the texts of a slice, and then, with the discounts known,
+those of each text to be scored; each bucket adds up its part of every text. Frequent words are written by their rank, others by their hash.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ LARGEST = 5
 #: Tokens of a slice of texts, of a bucket, and of a word whose histories stay together, about.
 TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 20
 #: Counts of words that are at least this part of the tokens, 1 / HEAD at most, are sent to the tasks; the others are joined.
-HEAD = 4e-6
+HEAD = 1e-6
 #: Hashes of the end of a text and of what is before it: of strings that are no words.
 END, PAD = (int(x) for x in pd.util.hash_array(np.array(["\n", "\n\n"], object)).view(np.int64))
 _U = np.uint64
@@ -110,6 +114,11 @@ class Head:
     d3: np.ndarray = field(default_factory=lambda: np.ones(0))
     dealt: dict[int, tuple[float, float, float]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.by_rank = self.words[np.argsort(-self.counts, kind="stable")]
+        self.rank = np.empty(len(self.words), np.int64)
+        self.rank[np.argsort(-self.counts, kind="stable")] = np.arange(len(self.words))
+
     def of(self, values: np.ndarray, asked: np.ndarray, other: int) -> np.ndarray:
         """``values`` of the frequent words among ``asked``, ``other`` for the rest."""
         if not len(self.words):
@@ -117,6 +126,10 @@ class Head:
         at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
         return np.where(self.words[at] == asked, values[at], other)
 
+    def parts_of(self, asked: np.ndarray) -> np.ndarray:
+        """In how many parts; what is before a text is as frequent as the end of one."""
+        return self.of(self.parts, np.where(asked == PAD, END, asked), 1)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -126,7 +139,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _packed(a: np.ndarray) -> bytes:
     """Compressed, the bytes of one rank next to each other."""
-    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
@@ -135,48 +148,61 @@ def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
-_BLOB = "bucket long, first long, n long, d long, words binary, codes binary, texts binary, times binary"
+_BLOB = "bucket long, first long, n long, d long, k long, words binary, codes binary, runs binary, texts binary, times binary"
 _ABOUT = pa.schema([("number", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64())])
 
 
-def _blobs(part: pa.Array, held: np.ndarray, first: int, head: Head) -> Iterator[tuple]:
+def _blobs(part: pa.Array, held: np.ndarray, first: int, head: Head, texts: bool) -> Iterator[tuple]:
     """The distinct trigrams of each text of ``part`` with how often it has them, by bucket. Texts have the numbers from ``first``
-    on, of which the lowest bit tells that the text is held out."""
+    on, of which the lowest bit tells that the text is held out. Without ``texts``: the trigrams of all texts together, counted in training texts
+    only; what only others have counts 0, for those texts' buckets ask for words and sums too."""
     hashes, at, owner = tokens(part)
     words = np.append(hashes, PAD)
-    end, pad, n = int(np.searchsorted(hashes, END)), len(hashes), len(at)
+    end, pad, n, size = int(np.searchsorted(hashes, END)), len(hashes), len(at), len(hashes) + 1
     new = np.append(True, owner[1:] != owner[:-1])
     v = np.where(new, end, np.append(end, at)[:n])
     u = np.where(new, pad, np.append(pad, v)[:n])
-    # equal trigrams of a text next to each other, by a hash; were two of one hash to lie mixed, they would only not be joined
-    mixed = _mix(words.view(_U))
-    order = np.argsort(_mix(_mix(mixed[u] + mixed[v] * _U(3)) + mixed[at] * _U(5) + owner.view(_U)))
-    a = order[1:], order[:-1]
-    new = np.append(True, (at[a[0]] != at[a[1]]) | (v[a[0]] != v[a[1]]) | (u[a[0]] != u[a[1]]) | (owner[a[0]] != owner[a[1]]))
-    start = np.flatnonzero(new)
-    times = np.zeros(n, np.int64)
-    times[order[start]] = np.diff(np.append(start, n))
-    kept = np.flatnonzero(times)  # in the order of the texts
-    u, v, w, owner, times = u[kept], v[kept], at[kept], owner[kept], times[kept]
-    parts, rank = head.of(head.parts, words, 1).astype(_U), np.zeros(len(words), np.uint32)
-    bucket = (_mix(mixed[v] + mixed[u] % parts[v]) % _U(head.buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)), len(order))
+    parts, mixed = head.parts_of(words), _mix(words.view(_U))
+    by, hot = mixed[u], (parts[u] > 1) & (parts[v] > 1)
+    if hot.any():
+        by = np.where(hot, _mix(mixed[u] + mixed[at] * _U(5)), by)
+        very = hot & (parts[at] > 1)
+        whole = np.add.reduceat(mixed[at], np.flatnonzero(new))  # of a text, whichever slice it is in
+        by[very] = _mix(by[very] + whole[owner[very]])
+    bucket = (_mix(mixed[v] + by % parts[v].astype(_U)) % _U(head.buckets)).astype(np.int64)
+    learnt = (held[owner] == 0).astype(np.int64)
+    pair = v * size + u
+    if size > 1 << 20:
+        pair = np.unique(pair, return_inverse=True)[1]
+    key = pair * size + at
+    use = np.argsort(key, kind="stable")
+    key = key[use]
+    apart = (key[1:] != key[:-1]) | (bucket[use[1:]] != bucket[use[:-1]])
+    start = np.flatnonzero(np.append(True, apart | (owner[use[1:]] != owner[use[:-1]]) if texts else apart))[: len(use)]
+    times = np.add.reduceat((np.ones(n, np.int64) if texts else learnt)[use], start) if len(start) else np.zeros(0, np.int64)
+    kept = use[start]
+    order = np.argsort(bucket[kept].astype(np.uint16) if head.buckets <= 1 << 16 else bucket[kept], kind="stable")
+    kept, times = kept[order], times[order]
+    u, v, w, owner, bucket = u[kept], v[kept], at[kept], owner[kept], bucket[kept]
+    ranks, local = head.of(head.rank, words, -1), np.zeros(size, np.int64)
+    bounds = np.append(np.flatnonzero(np.append(True, np.diff(bucket) > 0)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     for a, b in zip(bounds, bounds[1:], strict=False):
-        own = order[a:b]
-        codes, there = np.concatenate([u[own], v[own], w[own]]), np.zeros(len(words), bool)
-        there[codes] = True
+        runs = np.flatnonzero(np.append(True, np.diff(v[a:b]) != 0))
+        codes = np.concatenate([v[a:b][runs], u[a:b], w[a:b]])
+        coded = ranks[codes]
+        rare = coded < 0
+        there = np.zeros(size, bool)
+        there[codes[rare]] = True
         used = np.flatnonzero(there)
-        rank[used] = np.arange(len(used), dtype=np.uint32)
-        codes = rank[codes]
-        texts = owner[own] * 2 + held[owner[own]]
-        small = np.uint16 if len(used) <= 1 << 16 else np.uint32
-        yield (int(bucket[own[0]]), first, b - a, len(used), _packed(np.diff(words[used].view(_U), prepend=_U(0))), _packed(codes.astype(small)), _packed(np.diff(texts, prepend=0).astype(np.int32)), _packed(times[own].astype(np.uint32)))
+        local[used] = len(head.by_rank) + np.arange(len(used))
+        coded[rare] = local[codes[rare]]
+        of = _packed((owner[a:b] * 2 + held[owner[a:b]]).astype(np.uint32)) if texts else b""
+        yield (int(bucket[a]), first, b - a, len(used), len(runs), _packed(np.diff(words[used].view(_U), prepend=_U(0))), _packed(coded.astype(np.uint32)), _packed(np.diff(np.append(runs, b - a)).astype(np.uint32)), of, _packed(times.astype(np.uint32)[a:b]))
 
 
 def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
-    """Blobs of the trigrams of ``rows`` (doc_id, held_out, text) by bucket; with ``about`` also, under buckets below 0, what each
-    text is and the part that frequent words have in its counts."""
+    """Blobs of the trigrams of ``rows`` (doc_id, held_out, text) by bucket: counts, or with ``about`` those of each text, and then also, under
+    buckets below 0, what each text is and the part that frequent words have in its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, pid = sent.value, TaskContext.get().partitionId()
@@ -185,7 +211,7 @@ def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
         for b in batches:
             for start, part in slices(b.column(2)):
                 held = b.column(1).slice(start, len(part)).to_numpy(zero_copy_only=False).astype(np.int64)
-                out = list(_blobs(part, held, number, head))
+                out = list(_blobs(part, held, number, head, about))
                 if about:
                     hashes, at, owner = tokens(part)
                     n = head.of(head.counts, hashes, 0)[at]
@@ -194,8 +220,8 @@ def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, _ABOUT) as w:
                         w.write_batch(pa.RecordBatch.from_arrays(columns, schema=_ABOUT))
-                    out.append((-1 - pid, number, 0, 0, sink.getvalue().to_pybytes(), b"", b"", b""))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i < 4 else pa.binary()) for i in range(8)], names)
+                    out.append((-1 - pid, number, 0, 0, 0, sink.getvalue().to_pybytes(), b"", b"", b"", b""))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i < 5 else pa.binary()) for i in range(10)], names)
                 number += 2 * len(part)
 
     return rows.mapInArrow(run, _BLOB)
@@ -203,24 +229,39 @@ def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
 
 class Bucket:
     """The trigrams of a bucket. ``words``: hashes; ``text``, ``times`` and ``tri`` of each row; of each distinct trigram ``c3``, the
-    count in training texts, its ``history`` and its ``pair``; of each distinct bigram its words ``v`` and ``w`` and ``c2``."""
-
-    def __init__(self, blobs: pa.Table) -> None:
-        rows = blobs.to_pylist()
-        own = [np.cumsum(_unpacked(r["words"], r["d"], "u8"), dtype=_U).view(np.int64) for r in rows]
-        self.words = np.unique(np.concatenate(own))
-        codes = [np.searchsorted(self.words, w)[_unpacked(r["codes"], 3 * r["n"], "u2" if r["d"] <= 1 << 16 else "u4").reshape(3, -1)] for r, w in zip(rows, own, strict=True)]
-        u, v, w = np.concatenate(codes, axis=1)
-        self.text = np.concatenate([r["first"] + np.cumsum(_unpacked(r["texts"], r["n"], "i4"), dtype=np.int64) for r in rows])
+    count in training texts, its ``history`` and its ``pair``; of each distinct bigram its words ``v`` and ``w`` and ``c2``. ``histories``: v * size + u,
+    ``trigrams``: history * size + w, sorted. ``hot``: trigrams of histories that are dealt to several buckets."""
+
+    def __init__(self, blobs: pa.Table, head: Head) -> None:
+        rows = blobs.select([x.split(" ")[0] for x in _BLOB.split(", ")]).to_pylist()
+        n_head = len(head.by_rank)
+        rare = [np.cumsum(_unpacked(r["words"], r["d"], "u8"), dtype=_U).view(np.int64) for r in rows]
+        codes = [_unpacked(r["codes"], 2 * r["n"] + r["k"], "u4").astype(np.int64) for r in rows]
+        used = np.zeros(n_head, bool)
+        for c in codes:
+            used[c[c < n_head]] = True
+        self.words = np.unique(np.concatenate([head.by_rank[used], *rare]))
+        place = np.zeros(n_head, np.int64)
+        place[used] = np.searchsorted(self.words, head.by_rank[used])
+        parts = []
+        for r, c, own in zip(rows, codes, rare, strict=True):
+            code = np.concatenate([place, np.searchsorted(self.words, own)])[c]
+            runs = _unpacked(r["runs"], r["k"], "u4").astype(np.int64)
+            parts.append((np.repeat(code[: r["k"]], runs), code[r["k"] : r["k"] + r["n"]], code[r["k"] + r["n"] :]))
+        v, u, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.text = np.concatenate([r["first"] + _unpacked(r["texts"], r["n"], "u4").astype(np.int64) if r["texts"] else np.zeros(r["n"], np.int64) for r in rows])
         self.times = np.concatenate([_unpacked(r["times"], r["n"], "u4") for r in rows]).astype(np.float64)
         size = len(self.words)
-        _, history = np.unique(v * size + u, return_inverse=True)
-        _, at, self.tri = np.unique(history * size + w, return_index=True, return_inverse=True)
+        self.histories, history = np.unique(v * size + u, return_inverse=True)
+        self.trigrams, at, self.tri = np.unique(history * size + w, return_index=True, return_inverse=True)
         self.c3 = np.bincount(self.tri, weights=self.times * (self.text % 2 == 0), minlength=len(at))
         self.history = history[at]
         pairs, self.pair = np.unique(v[at] * size + w[at], return_inverse=True)
         self.v, self.w = pairs // size, pairs % size
         self.c2 = np.bincount(self.pair, weights=self.c3, minlength=len(pairs))
+        many = head.parts_of(self.words) > 1
+        self.hot = many[u[at]] & many[v[at]]
+        self.u = u[at]
 
 
 def _kept(n: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -247,37 +288,44 @@ def _numbers(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, LARGEST + 2).astype(np.int64), minlength=LARGEST + 3)[1 : LARGEST + 2]
 
 
+_TOLD = "what int, bucket long, u long, v long, w long, n long"
+
+
 def counted(blobs: DataFrame, sent) -> DataFrame:
-    """What the buckets tell before they are scored: (what, bucket, v, w, n). what 2 and 3: how many bigrams and trigrams (n) occur v
-    times; 1: the bucket needs the count of the word w; 4: it has the bigram (v, w), of a word in parts, n times."""
+    """What the buckets tell before they are scored: (what, bucket, u, v, w, n). what 2 and 3: how many bigrams and trigrams (n) occur v
+    times; 1: the bucket needs the count of the word w; 4: it has the bigram (v, w), of a word in parts, n times; 5: the trigram (u, v, w), of a history
+    in parts."""
 
     def run(table: pa.Table) -> pa.Table:
-        head, b, bucket = sent.value, Bucket(table), table["bucket"][0].as_py()
+        head = sent.value
+        b, bucket = Bucket(table, head), table["bucket"][0].as_py()
         in_parts = (head.of(head.parts, b.words, 1) > 1)[b.v]
         rare = b.words[np.unique(b.w)]
         rare = rare[head.of(head.counts, rare, 0) == 0]
         out = []
 
-        def add(what: int, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
+        def add(what: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
             k = len(n)
-            out.append(pa.table({"what": np.full(k, what, np.int32), "bucket": np.full(k, bucket, np.int64), "v": v.astype(np.int64), "w": w.astype(np.int64), "n": n.astype(np.int64)}))
+            out.append(pa.table({"what": np.full(k, what, np.int32), "bucket": np.full(k, bucket, np.int64), "u": u.astype(np.int64), "v": v.astype(np.int64), "w": w.astype(np.int64), "n": n.astype(np.int64)}))
 
         r = np.arange(1, LARGEST + 2)
-        add(3, r, 0 * r, _numbers(b.c3))
-        add(2, r, 0 * r, _numbers(b.c2[~in_parts]))
-        add(1, 0 * rare, rare, 0 * rare)
-        add(4, b.words[b.v[in_parts]], b.words[b.w[in_parts]], b.c2[in_parts])
+        add(3, 0 * r, r, 0 * r, _numbers(b.c3[~b.hot]))
+        add(2, 0 * r, r, 0 * r, _numbers(b.c2[~in_parts]))
+        add(1, 0 * rare, 0 * rare, rare, 0 * rare)
+        add(4, b.w[in_parts] * 0, b.words[b.v[in_parts]], b.words[b.w[in_parts]], b.c2[in_parts])
+        add(5, b.words[b.u[b.hot]], b.words[b.v[b.pair[b.hot]]], b.words[b.w[b.pair[b.hot]]], b.c3[b.hot])
         return pa.concat_tables(out)
 
-    return blobs.groupBy("bucket").applyInArrow(run, "what int, bucket long, v long, w long, n long")
+    return blobs.groupBy("bucket").applyInArrow(run, _TOLD)
 
 
 _SCORED = "number long, score double, base double, known long, doc struct<doc_id:string,held_out:boolean,n_tokens:long>"
 
 
 def scored(blobs: DataFrame, answers: DataFrame, sent) -> DataFrame:
-    """Each bucket's part of each text's score, base score and known words, and one row about each text. ``answers``: (bucket, v, w,
-    n), the counts of the words and, with v, of the bigrams that the buckets asked for."""
+    """Each bucket's part of each text's score, base score and known words, and one row about each text. ``answers``: (bucket, u, v, w,
+    n, mass, share): the counts of the words, with v of the bigrams and with u of the trigrams that the buckets asked for; without w the count, kept
+    mass and share of a history."""
     kind = pa.schema([("number", pa.int64()), ("score", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("doc", pa.struct([("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())]))])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -289,21 +337,25 @@ def scored(blobs: DataFrame, answers: DataFrame, sent) -> DataFrame:
             column = lambda k: t[k].combine_chunks() if isinstance(t[k], pa.ChunkedArray) else t[k]
             docs = pa.StructArray.from_arrays([column(k) for k in ("doc_id", "held_out", "n_tokens")], ["doc_id", "held_out", "n_tokens"])
             return pa.Table.from_arrays([column("number"), pa.array(np.zeros(len(t))), column("base"), column("known"), docs], schema=kind)
-        b = Bucket(left)
-        v, w, n = (right[k].combine_chunks() for k in ("v", "w", "n"))
-        single = v.is_null().to_numpy(zero_copy_only=False)
-        w, n = w.to_numpy(), n.to_numpy()
+        b = Bucket(left, head)
+        size = len(b.words)
+        has = {k: right[k].is_valid().combine_chunks().to_numpy(zero_copy_only=False) for k in "uvw"}
+        value = {k: right[k].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for k in ("u", "v", "w", "n", "mass", "share")}
+        place = {k: np.searchsorted(b.words, value[k]) for k in "uvw"}
+        single, double, triple, whole = ~has["v"], has["v"] & ~has["u"], has["u"] & has["w"], has["u"] & ~has["w"]
         frequent = head.of(head.counts, b.words, 0)
         count = frequent.copy()
-        count[np.searchsorted(b.words, w[single])] = n[single]
+        count[place["w"][single]] = value["n"][single]
         lowest = np.maximum(count, 1) / (head.total + 1)
-        if not single.all():  # bigrams of words in parts, from all of them; the pairs are sorted by v and w
-            size = len(b.words)
-            asked = np.searchsorted(b.words, v.filter(pa.array(~single)).to_numpy()) * size + np.searchsorted(b.words, w[~single])
-            b.c2[np.searchsorted(b.v * size + b.w, asked)] = n[~single]
-        known = [(i, *head.dealt[x]) for i, x in zip(*[a[np.isin(b.words, list(head.dealt))] for a in (np.arange(len(b.words)), b.words)], strict=True) if i <= b.v.max()] if head.dealt else []
+        if double.any():  # bigrams of words in parts, from all of them; the pairs are sorted by v and w
+            b.c2[np.searchsorted(b.v * size + b.w, place["v"][double] * size + place["w"][double])] = value["n"][double]
+        history = np.searchsorted(b.histories, place["v"] * size + place["u"])
+        if triple.any():
+            b.c3[np.searchsorted(b.trigrams, history[triple] * size + place["w"][triple])] = value["n"][triple]
+        known = [(i, *head.dealt[x]) for i, x in zip(*[a[np.isin(b.words, list(head.dealt))] for a in (np.arange(size), b.words)], strict=True) if i <= b.v.max()] if head.dealt else []
         two = backed_off(b.c2, _kept(b.c2, head.d2), b.v, lowest[b.w], tuple(map(np.array, zip(*known, strict=True))) if known else None)
-        three = np.log10(backed_off(b.c3, _kept(b.c3, head.d3), b.history, two[b.pair]))
+        dealt = (history[whole], *(value[k][whole] for k in ("n", "mass", "share"))) if whole.any() else None
+        three = np.log10(backed_off(b.c3, _kept(b.c3, head.d3), b.history, two[b.pair], dealt))
         numbers, text = np.unique(b.text, return_inverse=True)
         rare = (np.where(frequent == 0, count, 0)[b.w])[b.pair][b.tri]
         total = lambda x: pa.array(np.bincount(text, weights=b.times * x, minlength=len(numbers)))
@@ -331,19 +383,32 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         release(spark)
         numbers = {(r[0], r[1]): r[2] for r in told.where("what in (2, 3)").groupBy("what", "v").agg(F.sum("n")).collect()}
         pairs = keep(told.where("what = 4").groupBy("v", "w").agg(F.sum("n").alias("n")))
-        for r in pairs.where((F.col("n") > 0) & (F.col("n") <= LARGEST + 1)).groupBy("n").count().collect():
-            numbers[2, r[0]] = numbers.get((2, r[0]), 0) + r[1]
+        triples = keep(told.where("what = 5").groupBy("u", "v", "w").agg(F.sum("n").alias("n")))
+        for k, grams in ((2, pairs), (3, triples)):
+            for r in grams.where((F.col("n") > 0) & (F.col("n") <= LARGEST + 1)).groupBy("n").count().collect():
+                numbers[k, r[0]] = numbers.get((k, r[0]), 0) + r[1]
         head.d2, head.d3 = (discounts({r: numbers.get((k, r), 0) for r in range(1, LARGEST + 2)}) for k in (2, 3))
         n = F.col("n")
-        kept = n * F.when(n <= LARGEST, F.element_at(F.array(*[F.lit(float(x)) for x in head.d2]), F.least(n, F.lit(LARGEST)).cast("int") + 1)).otherwise(1.0)
+        kept = lambda d: n * F.when(n <= LARGEST, F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(n, F.lit(LARGEST)).cast("int") + 1)).otherwise(1.0)
         lower = F.greatest(F.coalesce("c", F.lit(0)), F.lit(1)) / (total + 1.0)
         with_words = pairs.where("n > 0").join(words.select(F.col("word").alias("w"), F.col("n").alias("c")), "w", "left")
-        head.dealt = {r[0]: (float(r[1]), r[2], r[3]) for r in with_words.groupBy("v").agg(F.sum("n"), F.sum(kept), F.sum(lower)).collect()}  # one for each word in parts
+        dealt = with_words.groupBy("v").agg(F.sum("n").alias("count"), F.sum(kept(head.d2)).alias("mass"), F.sum(lower).alias("share")).collect()  # one for each word in parts
+        head.dealt = {r[0]: (float(r[1]), r[2], r[3]) for r in dealt}
         sent.unpersist()
         sent = spark.sparkContext.broadcast(head)
-        single = told.where("what = 1").select("bucket", "w").join(words.select(F.col("word").alias("w"), "n"), "w").select("bucket", F.lit(None).cast("long").alias("v"), "w", "n")
-        double = told.where("what = 4").select("bucket", "v", "w").join(pairs, ["v", "w"]).select("bucket", "v", "w", "n")
-        parts = scored(packed_trigrams(rows, sent, True), single.unionByName(double), sent)
+        # what histories in parts keep, and what their words have without the first: each bigram was seen, so its discounted share of v
+        room = spark.createDataFrame([(r[0], r[2] if r[3] > 1 - 1e-9 else r[1] + 1.0) for r in dealt], "v long, room double")
+        second = pairs.where("n > 0").join(F.broadcast(room), "v").select("v", "w", (kept(head.d2) / F.col("room")).alias("p"))
+        sums = triples.where("n > 0").join(second, ["v", "w"]).groupBy("u", "v").agg(F.sum("n").alias("n"), F.sum(kept(head.d3)).alias("mass"), F.sum("p").alias("share"))
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        tail = (none("double", "mass"), none("double", "share"))
+        single = told.where("what = 1").select("bucket", "w").join(words.select(F.col("word").alias("w"), "n"), "w").select("bucket", none("long", "u"), none("long", "v"), "w", "n", *tail)
+        double = told.where("what = 4").select("bucket", "v", "w").join(pairs, ["v", "w"]).select("bucket", none("long", "u"), "v", "w", "n", *tail)
+        five = told.where("what = 5")
+        triple = five.select("bucket", "u", "v", "w").join(triples, ["u", "v", "w"]).select("bucket", "u", "v", "w", "n", *tail)
+        whole = five.select("bucket", "u", "v").distinct().join(sums, ["u", "v"]).select("bucket", "u", "v", none("long", "w"), "n", "mass", "share")
+        answers = single.unionByName(double).unionByName(triple).unionByName(whole)
+        parts = scored(packed_trigrams(rows, sent, True), answers, sent)
         sums = parts.groupBy("number").agg(F.max("doc").alias("doc"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
         base = float(np.log10(total + types + 1.0))
         kind = docs.schema[doc_id].dataType.simpleString()
