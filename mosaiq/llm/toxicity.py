@@ -101,22 +101,66 @@ def segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]
     return [(int(s), int(e), right - left) for s, e, left, right, _ in found]
 
 
+#: Sums that differ by less are equal: of equal parts the one that ends first counts, then the one that begins first.
+TIE = 1e-9
+
+
+def _scan(known: list[tuple[int, int, float, float]], rest: float) -> tuple[int, int, float, list[int]]:
+    """``densest``, and the places where a new beginning is better than all before it, so that no best part goes over them.
+
+    A later beginning never loses against an earlier one: a token that the earlier part has already is new to it. So beginnings stand in a list, best first,
+    with the differences of neighbours; a token changes one difference, and a beginning that falls behind the next is gone for good."""
+    n = len(known)
+    upto = list(range(n + 1))  # upto[k + 1] - 1: the last beginning in the list not after k
+    after, before, ahead = [0] * n, [0] * n, [0.0] * n
+    seen: dict[int, int] = {}
+    first = last = 0
+    top = low = 0.0
+    best, cuts = (0, 0, -math.inf), []
+    for r, (_, own, score, between) in enumerate(known):
+        twin = seen.get(own, -1)
+        seen[own] = r
+        if not r:
+            top = low = score
+        else:
+            top += between + (score if first > twin else rest)
+            low += between + (score if last > twin else rest)
+            k = twin + 1
+            while upto[k] != k:
+                upto[k] = upto[upto[k]]
+                k = upto[k]
+            c = k - 1
+            if c >= 0 and c != last:
+                ahead[c] -= score - rest
+                while ahead[c] < -TIE:
+                    upto[c + 1] = c
+                    if c == first:
+                        first, top = after[c], top - ahead[c]
+                        break
+                    p = before[c]
+                    ahead[p] += ahead[c]
+                    after[p], before[after[c]] = after[c], p
+                    c = p
+            gap = low - score
+            while gap < -TIE and last >= 0:
+                upto[last + 1] = last
+                last = -1 if last == first else before[last]
+                gap += ahead[last] if last >= 0 else 0.0
+            if last < 0:
+                cuts.append(r)
+                first, top = r, score
+            else:
+                ahead[last], after[last], before[r] = gap, r, last
+            last, low = r, score
+        if top > best[2] + TIE:
+            best = (first, r, top)
+    return (*best, cuts)
+
+
 def densest(known: list[tuple[int, int, float, float]], rest: float) -> tuple[int, int, float]:
     """The best part of ``known`` (place, token, score, what lies between it and the one before) as (first, last, score)
-    when equal tokens within it count once, and repeats as ``rest``."""
-    sums, low, last, best = np.zeros(len(known)), 0, {}, (0, 0, -math.inf)
-    for r, (_, own, score, between) in enumerate(known):
-        sums[low:r] += between
-        before = last.get(own, -1)
-        sums[low : max(low, before + 1)] += rest
-        sums[max(low, before + 1) : r + 1] += score
-        last[own] = r
-        at = low + int(sums[low : r + 1].argmax())
-        if sums[at] > best[2]:
-            best = (at, r, float(sums[at]))
-        while low < r and sums[low] <= 0:  # what follows is better without such a beginning
-            low += 1
-    return best
+    when equal tokens within it count once, and repeats as ``rest``, which is less than any score. In nearly linear time."""
+    return _scan(known, rest)[:3]
 
 
 def passages(score: np.ndarray, token: np.ndarray, model: Model, alpha: float = 0.05) -> list[tuple[int, int, float]]:
@@ -149,7 +193,10 @@ def passages(score: np.ndarray, token: np.ndarray, model: Model, alpha: float =
         parts = [own]
         while parts:
             part = parts.pop()
-            a, b, best = densest(part, model.rest)
+            a, b, best, cuts = _scan(part, model.rest)
+            if cuts:  # what lies between them is searched by itself, so that a long text is not gone over for each passage
+                parts += [part[x:y] for x, y in zip([0, *cuts], [*cuts, len(part)], strict=True)]
+                continue
             if model.expected(best, n) <= alpha:
                 out.append((part[a][0], part[b][0] + 1, model.expected(best, n)))
                 parts += [x for x in (part[:a], part[b + 1 :]) if x]
