@@ -1,10 +1,9 @@
 """SQL (DuckDB) for what of the operators' results SQL can express: op5, op8 and op9 whole, and the columns of op1, op2 and
-op10 that no method decides. Written from the definitions, for another engine, over the same tables."""
+op10 that no method decides. Written from the definitions, for another engine, over the same tables; rules, patterns and limits are stated here
+once more, so that a slip in the operators' own can't pass on both sides."""
 
 from __future__ import annotations
 
-from mosaiq.llm import quality, secrets, urls
-
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
@@ -26,11 +25,20 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
 
 
+# What fails a text (measure, low, high), and the stop words of four languages.
+QUALITY = (
+    ("length", "n_words", 50, None), ("word_length", "mean_word", 1.5, 20), ("symbols", "symbol_ratio", None, 0.25), ("stop_words", "stop_ratio", 0.02, None),
+    ("repeated_lines", "dup_line_ratio", None, 0.5), ("repeated_words", "repeat_ratio", None, 0.5), ("separators", "separator_ratio", None, 0.2), ("shouting", "upper_ratio", None, 0.6),
+)
+STOP = """a als and are as as au auf avec be con das de de de del dem den der des des die du ein eine el elle en en es est et for für have il im in in is ist it la la las le les lo los
+mit nicht no of on para pas por pour que que qui sich se su sur that the this to un un una und une von was with y zu dans al"""
+
+
 def _quality() -> str:
-    stop = dict.fromkeys(w for k in quality.STOP_WORDS.values() for w in k.split())
+    stop = dict.fromkeys(STOP.split())
     ratio = lambda part, of: f"CASE WHEN {of} > 0 THEN {part}::DOUBLE / {of} ELSE 0 END"
-    sides = lambda r: " OR ".join(x for x in (r.low is not None and f"{r.measure} < {r.low}::DOUBLE", r.high is not None and f"{r.measure} > {r.high}::DOUBLE") if x)
-    failed = ", ".join(f"CASE WHEN {sides(r)} THEN '{r.name}' END" for r in quality.RULES)
+    sides = lambda m, low, high: " OR ".join(x for x in (low is not None and f"{m} < {low}::DOUBLE", high is not None and f"{m} > {high}::DOUBLE") if x)
+    failed = ", ".join(f"CASE WHEN {sides(*r)} THEN '{name}' END" for name, *r in QUALITY)
     return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 s AS MATERIALIZED (SELECT *, list_filter(string_split_regex(t, '{SPACE}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
 win AS (SELECT n, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
@@ -46,17 +54,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 base_failed, NOT base_failed AND failed = '' AS kept, failed FROM f"""
 
 
+# Kind, pattern, group, least characters of it. The first three are the base.
+SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1), ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1), ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+)
+
+
 def _secrets() -> str:
     each = []
-    for order, rule in enumerate(secrets.RULES):
-        p = _quoted(rule.pattern)
+    for order, (kind, pattern, group, least) in enumerate(SECRETS):
+        p = _quoted(pattern)
         start = "CAST(coalesce(list_sum(list_transform(b[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS BIGINT)"
-        each.append(f"SELECT n, {order} AS o, '{rule.kind}' AS kind, {start} AS s, length(m[k]) AS len FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT n, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {rule.group}) AS g, string_split_regex(t, {p}) AS b FROM d)) WHERE length(g[k]) >= {rule.least}")
+        each.append(f"SELECT n, {order} AS o, '{kind}' AS kind, {start} AS s, length(m[k]) AS len FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT n, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS g, string_split_regex(t, {p}) AS b FROM d)) WHERE length(g[k]) >= {least}")
     text = "kind || ':' || s || ':' || (s + len), ',' ORDER BY s, o"
-    counts = ", ".join(f"CAST(count(*) FILTER (o = {i}) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(secrets.BASE))
+    counts = ", ".join(f"CAST(count(*) FILTER (o = {i}) AS BIGINT) AS n_{kind}" for i, (kind, *_) in enumerate(SECRETS[:3]))
     return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 x AS ({' UNION ALL '.join(each)})
-SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg({text}) FILTER (o < {len(secrets.BASE)}), '')) AS base_sha256, coalesce(string_agg({text}) FILTER (o IS NOT NULL), '') AS spans
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg({text}) FILTER (o < 3), '')) AS base_sha256, coalesce(string_agg({text}) FILTER (o IS NOT NULL), '') AS spans
 FROM d LEFT JOIN x USING (n) GROUP BY n"""
 
 
@@ -73,10 +88,14 @@ SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, CAST({_crc('
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), tab"""
 
 
+# The contract's rules.
+URLS = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
 def _urls() -> str:
     host = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     cases = ""
-    for verdict, rule in sorted(urls.RULES, key=lambda r: -len(r[1])):
+    for verdict, rule in sorted(URLS, key=lambda r: -len(r[1])):
         domain, slash, rest = rule.partition("/")
         cases += f" WHEN (host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{slash}{rest}') THEN '{verdict} {rule}'"
     return rf"""WITH u AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), f AS (SELECT *, CASE{cases} END AS f FROM u)
