@@ -150,11 +150,10 @@ def pack_texts(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, cell: int =
                 out = _packed(pd.DataFrame({"n_tokens": pc.count_substring_regex(texts, pattern=WORD).to_numpy(zero_copy_only=False).astype(np.int64) + 1}), lengths, first)
                 first += int(out["bin"].max() - first + 1)
                 row = out["row"].to_numpy(np.int64)
-                pieces = texts.take(pa.array(row))  # whole texts but for those of several pieces
-                if (out["piece"] > 0).any():
-                    several = out[out["row"].isin(out.loc[out["piece"] > 0, "row"])]
-                    cuts = {(r, k): x for r, starts in several.groupby("row")["start"] for k, x in enumerate(cut_at(texts[r].as_py(), list(starts)))}
-                    held = np.array([(r, k) in cuts for r, k in zip(row, out["piece"], strict=True)])
+                held = np.isin(row, row[out["piece"].to_numpy() > 0])  # of several pieces; the others are whole texts
+                pieces = texts.take(pa.array(row, mask=held))
+                if held.any():
+                    cuts = {(r, k): x for r, starts in out[held].groupby("row")["start"] for k, x in enumerate(cut_at(texts[r].as_py(), list(starts)))}
                     pieces = pc.replace_with_mask(pieces, pa.array(held), pa.array([cuts[r, k] for r, k in zip(row[held], out["piece"].to_numpy()[held], strict=True)], pieces.type))
                 columns = [pa.array(out[k].to_numpy(), t) for k, t in (("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("bin", pa.int64()), ("place", pa.int32()), ("capacity", pa.int32()))]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *columns, pieces], ["doc_id", "piece", "start", "length", "bin", "place", "capacity", "text"])
