@@ -10,7 +10,7 @@ all bigrams after v; so a bucket has all that alpha(v), alpha(u, v) and its toke
 words, which it asks for. The histories of a word with very many tokens are dealt to several buckets, whose counts of bigrams are then
 added up in Spark; and histories (u, v) of two such words are dealt further, by w, or by text if w is such a word too, and the
 counts of their trigrams and what they keep are added up in Spark as well. So no bucket grows with a word, a history or a trigram that is in
-every text, and buckets are as many as the tokens ask for; each holds about a million.
+every text, and buckets are as many as the tokens ask for; each holds about half a million.
 
 Trigrams travel as compressed arrays, twice: first counts only, summed up over the texts of a slice, and then, with the discounts known,
 those of each text to be scored; each bucket adds up its part of every text. Frequent words are written by their rank, others by their hash.
@@ -34,7 +34,7 @@ from mosaiq.llm.common import cut, give_back, release, workspace
 #: Good-Turing discounts counts up to this one.
 LARGEST = 5
 #: Tokens of a slice of texts, of a bucket, and of a word whose histories stay together, about.
-TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 20
+TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 19, 1 << 19
 #: Counts of words that are at least this part of the tokens, 1 / HEAD at most, are sent to the tasks; the others are joined.
 HEAD = 1e-6
 #: Hashes of the end of a text and of what is before it: of strings that are no words.
@@ -184,18 +184,15 @@ def _blobs(part: pa.Array, held: np.ndarray, first: int, head: Head, texts: bool
     order = np.argsort(bucket[kept].astype(np.uint16) if head.buckets <= 1 << 16 else bucket[kept], kind="stable")
     kept, times = kept[order], times[order]
     u, v, w, owner, bucket = u[kept], v[kept], at[kept], owner[kept], bucket[kept]
-    ranks, local = head.of(head.rank, words, -1), np.zeros(size, np.int64)
+    ranks = head.of(head.rank, words, -1)
     bounds = np.append(np.flatnonzero(np.append(True, np.diff(bucket) > 0)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     for a, b in zip(bounds, bounds[1:], strict=False):
         runs = np.flatnonzero(np.append(True, np.diff(v[a:b]) != 0))
         codes = np.concatenate([v[a:b][runs], u[a:b], w[a:b]])
         coded = ranks[codes]
         rare = coded < 0
-        there = np.zeros(size, bool)
-        there[codes[rare]] = True
-        used = np.flatnonzero(there)
-        local[used] = len(head.by_rank) + np.arange(len(used))
-        coded[rare] = local[codes[rare]]
+        used, at_rare = np.unique(codes[rare], return_inverse=True)
+        coded[rare] = len(head.by_rank) + at_rare
         of = _packed((owner[a:b] * 2 + held[owner[a:b]]).astype(np.uint32)) if texts else b""
         yield (int(bucket[a]), first, b - a, len(used), len(runs), _packed(np.diff(words[used].view(_U), prepend=_U(0))), _packed(coded.astype(np.uint32)), _packed(np.diff(np.append(runs, b - a)).astype(np.uint32)), of, _packed(times.astype(np.uint32)[a:b]))
 
