@@ -26,11 +26,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind, and ``n_chars`` of those counted anew. Null and empty texts and
+    """All documents, secrets replaced by their kind, and ``n_chars`` of those, if there is such a column, counted anew. Null and empty texts and
     repeated rows stay as they are, as do all other columns; no rows give none."""
     known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     found = secrets.find_secrets(known)
-    put = {"text": secrets.redact(F.col("text"), F.col("secrets")), "n_chars": F.when(F.size("secrets") > 0, F.length(secrets.redact(F.col("text"), F.col("secrets"))).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))}
+    clean = secrets.redact(F.col("text"), F.col("secrets"))
+    put = {"text": clean}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(F.size("secrets") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return found.select(*[put[c].alias(c) if c in put else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
