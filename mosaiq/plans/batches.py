@@ -125,10 +125,15 @@ def colours(r: np.ndarray, g: np.ndarray, b: np.ndarray, bins: int) -> np.ndarra
     return histograms(_flat((low(r) * bins + low(g)) * bins + low(b)), bins**3)
 
 
-def vector_kernel(f) -> Callable[..., np.ndarray]:
-    """The kernel of a ``Featurizer``: its whole vector for each image."""
+def gray_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (77 * r + 150 * g + 29 * b) >> 8
+
+
+def bank_of(f, r: np.ndarray, g: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """The masks of a ``Featurizer`` in the order of its vector, each followed by its automaton's states."""
 
-    def masks(r: np.ndarray, g: np.ndarray, b: np.ndarray, gray: np.ndarray) -> Iterator[np.ndarray]:
+    def masks() -> Iterator[np.ndarray]:
+        gray = gray_of(r, g, b)
         for t in f.gray:
             yield gray >= t
             if f.edges:
@@ -144,13 +149,29 @@ def vector_kernel(f) -> Callable[..., np.ndarray]:
         for t in f.saturation:
             yield spread >= t
 
+    out = []
+    for m in masks():
+        out.append(m.astype(np.uint8))
+        for _ in range(f.ca_steps):
+            out.append(step(out[-1], f.ca_birth, f.ca_survive, f.ca_diagonal))
+    return out
+
+
+def count_kernel(f) -> Callable[..., np.ndarray]:
+    """How many pixels each mask of a ``Featurizer`` has."""
+    return lambda *planes: np.stack([m.sum(axis=(1, 2), dtype=np.int64) for m in bank_of(f, *(p.astype(np.int32) for p in planes))], axis=1)
+
+
+def lbp_kernel(eps: int = 0, flip_invariant: bool = False) -> Callable[..., np.ndarray]:
+    return lambda *planes: lbp(gray_of(*(p.astype(np.int32) for p in planes)), eps, flip_invariant)
+
+
+def vector_kernel(f) -> Callable[..., np.ndarray]:
+    """The kernel of a ``Featurizer``: its whole vector for each image."""
+
     def run(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
         r, g, b = (p.astype(np.int32) for p in (r, g, b))
-        gray, bank = (77 * r + 150 * g + 29 * b) >> 8, []
-        for m in masks(r, g, b, gray):
-            bank.append(m.astype(np.uint8))
-            for _ in range(f.ca_steps):
-                bank.append(step(bank[-1], f.ca_birth, f.ca_survive, f.ca_diagonal))
+        gray, bank = gray_of(r, g, b), bank_of(f, r, g, b)
         parts = []
         if bank:
             own = np.stack(bank, axis=1)

@@ -9,11 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from mosaiq.functions import planes, tables
 from mosaiq.functions.lambdas import left, total
 from mosaiq.operators import boards, boosting, cayley, forms, learn, morphology, neighbours, scaling, stats, symmetry, tableau
-from mosaiq.plans import grammar, passes
+from mosaiq.plans import batches, grammar, passes
 from mosaiq.plans.featurizer import Featurizer
 from mosaiq.sources.images import derived_images
 
@@ -155,9 +156,8 @@ def _bank_sql() -> str:
 
 @query("mask_bank_counts", _bank_sql())
 def mask_bank_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Featurizer()
-    own = f.with_planes(images(spark, sf_dir)).select("img_id", f.bank().alias("bank"))
-    return long(own, F.transform("bank", stats.count))
+    own = batches.map_images(images(spark, sf_dir), batches.count_kernel(Featurizer()), "n", LongType())
+    return long(own, F.col("n"))
 
 
 @query("grad_masks", with_(_GRAD, select="SELECT img_id, " + ", ".join(f"CAST(sum(CASE WHEN {t} THEN 1 ELSE 0 END) AS BIGINT) AS n{i}" for i, t in enumerate(_GRADIENTS)) + " FROM grad GROUP BY img_id"))
@@ -268,8 +268,7 @@ _MIRROR = " + ".join(f"((code >> {a}) & 1) * {1 << b}" for a, b in ((0, 4), (1,
 
 @query("lbp256", with_(_lbp("gray"), select=dense("SELECT img_id, code FROM lbp", 256)))
 def lbp256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = images(spark, sf_dir).withColumn("gray", planes.gray_u8(*rgb()))
-    return long(own, stats.lbp_histogram(F.col("gray")))
+    return long(batches.map_images(images(spark, sf_dir), batches.lbp_kernel(), "n", LongType()), F.col("n"))
 
 
 @query("lbp_flip_invariant", with_(_lbp("gray"), select=dense(f"SELECT img_id, least(code, {_MIRROR}) AS code FROM lbp", 256)))
@@ -605,6 +604,12 @@ def grammar_diag_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(scaling.grammar_scale(own, own), F.col("f"), "double")
 
 
+@query("grammar_diag_scale_std", with_(_VEC, "sc AS (SELECT pos, (stddev_pop(x) + 10) / 32 AS s FROM vec GROUP BY pos)", select="SELECT img_id, CAST(pos AS INTEGER) AS pos, round(x / s, 5) AS v FROM vec JOIN sc USING (pos)"))
+def grammar_diag_scale_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = vectors(spark, sf_dir)
+    return long(scaling.grammar_scale(own, own, use_var=False), F.col("f"), "double")
+
+
 @query("stratified_split", "SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(ceil(count(*) * 0.1) AS BIGINT) AS held_out FROM embeddings GROUP BY label")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = learn.stratified_split(images(spark, sf_dir).select("img_id", "label"), "img_id", "label")
@@ -871,7 +876,7 @@ def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("img_id", boards.at_least(planes.gray_u8(*rgb()), 100).alias("a"), boards.at_least(planes.saturation(*rgb()), 60).alias("b"), boards.at_least(planes.opponent_rg(*rgb()[:2]), 20).alias("c"))
 
 
-@query("quad_pairs", with_(_TWO, select="SELECT img_id, CAST(sum(a * b) AS BIGINT) AS both, CAST(sum(a ^ b) AS BIGINT) AS either, CAST(sum(a) % 2 AS BIGINT) AS parity FROM (SELECT img_id, a, b, CASE WHEN a = b THEN 0 ELSE 1 END AS x FROM two) GROUP BY img_id".replace("sum(a ^ b)", "sum(x)")))
+@query("quad_pairs", with_(_TWO, select="SELECT img_id, CAST(sum(a * b) AS BIGINT) AS both, CAST(sum(x) AS BIGINT) AS either, CAST(sum(a) % 2 AS BIGINT) AS parity FROM (SELECT img_id, a, b, CASE WHEN a = b THEN 0 ELSE 1 END AS x FROM two) GROUP BY img_id"))
 def quad_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.zip_with("a", "b", lambda x, y: x.bitwiseAND(y))
     either = F.zip_with("a", "b", lambda x, y: x.bitwiseXOR(y))
