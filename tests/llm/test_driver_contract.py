@@ -15,6 +15,9 @@ RETURNS = {
     "op8_find_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op9_near_vectors": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op10_score_texts": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op11_collapse_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_align_tokenizers": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op13_assemble_captures": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
 }
 
 
@@ -25,7 +28,7 @@ def test_columns_and_rows(name, spark, sf_dir):
     for field in RETURNS[name].split(", "):
         column, kind = field.split(" ")
         assert kinds[column] == kind, column
-    table, key = {"op2": ("pages", "page_id"), "op9": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
+    table, key = {"op2": ("pages", "page_id"), "op9": ("embeddings", "vec_id"), "op13": ("pages", "page_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     want = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect())
     assert sorted(r[0] for r in df.select(key).collect()) == want
 
