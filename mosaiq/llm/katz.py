@@ -33,7 +33,7 @@ from mosaiq.llm.common import cut, give_back, release, workspace
 
 #: Good-Turing discounts counts up to this one.
 LARGEST = 5
-#: Tokens of a slice of texts, of a bucket, and of a word whose histories stay together, about.
+#: Tokens of a slice of texts, of a bucket, and of a word whose histories stay together (or 1/256 of all), about.
 TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 19, 1 << 19
 #: Counts of words that are at least this part of the tokens, 1 / HEAD at most, are sent to the tasks; the others are joined.
 HEAD = 1e-6
@@ -152,11 +152,11 @@ _BLOB = "bucket long, first long, n long, d long, k long, words binary, codes bi
 _ABOUT = pa.schema([("number", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64())])
 
 
-def _blobs(part: pa.Array, held: np.ndarray, first: int, head: Head, texts: bool) -> Iterator[tuple]:
-    """The distinct trigrams of each text of ``part`` with how often it has them, by bucket. Texts have the numbers from ``first``
+def _blobs(split: tuple[np.ndarray, np.ndarray, np.ndarray], held: np.ndarray, first: int, head: Head, texts: bool) -> Iterator[tuple]:
+    """The distinct trigrams of each text of some, as ``tokens`` gives them, with how often it has them, by bucket. Texts have the numbers from ``first``
     on, of which the lowest bit tells that the text is held out. Without ``texts``: the trigrams of all texts together, counted in training texts
     only; what only others have counts 0, for those texts' buckets ask for words and sums too."""
-    hashes, at, owner = tokens(part)
+    hashes, at, owner = split
     words = np.append(hashes, PAD)
     end, pad, n, size = int(np.searchsorted(hashes, END)), len(hashes), len(at), len(hashes) + 1
     new = np.append(True, owner[1:] != owner[:-1])
@@ -208,9 +208,9 @@ def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
         for b in batches:
             for start, part in slices(b.column(2)):
                 held = b.column(1).slice(start, len(part)).to_numpy(zero_copy_only=False).astype(np.int64)
-                out = list(_blobs(part, held, number, head, about))
+                hashes, at, owner = tokens(part)
+                out = list(_blobs((hashes, at, owner), held, number, head, about))
                 if about:
-                    hashes, at, owner = tokens(part)
                     n = head.of(head.counts, hashes, 0)[at]
                     total = lambda x: np.bincount(owner, weights=x, minlength=len(part))  # noqa: E731, B023
                     columns = [pa.array(number + 2 * np.arange(len(part)) + held), b.column(0).slice(start, len(part)), b.column(1).slice(start, len(part)), pa.array(np.bincount(owner, minlength=len(part))), pa.array(total(n > 0).astype(np.int64)), pa.array(total(np.log10(n + 1.0)))]
@@ -224,6 +224,16 @@ def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
     return rows.mapInArrow(run, _BLOB)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, sorted, a place of each, and which of them each value is."""
+    order = np.argsort(x)
+    new = np.append(True, np.diff(x[order]) != 0)[: len(x)]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = order[new]
+    return x[at], at, which
+
+
 class Bucket:
     """The trigrams of a bucket. ``words``: hashes; ``text``, ``times`` and ``tri`` of each row; of each distinct trigram ``c3``, the
     count in training texts, its ``history`` and its ``pair``; of each distinct bigram its words ``v`` and ``w`` and ``c2``. ``histories``: v * size + u,
@@ -249,8 +259,8 @@ class Bucket:
         self.text = np.concatenate([r["first"] + _unpacked(r["texts"], r["n"], "u4").astype(np.int64) if r["texts"] else np.zeros(r["n"], np.int64) for r in rows])
         self.times = np.concatenate([_unpacked(r["times"], r["n"], "u4") for r in rows]).astype(np.float64)
         size = len(self.words)
-        self.histories, history = np.unique(v * size + u, return_inverse=True)
-        self.trigrams, at, self.tri = np.unique(history * size + w, return_index=True, return_inverse=True)
+        self.histories, _, history = _distinct(v * size + u)
+        self.trigrams, at, self.tri = _distinct(history * size + w)
         self.c3 = np.bincount(self.tri, weights=self.times * (self.text % 2 == 0), minlength=len(at))
         self.history = history[at]
         pairs, self.pair = np.unique(v[at] * size + w[at], return_inverse=True)
@@ -373,7 +383,7 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         top = words.where(F.col("n") >= max(1.0, HEAD * total)).toPandas().sort_values("word")
         counts = top["n"].to_numpy(np.int64)
-        most = max(SPLIT, int(np.ceil(HEAD * total)))  # so that every word in parts is a frequent one
+        most = max(min(SPLIT, total // 256 + 1), int(np.ceil(HEAD * total)), 1)  # so that every word in parts is a frequent one
         head = Head(total, types, top["word"].to_numpy(np.int64), counts, np.where(counts > most, -(-counts // most), 1), total // BUCKET + 1)
         sent = spark.sparkContext.broadcast(head)
         told = keep(counted(packed_trigrams(rows, sent, False), sent))
@@ -404,7 +414,8 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         five = told.where("what = 5")
         triple = five.select("bucket", "u", "v", "w").join(triples, ["u", "v", "w"]).select("bucket", "u", "v", "w", "n", *tail)
         whole = five.select("bucket", "u", "v").distinct().join(sums, ["u", "v"]).select("bucket", "u", "v", none("long", "w"), "n", "mass", "share")
-        answers = single.unionByName(double).unionByName(triple).unionByName(whole)
+        answers = keep(single.unionByName(double).unionByName(triple).unionByName(whole))
+        release(spark)
         parts = scored(packed_trigrams(rows, sent, True), answers, sent)
         sums = parts.groupBy("number").agg(F.max("doc").alias("doc"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
         base = float(np.log10(total + types + 1.0))

@@ -15,7 +15,7 @@ def test_a_history_of_every_text_is_dealt_to_many_buckets():
     head = katz.Head(len(at), len(hashes), hashes[frequent], counts[frequent], -(-counts[frequent] // 500), 200)
     for about in (True, False):
         rows: dict[int, int] = {}
-        for blob in katz._blobs(texts, np.zeros(len(texts), np.int64), 0, head, about):
+        for blob in katz._blobs(katz.tokens(texts), np.zeros(len(texts), np.int64), 0, head, about):
             rows[blob[0]] = rows.get(blob[0], 0) + blob[2]
         assert sum(rows.values()) == len(at) if about else sum(rows.values()) <= len(at)
         assert max(rows.values()) < 4 * len(at) / 200, max(rows.values())
@@ -38,7 +38,7 @@ def test_blobs_and_buckets_give_the_trigrams_back():
     names = [x.split(" ")[0] for x in katz._BLOB.split(", ")]
     for about in (True, False):
         got: dict[tuple, int] = {}
-        blobs = list(katz._blobs(texts, held, 0, head, about))
+        blobs = list(katz._blobs(katz.tokens(texts), held, 0, head, about))
         for bucket in {b[0] for b in blobs}:
             table = pa.table({k: [b[i] for b in blobs if b[0] == bucket] for i, k in enumerate(names)})
             b = katz.Bucket(table, head)
