@@ -922,9 +922,9 @@ def cayley_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.vote(_neighbours(spark, sf_dir))
 
 
-@query("z2_forms", with_(M100, """mp AS MATERIALIZED (SELECT img_id, y * 32 + x AS i, v FROM m),
-en AS (SELECT 0 AS form, i, (5 * i + 7) % 1024 AS j FROM range(1024) t(i) UNION ALL SELECT 1, i, (i + 33) % 1024 FROM range(1024) t(i) UNION ALL SELECT 1, i, (i + 1) % 1024 FROM range(1024) t(i) UNION ALL SELECT 2, i, (i * i + 3) % 1024 FROM range(1024) t(i)),
-qd AS (SELECT a.img_id, en.form, sum(a.v * b.v) AS n FROM en JOIN mp a ON a.i = en.i JOIN mp b ON b.i = en.j AND b.img_id = a.img_id GROUP BY ALL),
+@query("z2_forms", with_(M100, """mp AS MATERIALIZED (SELECT img_id, y * 32 + x AS i, v FROM m), ml AS MATERIALIZED (SELECT img_id, list(v ORDER BY i) AS l FROM mp GROUP BY img_id),
+en AS MATERIALIZED (SELECT 0 AS form, i, (5 * i + 7) % 1024 AS j FROM range(1024) t(i) UNION ALL SELECT 1, i, (i + 33) % 1024 FROM range(1024) t(i) UNION ALL SELECT 1, i, (i + 1) % 1024 FROM range(1024) t(i) UNION ALL SELECT 2, i, (i * i + 3) % 1024 FROM range(1024) t(i)),
+qd AS (SELECT img_id, form, sum(l[i + 1] * l[j + 1]) AS n FROM ml CROSS JOIN en GROUP BY ALL),
 ln AS (SELECT img_id, form, sum(CASE WHEN i % (form + 3) = 0 THEN v ELSE 0 END) AS n FROM mp CROSS JOIN (SELECT unnest(range(3)) AS form) GROUP BY ALL)""", select="SELECT qd.img_id, CAST(qd.form AS BIGINT) AS form, CAST((qd.n + ln.n + qd.form % 2) % 2 AS INTEGER) AS value FROM qd JOIN ln ON ln.img_id = qd.img_id AND ln.form = qd.form"))
 def z2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three forms with some 1,000 to 2,000 entries, a linear part and a constant each, on the mask gray >= 100."""
