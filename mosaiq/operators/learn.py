@@ -184,22 +184,6 @@ def with_mean_probabilities(model: PipelineModel, rows: DataFrame, flipped: Data
     return both.withColumn("scores", F.transform("scores", lambda p: p / 2))
 
 
-# ---- nearest neighbours
-
-
-def nearest(vectors: DataFrame, asked: DataFrame, block_rows: int = 2048) -> DataFrame:
-    """(query, distance): for each of ``asked`` (query, q) the least squared distance to a row of ``vectors`` (img_id, v) of another
-    id. The queries are sent to the rows in blocks of about ``block_rows``, each a pass over ``vectors``."""
-    blocks = max(1, -(-asked.count() // block_rows))
-    d = total(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)))
-    out = None
-    for i in range(blocks):
-        block = F.broadcast(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
-        found = vectors.join(block, F.col("img_id") != F.col("query")).groupBy("query").agg(F.min(d).alias("distance"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 # ---- ridge
 
 

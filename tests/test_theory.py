@@ -116,3 +116,41 @@ def test_order_of_passes_against_all_orders(spark, sf_dir):
     assert len(few) <= 2 and sum(r.best for r in few) == 1 and all(found[r.order].score == pytest.approx(r.score) for r in few)
     assert passes.search_order(own.limit(0), every).count() == 0
     own.unpersist()
+
+
+@pytest.mark.parametrize("kind", ["whole", "fractions", "far off"])
+def test_a_part_of_the_rows_against_all_pairs(kind):
+    """Queries meet rows by matrix products: ties by id, the row of the query's own id left out, nothing beyond its reach, no digit lost."""
+    r = np.random.default_rng(3)
+    own = {"whole": r.integers(0, 3, (60, 4)), "fractions": r.normal(size=(60, 4)), "far off": 1e8 + r.normal(size=(60, 4))}[kind].astype(float)
+    own[30:40] = own[:10]
+    orbits = np.concatenate([np.roll(own, s, axis=1) for s in range(4)], axis=1)
+    ids = r.permutation(60)
+    part = neighbours.Part(ids, orbits, 4)
+    asked, q = np.append(ids[:20], 999), np.append(own[:20], own[:1] + 0.5, axis=0)
+    reach = np.where(np.arange(21) % 3, np.inf, 1.0)
+    got = list(zip(*part.nearest(asked, q, reach, 7), strict=True))
+    for i in range(21):
+        far = sorted((float(min(((q[i] - t) ** 2).sum() for t in orbits[j].reshape(4, 4))), int(ids[j])) for j in range(60) if ids[j] != asked[i])
+        want = [(d, k) for d, k in far if d <= reach[i] ** 2][:7]
+        assert [(d, k) for at, k, d in got if at == i][: len(want)] == want
+
+
+def test_cells_in_several_parts(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, i % 3, [v, v[::-1]]) for i, v in enumerate(r.integers(0, 4, (200, 6)).tolist())]
+    df = spark.createDataFrame(rows, "id long, label int, orbit array<array<int>>")
+    asked = df.where("id % 5 = 0").select(F.col("id").alias("query"), F.get("orbit", 0).alias("q"))
+    whole = sorted(map(tuple, neighbours.nearest_orbits(df, asked, 4, 3).collect()))
+    monkeypatch.setattr(neighbours, "ROWS", 8)
+    assert sorted(map(tuple, neighbours.nearest_orbits(df, asked, 4, 3).collect())) == whole and len(whole) == 160
+    assert neighbours.nearest_orbits(df.where("id < 0"), asked).columns == ["query", "rank", "id", "distance", "label"]
+
+
+def test_grids_of_all_forms(spark, sf_dir):
+    own = queries.images(spark, sf_dir).limit(3)
+    made = {x.img_id: x.f for x in queries.batches.map_images(own, queries.batches.orbit_grid_kernel(100), "f", queries.LongType()).collect()}
+    gray = own.withColumn("gray", queries.planes.gray_u8(*queries.rgb()))
+    for e in (0, 3, 6):
+        for x in gray.select("img_id", queries.stats.grid(queries.boards.at_least(queries.symmetry.moved(F.col("gray"), e), 100)).alias("v")).collect():
+            assert made[x.img_id][e * 64 : e * 64 + 64] == x.v
