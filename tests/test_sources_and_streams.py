@@ -3,6 +3,7 @@
 import pickle
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,12 @@ def test_table_functions(spark):
 def test_orbit_keeps_other_columns(spark):
     own = spark.createDataFrame([(1, [0] * 1024, [1] * 1024, [2] * 1024, "x", "y")], "img_id int, r array<int>, g array<int>, b array<int>, rg string, gb string")
     assert set(symmetry.orbit(own).columns) == {"img_id", "element", "r", "g", "b", "rg", "gb"}
+
+
+def test_images_are_drawn_in_small_batches():
+    """A batch of 10,000 embeddings is no batch of 10,000 images: 120 MB, and several times that while they are made."""
+    n = 1000
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([1] * n, pa.int32()), pa.array([[0.1] * 64] * n, pa.list_(pa.float32()))], ["vec_id", "label", "embedding"])
+    made = list(images.drawn(iter([rows])))
+    assert max(b.num_rows for b in made) <= 128 and [i for b in made for i in b.column("img_id").to_pylist()] == list(range(n))
+    assert made[-1].column("split").to_pylist()[-1] == "train" and made[0].column("r").to_pylist()[0] == made[0].column("r").to_pylist()[41]
