@@ -13,7 +13,7 @@ counts of their trigrams and what they keep are added up in Spark as well. So no
 every text, and buckets are as many as the tokens ask for; each holds about half a million.
 
 Trigrams travel as compressed arrays, twice: first counts only, summed up over the texts of a slice, and then, with the discounts known,
-those of each text to be scored; each bucket adds up its part of every text. Frequent words are written by their rank, others by their hash.
+those of each text to be scored; each bucket adds up its part of every text, and these sums travel as arrays too. Frequent words are written by their rank, others by their hash.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ LARGEST = 5
 TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 19, 1 << 19
 #: Counts of words that are at least this part of the tokens, 1 / HEAD at most, are sent to the tasks; the others are joined.
 HEAD = 1e-6
+#: Buckets that are scored together, and texts of an input partition (a power of two) whose sums travel together.
+JOINED, RANGE = 3, 1 << 12
 #: Hashes of the end of a text and of what is before it: of strings that are no words.
 END, PAD = (int(x) for x in pd.util.hash_array(np.array(["\n", "\n\n"], object)).view(np.int64))
 _U = np.uint64
@@ -61,7 +63,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     coded = flat.filter(pa.array(full)).dictionary_encode()
     names = pc.ascii_lower(coded.dictionary).to_numpy(zero_copy_only=False).astype(object)  # words that differ in case only meet in one hash
-    hashes, same = np.unique(np.append(pd.util.hash_array(names).view(np.int64) if len(names) else np.zeros(0, np.int64), END), return_inverse=True)
+    hashes, same = np.unique(np.append(pd.util.hash_array(names, categorize=False).view(np.int64) if len(names) else np.zeros(0, np.int64), END), return_inverse=True)
     owner = owner[full]
     sizes = np.bincount(owner, minlength=len(texts))
     out = np.full(len(owner) + len(texts), same[-1], np.int64)
@@ -175,7 +177,7 @@ def _blobs(split: tuple[np.ndarray, np.ndarray, np.ndarray], held: np.ndarray, f
     if size > 1 << 20:
         pair = np.unique(pair, return_inverse=True)[1]
     key = pair * size + at
-    use = np.argsort(key, kind="stable")
+    use = np.argsort(key, kind="stable" if texts else None)  # of one trigram by text
     key = key[use]
     apart = (key[1:] != key[:-1]) | (bucket[use[1:]] != bucket[use[:-1]])
     start = np.flatnonzero(np.append(True, apart | (owner[use[1:]] != owner[use[:-1]]) if texts else apart))[: len(use)]
@@ -247,7 +249,8 @@ class Bucket:
         used = np.zeros(n_head, bool)
         for c in codes:
             used[c[c < n_head]] = True
-        self.words = np.unique(np.concatenate([head.by_rank[used], *rare]))
+        own = np.sort(np.concatenate([head.by_rank[used], *rare]))
+        self.words = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
         place = np.zeros(n_head, np.int64)
         place[used] = np.searchsorted(self.words, head.by_rank[used])
         parts = []
@@ -321,54 +324,132 @@ def counted(blobs: DataFrame, sent) -> DataFrame:
         add(1, 0 * rare, 0 * rare, rare, 0 * rare)
         add(4, b.w[in_parts] * 0, b.words[b.v[in_parts]], b.words[b.w[in_parts]], b.c2[in_parts])
         add(5, b.words[b.u[b.hot]], b.words[b.v[b.pair[b.hot]]], b.words[b.w[b.pair[b.hot]]], b.c3[b.hot])
+        del b
+        give_back()
         return pa.concat_tables(out)
 
     return blobs.groupBy("bucket").applyInArrow(run, _TOLD)
 
 
-_SCORED = "number long, score double, base double, known long, doc struct<doc_id:string,held_out:boolean,n_tokens:long>"
+_SCORED = "range long, n long, k long, texts binary, score binary, rare binary, base binary, known binary, about binary"
+
+
+def _ranges(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Ranges of ``RANGE`` texts, and where their numbers, which are sorted, begin and end."""
+    own = numbers // (2 * RANGE)
+    bounds = [*np.flatnonzero(np.append(True, own[1:] != own[:-1]))[: len(own)].tolist(), len(own)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        yield int(own[a]), a, b
+
+
+def _bucket_sums(left: pa.Table, right: pa.Table, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One bucket's part of the texts' scores: their numbers, and the sums of each."""
+    b = Bucket(left, head)
+    size = len(b.words)
+    has = {k: right[k].is_valid().combine_chunks().to_numpy(zero_copy_only=False) for k in "uvw"}
+    value = {k: right[k].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for k in ("u", "v", "w", "n", "mass", "share")}
+    place = {k: np.searchsorted(b.words, value[k]) for k in "uvw"}
+    single, double, triple, whole = ~has["v"], has["v"] & ~has["u"], has["u"] & has["w"], has["u"] & ~has["w"]
+    frequent = head.of(head.counts, b.words, 0)
+    count = frequent.copy()
+    count[place["w"][single]] = value["n"][single]
+    lowest = np.maximum(count, 1) / (head.total + 1)
+    if double.any():  # bigrams of words in parts, from all of them; the pairs are sorted by v and w
+        b.c2[np.searchsorted(b.v * size + b.w, place["v"][double] * size + place["w"][double])] = value["n"][double]
+    history = np.searchsorted(b.histories, place["v"] * size + place["u"])
+    if triple.any():
+        b.c3[np.searchsorted(b.trigrams, history[triple] * size + place["w"][triple])] = value["n"][triple]
+    known = [(i, *head.dealt[x]) for i, x in zip(*[a[np.isin(b.words, list(head.dealt))] for a in (np.arange(size), b.words)], strict=True) if i <= b.v.max()] if head.dealt else []
+    two = backed_off(b.c2, _kept(b.c2, head.d2), b.v, lowest[b.w], tuple(map(np.array, zip(*known, strict=True))) if known else None)
+    dealt = (history[whole], *(value[k][whole] for k in ("n", "mass", "share"))) if whole.any() else None
+    three = np.log10(backed_off(b.c3, _kept(b.c3, head.d3), b.history, two[b.pair], dealt))
+    numbers, text = np.unique(b.text, return_inverse=True)
+    rare = np.where(frequent == 0, count, 0)[b.w][b.pair]  # of each trigram's last word
+    at = np.flatnonzero((rare > 0)[b.tri])
+    of, n, times = text[at], rare[b.tri[at]], b.times[at]
+    sums = [np.bincount(t, weights=x, minlength=len(numbers)) for t, x in ((text, b.times * three[b.tri]), (of, times * np.log10(n + 1.0)), (of, times))]
+    return numbers, *sums
 
 
 def scored(blobs: DataFrame, answers: DataFrame, sent) -> DataFrame:
-    """Each bucket's part of each text's score, base score and known words, and one row about each text. ``answers``: (bucket, u, v, w,
-    n, mass, share): the counts of the words, with v of the bigrams and with u of the trigrams that the buckets asked for; without w the count, kept
-    mass and share of a history."""
-    kind = pa.schema([("number", pa.int64()), ("score", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("doc", pa.struct([("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())]))])
+    """The parts that ``JOINED`` buckets have in the score, base score and known words of each text, added up, packed by ranges of texts; and the rows about
+    the texts of each range. ``answers``: (bucket, u, v, w, n, mass, share): the counts of the words, with v of the bigrams and with u of the trigrams
+    that the buckets asked for; without w the count, kept mass and share of a history.
+
+    A text meets nearly all buckets as long as they are fewer than its words. So there is no row for each text and bucket: there are arrays,
+    of one entry at most for each token."""
+    kind = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.binary()) for x in _SCORED.split(", ")])
+
+    def told(rows: list[tuple]) -> pa.Table:
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        head = sent.value
+        head, out = sent.value, []
         if not len(left):
             return kind.empty_table()
         if left["bucket"][0].as_py() < 0:
-            t = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in left["words"]]).combine_chunks()
-            column = lambda k: t[k].combine_chunks() if isinstance(t[k], pa.ChunkedArray) else t[k]
-            docs = pa.StructArray.from_arrays([column(k) for k in ("doc_id", "held_out", "n_tokens")], ["doc_id", "held_out", "n_tokens"])
-            return pa.Table.from_arrays([column("number"), pa.array(np.zeros(len(t))), column("base"), column("known"), docs], schema=kind)
-        b = Bucket(left, head)
-        size = len(b.words)
-        has = {k: right[k].is_valid().combine_chunks().to_numpy(zero_copy_only=False) for k in "uvw"}
-        value = {k: right[k].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for k in ("u", "v", "w", "n", "mass", "share")}
-        place = {k: np.searchsorted(b.words, value[k]) for k in "uvw"}
-        single, double, triple, whole = ~has["v"], has["v"] & ~has["u"], has["u"] & has["w"], has["u"] & ~has["w"]
-        frequent = head.of(head.counts, b.words, 0)
-        count = frequent.copy()
-        count[place["w"][single]] = value["n"][single]
-        lowest = np.maximum(count, 1) / (head.total + 1)
-        if double.any():  # bigrams of words in parts, from all of them; the pairs are sorted by v and w
-            b.c2[np.searchsorted(b.v * size + b.w, place["v"][double] * size + place["w"][double])] = value["n"][double]
-        history = np.searchsorted(b.histories, place["v"] * size + place["u"])
-        if triple.any():
-            b.c3[np.searchsorted(b.trigrams, history[triple] * size + place["w"][triple])] = value["n"][triple]
-        known = [(i, *head.dealt[x]) for i, x in zip(*[a[np.isin(b.words, list(head.dealt))] for a in (np.arange(size), b.words)], strict=True) if i <= b.v.max()] if head.dealt else []
-        two = backed_off(b.c2, _kept(b.c2, head.d2), b.v, lowest[b.w], tuple(map(np.array, zip(*known, strict=True))) if known else None)
-        dealt = (history[whole], *(value[k][whole] for k in ("n", "mass", "share"))) if whole.any() else None
-        three = np.log10(backed_off(b.c3, _kept(b.c3, head.d3), b.history, two[b.pair], dealt))
-        numbers, text = np.unique(b.text, return_inverse=True)
-        rare = (np.where(frequent == 0, count, 0)[b.w])[b.pair][b.tri]
-        total = lambda x: pa.array(np.bincount(text, weights=b.times * x, minlength=len(numbers)))
-        return pa.Table.from_arrays([pa.array(numbers), total(three[b.tri]), total(np.log10(rare + 1.0)), total(rare > 0).cast(pa.int64()), pa.nulls(len(numbers), kind.field("doc").type)], schema=kind)
-
-    return blobs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, _SCORED)
+            t = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in left["words"]]).sort_by("number").combine_chunks()
+            for of, a, b in _ranges(t["number"].to_numpy()):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _ABOUT) as w:
+                    w.write_table(t.slice(a, b - a))
+                out.append((of, 0, 0, b"", b"", b"", b"", b"", sink.getvalue().to_pybytes()))
+            return told(out)
+        give_back()
+        own = lambda t, bucket: t.filter(pc.equal(t["bucket"], bucket))
+        each = [_bucket_sums(own(left, k), own(right, k), head) for k in pc.unique(left["bucket"]).to_pylist()]
+        numbers, at = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
+        score, base, known = (np.bincount(at, weights=np.concatenate([x[i] for x in each]), minlength=len(numbers)) for i in (1, 2, 3))
+        for of, a, b in _ranges(numbers):
+            rare = np.flatnonzero(known[a:b])
+            texts = np.diff(numbers[a:b] - 2 * RANGE * of, prepend=0)
+            packed = [_packed(x) for x in (texts.astype(np.uint16), score[a:b], np.diff(rare, prepend=0).astype(np.uint16), base[a:b][rare], known[a:b][rare].astype(np.uint32))]
+            out.append((of, b - a, len(rare), *packed, None))
+        del each, numbers, at, score, base, known
+        give_back()
+        return told(out)
+
+    dealt = lambda df: df.withColumn("dealt", F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.expr(f"bucket div {JOINED}"))).groupBy("dealt")
+    return dealt(blobs).cogroup(dealt(answers)).applyInArrow(run, _SCORED)
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """Adds up the ``scored`` parts: a row for each text. A range's sums are arrays of its length, its parts are streamed."""
+    names = ("doc_id", "held_out", "n_tokens", "known", "base", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, about, sums = None, [], np.zeros((3, 2 * RANGE))
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for b in pa.concat_tables(about).to_batches():
+                at = b.column("number").to_numpy() % (2 * RANGE)
+                score, base, known = sums[:, at]
+                columns = [pa.array(b.column("known").to_numpy() + known.astype(np.int64)), pa.array(b.column("base").to_numpy() + base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:3]], *columns], list(names))
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # one row at a time: they are long
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["range"] != now:
+                    if about:
+                        yield from told()
+                    now, about, sums = r["range"], [], np.zeros((3, 2 * RANGE))
+                if r["about"] is not None:
+                    about.append(pa.ipc.open_stream(r["about"]).read_all())
+                    continue
+                n, k = r["n"], r["k"]
+                at = np.cumsum(_unpacked(r["texts"], n, "u2"), dtype=np.int64)
+                sums[0, at] += _unpacked(r["score"], n, "f8")
+                if k:
+                    rare = at[np.cumsum(_unpacked(r["rare"], k, "u2"), dtype=np.int64)]
+                    sums[1, rare] += _unpacked(r["base"], k, "f8")
+                    sums[2, rare] += _unpacked(r["known"], k, "u4")
+            give_back()
+        if about:
+            yield from told()
+
+    kinds = "doc_id string, held_out boolean, n_tokens long, known long, base double, score double"
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(run, kinds)
 
 
 def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -416,11 +497,10 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         whole = five.select("bucket", "u", "v").distinct().join(sums, ["u", "v"]).select("bucket", "u", "v", none("long", "w"), "n", "mass", "share")
         answers = keep(single.unionByName(double).unionByName(triple).unionByName(whole))
         release(spark)
-        parts = scored(packed_trigrams(rows, sent, True), answers, sent)
-        sums = parts.groupBy("number").agg(F.max("doc").alias("doc"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
+        sums = summed(scored(packed_trigrams(rows, sent, True), answers, sent))
         base = float(np.log10(total + types + 1.0))
         kind = docs.schema[doc_id].dataType.simpleString()
-        out = cut(sums.select(F.col("doc.doc_id").cast(kind).alias("doc_id"), "doc.held_out", "doc.n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("doc.n_tokens") * base).alias("base_score"), "score"))
+        out = cut(sums.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * base).alias("base_score"), "score"))
     sent.unpersist()  # else each run's table stays in the workers' memory
     release(spark)
     return out

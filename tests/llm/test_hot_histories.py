@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from mosaiq.llm import katz
 
@@ -46,3 +47,14 @@ def test_blobs_and_buckets_give_the_trigrams_back():
                 g = (int(b.words[b.u[i]]), int(b.words[b.v[b.pair[i]]]), int(b.words[b.w[b.pair[i]]]))
                 got[g] = got.get(g, 0) + int(c)
         assert {g: n for g, n in got.items() if n} == {g: n for g, n in want.items() if n} and name
+
+
+def test_sums_of_texts_travel_in_arrays(spark, monkeypatch):
+    """Texts of unlike words meet nearly all buckets; the rows that buckets send are not as many as buckets times texts."""
+    monkeypatch.setattr(katz, "BUCKET", 100)
+    seen = []
+    monkeypatch.setattr(katz, "scored", lambda *given, f=katz.scored: seen.append(f(*given).count()) or f(*given))
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(50))) for i in range(200)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in katz.score_texts(docs, F.col("doc_id") % 5 == 0).collect()}
+    assert sorted(got) == list(range(200)) and all(r.n_tokens == 51 and r.held_out == (i % 5 == 0) and r.score < 0 for i, r in got.items())
+    assert 20 < seen[0] < 200, seen  # 82 buckets, two input partitions
