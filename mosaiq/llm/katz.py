@@ -39,6 +39,8 @@ TOKENS, BUCKET, SPLIT = 1 << 20, 1 << 19, 1 << 19
 HEAD = 1e-6
 #: Buckets that are scored together, and texts of an input partition (a power of two) whose sums travel together.
 JOINED, RANGE = 3, 1 << 12
+#: Bits of the numbers that are sorted together with their places; what needs more is sorted by its order.
+BITS = 63
 #: Hashes of the end of a text and of what is before it: of strings that are no words.
 END, PAD = (int(x) for x in pd.util.hash_array(np.array(["\n", "\n\n"], object)).view(np.int64))
 _U = np.uint64
@@ -58,16 +60,21 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct 64-bit hashes of the tokens, sorted, the place of each token among them, and the text of each token.
     Tokens are the words, A-Z in lower case, and one end."""
     lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-    flat = lists.flatten()
-    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    coded = flat.filter(pa.array(full)).dictionary_encode()
+    coded = lists.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
+        full = at != empty
+        at, owner = at[full], owner[full]
     names = pc.ascii_lower(coded.dictionary).to_numpy(zero_copy_only=False).astype(object)  # words that differ in case only meet in one hash
-    hashes, same = np.unique(np.append(pd.util.hash_array(names, categorize=False).view(np.int64) if len(names) else np.zeros(0, np.int64), END), return_inverse=True)
-    owner = owner[full]
+    known = pd.util.hash_array(names, categorize=False).view(np.int64) if len(names) else np.zeros(0, np.int64)
+    if empty >= 0:
+        known[empty] = END  # of no token
+    hashes, same = np.unique(np.append(known, END), return_inverse=True)
     sizes = np.bincount(owner, minlength=len(texts))
     out = np.full(len(owner) + len(texts), same[-1], np.int64)
-    out[np.arange(len(owner)) + owner] = same[coded.indices.to_numpy(zero_copy_only=False)]
+    out[np.arange(len(owner)) + owner] = same[at]
     return hashes, out, np.repeat(np.arange(len(texts)), sizes + 1)
 
 
@@ -86,16 +93,21 @@ def discounts(seen: dict[int, int]) -> np.ndarray:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            words, same = np.unique(np.concatenate([np.zeros(0, np.int64), *[x for x, _ in held]]), return_inverse=True)
+            return words, np.bincount(same, weights=np.concatenate([np.zeros(0), *[x for _, x in held]]), minlength=len(words)).astype(np.int64)
+
         for b in batches:
             for _, part in slices(b.column(0)):
                 hashes, at, _ = tokens(part)
-                words, same = np.unique(np.concatenate([words, hashes]), return_inverse=True)
-                n = np.bincount(same, weights=np.concatenate([n, np.bincount(at, minlength=len(hashes))]), minlength=len(words)).astype(np.int64)
-                if len(words) > TOKENS:
-                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
-                    words, n = words[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+                held.append((hashes, np.bincount(at, minlength=len(hashes))))
+                if sum(len(x) for x, _ in held) > TOKENS:
+                    held = [merged()]
+                    if len(held[0][0]) > TOKENS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["word", "n"])
 
     return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -161,42 +173,69 @@ def _blobs(split: tuple[np.ndarray, np.ndarray, np.ndarray], held: np.ndarray, f
     hashes, at, owner = split
     words = np.append(hashes, PAD)
     end, pad, n, size = int(np.searchsorted(hashes, END)), len(hashes), len(at), len(hashes) + 1
+    if not n:
+        return
     new = np.append(True, owner[1:] != owner[:-1])
     v = np.where(new, end, np.append(end, at)[:n])
     u = np.where(new, pad, np.append(pad, v)[:n])
     parts, mixed = head.parts_of(words), _mix(words.view(_U))
-    by, hot = mixed[u], (parts[u] > 1) & (parts[v] > 1)
-    if hot.any():
-        by = np.where(hot, _mix(mixed[u] + mixed[at] * _U(5)), by)
-        very = hot & (parts[at] > 1)
-        whole = np.add.reduceat(mixed[at], np.flatnonzero(new))  # of a text, whichever slice it is in
-        by[very] = _mix(by[very] + whole[owner[very]])
-    bucket = (_mix(mixed[v] + by % parts[v].astype(_U)) % _U(head.buckets)).astype(np.int64)
-    learnt = (held[owner] == 0).astype(np.int64)
-    pair = v * size + u
-    if size > 1 << 20:
-        pair = np.unique(pair, return_inverse=True)[1]
-    key = pair * size + at
-    use = np.argsort(key, kind="stable" if texts else None)  # of one trigram by text
-    key = key[use]
-    apart = (key[1:] != key[:-1]) | (bucket[use[1:]] != bucket[use[:-1]])
-    start = np.flatnonzero(np.append(True, apart | (owner[use[1:]] != owner[use[:-1]]) if texts else apart))[: len(use)]
-    times = np.add.reduceat((np.ones(n, np.int64) if texts else learnt)[use], start) if len(start) else np.zeros(0, np.int64)
-    kept = use[start]
-    order = np.argsort(bucket[kept].astype(np.uint16) if head.buckets <= 1 << 16 else bucket[kept], kind="stable")
-    kept, times = kept[order], times[order]
-    u, v, w, owner, bucket = u[kept], v[kept], at[kept], owner[kept], bucket[kept]
-    ranks = head.of(head.rank, words, -1)
-    bounds = np.append(np.flatnonzero(np.append(True, np.diff(bucket) > 0)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        runs = np.flatnonzero(np.append(True, np.diff(v[a:b]) != 0))
-        codes = np.concatenate([v[a:b][runs], u[a:b], w[a:b]])
+    # places: (word, part), of which most words have one, sorted by bucket; a token's place is that of v, and of its part by what is about it
+    starts = np.cumsum(parts) - parts
+    own = np.repeat(np.arange(size), parts)
+    buckets = (_mix(mixed[own] + (np.arange(len(own)) - starts[own]).astype(_U)) % _U(head.buckets)).astype(np.int64)
+    order = np.argsort(buckets, kind="stable")
+    rank, own, buckets = np.empty_like(order), own[order], buckets[order]
+    rank[order] = np.arange(len(order))
+    place = starts[v]
+    some = np.flatnonzero((parts > 1)[v])
+    if len(some):
+        by = mixed[u[some]]
+        hot = np.flatnonzero(parts[u[some]] > 1)
+        if len(hot):
+            w = at[some[hot]]
+            by[hot] = _mix(by[hot] + mixed[w] * _U(5))
+            very = parts[w] > 1
+            whole = np.add.reduceat(mixed[at], np.flatnonzero(new))  # of a text, whichever slice it is in
+            by[hot[very]] = _mix(by[hot[very]] + whole[owner[some[hot[very]]]])
+        place[some] += (by % parts[v[some]].astype(_U)).astype(np.int64)
+    place = rank[place]
+    # one sort of numbers that hold all that is sorted by: (place, u, w) and whether it is learnt, or (place, u) and the token
+    wide, most = size.bit_length(), len(own).bit_length()
+    if not texts and most + 2 * wide + 1 <= BITS:
+        key = np.sort((((place << wide | u) << wide | at) << 1) | held[owner])
+        start = np.flatnonzero(np.append(True, (key[1:] ^ key[:-1]) > 1))
+        times = np.diff(np.append(0, np.cumsum(1 - (key & 1)))[np.append(start, n)])
+        key = key[start] >> 1
+        place, u, w = key >> 2 * wide, key >> wide & (1 << wide) - 1, key & (1 << wide) - 1
+    else:
+        long = n.bit_length()
+        if most + wide + long <= BITS:
+            key = np.sort((place << wide | u) << long | np.arange(n))
+            use = key & (1 << long) - 1
+            key >>= long
+        else:
+            key = place * size + u
+            use = np.argsort(key, kind="stable")
+            key = key[use]
+        w, of = at[use], owner[use]  # a trigram that a text has again and again can be told more than once
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (w[1:] != w[:-1]) | (of[1:] != of[:-1])))
+        times = np.diff(np.append(start, n)) if texts else np.add.reduceat(1 - held[of], start)
+        use = use[start]
+        place, u, w, owner = place[use], u[use], w[start], of[start]
+    runs = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    length, v, bucket = np.diff(np.append(runs, len(place))).astype(np.uint32), own[place[runs]], buckets[place[runs]]
+    ranks, times = head.of(head.rank, words, -1), times.astype(np.uint32)
+    if texts:
+        told = (owner * 2 + held[owner]).astype(np.uint32)
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for i, j in zip(begins, np.append(begins[1:], len(runs)), strict=True):
+        a, b = int(runs[i]), int(runs[j]) if j < len(runs) else len(place)
+        codes = np.concatenate([v[i:j], u[a:b], w[a:b]])
         coded = ranks[codes]
-        rare = coded < 0
+        rare = np.flatnonzero(coded < 0)
         used, at_rare = np.unique(codes[rare], return_inverse=True)
         coded[rare] = len(head.by_rank) + at_rare
-        of = _packed((owner[a:b] * 2 + held[owner[a:b]]).astype(np.uint32)) if texts else b""
-        yield (int(bucket[a]), first, b - a, len(used), len(runs), _packed(np.diff(words[used].view(_U), prepend=_U(0))), _packed(coded.astype(np.uint32)), _packed(np.diff(np.append(runs, b - a)).astype(np.uint32)), of, _packed(times.astype(np.uint32)[a:b]))
+        yield (int(bucket[i]), first, b - a, len(used), int(j - i), _packed(np.diff(words[used].view(_U), prepend=_U(0))), _packed(coded.astype(np.uint32)), _packed(length[i:j]), _packed(told[a:b]) if texts else b"", _packed(times[a:b]))
 
 
 def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
@@ -227,13 +266,20 @@ def packed_trigrams(rows: DataFrame, sent, about: bool) -> DataFrame:
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct values, sorted, a place of each, and which of them each value is."""
-    order = np.argsort(x)
-    new = np.append(True, np.diff(x[order]) != 0)[: len(x)]
+    """The distinct values, sorted, a place of each, and which of them each value is. Values are not below 0; where they and their places
+    fit into one number, those are sorted."""
+    wide = len(x).bit_length()
+    if len(x) and int(x.max()).bit_length() + wide <= BITS:
+        x = np.sort(x << wide | np.arange(len(x)))
+        order = x & (1 << wide) - 1
+        x >>= wide
+    else:
+        order = np.argsort(x)
+        x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
     which = np.empty(len(x), np.int64)
     which[order] = np.cumsum(new) - 1
-    at = order[new]
-    return x[at], at, which
+    return x[new], order[new], which
 
 
 class Bucket:
@@ -266,7 +312,7 @@ class Bucket:
         self.trigrams, at, self.tri = _distinct(history * size + w)
         self.c3 = np.bincount(self.tri, weights=self.times * (self.text % 2 == 0), minlength=len(at))
         self.history = history[at]
-        pairs, self.pair = np.unique(v[at] * size + w[at], return_inverse=True)
+        pairs, _, self.pair = _distinct(v[at] * size + w[at])
         self.v, self.w = pairs // size, pairs % size
         self.c2 = np.bincount(self.pair, weights=self.c3, minlength=len(pairs))
         many = head.parts_of(self.words) > 1
@@ -363,7 +409,7 @@ def _bucket_sums(left: pa.Table, right: pa.Table, head: Head) -> tuple[np.ndarra
     two = backed_off(b.c2, _kept(b.c2, head.d2), b.v, lowest[b.w], tuple(map(np.array, zip(*known, strict=True))) if known else None)
     dealt = (history[whole], *(value[k][whole] for k in ("n", "mass", "share"))) if whole.any() else None
     three = np.log10(backed_off(b.c3, _kept(b.c3, head.d3), b.history, two[b.pair], dealt))
-    numbers, text = np.unique(b.text, return_inverse=True)
+    numbers, _, text = _distinct(b.text)
     rare = np.where(frequent == 0, count, 0)[b.w][b.pair]  # of each trigram's last word
     at = np.flatnonzero((rare > 0)[b.tri])
     of, n, times = text[at], rare[b.tri[at]], b.times[at]

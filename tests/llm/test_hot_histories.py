@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.llm import katz
@@ -58,3 +59,50 @@ def test_sums_of_texts_travel_in_arrays(spark, monkeypatch):
     got = {r.doc_id: r for r in katz.score_texts(docs, F.col("doc_id") % 5 == 0).collect()}
     assert sorted(got) == list(range(200)) and all(r.n_tokens == 51 and r.held_out == (i % 5 == 0) and r.score < 0 for i, r in got.items())
     assert 20 < seen[0] < 200, seen  # 82 buckets, two input partitions
+
+
+@pytest.mark.parametrize("about", [True, False])
+def test_trigrams_are_the_same_however_they_are_sorted(monkeypatch, about):
+    """By numbers that hold what is sorted, or, where these are too long, by the order of a part of them."""
+    r = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"w{int(x)}" for x in r.zipf(1.5, 60) % 300) for _ in range(80)] + ["", " \n ", " a  a\ta "])
+    hashes, at, owner = katz.tokens(texts)
+    counts = np.bincount(at)
+    some = counts > 3
+    head = katz.Head(len(at), len(hashes), hashes[some], counts[some], np.where(counts[some] > 40, -(-counts[some] // 40), 1), 20)
+    names = [x.split(" ")[0] for x in katz._BLOB.split(", ")]
+
+    def told() -> dict:
+        blobs, out = list(katz._blobs((hashes, at, owner), np.arange(len(texts)) % 2, 0, head, about)), {}
+        for bucket in {b[0] for b in blobs}:
+            b = katz.Bucket(pa.table({k: [x[i] for x in blobs if x[0] == bucket] for i, k in enumerate(names)}), head)
+            for text, tri, times in zip(b.text, b.tri, b.times, strict=True):
+                p = b.pair[tri]
+                g = (bucket, int(text), int(b.words[b.u[tri]]), int(b.words[b.v[p]]), int(b.words[b.w[p]]))
+                out[g] = out.get(g, 0) + int(times)
+        return out
+
+    want = told()
+    assert sum(want.values()) == (len(at) if about else int((owner % 2 == 0).sum()))
+    monkeypatch.setattr(katz, "BITS", 1)
+    assert told() == want
+
+
+def test_words_of_all_slices_are_not_sorted_again_for_each(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(katz, "slices", lambda texts: ((i, texts.slice(i, 1)) for i in range(len(texts))))
+    monkeypatch.setattr(katz.np, "unique", lambda x, *a, f=np.unique, **b: sizes.append(len(x)) or f(x, *a, **b))
+    words: dict[str, int] = {}
+    texts = [" ".join(f"w{i}x{k % 40}" for k in range(50)) for i in range(100)]
+    for w in " ".join(texts).split():
+        words[w] = words.get(w, 0) + 1
+    made = []
+
+    class Told:
+        def mapInArrow(self, run, _):  # noqa: N802
+            made.extend(run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+            return spark.createDataFrame(pa.Table.from_batches(made).to_pandas())
+
+    got = {r.word: r.n for r in katz.word_counts(Told()).collect()}
+    assert sorted(got.values()) == sorted([*words.values(), 100])
+    assert sum(sizes) < 4 * 50 * 100, sum(sizes)
