@@ -1,13 +1,14 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles.
 
 1. Equal texts become one class; what follows is about classes.
-2. A shingle weighs its count in the text times its idf. Shingles in at most 1/20 of the documents weigh
-   alike; the few above it, no more than (mean shingles of a text) * 20, are counted exactly: one pass finds
-   those that can be so frequent, another counts them.
+2. A shingle weighs its count in the text times its idf. The document frequencies of all shingles are counted exactly:
+   the texts are put into slices, the distinct shingles of each are dealt to buckets by ranges of their hashes, and each bucket
+   answers every slice with the frequencies of its shingles.
 3. Consistent weighted sampling: ``BANDS * ROWS`` independent samples of each text. Each shingle's Gamma and
    uniform variates come from a hash of it and of the sample's number, and all shingles of the text compete
    in every sample. Texts that agree in all rows of a band are candidates.
-4. Weighted Jaccard similarity, computed exactly, decides. First each text is compared with one other: the least
+4. Weighted Jaccard similarity, computed exactly, decides; there shingles in at most 1/20 of the documents weigh alike, so that
+   what sets a text apart from its near copies does not weigh more than what they share. First each text is compared with one other: the least
    of those that its buckets begin with. Buckets that still hold several components are then compared in
    blocks, every pair of texts of different components, and only what joins components is returned. Texts
    of a bucket's largest component meet only those outside it, so a large group is not copied for each block;
@@ -25,19 +26,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import components, cut, give_back, release, small, text_key, workspace
+from mosaiq.llm.katz import _packed, _unpacked
 
 SHINGLE, LEAST = 5, Fraction(4, 5)
 BANDS, ROWS = 16, 3
-#: Shingles in a larger part of the documents weigh less.
+#: For the decision, shingles in a larger part of the documents weigh less.
 COMMON = 0.05
 #: Texts, and bytes of them, compared together at most, on each side (about); columns at once.
 BLOCK, WEIGHT, COLUMNS = 256, 1 << 22, 1 << 14
-#: Tokens handled at once; shingles sampled at once.
-TOKENS, AT_ONCE = 1 << 18, 1 << 15
+#: Tokens handled at once; shingles sampled at once; times TOKENS in a slice of texts; distinct shingles of slices in a bucket, about.
+TOKENS, AT_ONCE, SLICE, BUCKET = 1 << 18, 1 << 15, 4, 1 << 21
 
 _U = np.uint64
 
@@ -88,9 +91,9 @@ def counted(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[at], s[at], np.diff(np.append(at, len(s)))
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Parts of ``texts`` of about ``TOKENS`` words, or one text."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // (TOKENS * 6)
+def _slices(texts: pa.Array, times: int = 1) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of ``texts`` of about ``times`` * ``TOKENS`` words, or one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // (times * TOKENS * 6)
     cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
@@ -99,7 +102,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 class Idf:
-    """Weights of the common shingles, sorted by shingle; all others weigh ``top``."""
+    """Weights in the decision: those of the common shingles, sorted by shingle; all others weigh ``top``."""
 
     def __init__(self, counts: list[tuple[int, int]], n_docs: int) -> None:
         counts = sorted((k % 2**64, n) for k, n in counts)
@@ -116,46 +119,96 @@ class Idf:
         return out
 
 
-def common_shingles(docs: DataFrame, text: str) -> Idf:
-    """Counts exactly, over all documents, the shingles in more than ``COMMON`` of them. The first pass counts
-    how often shingles occur, repeats included, with a mergeable summary of ``k`` counters in each task
-    (Misra and Gries): by the merged summaries no more than ``k`` shingles can be that common. The
-    second pass counts in how many documents those are."""
-    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_docs, size = bodies.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    k = 1024 + int(size / max(1, n_docs) / COMMON)  # a text of n bytes has n/2 shingles at most
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, lost = np.zeros(0, _U), np.zeros(0, np.int64), 0
+def sliced(rows: DataFrame) -> DataFrame:
+    """(slice, n, size, texts): ``rows`` (node, text) in numbered slices. They are to be written before they are used: which texts
+    a slice has is then settled, whatever order rows come in when they are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for b in batches:
-            for _, part in _slices(b.column(0)):
-                new, n = np.unique(shingles(part)[1], return_counts=True)
-                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-                if len(keys) > k:
-                    less = int(np.partition(counts, len(counts) - k - 1)[len(counts) - k - 1])
-                    lost += less
-                    keys, counts = keys[counts > less], counts[counts > less] - less
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([lost], pa.int64())], ["shingle", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["shingle", "n"])
-
-    def again(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
+            for at, part in _slices(b.column(1), SLICE):
+                sink = pa.BufferOutputStream()
+                own = pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), part], ["node", "text"])
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(own)
+                size = pc.sum(pc.binary_length(part)).as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, len(part), size, sink.getvalue().to_pybytes())], ["slice", "n", "size", "texts"])
+                number += 1
+
+    return rows.mapInArrow(run, "slice long, n long, size long, texts binary")
+
+
+def _opened(texts: bytes) -> tuple[pa.Array, pa.Array]:
+    """The nodes and texts of a slice."""
+    (batch,) = pa.ipc.open_stream(texts)
+    return batch.column(0), batch.column(1)
+
+
+def frequencies(parts: DataFrame, n_docs: int, size: int) -> DataFrame:
+    """In how many of all documents each shingle of each slice of ``parts`` is: (slice, bucket, n, df), where ``df`` has the packed frequencies of the
+    n distinct shingles that the slice has in the bucket, in their order. Without a slice: shingles in more than ``COMMON`` of the
+    documents, n times. Buckets are as many as the bytes ask for, and a shingle comes once at most from a slice, so none grows."""
+    buckets = size // (6 * BUCKET) + 1
+    bounds = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], _U)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, part in _slices(b.column(0)):
-                d, s = shingles(part)
-                hit = keys[np.minimum(np.searchsorted(keys, s), len(keys) - 1)] == s
-                total += np.bincount(np.searchsorted(keys, counted(d[hit], s[hit])[1]), minlength=len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], ["shingle", "n"])
-
-    merged = cut(bodies.mapInArrow(local, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")))
-    lost = (merged.where("shingle is null").first() or (None, 0))[1]
-    found = merged.where("shingle is not null").where(F.col("n") + lost > COMMON * n_docs).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    if not len(found):
-        return Idf([], n_docs)
-    keys = np.sort(found.view(_U))
-    counts = bodies.mapInArrow(lambda it: again(it, keys), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return Idf([tuple(r) for r in counts.where(F.col("n") > COMMON * n_docs).collect()], n_docs)
+            for i in range(b.num_rows):
+                _, s, _ = counted(*shingles(_opened(b.column(1)[i].as_py())[1]))
+                s.sort()
+                start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))[: len(s)]
+                times, s = np.diff(np.append(start, len(s))).astype(np.uint32), s[start]
+                cuts = [0, *np.searchsorted(s, bounds).tolist(), len(s)]
+                out = [(k, b.column(0)[i].as_py(), y - x, _packed(np.diff(s[x:y], prepend=_U(0))), _packed(times[x:y])) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k < 3 else pa.binary()) for k in range(5)], ["bucket", "slice", "n", "shingles", "times"])
+            give_back()
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        every = np.concatenate([np.cumsum(_unpacked(r["shingles"], r["n"], "u8"), dtype=_U) for r in rows])
+        times = np.concatenate([_unpacked(r["times"], r["n"], "u4") for r in rows]).astype(np.int64)
+        order = np.argsort(every)
+        every, times = every[order], times[order]
+        new = np.append(True, every[1:] != every[:-1])
+        df = np.add.reduceat(times, np.flatnonzero(new))
+        each = np.empty(len(order), np.uint32)
+        each[order] = df[np.cumsum(new) - 1]
+        ends = np.cumsum([r["n"] for r in rows])
+        common, bucket = df > COMMON * n_docs, rows[0]["bucket"]
+        out = [(r["slice"], bucket, r["n"], _packed(each[e - r["n"] : e]), None) for r, e in zip(rows, ends, strict=True)]
+        out += [(None, bucket, n, None, k) for n, k in zip(df[common].tolist(), every[new][common].view(np.int64).tolist(), strict=True)]
+        del every, times, order, new, df, each
+        give_back()
+        return pa.table({k: pa.array([r[i] for r in out], pa.binary() if k == "df" else pa.int64()) for i, k in enumerate(("slice", "bucket", "n", "df", "shingle"))})
+
+    blobs = parts.select("slice", "texts").mapInArrow(deal, "bucket long, slice long, n long, shingles binary, times binary")
+    return blobs.groupBy("bucket").applyInArrow(total, "slice long, bucket long, n long, df binary, shingle long")
+
+
+def _counted_in(rows: DataFrame, keep) -> tuple[DataFrame, DataFrame, Idf, int]:
+    """Slices of ``rows`` (node, text), the frequencies of their shingles, weights for the decision, and the number of rows."""
+    parts = keep(sliced(rows))
+    n_docs, size = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    told = keep(frequencies(parts, n_docs, size))
+    # no more than (mean shingles of a text) / COMMON
+    return parts, told, Idf([tuple(r) for r in told.where("slice is null").select("shingle", "n").collect()], n_docs), n_docs
+
+
+def common_shingles(docs: DataFrame, text: str) -> Idf:
+    """Counts exactly, over all documents, the shingles in more than ``COMMON`` of them."""
+    rows = docs.select(F.lit(b"").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    with workspace(docs.sparkSession) as keep:
+        return _counted_in(rows, keep)[2]
+
+
+def tf_idf(shingle: np.ndarray, times: np.ndarray, told: list[dict], n_docs: int) -> np.ndarray:
+    """The weights of the shingles of a slice's texts: how often the text has it, times log(1 + documents / documents with it)."""
+    order = np.argsort(shingle)
+    s = shingle[order]
+    which = np.empty(len(s), np.int64)
+    which[order] = np.cumsum(np.append(True, s[1:] != s[:-1])[: len(s)]) - 1
+    df = np.concatenate([np.ones(0, np.uint32), *[_unpacked(r["df"], r["n"], "u4") for r in sorted(told, key=lambda r: r["bucket"])]])
+    return times * np.log1p(n_docs / df)[which]
 
 
 def _uniforms(x: np.ndarray) -> np.ndarray:
@@ -274,23 +327,25 @@ def _joined(group: pa.Table, idf: Idf) -> pa.Table:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, node, copy_of, class_id, kept) for every row: ``node`` stands for its text, ``copy_of`` is the least
     id of that text, ``class_id`` the least id of all texts that links reach, and ``kept`` marks the
-    row of the class with that id. Texts link if the weighted Jaccard similarity of their
-    shingles is 0.8 or more and they share a bucket (probability above 0.9999 at 0.8).
+    row of the class with that id. Texts link if the weighted Jaccard similarity of their shingles, with the weights of the decision,
+    is 0.8 or more and they share a bucket (probability above 0.9999 where it is 0.8 by the weights of the samples too, 0.9998 at 0.75, 0.98 at 0.6).
 
     Null texts count as empty ones. Texts without words are near only to themselves. Null ids are kept as
     rows; they are a class's id only if it has no other. Of repeated rows (one id, one text) all are
     marked ``kept``. An empty table gives an empty result. Columns other than the two named are not read."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    idf = common_shingles(docs, text)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, part in _slices(b.column(1)):
-                d, s, n = counted(*shingles(part))
-                found = bands(samples(d, s, n * idf(s), len(part)))
-                has = np.bincount(d, minlength=len(part)) > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)), pa.array(found[has].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), lists], ["node", "bands"])
+    def sketch(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, out = ["node", "bands"], [pa.table({"node": pa.array([], pa.binary()), "bands": pa.array([], pa.list_(pa.int64()))})]
+        for texts in left["texts"].to_pylist():
+            node, part = _opened(texts)
+            d, s, n = counted(*shingles(part))
+            found = bands(samples(d, s, tf_idf(s, n, right.to_pylist(), n_docs), len(part)))
+            has = np.bincount(d, minlength=len(part)) > 0
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)), pa.array(found[has].view(np.int64).ravel()))
+            out.append(pa.Table.from_arrays([node, lists], names))
+        give_back()
+        return pa.concat_tables(out)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         center, other = None, None
@@ -307,7 +362,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     with workspace(docs.sparkSession) as keep:
         nodes = cut(rows.select("doc_id", text_key("text").alias("node")))
-        own = keep(rows.select(text_key("text").alias("node"), "text").mapInArrow(sketch, "node binary, bands array<long>").distinct())
+        with workspace(docs.sparkSession) as aside:
+            parts, told, idf, n_docs = _counted_in(rows.select(text_key("text").alias("node"), "text"), aside)
+            release(docs.sparkSession)
+            each = told.where("slice is not null").select("slice", "bucket", "n", "df").groupBy("slice")
+            own = keep(parts.select("slice", "texts").groupBy("slice").cogroup(each).applyInArrow(sketch, "node binary, bands array<long>").distinct())
         flat = own.select("node", F.explode("bands").alias("bucket"))
         full = flat.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center <> last").drop("last")
         met = keep(flat.join(full, "bucket"))
