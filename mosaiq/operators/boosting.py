@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions.storage import workspace
 from mosaiq.operators.scaling import by_position
 
-#: Features whose histograms travel together; bytes of histograms that a task holds, about; rounds after which scores are written.
+#: Features whose histograms are made and travel together; bytes of histograms that a task holds, about; rounds after which scores are written.
 BLOCK, HELD, KEEP = 64, 256 << 20, 8
 #: Gains that differ by no more than this part are equal: sums are not made in one order.
 SAME = 1e-9
@@ -69,7 +69,10 @@ class Boosted:
     losses: list[float] = field(default_factory=list)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(limits, x[:, k], side="left") for k, limits in enumerate(self.limits)], axis=1).astype(np.uint8)
+        out = np.empty((len(x), len(self.limits)), np.uint8)
+        for k, limits in enumerate(self.limits):
+            out[:, k] = np.searchsorted(limits, x[:, k], side="left")
+        return out
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -85,12 +88,12 @@ def derivatives(scores: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.n
     return g, k / max(1, k - 1) * p * (1 - p)
 
 
-def histogram(bins: np.ndarray, place: np.ndarray, weights: list[np.ndarray], places: int, n_bins: int) -> np.ndarray:
-    """(weight, place, feature, bin): sums over the rows; rows with place -1 are left out."""
-    own = place >= 0
-    at = ((place[own, None] * bins.shape[1] + np.arange(bins.shape[1])) * n_bins + bins[own]).ravel()
-    size = places * bins.shape[1] * n_bins
-    return np.stack([np.bincount(at, weights=np.repeat(w[own], bins.shape[1]), minlength=size) for w in weights]).reshape(len(weights), places, bins.shape[1], n_bins)
+def add_histogram(total: np.ndarray, bins: np.ndarray, place: np.ndarray, weights: list[np.ndarray]) -> None:
+    """Adds to ``total`` (weight, place, feature, bin) the sums over the rows; rows with place -1 are left out."""
+    own, (_, places, width, n_bins) = place >= 0, total.shape
+    at = ((place[own, None] * width + np.arange(width)) * n_bins + bins[own]).ravel()
+    for k, w in enumerate(weights):
+        total[k] += np.bincount(at, weights=np.repeat(w[own], width), minlength=places * width * n_bins).reshape(places, width, n_bins)
 
 
 def best_split(h: np.ndarray, least_rows: float, least_hessian: float, l2: float) -> tuple[float, int, int, list[float], list[float]]:
@@ -151,6 +154,31 @@ def _with(scores: np.ndarray, bins: np.ndarray, rounds: list[list[Tree]]) -> np.
     return scores
 
 
+def _told(total: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """Histograms (weight, node, feature, bin), a node and block of features at a time: sent together they would be copied whole several times."""
+    for node in range(total.shape[1]):
+        for first in range(0, total.shape[2], block):
+            sums = total[:, node, first : first + block].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([first], pa.int32()), pa.array([sums], pa.binary())], ["node", "first", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(node, first feature, sums) of what comes sorted by these. Sums are added where they lie in the batch, which is not copied."""
+    key, total = None, None
+    for b in batches:
+        sums = b.column("sums")
+        for i, own in enumerate(zip(b.column("node").to_pylist(), b.column("first").to_pylist(), strict=True)):
+            part = np.frombuffer(sums[i].as_buffer(), np.float64)
+            if own == key:
+                total += part
+                continue
+            if key is not None:
+                yield *key, total
+            key, total = own, part.copy()
+    if key is not None:
+        yield *key, total
+
+
 def fit_trees(
     rows: DataFrame, column: str = "f", label: str = "label", rounds: int = 100, depth: int = 8, leaves: int = 31, rate: float = 0.1, bins: int = 255,
     least_rows: int = 20, least_hessian: float = 1e-3, l2: float = 0.0, held_out: str | None = None, patience: int = 100,
@@ -224,30 +252,16 @@ def _candidates(state: DataFrame, pending: list[list[Tree]], found: list[dict[in
                 at = partial[c].nodes(binned)
                 own = np.where(at < len(lookup[c]), lookup[c][np.minimum(at, len(lookup[c]) - 1)], -1)
                 low, high = min(place[p] for p in nodes if p[0] == c), max(place[p] for p in nodes if p[0] == c) + 1
-                total[:, low:high] += histogram(binned, np.where(own >= 0, own - low, -1), [g[:, c], h[:, c], np.ones(len(label))], high - low, n_bins)
-        for start in range(0, width, BLOCK):
-            part = np.ascontiguousarray(total[:, :, start : start + BLOCK].swapaxes(0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nodes), dtype=np.int32)), pa.array(np.full(len(nodes), start, np.int32)), pa.array([x.tobytes() for x in part], pa.binary())], ["node", "first", "sums"])
+                for first in range(0, width, BLOCK):
+                    block = slice(first, first + BLOCK)
+                    add_histogram(total[:, low:high, block], binned[:, block], np.where(own >= 0, own - low, -1), [g[:, c], h[:, c], np.ones(len(label))])
+        yield from _told(total, BLOCK)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds up what comes sorted by node and block, and tells the best split of each."""
-        key, total = None, None
-
-        def told() -> pa.RecordBatch:
+        """The best split of each node and block of features."""
+        for node, first, total in _added(batches):
             gain, f, b, left, whole = best_split(total.reshape(3, -1, n_bins), least_rows, least_hessian, l2)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([gain]), pa.array([key[1] + f], pa.int32()), pa.array([b], pa.int32()), pa.array([left]), pa.array([whole])], ["node", "gain", "feature", "bin", "left", "whole"])
-
-        for batch in batches:
-            for node, first, data in zip(*(batch.column(c).to_pylist() for c in ("node", "first", "sums")), strict=True):
-                own = np.frombuffer(data, np.float64)
-                if (node, first) == key:
-                    total = total + own
-                    continue
-                if key is not None:
-                    yield told()
-                key, total = (node, first), own
-        if key is not None:
-            yield told()
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([gain]), pa.array([first + f], pa.int32()), pa.array([b], pa.int32()), pa.array([left]), pa.array([whole])], ["node", "gain", "feature", "bin", "left", "whole"])
 
     summed = state.mapInArrow(sums, "node int, first int, sums binary").repartition("node", "first").sortWithinPartitions("node", "first")
     out = summed.mapInArrow(search, "node int, gain double, feature int, bin int, left array<double>, whole array<double>").collect()

@@ -1,6 +1,9 @@
 """Multiclass boosting against a plain version that grows one leaf at a time, and on the tables."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,56 @@ def test_early_stop_save_load_and_nulls(spark, points, tmp_path):
         boosting.fit_trees(rows.where("false"))
 
 
+class Steps:
+    """Stands for a table: keeps the functions that it is mapped by."""
+
+    def __init__(self):
+        self.functions = []
+
+    def mapInArrow(self, f, schema):
+        self.functions.append(f)
+        return self
+
+    def repartition(self, *columns):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def collect(self):
+        return []
+
+
+def most_memory(function, batches):
+    """What it yields, and the most bytes that Python and NumPy held meanwhile."""
+    tracemalloc.start()
+    try:
+        out = list(function(iter(batches)))
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_hold_histograms_once():
+    """The one that makes them sends a node and block at a time; the one that adds them up copies no batch of up to 64 MB."""
+    k, width, n_bins, n, tasks = 10, 64, 255, 40, 5
+    r = np.random.default_rng(5)
+    bins, label = r.integers(0, n_bins, (n, width)).astype(np.uint8), (np.arange(n) % k).astype(np.int32)
+    scores = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(r.normal(size=n * k)))
+    rows = pa.RecordBatch.from_arrays([pa.array(label), pa.array([False] * n), pa.array([b.tobytes() for b in bins], pa.binary()), scores], ["label", "held", "bins", "scores"])
+    state, nodes = Steps(), [(c, node) for c in range(k) for node in (2, 3)]
+    boosting._candidates(state, [], [{1: (1.0, 0, 127, [], [])} for _ in range(k)], nodes, width, n_bins, 1, 0.0, 0.0)
+    sums, search = state.functions
+    whole, one = 24 * len(nodes) * width * n_bins, 24 * width * n_bins
+    sent, most = most_memory(sums, [rows])
+    assert most < 1.5 * whole and max(b.nbytes for b in sent) < 1.1 * one, (most / whole, max(b.nbytes for b in sent) / one)
+    met = pa.Table.from_batches(sent * tasks).sort_by([("node", "ascending"), ("first", "ascending")]).combine_chunks().to_batches()
+    found, most = most_memory(search, met)
+    assert len(met) == 1 and most < 0.2 * tasks * whole, most / whole
+    assert [b.column("node")[0].as_py() for b in found] == list(range(len(nodes)))
+    left = int((bins[:, 0] <= 127).sum())
+    assert [b.column("whole")[0].as_py()[2] for b in found] == [tasks * left, tasks * (n - left)] * k
+
+
 def test_better_than_the_discriminant(spark):
     """On the images of sf0.01, with a label that is no linear function of the features."""
     own = queries.vectors(spark, "/root/testdata/sf0.01").withColumn("label", (F.get("f", 3) * F.get("f", 40) + F.get("f", 17) > 40).cast("int") + (F.get("f", 9) > 8).cast("int"))
